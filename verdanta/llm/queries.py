@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from . import op01_chat_windows as chat
 from . import op02_warc_archive as warc
+from . import op07_bestfit_packing as packing
 from . import op08_url_rules as urls
+from . import op10_chunk_reuse_bpe as bpe
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -28,6 +30,21 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+def op10_chunk_reuse_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoding_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -35,7 +52,9 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc_archive": op2_warc_archive,
+    "op7_bestfit_packing": op7_bestfit_packing,
     "op8_url_rules": op8_url_rules,
+    "op10_chunk_reuse_bpe": op10_chunk_reuse_bpe,
 }
 
 ORACLES: dict[str, str] = {
