@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import op01_chat_windows as chat
 from . import op02_warc_archive as warc
+from . import op05_byte_cnn_quality as cnn
 from . import op07_bestfit_packing as packing
 from . import op08_url_rules as urls
 from . import op10_chunk_reuse_bpe as bpe
@@ -37,6 +38,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = cnn.train(docs, table(spark, sf_dir, "labels"))
+    return cnn.classify(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
 
@@ -52,6 +59,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc_archive": op2_warc_archive,
+    "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op8_url_rules": op8_url_rules,
     "op10_chunk_reuse_bpe": op10_chunk_reuse_bpe,
