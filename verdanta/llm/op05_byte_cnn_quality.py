@@ -57,19 +57,22 @@ def unfolded(data: np.ndarray, model: Model) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(vectors, (places, model.taps * e), (e * 4, 4))
 
 
-def pooled_halves(data: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Per half chunk the maximum of each filter, and the number of halves of each document."""
-    pad = model.taps - 1
+def laid_out(data: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The documents with ``pad`` zeros behind each, where their half chunks begin and end, and the halves of each document."""
     sizes = np.maximum(lengths, 1)
     starts = np.concatenate([[0], np.cumsum(sizes + pad)])
     padded = np.zeros(starts[-1] + pad, np.uint8)
-    inside = np.arange(len(data)) + np.repeat(starts[:-1] - (np.cumsum(lengths) - lengths), lengths)
-    padded[inside] = data
+    padded[np.arange(len(data)) + np.repeat(starts[:-1] - (np.cumsum(lengths) - lengths), lengths)] = data
     halves = -(-sizes // HALF)
     upto = np.cumsum(halves)
-    within = np.arange(upto[-1]) - np.repeat(upto - halves, halves)
-    at = np.repeat(starts[:-1], halves) + within * HALF
-    ends = np.minimum(at + HALF, np.repeat(starts[:-1] + sizes, halves))
+    at = np.repeat(starts[:-1], halves) + (np.arange(upto[-1]) - np.repeat(upto - halves, halves)) * HALF
+    return padded, at, np.minimum(at + HALF, np.repeat(starts[:-1] + sizes, halves)), halves
+
+
+def pooled_halves(data: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Per half chunk the maximum of each filter, and the number of halves of each document."""
+    pad = model.taps - 1
+    padded, at, ends, halves = laid_out(data, lengths, pad)
     out = np.zeros((len(at), len(model.bias)), np.float32)
     a = 0
     while a < len(at):  # in blocks, as the unfolded vectors take many times the bytes
@@ -81,31 +84,33 @@ def pooled_halves(data: np.ndarray, lengths: np.ndarray, model: Model) -> tuple[
     return np.maximum(out + model.bias, 0), halves
 
 
-def chunks_of(halves: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maxima over overlapping chunks (two halves each; one for a single half), their numbers and where each document's begin."""
+def chunks_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The two halves of every overlapping chunk (one half twice where a document has no more), chunks by document, and where they begin."""
     n = np.maximum(counts - 1, 1)
     begin = np.cumsum(counts) - counts
     upto = np.cumsum(n)
     left = np.arange(upto[-1]) + np.repeat(begin - (upto - n), n)
     right = np.minimum(left + 1, np.repeat(begin + counts - 1, n))
-    return np.maximum(halves[left], halves[right]), n, upto - n
+    return left, right, n, upto - n
 
 
 def score_documents(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:
     """A probability for each document of flat byte arrays."""
     lengths = np.diff(offsets)
-    chunks, n, begin = chunks_of(*pooled_halves(data, lengths, model))
+    halves, counts = pooled_halves(data, lengths, model)
+    left, right, n, begin = chunks_of(counts)
+    chunks = np.maximum(halves[left], halves[right])
     mean = np.add.reduceat(chunks.astype(np.float64), begin, axis=0) / n[:, None]
     top = np.maximum.reduceat(chunks, begin, axis=0)
     z = np.concatenate([mean, top], 1) @ model.out.astype(np.float64) + model.offset
     return 1 / (1 + np.exp(-z))
 
 
-def windows_of(text: bytes) -> list[bytes]:
-    """At most WINDOWS stretches of WINDOW bytes, spread evenly over the text."""
+def spread(text: bytes) -> bytes:
+    """At most WINDOWS stretches of WINDOW bytes, spread evenly over the text, in a row."""
     if len(text) <= WINDOW * WINDOWS:
-        return [text[i : i + WINDOW] for i in range(0, max(len(text), 1), WINDOW)]
-    return [text[i : i + WINDOW] for i in np.linspace(0, len(text) - WINDOW, WINDOWS).astype(int)]
+        return text
+    return b"".join(text[i : i + WINDOW] for i in np.linspace(0, len(text) - WINDOW, WINDOWS).astype(int))
 
 
 def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, filters: int = 16, passes: int = 8, least_steps: int = 400, batch: int = 64, seed: int = 5) -> Model:
@@ -119,37 +124,40 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
         model.offset = float(np.log(share / (1 - share)))
         return model
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    docs = [[np.frombuffer(w.ljust(WINDOW, b"\0"), np.uint8) for w in windows_of(t)] for t in texts]
+    docs = [np.frombuffer(spread(t), np.uint8) for t in texts]
     params = [model.embed, model.filters, model.bias, model.out, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     steps = max(passes * -(-len(y) // batch), least_steps)
-    pad = np.zeros(taps - 1, np.uint8)
     order: list[int] = []
-    per = WINDOW // HALF
     for step in range(1, steps + 1):
         if len(order) < batch:
             order += rng.permutation(len(y)).tolist()
         rows, order = order[:batch], order[batch:]
-        counts = np.array([len(docs[r]) for r in rows])
-        data = np.concatenate([np.concatenate([w, pad]) for r in rows for w in docs[r]])
+        data, at, ends, counts = laid_out(np.concatenate([docs[r] for r in rows]), np.array([len(docs[r]) for r in rows]), taps - 1)
         x = unfolded(data, model)
-        spots = (np.arange(counts.sum())[:, None] * (WINDOW + taps - 1) + np.arange(WINDOW)).reshape(-1, HALF)
+        spots = np.minimum(at[:, None] + np.arange(HALF), ends[:, None] - 1)
         flat = np.concatenate([x[i : i + BLOCK] @ model.filters for i in range(0, len(x), BLOCK)])
-        conv = flat[spots]  # (halves, HALF, filters)
-        best = conv.argmax(1)
-        top = np.take_along_axis(conv, best[:, None], 1)[:, 0] + model.bias
-        halves = np.maximum(top, 0)
-        begin = np.cumsum(counts * per) - counts * per
-        mean = np.add.reduceat(halves, begin, axis=0) / (counts * per)[:, None]
-        peak = np.maximum.reduceat(halves, begin, axis=0)
-        feats = np.concatenate([mean, peak], 1)
+        best = flat[spots].argmax(1)  # (halves, filters)
+        where = np.take_along_axis(spots, best, 1)
+        halves = np.maximum(flat[where, np.arange(filters)] + model.bias, 0)
+        left, right, n, begin = chunks_of(counts)
+        chunks = np.maximum(halves[left], halves[right])
+        mean = np.add.reduceat(chunks, begin, axis=0) / n[:, None]
+        peak = np.maximum.reduceat(chunks, begin, axis=0)
+        feats = np.concatenate([mean, peak], 1).astype(np.float32)
         p = 1 / (1 + np.exp(-(feats @ model.out + params[4][0])))
         dz = ((p - y[rows]) * weight[rows] / len(rows)).astype(np.float32)
-        of = np.repeat(np.arange(len(rows)), counts * per)
-        dh = dz[of, None] * (model.out[:filters] / (counts * per)[of, None] + model.out[filters:] * (halves == peak[of])) * (top > 0)
-        where = spots[np.arange(len(spots))[:, None], best]  # (halves, filters)
-        at = x[where.ravel()].reshape(*where.shape, -1)
-        dfilters = np.einsum("hf,hfk->kf", dh, at)
+        of = np.repeat(np.arange(len(rows)), n)
+        top = chunks == peak[of]
+        share = np.add.reduceat(top.astype(np.float32), begin, axis=0)  # equal peaks share their gradient
+        dchunks = dz[of, None] * (model.out[:filters] / n[of, None].astype(np.float32) + model.out[filters:] * top / share[of])
+        dh = np.zeros_like(halves)
+        from_left = halves[left] >= halves[right]
+        np.add.at(dh, left, dchunks * from_left)
+        np.add.at(dh, right, dchunks * ~from_left)
+        dh *= halves > 0
+        seen = x[where.ravel()].reshape(*where.shape, -1)
+        dfilters = np.einsum("hf,hfk->kf", dh, seen)
         dx = (dh[..., None] * model.filters.T[None]).reshape(-1, width)
         dembed = np.zeros_like(model.embed)
         np.add.at(dembed, data[(where.ravel()[:, None] + np.arange(taps)).ravel()], dx)
@@ -180,10 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     n = WINDOW * WINDOWS
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     size = F.octet_length(text)
-    # the same stretches that windows_of takes, cut before they reach the driver
+    # the same stretches that spread() takes, cut before they reach the driver
     step = (size - WINDOW) / F.lit(float(WINDOWS - 1))
-    spread = F.concat(*[F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)])
-    sample = docs.select("doc_id", F.when(size <= n, text).otherwise(spread).alias("piece")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("piece").alias("piece"), F.min("quality").alias("quality"))
+    thin = F.concat(*[F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)])
+    sample = docs.select("doc_id", F.when(size <= n, text).otherwise(thin).alias("piece")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("piece").alias("piece"), F.min("quality").alias("quality"))
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
     return fit([bytes(r["piece"]) for r in rows], [r["quality"] for r in rows])
 
