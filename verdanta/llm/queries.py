@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import op01_chat_windows as chat
 from . import op02_warc_archive as warc
 from . import op05_byte_cnn_quality as cnn
+from . import op06_minhash_hamming as minhash
 from . import op07_bestfit_packing as packing
 from . import op08_url_rules as urls
 from . import op10_chunk_reuse_bpe as bpe
@@ -31,6 +32,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def vocabulary(name: str) -> str:
     """Path of a public tokenizer's file."""
     import public_tokenizers
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc_archive": op2_warc_archive,
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
+    "op6_minhash_hamming": op6_minhash_hamming,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op8_url_rules": op8_url_rules,
     "op10_chunk_reuse_bpe": op10_chunk_reuse_bpe,
