@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from . import op01_chat_windows as chat
 from . import op02_warc_archive as warc
+from . import op03_product_quantization as quantized
 from . import op05_byte_cnn_quality as cnn
 from . import op06_minhash_hamming as minhash
 from . import op07_bestfit_packing as packing
 from . import op08_url_rules as urls
+from . import op09_order_minhash as order_minhash
 from . import op10_chunk_reuse_bpe as bpe
 
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
@@ -32,6 +34,14 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), "record_type", "refers_to")
 
 
+def op3_product_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,10 +74,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc_archive": op2_warc_archive,
+    "op3_product_quantization": op3_product_quantization,
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op6_minhash_hamming": op6_minhash_hamming,
     "op7_bestfit_packing": op7_bestfit_packing,
     "op8_url_rules": op8_url_rules,
+    "op9_order_minhash": op9_order_minhash,
     "op10_chunk_reuse_bpe": op10_chunk_reuse_bpe,
 }
 
