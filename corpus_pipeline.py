@@ -1,17 +1,51 @@
 """Corpus pipeline: documents pass through STAGES, each written as Parquet and read again for the next."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from verdanta.llm import op04_suffix_dedup as suffixes
+from verdanta.llm import op05_byte_cnn_quality as cnn
+from verdanta.llm import op06_minhash_hamming as minhash
+from verdanta.llm import op07_bestfit_packing as packing
+from verdanta.llm.queries import table, vocabulary
 from verdanta.llm.storage import stored
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones of ``docs``, doesn't reject."""
+    model = cnn.train(docs, table(spark, sf_dir, "labels"))
+    return cnn.classify(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 50-byte strings that start in a document of smaller doc_id; a text may become empty."""
+    return suffixes.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(docs.select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("byte_cnn_quality", good_quality),
+    ("minhash_hamming", one_of_each_group),
+    ("suffix_dedup", without_repeated_passages),
+    ("bestfit_packing", packed),
+]
 
 #: SQL can't train the classifier, so no SQL gives run()'s rows; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     return docs

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import op01_chat_windows as chat
 from . import op02_warc_archive as warc
 from . import op03_product_quantization as quantized
+from . import op04_suffix_dedup as suffixes
 from . import op05_byte_cnn_quality as cnn
 from . import op06_minhash_hamming as minhash
 from . import op07_bestfit_packing as packing
@@ -38,6 +39,10 @@ def op3_product_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_digests(suffixes.lost_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_warc_archive": op2_warc_archive,
     "op3_product_quantization": op3_product_quantization,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_cnn_quality": op5_byte_cnn_quality,
     "op6_minhash_hamming": op6_minhash_hamming,
     "op7_bestfit_packing": op7_bestfit_packing,
