@@ -4,22 +4,24 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 Every such string (a window) has a key: the least hash of its ``GRAM``-byte grams. Equal windows have equal
 keys, neighbouring windows mostly share one, and a run of them makes a piece of the text. So:
 
-1. every document's keys go to buckets by their own value, packed in few rows; the keys that two documents
-   have are sent back to the documents that have them;
-2. these documents cut the pieces of such keys; equal pieces of a batch are joined before the shuffle, and
+1. of documents with equal texts (by SHA-256) only that with the smallest doc_id goes on; the others lose all;
+2. every document's keys go to buckets by their own value, packed in few rows and shortened to 32 bits (in a
+   bucket of bounded size hardly any meet by chance, and chance meetings do no harm); the keys that two
+   documents have are sent back to the documents that have them;
+3. these documents cut the pieces of such keys; equal pieces of a batch are joined before the shuffle, and
    pieces are grouped by key. A key of more than ``HOT`` documents is cut into single windows that are dealt by
    their whole content, so a passage that a third of all documents hold is not one group;
-3. the different pieces of a key, joined to one string, get a suffix array (see ``lyndon``). Equal windows
+4. the different pieces of a key, joined to one string, get a suffix array (see ``lyndon``). Equal windows
    stand side by side in it; the least doc_id of each such run tells which documents lose the window. A key
-   with one different piece needs no order: the piece's least doc_id holds for all its windows. Keys of very
-   many pieces are cut into strings of ``PIECES`` pieces' size by the windows' content;
-4. the lost stretches go back to their documents and are merged.
+   with one different piece needs no order: the piece's least doc_id holds for all its windows. The pieces of
+   a key with more than ``PIECES`` are dealt again by the keys of other hash functions, at last by content;
+5. the lost stretches go back to their documents and are merged.
 
-Both readings of the texts are one shuffle, which Spark reuses.
+All readings of the texts by document are one shuffle, which Spark reuses.
 
 Cases: a null text is empty and loses nothing, as does a text of fewer than ``LENGTH`` bytes; rows with equal
 doc_ids never remove from each other, and repeated rows lose alike; rows with a null doc_id neither remove
-nor lose. Extra columns are kept. An empty table gives an empty table.
+nor lose. An empty table gives an empty table.
 """
 
 import hashlib
@@ -31,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lyndon import ranges, suffix_arrays
+from .storage import stored
 from .texts import flat, slices
 from .words import VALUE, mix
 
@@ -38,12 +41,12 @@ LENGTH, GRAM = 50, 20
 STEP_BYTES = 1 << 21
 RUN = 32
 HOT = 2000
-PIECES = 64
+PIECES, LEVELS = 16, 4
 BATCH_SYMBOLS = 1 << 19
 BUCKET_KEYS = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
-LOST = "rid long, doc long, s int, e int"
-OCCURRENCE = np.dtype([("doc", "<i8"), ("rid", "<i8"), ("s", "<i4")])
+LOST = "doc long, tag int, s int, e int"
+OCCURRENCE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("s", "<i4")])
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -61,19 +64,21 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
         width, factor = 2 * width, factor * factor % (1 << 64)
 
 
-def window_keys(data: np.ndarray) -> np.ndarray:
-    """The key of the window at every place."""
+def window_keys(data: np.ndarray, level: int = 0) -> np.ndarray:
+    """The key of the window at every place, by the hash function of a level."""
     least, width, wanted = gram_hashes(data), 1, LENGTH - GRAM + 1
+    if level:
+        least = mix(least + np.uint64(level))
     while 2 * width <= wanted:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     return np.minimum(least[: len(least) - (wanted - width)], least[wanted - width :])
 
 
-def key_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def key_runs(data: np.ndarray, offsets: np.ndarray, level: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of windows with one key: key, row, first window's place in ``data``, number of windows (RUN at most)."""
     for a in range(0, max(len(data) - LENGTH + 1, 0), STEP_BYTES):
-        keys = window_keys(data[a : a + STEP_BYTES + LENGTH - 1])
+        keys = window_keys(data[a : a + STEP_BYTES + LENGTH - 1], level)
         at = np.arange(a, a + len(keys))
         row = np.searchsorted(offsets, at, "right") - 1
         whole = at + LENGTH <= offsets[row + 1]
@@ -89,56 +94,63 @@ def key_runs(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
 
 
 def _keys_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, rid, n, keys): per batch and bucket the different keys of the documents, packed."""
+    """(bucket, doc, tag, n, keys): per batch and bucket the different keys of the documents, packed."""
+    schema = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("tag", pa.binary()), ("n", pa.binary()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rids = batch.column(0).to_numpy()
-            for first, _, data, offsets in slices(batch.column(1), 2 * STEP_BYTES):
+            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, _, data, offsets in slices(batch.column(2), 2 * STEP_BYTES):
                 found = [(keys, row) for keys, row, _, _ in key_runs(data, offsets)]
                 if not found:
                     continue
                 keys, row = (np.concatenate(c) for c in zip(*found, strict=True))
-                bucket = (keys % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((keys, row, bucket))
-                keys, row, bucket = keys[order], row[order], bucket[order]
-                new = np.ones(len(keys), bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
-                keys, row, bucket = keys[new], row[new], bucket[new]
+                short, bucket = shortened(keys), bucket_of(keys, buckets)
+                order = np.lexsort((row, bucket))  # a key that a row repeats does no harm
+                short, row, bucket = short[order], row[order], bucket[order]
                 lead = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
                 rows: list[tuple] = []
-                for s, e in zip(lead, [*lead[1:], len(keys)], strict=True):
-                    docs, n = np.unique(row[s:e], return_counts=True)
-                    rows.append((int(bucket[s]), rids[first + docs].tobytes(), n.astype("<i4").tobytes(), keys[s:e].tobytes()))
-                yield pa.RecordBatch.from_pylist([dict(zip(("bucket", "rid", "n", "keys"), r, strict=True)) for r in rows], schema=schema)
+                for s, e in zip(lead, [*lead[1:], len(short)], strict=True):
+                    own, n = np.unique(row[s:e], return_counts=True)
+                    rows.append((int(bucket[s]), docs[first + own].tobytes(), tags[first + own].tobytes(), n.astype("<i4").tobytes(), short[s:e].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([("bucket", pa.int32()), ("rid", pa.binary()), ("n", pa.binary()), ("keys", pa.binary())])
-    return docs.select("rid", "text").mapInArrow(run, "bucket int, rid binary, n binary, keys binary")
+    return docs.select("doc", "tag", "text").mapInArrow(run, "bucket int, doc binary, tag binary, n binary, keys binary")
+
+
+def shortened(keys: np.ndarray) -> np.ndarray:
+    return mix(keys).astype("<u4")
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(keys) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
 def _shared_keys(by_bucket: DataFrame, partitions: int) -> DataFrame:
-    """(rid, keys, hot): the keys of each document that another document has too, and whether very many have them."""
+    """(doc, tag, keys, hot): the keys of each document that another document has too, and whether very many have them."""
 
-    def told(parts: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        rid = np.concatenate([np.frombuffer(r, np.int64).repeat(np.frombuffer(n, "<i4")) for r, n, _ in parts])
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for _, _, k in parts])
-        order = np.lexsort((rid, keys))
-        rid, keys = rid[order], keys[order]
+    def told(parts: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+        doc, tag = (np.concatenate([np.frombuffer(p[i], t).repeat(np.frombuffer(p[2], "<i4")) for p in parts]) for i, t in ((0, np.int64), (1, np.int32)))
+        keys = np.concatenate([np.frombuffer(p[3], "<u4") for p in parts])
+        order = np.lexsort((doc, keys))
+        doc, tag, keys = doc[order], tag[order], keys[order]
         new = np.ones(len(keys), bool)
-        new[1:] = (keys[1:] != keys[:-1]) | (rid[1:] != rid[:-1])
-        rid, keys = rid[new], keys[new]
+        new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        doc, tag, keys = doc[new], tag[new], keys[new]
         lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(lead, len(keys)))
         n = np.repeat(n, n)
         keep = n > 1
-        rid, keys, hot = rid[keep], keys[keep], n[keep] > HOT
-        order = np.argsort(rid, kind="stable")
-        rid, keys, hot = rid[order], keys[order], hot[order]
-        lead = np.flatnonzero(np.concatenate([[True], rid[1:] != rid[:-1]])) if len(rid) else np.zeros(0, int)
+        doc, tag, keys, hot = doc[keep], tag[keep], keys[keep], n[keep] > HOT
+        order = np.lexsort((tag, doc))
+        doc, tag, keys, hot = doc[order], tag[order], keys[order], hot[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+        lead = np.flatnonzero(new)
         for at in range(0, len(lead), 8192):
-            chunk = [*lead[at : at + 8193], *([len(rid)] if at + 8192 >= len(lead) else [])]
-            pairs = list(zip(chunk[:-1], chunk[1:], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[chunk[:-1]]), pa.array([keys[s:e].tobytes() for s, e in pairs], pa.binary()), pa.array([np.packbits(hot[s:e]).tobytes() for s, e in pairs], pa.binary())], names=["rid", "keys", "hot"])
+            chunk = lead[at : at + 8192]
+            pairs = list(zip(chunk, [*lead[at + 1 : at + 8193], *([len(doc)] if at + 8192 >= len(lead) else [])], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[chunk]), pa.array(tag[chunk]), pa.array([keys[s:e].tobytes() for s, e in pairs], pa.binary()), pa.array([np.packbits(hot[s:e]).tobytes() if hot[s:e].any() else None for s, e in pairs], pa.binary())], names=["doc", "tag", "keys", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -152,72 +164,73 @@ def _shared_keys(by_bucket: DataFrame, partitions: int) -> DataFrame:
         if parts:
             yield from told(parts)
 
-    return by_bucket.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "rid long, keys binary, hot binary")
+    return by_bucket.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, keys binary, hot binary")
 
 
 def _pieces(texts: DataFrame) -> DataFrame:
     """(key, single, piece, least, found): the different pieces of shared keys in each batch with all their occurrences and the least doc_id."""
-    schema = pa.schema([("key", pa.int64()), ("single", pa.bool_()), ("piece", pa.binary()), ("least", pa.int64()), ("found", pa.binary())])
+    schema = pa.schema([("key", pa.int32()), ("single", pa.bool_()), ("piece", pa.binary()), ("least", pa.int64()), ("found", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, rids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             shared = batch.column(3).to_pylist()
             for first, end, data, offsets in slices(batch.column(2), 2 * STEP_BYTES):
                 wanted, flags, of = [], [], []
                 for k in range(first, end):
                     for part in shared[k]:
-                        keys = np.frombuffer(part["keys"], np.uint64)
+                        keys = np.frombuffer(part["keys"], "<u4")
                         wanted.append(keys)
-                        flags.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(keys)).astype(bool))
+                        flags.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(keys)).astype(bool) if part["hot"] else np.zeros(len(keys), bool))
                         of.append(np.full(len(keys), k - first))
                 wanted, flags, of = np.concatenate(wanted), np.concatenate(flags), np.concatenate(of)
-                salted = wanted ^ mix(of.astype(np.uint64))
-                order = np.argsort(salted)
-                salted, flags = salted[order], flags[order]
+                mine = of.astype(np.uint64) << np.uint64(32) | wanted
+                order = np.argsort(mine)
+                mine, flags = mine[order], flags[order]
                 raw = data.tobytes()
                 rows: dict[tuple[int, bool, bytes], list[tuple]] = {}
                 for keys, row, at, n in key_runs(data, offsets):
-                    mine = keys ^ mix(row.astype(np.uint64))
-                    spot = np.minimum(np.searchsorted(salted, mine), len(salted) - 1)
-                    ok = salted[spot] == mine
-                    keys, row, at, n, hot = keys[ok], row[ok], at[ok], n[ok], flags[spot[ok]]
+                    key = shortened(keys)
+                    own = row.astype(np.uint64) << np.uint64(32) | key
+                    spot = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
+                    ok = mine[spot] == own
+                    key, row, at, n, hot = key[ok].view(np.int32), row[ok], at[ok], n[ok], flags[spot[ok]]
                     times = np.where(hot, n, 1)  # single windows of hot keys
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     one = np.repeat(hot, times)
-                    keys, row, at, n = np.repeat(keys, times), np.repeat(row, times), np.repeat(at, times) + nth, np.where(one, 1, np.repeat(n, times))
+                    key, row, at, n = np.repeat(key, times), np.repeat(row, times), np.repeat(at, times) + nth, np.where(one, 1, np.repeat(n, times))
                     places = (at - offsets[row]).tolist()
                     who = row + first
-                    for key, single, a, k, doc, rid, place in zip(keys.view(np.int64).tolist(), one.tolist(), at.tolist(), n.tolist(), docs[who].tolist(), rids[who].tolist(), places, strict=True):
+                    for where, single, a, k, doc, tag, place in zip(key.tolist(), one.tolist(), at.tolist(), n.tolist(), docs[who].tolist(), tags[who].tolist(), places, strict=True):
                         piece = raw[a : a + k + LENGTH - 1]
                         if single:
-                            key = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                        rows.setdefault((key, single, piece), []).append((doc, rid, place))
+                            where = int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "little", signed=True)
+                        rows.setdefault((where, single, piece), []).append((doc, tag, place))
                 items = list(rows.items())
                 for s in range(0, len(items), 1 << 16):
                     part = items[s : s + (1 << 16)]
                     columns = zip(*[(key, single, piece, min(o)[0], np.array(o, OCCURRENCE).tobytes()) for (key, single, piece), o in part], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
 
-    return texts.select("doc", "rid", "text", "shared").mapInArrow(run, "key long, single boolean, piece binary, least long, found binary")
+    return texts.select("doc", "tag", "text", "shared").mapInArrow(run, "key int, single boolean, piece binary, least long, found binary")
 
 
 def least_owners(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
     """For each group of different pieces with their least doc_ids: per piece and window the least doc_id of all equal windows in the group."""
     out = [[np.full(len(p) - LENGTH + 1, doc) for p, doc in group] for group in groups]
-    strings: list[list[tuple[bytes, int, np.ndarray]]] = []
-    for group, owners in zip(groups, out, strict=True):
-        if len(group) <= PIECES:
-            if len(group) > 1:
-                strings.append([(p, doc, o) for (p, doc), o in zip(group, owners, strict=True)])
-            continue
-        # windows of many pieces: equal ones come to the same string
+    strings = [[(p, doc, o) for (p, doc), o in zip(group, owners, strict=True)] for group, owners in zip(groups, out, strict=True)]
+    for level in range(1, LEVELS + 1):
+        many = [s for s in strings if len(s) > PIECES]
+        strings = [s for s in strings if 1 < len(s) <= PIECES] + (_dealt_again(many, level) if many else [])
+    rest = [s for s in strings if len(s) > PIECES]
+    strings = [s for s in strings if 1 < len(s) <= PIECES]
+    for s in rest:  # windows that all keys leave together, by their content
+        n = sum(len(o) for _, _, o in s) // PIECES + 1
         parts: dict[int, list] = {}
-        total = sum(len(o) for o in owners)
-        for (p, doc), o in zip(group, owners, strict=True):
+        for p, doc, o in s:
             for w in range(len(o)):
                 window = p[w : w + LENGTH]
-                parts.setdefault(hash(window) % (total // PIECES + 1), []).append((window, doc, o[w : w + 1]))
+                parts.setdefault(hash(window) % n, []).append((window, doc, o[w : w + 1]))
         strings += parts.values()
     strings.sort(key=lambda s: sum(len(p) + 1 for p, _, _ in s))
     batch: list = []
@@ -234,6 +247,18 @@ def least_owners(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]
     return out
 
 
+def _dealt_again(strings: list[list[tuple[bytes, int, np.ndarray]]], level: int) -> list[list[tuple[bytes, int, np.ndarray]]]:
+    """The strings' pieces cut and grouped by the keys of another level."""
+    pieces = [(k, p, doc, o) for k, s in enumerate(strings) for p, doc, o in s]
+    offsets = np.cumsum([0, *(len(p) for _, p, _, _ in pieces)])
+    parts: dict[tuple[int, int], list] = {}
+    for keys, row, at, n in key_runs(np.frombuffer(b"".join(p for _, p, _, _ in pieces), np.uint8), offsets, level):
+        for key, r, a, m in zip(keys.tolist(), row.tolist(), (at - offsets[row]).tolist(), n.tolist(), strict=True):
+            k, p, doc, o = pieces[r]
+            parts.setdefault((k, key), []).append((p[a : a + m + LENGTH - 1], doc, o[a : a + m]))
+    return list(parts.values())
+
+
 def _settle(strings: list[list[tuple[bytes, int, np.ndarray]]]) -> None:
     """Lower the owners of equal windows within each string to their least, by the strings' suffix arrays."""
     flat_pieces = [p for s in strings for p in s]
@@ -276,7 +301,7 @@ def _settle(strings: list[list[tuple[bytes, int, np.ndarray]]]) -> None:
 
 
 def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
-    """(rid, doc, s, e): stretches of documents that equal windows of documents with smaller ids cover."""
+    """(doc, tag, s, e): stretches of documents that equal windows of documents with smaller ids cover."""
 
     def settled(groups: list[list[tuple[bytes, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
         owners = least_owners([[(p, int(o["doc"].min())) for p, o in g] for g in groups])
@@ -299,7 +324,7 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
             r = row[begin]
             shift = o["s"][r] - base[which][r]
             first, last = cells[begin] + shift, cells[end] + shift + LENGTH
-            yield pa.RecordBatch.from_arrays([pa.array(o["rid"][r]), pa.array(o["doc"][r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["rid", "doc", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(o["doc"][r]), pa.array(o["tag"][r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "tag", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[list[tuple[bytes, list[np.ndarray]]]] = []
@@ -335,21 +360,27 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
 
 
 def lost_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text and others) with ``lost``: the (start, end) of its removed bytes, merged and ascending."""
-    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__rid", F.xxhash64("doc_id", "text"))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    """Per row: doc_id, text and ``lost``, the (start, end) of its removed bytes, merged and ascending."""
+    # the tag tells different texts of one doc_id apart
+    tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").withColumn("tag", F.coalesce(tag, F.lit(0)))
     # sizes follow the input: about one key in sixteen bytes
     nbytes = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), nbytes >> 25, 1)
     buckets = partitions * max(1, (nbytes >> 4) // BUCKET_KEYS // partitions)
-    known = rows.where("__doc IS NOT NULL AND text IS NOT NULL").select(F.col("__rid").alias("rid"), F.col("__doc").alias("doc"), "text")
+    digests = rows.where("doc IS NOT NULL").select("doc", "tag", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
+    firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
+    copies = stored(digests.join(firsts, "digest").where("doc > first").select("doc", "tag").distinct())
+    known = rows.join(copies, ["doc", "tag"], "left_anti").where("doc IS NOT NULL")
     shared = _shared_keys(_keys_by_bucket(known, buckets), partitions)
-    shared = shared.groupBy("rid").agg(F.collect_list(F.struct("keys", "hot")).alias("shared"))
-    lost = _lost(_pieces(known.join(shared, "rid")), partitions)
-    lost = lost.groupBy("rid").agg(F.collect_list(F.struct("doc", "s", "e")).alias("found"))
-    whole = rows.withColumnsRenamed({"__rid": "rid", "__doc": "doc"}).join(lost, "rid", "left")
-    mine = F.array_sort(F.transform(F.filter("found", lambda f: f["doc"] == F.col("doc")), lambda f: F.struct(f["s"].alias("start"), f["e"].alias("end"))))
-    return whole.select(*keep, F.coalesce(merged(mine), F.array().cast("array<struct<start:int,end:int>>")).alias("lost"))
+    shared = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("keys", "hot")).alias("shared"))
+    lost = _lost(_pieces(known.join(shared, ["doc", "tag"])), partitions)
+    lost = lost.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("found"))
+    size = F.octet_length("text")
+    spans = "array<struct<start:int,end:int>>"
+    all_of_it = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))).otherwise(F.array().cast(spans))
+    whole = rows.join(lost, ["doc", "tag"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "tag"], "left")
+    return whole.select(F.col("doc").alias("doc_id"), "text", F.when(F.col("copy"), all_of_it).otherwise(F.coalesce(merged(F.col("found")), F.array().cast(spans))).alias("lost"))
 
 
 def merged(spans):
@@ -395,11 +426,13 @@ def kept_digests(spans: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; what is left of a cut character goes too."""
+    """``docs`` with the repeated bytes cut out of ``text``, other columns as they are; what is left of a cut character goes too."""
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
         return pa.array([x.decode(errors="ignore") for x in _kept_bytes(text, lost.to_pylist())])
 
-    text = F.when(F.size("lost") > 0, kept("text", "lost")).otherwise(F.col("text"))
-    return lost_spans(docs).withColumn("text", text).drop("lost")
+    spans = lost_spans(docs).where(F.size("lost") > 0).select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"), "lost").dropDuplicates(["__doc", "__text"])
+    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64("text"))
+    text = F.when(F.col("lost").isNotNull(), kept("text", "lost")).otherwise(F.col("text"))
+    return keyed.join(spans, ["__doc", "__text"], "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
