@@ -105,30 +105,33 @@ def _groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 def _emitted(label: np.ndarray, prev: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The suffixes in order: from the least on, each brings those that end before it to their groups' next places."""
     n = len(label)
-    array = np.full(n, -1, np.int32)
-    placed = np.zeros(n, bool)
-    i, stop, first = bounds[:-1].copy(), bounds[1:], bounds[:-1]
+    array = np.full(n + 1, -1, np.int32)
+    next_of = np.arange(n, dtype=np.int32)  # by a group's first place: its next free place
+    placed = np.zeros(n + 1, bool)
+    placed[n] = True  # what -1 points to
+    before = np.arange(-1, n - 1, dtype=np.int32)
+    before[bounds[:-1]] = -1
+    i, stop = bounds[:-1].astype(np.int32), bounds[1:].astype(np.int32)
     array[i] = stop - 1
     placed[stop - 1] = True
-    at = np.where(stop - 1 > first, stop - 2, -1)
-    active = np.arange(len(i))
-    next_of = np.arange(n, dtype=np.int32)  # by group: its next place
-    while len(active):
-        now = at[active]
-        settled = (now < 0) | placed[now]
-        step = active[settled]
-        if len(step):
-            i[step] += 1
-            step = step[i[step] < stop[step]]
-            before = array[i[step]]
-            at[step] = np.where(before > first[step], before - 1, -1)
-            active = active[i[active] < stop[active]]
-            now = at[active]
-        fresh = (now >= 0) & ~placed[now]
-        put = now[fresh]
+    at = before[stop - 1]
+    while len(i):
+        settled = np.flatnonzero(placed[at])
+        if len(settled):
+            step = i[settled] + 1
+            i[settled] = step
+            at[settled] = before[array[step]]
+            over = step == stop[settled]
+            if over.any():
+                going = np.ones(len(i), bool)
+                going[settled[over]] = False
+                i, stop, at = i[going], stop[going], at[going]
+        fresh = np.flatnonzero(~placed[at])
+        put = at[fresh]
         group = label[put]
-        array[next_of[group]] = put
-        next_of[group] += 1
+        slot = next_of[group]
+        array[slot] = put
+        next_of[group] = slot + 1
         placed[put] = True
-        at[active[fresh]] = prev[put]
-    return array
+        at[fresh] = prev[put]
+    return array[:n]

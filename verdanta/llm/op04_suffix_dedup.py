@@ -46,6 +46,8 @@ BATCH_SYMBOLS = 1 << 19
 BUCKET_KEYS = 1 << 20
 FACTOR = 0x9E3779B97F4A7C15
 LOST = "doc long, tag int, s int, e int"
+#: bytes, least doc_id, and the places where each window's least doc_id is kept
+Piece = tuple[bytes, int, list[np.ndarray]]
 OCCURRENCE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("s", "<i4")])
 
 
@@ -218,20 +220,13 @@ def _pieces(texts: DataFrame) -> DataFrame:
 def least_owners(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]]:
     """For each group of different pieces with their least doc_ids: per piece and window the least doc_id of all equal windows in the group."""
     out = [[np.full(len(p) - LENGTH + 1, doc) for p, doc in group] for group in groups]
-    strings = [[(p, doc, o) for (p, doc), o in zip(group, owners, strict=True)] for group, owners in zip(groups, out, strict=True)]
-    for level in range(1, LEVELS + 1):
+    strings: list[list[Piece]] = [[(p, doc, [o]) for (p, doc), o in zip(group, owners, strict=True)] for group, owners in zip(groups, out, strict=True)]
+    for level in range(1, LEVELS + 2):
         many = [s for s in strings if len(s) > PIECES]
-        strings = [s for s in strings if 1 < len(s) <= PIECES] + (_dealt_again(many, level) if many else [])
-    rest = [s for s in strings if len(s) > PIECES]
+        strings = [s for s in strings if 1 < len(s) <= PIECES]
+        if many:  # at last single windows, of which no two in a string are equal
+            strings += _dealt_again(many, level, single=level > LEVELS)
     strings = [s for s in strings if 1 < len(s) <= PIECES]
-    for s in rest:  # windows that all keys leave together, by their content
-        n = sum(len(o) for _, _, o in s) // PIECES + 1
-        parts: dict[int, list] = {}
-        for p, doc, o in s:
-            for w in range(len(o)):
-                window = p[w : w + LENGTH]
-                parts.setdefault(hash(window) % n, []).append((window, doc, o[w : w + 1]))
-        strings += parts.values()
     strings.sort(key=lambda s: sum(len(p) + 1 for p, _, _ in s))
     batch: list = []
     held = 0
@@ -247,19 +242,34 @@ def least_owners(groups: list[list[tuple[bytes, int]]]) -> list[list[np.ndarray]
     return out
 
 
-def _dealt_again(strings: list[list[tuple[bytes, int, np.ndarray]]], level: int) -> list[list[tuple[bytes, int, np.ndarray]]]:
-    """The strings' pieces cut and grouped by the keys of another level."""
+def _dealt_again(strings: list[list[Piece]], level: int, single: bool) -> list[list[Piece]]:
+    """The strings' pieces cut and grouped by the keys of another level, or to single windows; equal pieces of a group become one."""
     pieces = [(k, p, doc, o) for k, s in enumerate(strings) for p, doc, o in s]
     offsets = np.cumsum([0, *(len(p) for _, p, _, _ in pieces)])
-    parts: dict[tuple[int, int], list] = {}
-    for keys, row, at, n in key_runs(np.frombuffer(b"".join(p for _, p, _, _ in pieces), np.uint8), offsets, level):
-        for key, r, a, m in zip(keys.tolist(), row.tolist(), (at - offsets[row]).tolist(), n.tolist(), strict=True):
-            k, p, doc, o = pieces[r]
-            parts.setdefault((k, key), []).append((p[a : a + m + LENGTH - 1], doc, o[a : a + m]))
-    return list(parts.values())
+    parts: dict[tuple, dict[bytes, list[tuple[int, list[np.ndarray]]]]] = {}
+
+    def put(group: tuple, p: bytes, doc: int, owners: list[np.ndarray]) -> None:
+        parts.setdefault(group, {}).setdefault(p, []).append((doc, owners))
+
+    if single:
+        for k, p, doc, o in pieces:
+            for w in range(len(p) - LENGTH + 1):
+                put((k, p[w : w + LENGTH]), p[w : w + LENGTH], doc, [x[w : w + 1] for x in o])
+    else:
+        for keys, row, at, n in key_runs(np.frombuffer(b"".join(p for _, p, _, _ in pieces), np.uint8), offsets, level):
+            for key, r, a, m in zip(keys.tolist(), row.tolist(), (at - offsets[row]).tolist(), n.tolist(), strict=True):
+                k, p, doc, o = pieces[r]
+                put((k, key), p[a : a + m + LENGTH - 1], doc, [x[a : a + m] for x in o])
+    out = []
+    for group in parts.values():
+        out.append([(p, min(doc for doc, _ in same), [o for _, owners in same for o in owners]) for p, same in group.items()])
+        for _, doc, owners in out[-1]:
+            for o in owners:
+                o[:] = doc
+    return out
 
 
-def _settle(strings: list[list[tuple[bytes, int, np.ndarray]]]) -> None:
+def _settle(strings: list[list[Piece]]) -> None:
     """Lower the owners of equal windows within each string to their least, by the strings' suffix arrays."""
     flat_pieces = [p for s in strings for p in s]
     lengths = np.array([len(p) for p, _, _ in flat_pieces])
@@ -296,8 +306,9 @@ def _settle(strings: list[list[tuple[bytes, int, np.ndarray]]]) -> None:
     begin = np.flatnonzero(new)
     least = np.minimum.reduceat(owner[order], begin)
     owner[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
-    for (_, _, target), s, w in zip(flat_pieces, starts, windows, strict=True):
-        target[:] = owner[s : s + w]
+    for (_, _, owners), s, w in zip(flat_pieces, starts, windows, strict=True):
+        for o in owners:
+            o[:] = owner[s : s + w]
 
 
 def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
