@@ -1,8 +1,6 @@
 """Registry of the imagery queries and of the SQL that each must agree with."""
 
-from collections.abc import Callable
+from .plans import spatial, vegetation
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = vegetation.QUERIES | spatial.QUERIES
+ORACLES = vegetation.ORACLES | spatial.ORACLES
