@@ -71,10 +71,13 @@ def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float
 
 
 def local_maxima(df: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Pixels with the largest v within ``distance`` in both directions; of equal ones the first by r, then c."""
-    best = F.struct("v", (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc"))
+    """Pixels of full grids with the largest v within ``distance`` in both directions; of equal ones the first by r, then c.
+
+    Pixels without a value are no maxima, but stay for the second pass, which reads what the first left at them.
+    """
+    best = F.when(F.col("v").isNotNull(), F.struct("v", (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc")))
     near = lambda keep, order: Window.partitionBy(*by, keep).orderBy(order).rangeBetween(-distance, distance)
-    out = df.where("v IS NOT NULL").withColumn("best", best).withColumn("m", F.max("best").over(near("r", "c"))).withColumn("m", F.max("m").over(near("c", "r")))
+    out = df.withColumn("best", best).withColumn("m", F.max("best").over(near("r", "c"))).withColumn("m", F.max("m").over(near("c", "r")))
     return out.where("m = best").select(*by, "r", "c", "v")
 
 
