@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .lyndon import ranges, suffix_arrays
 from .storage import stored
 from .texts import flat, slices
-from .words import VALUE, mix
+from .words import VALUE, hashes, mix
 
 LENGTH, GRAM = 50, 20
 STEP_BYTES = 1 << 21
@@ -128,7 +128,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mix(keys) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
 
 
-def _shared_keys(by_bucket: DataFrame, partitions: int) -> DataFrame:
+def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
     """(doc, tag, keys, hot): the keys of each document that another document has too, and whether very many have them."""
 
     def told(parts: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def _shared_keys(by_bucket: DataFrame, partitions: int) -> DataFrame:
         n = np.diff(np.append(lead, len(keys)))
         n = np.repeat(n, n)
         keep = n > 1
-        doc, tag, keys, hot = doc[keep], tag[keep], keys[keep], n[keep] > HOT
+        doc, tag, keys, hot = doc[keep], tag[keep], keys[keep], n[keep] > most
         order = np.lexsort((tag, doc))
         doc, tag, keys, hot = doc[order], tag[order], keys[order], hot[order]
         new = np.ones(len(doc), bool)
@@ -169,6 +169,12 @@ def _shared_keys(by_bucket: DataFrame, partitions: int) -> DataFrame:
     return by_bucket.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, keys binary, hot binary")
 
 
+def packed_binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column from the bytes of all its values in a row."""
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
 def _pieces(texts: DataFrame) -> DataFrame:
     """(key, single, piece, least, found): the different pieces of shared keys in each batch with all their occurrences and the least doc_id."""
     schema = pa.schema([("key", pa.int32()), ("single", pa.bool_()), ("piece", pa.binary()), ("least", pa.int64()), ("found", pa.binary())])
@@ -189,30 +195,30 @@ def _pieces(texts: DataFrame) -> DataFrame:
                 mine = of.astype(np.uint64) << np.uint64(32) | wanted
                 order = np.argsort(mine)
                 mine, flags = mine[order], flags[order]
-                raw = data.tobytes()
-                rows: dict[tuple[int, bool, bytes], list[tuple]] = {}
                 for keys, row, at, n in key_runs(data, offsets):
                     key = shortened(keys)
                     own = row.astype(np.uint64) << np.uint64(32) | key
                     spot = np.minimum(np.searchsorted(mine, own), len(mine) - 1)
                     ok = mine[spot] == own
                     key, row, at, n, hot = key[ok].view(np.int32), row[ok], at[ok], n[ok], flags[spot[ok]]
+                    if not len(key):
+                        continue
                     times = np.where(hot, n, 1)  # single windows of hot keys
                     nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    one = np.repeat(hot, times)
-                    key, row, at, n = np.repeat(key, times), np.repeat(row, times), np.repeat(at, times) + nth, np.where(one, 1, np.repeat(n, times))
-                    places = (at - offsets[row]).tolist()
-                    who = row + first
-                    for where, single, a, k, doc, tag, place in zip(key.tolist(), one.tolist(), at.tolist(), n.tolist(), docs[who].tolist(), tags[who].tolist(), places, strict=True):
-                        piece = raw[a : a + k + LENGTH - 1]
-                        if single:
-                            where = int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "little", signed=True)
-                        rows.setdefault((where, single, piece), []).append((doc, tag, place))
-                items = list(rows.items())
-                for s in range(0, len(items), 1 << 16):
-                    part = items[s : s + (1 << 16)]
-                    columns = zip(*[(key, single, piece, min(o)[0], np.array(o, OCCURRENCE).tobytes()) for (key, single, piece), o in part], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+                    single = np.repeat(hot, times)
+                    key, row, at, n = np.repeat(key, times), np.repeat(row, times), np.repeat(at, times) + nth, np.where(single, 1, np.repeat(n, times))
+                    begin, stop = at, at + n + LENGTH - 1
+                    content = hashes(data[begin[0] : stop.max()], begin - begin[0], stop - begin[0])
+                    key = np.where(single, (content >> np.uint64(32)).astype(np.uint32).view(np.int32), key)
+                    found = np.empty(len(key), OCCURRENCE)
+                    found["doc"], found["tag"], found["s"] = docs[row + first], tags[row + first], at - offsets[row]
+                    order = np.lexsort((found["doc"], content, key, single))
+                    key, single, content, found = key[order], single[order], content[order], found[order]
+                    lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (single[1:] != single[:-1])]))
+                    whose = order[lead]
+                    pieces = packed_binary(data[ranges(begin[whose], stop[whose])], stop[whose] - begin[whose])
+                    blobs = packed_binary(found.view(np.uint8), np.diff(np.append(lead, len(found))) * OCCURRENCE.itemsize)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.array(single[lead]), pieces, pa.array(found["doc"][lead]), blobs], schema=schema)
 
     return texts.select("doc", "tag", "text", "shared").mapInArrow(run, "key int, single boolean, piece binary, least long, found binary")
 
@@ -335,42 +341,82 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
             r = row[begin]
             shift = o["s"][r] - base[which][r]
             first, last = cells[begin] + shift, cells[end] + shift + LENGTH
-            yield pa.RecordBatch.from_arrays([pa.array(o["doc"][r]), pa.array(o["tag"][r]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "tag", "s", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(o["doc"][r].copy()), pa.array(o["tag"][r].copy()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "tag", "s", "e"])
+
+    def easy(table: pa.Table, hold: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+        """The stretches of keys with one different piece; the rows of other keys, and of the last key if it is to be held, come as tables."""
+        table = table.combine_chunks()
+        key, single = (table.column(i).to_numpy() for i in (0, 1))
+        data, offsets = flat(table.column(2))
+        content = hashes(data, offsets[:-1], offsets[1:])
+        change = np.ones(len(key), bool)
+        change[1:] = (key[1:] != key[:-1]) | (single[1:] != single[:-1])
+        other = change.copy()
+        other[1:] |= content[1:] != content[:-1]
+        group = np.cumsum(np.where(single, other, change)) - 1
+        lead = np.flatnonzero(np.diff(group, prepend=-1))
+        one = (np.add.reduceat(other.astype(np.int64), lead) == 1)[group]
+        held = np.zeros(len(key), bool)
+        if hold and not single[-1]:
+            held = group == group[-1]
+        take = one & ~held
+        least = np.minimum.reduceat(table.column(3).to_numpy(), lead)
+        if state["single"] and single[0] and (key[0], content[0]) == state["single"]:
+            least[0] = state["least"]  # the hot window goes on; its least owner came first
+        state["single"], state["least"] = ((key[-1], content[-1]), least[-1]) if single[-1] else (None, 0)
+        raw, ends = flat(table.column(4))
+        occ = raw.view(OCCURRENCE) if len(raw) else np.zeros(0, OCCURRENCE)
+        row = np.repeat(np.arange(len(key)), np.diff(ends) // OCCURRENCE.itemsize)
+        lost = take[row] & (occ["doc"] > least[group[row]])
+        o, size = occ[lost], np.diff(offsets)[row[lost]]
+        yield pa.RecordBatch.from_arrays([pa.array(o["doc"]), pa.array(o["tag"]), pa.array(o["s"]), pa.array((o["s"] + size).astype(np.int32))], names=["doc", "tag", "s", "e"])
+        yield table.filter(pa.array(~one & ~held))
+        yield table.filter(pa.array(held))
+
+    state: dict = {"single": None, "least": 0}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[list[tuple[bytes, list[np.ndarray]]]] = []
-        now, piece, owner, held = None, None, 0, 0
-        close = lambda: [[(p, np.concatenate(o)) for p, o in g] for g in done if g]
+        state["single"] = None
+        crowded: list[pa.Table] = []
+        size, rest = 0, None
         for batch in batches:
-            alone: list[tuple[np.ndarray, np.ndarray]] = []
-            for key, single, p, least, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o = np.frombuffer(found, OCCURRENCE)
-                if single:  # all its rows are of this key, the least owner's first: nothing needs to be held
-                    owner = owner if (key, p) == (now, piece) else least
-                    now, piece = key, p
-                    alone.append((o, np.full(1, owner)))
-                    continue
+            if not len(batch):
+                continue
+            table = pa.Table.from_batches([batch])
+            if rest is not None and len(rest):
+                table = pa.concat_tables([rest, table])
+            out, hard, rest = easy(table, True)
+            yield out
+            crowded.append(hard)
+            size += hard.nbytes
+            if size > 2 << 20:
+                yield from settled(groups(crowded))
+                crowded, size = [], 0
+        if rest is not None and len(rest):
+            out, hard, _ = easy(rest, False)
+            yield out
+            crowded.append(hard)
+        if any(len(t) for t in crowded):
+            yield from settled(groups(crowded))
+
+    def groups(tables: list[pa.Table]) -> list[list[tuple[bytes, np.ndarray]]]:
+        out: list[list[tuple[bytes, list[np.ndarray]]]] = []
+        now, piece = None, None
+        for table in tables:
+            for key, p, found in zip(*(table.column(i).to_pylist() for i in (0, 2, 4)), strict=True):
                 if key != now:
-                    if held > 4 << 20:
-                        yield from settled(close())
-                        done, held = [], 0
-                    done.append([])
+                    out.append([])
                     now, piece = key, None
-                if p == piece:
-                    done[-1][-1][1].append(o)
-                else:
-                    done[-1].append((p, [o]))
-                piece = p
-                held += len(p) + len(found)
-            if alone:
-                yield from stretches([o for o, _ in alone], [x for _, x in alone])
-        if done:
-            yield from settled(close())
+                if p != piece:
+                    out[-1].append((p, []))
+                    piece = p
+                out[-1][-1][1].append(np.frombuffer(found, OCCURRENCE))
+        return [[(p, np.concatenate(o)) for p, o in g] for g in out]
 
     return pieces.repartition(partitions, "key").sortWithinPartitions("single", "key", "piece", "least").mapInArrow(run, LOST)
 
 
-def lost_spans(docs: DataFrame) -> DataFrame:
+def lost_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, text and ``lost``, the (start, end) of its removed bytes, merged and ascending."""
     # the tag tells different texts of one doc_id apart
     tag = F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
@@ -382,16 +428,18 @@ def lost_spans(docs: DataFrame) -> DataFrame:
     digests = rows.where("doc IS NOT NULL").select("doc", "tag", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
     copies = stored(digests.join(firsts, "digest").where("doc > first").select("doc", "tag").distinct())
-    known = rows.join(copies, ["doc", "tag"], "left_anti").where("doc IS NOT NULL")
-    shared = _shared_keys(_keys_by_bucket(known, buckets), partitions)
+    base = rows.where("doc IS NOT NULL")
+    known = base.join(copies, ["doc", "tag"], "left_anti")
+    shared = _shared_keys(_keys_by_bucket(known, buckets), partitions, hot)
     shared = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("keys", "hot")).alias("shared"))
-    lost = _lost(_pieces(known.join(shared, ["doc", "tag"])), partitions)
+    lost = _lost(_pieces(base.join(shared, ["doc", "tag"])), partitions)
     lost = lost.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("found"))
     size = F.octet_length("text")
     spans = "array<struct<start:int,end:int>>"
     all_of_it = F.when(size >= LENGTH, F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))).otherwise(F.array().cast(spans))
-    whole = rows.join(lost, ["doc", "tag"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "tag"], "left")
-    return whole.select(F.col("doc").alias("doc_id"), "text", F.when(F.col("copy"), all_of_it).otherwise(F.coalesce(merged(F.col("found")), F.array().cast(spans))).alias("lost"))
+    whole = base.join(lost, ["doc", "tag"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "tag"], "left")
+    told = whole.select(F.col("doc").alias("doc_id"), "text", F.when(F.col("copy"), all_of_it).otherwise(F.coalesce(merged(F.col("found")), F.array().cast(spans))).alias("lost"))
+    return told.unionByName(rows.where("doc IS NULL").select(F.col("doc").alias("doc_id"), "text", F.array().cast(spans).alias("lost")))
 
 
 def merged(spans):
