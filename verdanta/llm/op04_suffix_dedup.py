@@ -38,7 +38,7 @@ from .texts import flat, slices
 from .words import VALUE, hashes, mix
 
 LENGTH, GRAM = 50, 20
-STEP_BYTES = 1 << 21
+STEP_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 RUN = 32
 HOT = 2000
 PIECES, LEVELS = 16, 4
@@ -102,7 +102,7 @@ def _keys_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, _, data, offsets in slices(batch.column(2), 2 * STEP_BYTES):
+            for first, _, data, offsets in slices(batch.column(2), SLICE_BYTES):
                 found = [(keys, row) for keys, row, _, _ in key_runs(data, offsets)]
                 if not found:
                     continue
@@ -183,7 +183,7 @@ def _pieces(texts: DataFrame) -> DataFrame:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             shared = batch.column(3).to_pylist()
-            for first, end, data, offsets in slices(batch.column(2), 2 * STEP_BYTES):
+            for first, end, data, offsets in slices(batch.column(2), SLICE_BYTES):
                 wanted, flags, of = [], [], []
                 for k in range(first, end):
                     for part in shared[k]:
