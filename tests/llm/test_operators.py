@@ -1,0 +1,296 @@
+"""The numbered operators against brute force, and on nulls, empty and long texts, ties, repeated rows and empty tables."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from verdanta.llm import op01_chat_windows as chat
+from verdanta.llm import op02_warc_archive as warc
+from verdanta.llm import op03_product_quantization as quantized
+from verdanta.llm import op04_suffix_dedup as suffixes
+from verdanta.llm import op05_byte_cnn_quality as cnn
+from verdanta.llm import op06_minhash_hamming as minhash
+from verdanta.llm import op07_bestfit_packing as packing
+from verdanta.llm import op08_url_rules as urls
+from verdanta.llm import op09_order_minhash as order_minhash
+from verdanta.llm import op10_chunk_reuse_bpe as bpe
+from verdanta.llm import queries
+from verdanta.llm.components import components
+from verdanta.llm.lyndon import suffix_arrays
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string"
+
+
+def sha(b):
+    return hashlib.sha256(b).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
+
+
+def odd_documents(spark):
+    """Nulls, empty and long texts, ties, repeated rows, a null id and an extra column."""
+    long = " ".join(f"word{i % 701} of{i}" for i in range(30_000))
+    rows = [(1, None, "x"), (2, "", "x"), (3, long, "x"), (4, long, None), (5, "one", "x"), (5, "one", "x"), (6, "  \n\t", "x"), (None, "lost id here and there", "x"), (7, "é" * 80 + "z" * 300, "x"), (8, long[1000:2000] + "tail", "x"), (9, "z" * 200, "x")]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def components_of(ids, links):
+    least = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            changed |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    return least
+
+
+def test_components(spark):
+    rng = np.random.default_rng(0)
+    links = [tuple(map(int, rng.integers(0, 300, 2))) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = components_of({x for e in links for x in e}, links)
+    assert got == {i: c for i, c in want.items() if c != i}
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "system", "be [brief] ~0"), (1, 1, "user", chat.CLOSE + "</s>"), (1, 2, "assistant", "a " * 600), (1, 3, "user", None), (1, 4, "assistant", "x~1<y"), (2, 0, "user", ""), (None, 0, "assistant", "n"), (3, 1, "assistant", "same"), (3, 1, "assistant", "same")]
+    got = {r["conv_id"]: r for r in chat.conversation_digests(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 64, 16)).collect()}
+    for conv in (1, 2, 3, None):
+        mine = [(r, t or "") for c, _, r, t in rows if c == conv]
+        loss = "".join(t for r, t in mine if r == "assistant")
+        assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(mine), sha("".join(f"{r}\n{t}\n" for r, t in mine).encode()), len(loss), sha(loss.encode()))
+    assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
+
+
+def test_chat_query_on_all_conversations(spark):
+    got = {r["conv_id"]: r for r in queries.op1_chat_formatting(spark, DATA).collect()}
+    turns = spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn").collect()
+    assert got[-7]["loss_chars"] == len(queries.CONTROL_TEXT)
+    for conv in {t["conv_id"] for t in turns}:
+        mine = [t for t in turns if t["conv_id"] == conv]
+        assert got[conv]["turns_sha256"] == sha("".join(f"{t['role']}\n{t['text'] or ''}\n" for t in mine).encode())
+
+
+def test_warc_records(spark, tmp_path):
+    body = "b" * 100
+    pages = spark.createDataFrame([(3, "http://a/\r\nX: y", body), (1, None, body), (2, "u", "short"), (4, "u", "short"), (5, "u", None), (None, "u", "n" * 200)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in warc.read_archive(spark, warc.write_archive(pages, str(tmp_path / "a"))).collect()}
+    assert (got[3]["record_type"], got[3]["refers_to"], got[1]["record_type"]) == ("revisit", 1, "response")
+    assert got[4]["record_type"] == "response" and bytes(got[5]["payload"]) == b"" and got[None]["record_type"] == "response"
+    head, _, rest = bytes(got[1]["record"]).partition(b"\r\n\r\n")
+    assert rest == body.encode() + b"\r\n\r\n" and f"Content-Length: {len(body)}".encode() in head
+    assert warc.read_archive(spark, warc.write_archive(pages.limit(0), str(tmp_path / "b"))).count() == 0
+
+
+def test_quantisation_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(0, 1, (60, 16))
+    x = np.concatenate([base, base[:20] + rng.normal(0, 0.12, (20, 16)), base[:5], rng.normal(0, 1, (900, 16))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [1.0] * 3), (None, x[0].tolist())]
+    got = {r["vec_id"]: r for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95) & ~np.eye(len(x), dtype=bool)
+    found = sum(got[i]["n_links"] for i in range(len(x)))
+    assert found <= links.sum() and found >= 0.98 * links.sum() > 0
+    want = components_of(range(len(x)), list(zip(*map(list, np.nonzero(links)), strict=True)))
+    assert np.mean([got[i]["component_id"] == want[i] for i in want]) > 0.98
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (2000, 2001, 2002, 2003, None))
+    assert quantized.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(1)
+    strings = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 40)).tolist() for _ in range(400)]
+    symbols = np.array([s for t in strings for s in [*(x + 1 for x in t), 0]], np.int16)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in strings)]).astype(np.int32)
+    order = suffix_arrays(symbols, bounds)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        t = symbols[a:b].tolist()
+        assert (order[a:b] - a).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+def brute_repeats(rows):
+    first, out = {}, []
+    for doc, text in sorted(rows, key=lambda r: r[0]):
+        b = (text or "").encode()
+        for s in range(len(b) - 49):
+            first.setdefault(b[s : s + 50], doc)
+    for doc, text in rows:
+        b = (text or "").encode()
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 49):
+            if first[b[s : s + 50]] < doc:
+                gone[s : s + 50] = True
+        out.append((doc, len(b), int(gone.sum()), int((gone & ~np.append(False, gone[:-1])[: len(gone)]).sum()), sha(np.frombuffer(b, np.uint8)[~gone].tobytes())))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [2, suffixes.HOT])
+def test_repeats_against_brute_force(spark, documents, hot):
+    docs = spark.createDataFrame(documents)
+    got = sorted(tuple(r) for r in suffixes.kept_digests(suffixes.lost_spans(docs, hot)).collect())
+    assert got == brute_repeats(list(documents.itertuples(index=False, name=None)))
+
+
+def test_repeats_in_odd_documents(spark):
+    docs = odd_documents(spark)
+    got = [tuple(r) for r in suffixes.kept_digests(suffixes.lost_spans(docs)).collect()]
+    want = brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None])
+    assert sorted(r for r in got if r[0] is not None) == want
+    assert [r[2] for r in got if r[0] is None] == [0]
+    left = {r["doc_id"]: r for r in suffixes.without_repeats(docs).collect()}
+    assert left[4]["text"] == "" and left[1]["text"] is None and left[3]["lang"] == "x"
+    assert suffixes.lost_spans(empty(spark)).count() == 0
+
+
+def test_quality_on_held_out_rows(spark):
+    got = queries.op5_byte_cnn_quality(spark, "/root/testdata/sf0.01").toPandas()
+    assert (got["held_out"] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in got["doc_id"]]).all()
+    m = got.merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
+    m = m[m["held_out"]]
+    assert (m["predicted"] == m["quality"]).mean() > 0.93
+
+
+def test_quality_of_odd_documents(spark):
+    docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1), (2, None), (99, 0)], "doc_id long, quality int")
+    got = cnn.classify(docs, cnn.train(docs, labels)).collect()
+    assert len(got) == 11 and all(0 <= r["score"] <= 1 for r in got)
+    assert cnn.classify(empty(spark), cnn.train(empty(spark), labels.limit(0))).count() == 0
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
+
+
+def brute_near(rows):
+    sets = {}
+    for doc, text in rows:
+        sets[doc] = shingles(text)
+    ids = sorted(sets)
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    return sets, components_of(ids, links)
+
+
+def test_near_duplicates_against_brute_force(spark, documents):
+    sets, want = brute_near(documents.itertuples(index=False, name=None))
+    got = minhash.near_duplicates(spark.createDataFrame(documents)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == {i: (len(sets[i]), c, c == i) for i, c in want.items()}
+
+
+def test_near_duplicates_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    got = minhash.near_duplicates(docs.where("doc_id IS NOT NULL")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9} and len(got) == 10
+    assert minhash.near_duplicates(empty(spark)).count() == 0
+
+
+def checked_packing(rows, ids_of):
+    by_seq = {}
+    for r in rows:
+        ids = ids_of[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by_seq.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    return len(by_seq)
+
+
+def test_packing_is_gapless_and_tight(spark, documents):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    rows = packing.pack(spark.createDataFrame(documents), path).collect()
+    ids_of = {d: [*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t in documents.itertuples(index=False, name=None)}
+    n = checked_packing(rows, ids_of)
+    assert sum(r["length"] for r in rows) == sum(map(len, ids_of.values()))
+    assert n <= 1.05 * -(-sum(map(len, ids_of.values())) // packing.CAPACITY) + 1
+    odd = packing.pack(odd_documents(spark), path).collect()
+    assert sum(r["start"] == 0 for r in odd) == 11
+    assert packing.pack(empty(spark), path).count() == 0
+
+
+def test_url_rules(spark):
+    rows = [(1, "http://A.Example.com/en/7x?q"), (2, "https://example.com/en/8"), (3, "no scheme"), (4, None), (5, "x://sub.example.net/de/8#f"), (6, "x://net/de/"), (7, "x://notcom/en/"), (7, "x://notcom/en/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"], r["more"]) for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string").withColumn("more", F.lit(1)), queries.URL_RULES).collect()}
+    assert got == {1: ("example.com/en/7", "allow", 1), 2: ("com/en/", "block", 1), 3: (None, "allow", 1), 4: (None, "allow", 1), 5: ("example.net/de/8", "block", 1), 6: ("net/de/", "allow", 1), 7: (None, "allow", 1)}
+    with pytest.raises(ValueError):
+        urls.build_trie([("maybe", "a", "/")])
+
+
+def test_order_minhash(spark, documents):
+    got = order_minhash.fingerprints(spark.createDataFrame(documents)).toPandas().sort_values("doc_id")
+    texts = [t or "" for t in documents["text"]]
+    edited = [a[: len(a) - len(a) // 2] + b[: len(a) // 2] for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    assert got["edited_sha256"].tolist() == [sha(t.encode()) for t in edited] and got["n_chars"].tolist() == [len(t) for t in texts]
+    joined = got.merge(documents, on="doc_id")
+    assert joined.groupby("text")["fingerprint"].nunique().max() == 1
+    assert got["near_edited"].mean() > 5 * got["near_next"].mean() + 0.05
+
+
+def test_order_minhash_of_odd_documents(spark):
+    got = order_minhash.fingerprints(odd_documents(spark)).collect()
+    assert len(got) == 11 and all(0 <= r["near_edited"] <= 1 for r in got)
+    assert [r["near_edited"] for r in got if r["doc_id"] in (1, 2)] == [1.0, 1.0]
+    assert order_minhash.fingerprints(empty(spark)).count() == 0
+    swapped = spark.createDataFrame([(1, "a1 b2 c3 d4 e5"), (2, "d4 e5 a1 b2 c3")], "doc_id long, text string")
+    assert order_minhash.fingerprints(swapped).collect()[0]["near_next"] < 1
+
+
+def test_bpe_agrees_with_the_library(spark, documents):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    rows = [*documents.itertuples(index=False, name=None), *((-100 - k, r["text"]) for k, r in enumerate(odd_documents(spark).collect())), (-1, "a <|endoftext|> b"), (-2, "日本 語\u00a0x  y 🙂 's")]
+    got = {r["doc_id"]: r for r in bpe.encoding_digests(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    for doc, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert (got[doc]["n_tokens"], got[doc]["ids_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
+        assert got[doc]["decoded_sha256"] == sha(library.decode(ids, skip_special_tokens=False).encode())
+
+
+def test_pipeline_stage_by_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    columns = docs.columns
+    scored = corpus_pipeline.cnn.classify(docs, corpus_pipeline.cnn.train(docs, queries.table(spark, DATA, "labels")))
+    good = {r["doc_id"] for r in scored.where("predicted = 1").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["byte_cnn_quality"](spark, docs, DATA).persist()
+    assert {r["doc_id"] for r in first.collect()} == good and first.columns == columns
+    _, want = brute_near([(r["doc_id"], r["text"]) for r in first.collect()])
+    second = stages["minhash_hamming"](spark, first, DATA).persist()
+    assert {r["doc_id"] for r in second.collect()} == {i for i, c in want.items() if i == c} and second.columns == columns
+    third = stages["suffix_dedup"](spark, second, DATA).persist()
+    sizes = {r[0]: r[1] - r[2] for r in brute_repeats([(r["doc_id"], r["text"]) for r in second.collect()])}
+    assert third.columns == columns and all(sizes[r["doc_id"]] - 8 * 50 <= len(r["text"].encode()) <= sizes[r["doc_id"]] for r in third.collect())
+    assert {r["doc_id"] for r in stages["bestfit_packing"](spark, third, DATA).collect()} == {r["doc_id"] for r in third.collect()}
+
+
+def test_no_sql_oracle_is_missing_a_query():
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
