@@ -29,7 +29,7 @@ from .texts import slices
 from .wordpieces import byte_of_symbol
 
 CHUNK_BITS = 9
-KEPT_BYTES = 32 << 20
+KEPT_BYTES = 8 << 20
 GEAR = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: pre-tokens of byte-level BPE: fixed values of the vocabulary
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

@@ -12,7 +12,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 WORD_END = b"\xff"
 
 
