@@ -179,3 +179,13 @@ def test_windows_agree_on_stream_and_table(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows").collect())) == want
+
+
+def test_array_change_vectors_agree_with_columns(spark):
+    rows = [([0.0] * 9, [0.0] * 8 + [float(i)]) for i in range(4)] + [([1.0, None, 3.0], [2.0, 5.0]), (None, [1.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    got = change.array_change_vectors(df, "a", "b").collect()
+    wide = df.select(*[F.get(c, F.lit(i)).alias(f"{c}{i}") for c in "ab" for i in range(9)])
+    want = change.change_vectors(wide, [f"a{i}" for i in range(9)], [f"b{i}" for i in range(9)]).collect()
+    assert [r["magnitude"] for r in got] == [0, 1, 2, 3, 1, 0] == [r["magnitude"] for r in want]
+    assert [(r["threshold"], r["changed"]) for r in got] == [(r["threshold"], r["changed"]) for r in want]

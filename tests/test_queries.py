@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -42,3 +43,12 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() == 16
     assert set(catalogue.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_cva_nd_covers_all_elements(spark):
+    e = pd.read_parquet(f"{DATA}/embeddings.parquet").set_index("vec_id")["embedding"].map(lambda v: np.array(v, float)).to_dict()
+    want = {i // 2: np.sqrt(((e[i + 1] - e[i]) ** 2).sum()) if i + 1 in e else 0.0 for i in sorted(e) if i % 2 == 0}
+    limit = np.mean(list(want.values())) + 1.5 * np.std(list(want.values()))
+    got = {r["pair"]: r for r in catalogue.QUERIES["cva_nd"](spark, DATA).collect()}
+    assert {len(v) for v in e.values()} == {64} and set(got) == set(want)
+    assert all(abs(got[p]["magnitude"] - m) < 1e-5 and got[p]["changed"] == (m > limit) and got[p]["change_type"] == 0 for p, m in want.items())

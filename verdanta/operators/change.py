@@ -44,6 +44,12 @@ def difference(pairs: DataFrame, k: float = 1.5) -> DataFrame:
     return out.withColumns({"gain": gain, "loss": loss}).withColumn("no_change", F.col("delta").isNotNull() & ~F.col("gain") & ~F.col("loss"))
 
 
+def _exceeding(df: DataFrame, k: float) -> DataFrame:
+    """``df`` with threshold, k population deviations of the magnitude above its mean, and changed."""
+    limit = df.agg((F.avg("magnitude") + F.lit(k) * F.stddev_pop("magnitude")).alias("threshold"))
+    return df.crossJoin(F.broadcast(limit)).withColumn("changed", F.coalesce(F.col("magnitude") > F.col("threshold"), F.lit(False)))
+
+
 def change_vectors(df: DataFrame, before: list[str], after: list[str], k: float = 1.5, nodata: str = "zero") -> DataFrame:
     """``df`` with magnitude, threshold, changed, direction and change_type.
 
@@ -61,10 +67,7 @@ def change_vectors(df: DataFrame, before: list[str], after: list[str], k: float
     total = F.lit(0.0)
     for d in deltas:
         total = total + F.coalesce(d * d, F.lit(0.0))
-    magnitude = F.sqrt(total) if nodata == "zero" else F.when(known, F.sqrt(total))
-    out = df.withColumn("magnitude", magnitude)
-    limit = out.agg((F.avg("magnitude") + F.lit(k) * F.stddev_pop("magnitude")).alias("threshold"))
-    out = out.crossJoin(F.broadcast(limit)).withColumn("changed", F.coalesce(F.col("magnitude") > F.col("threshold"), F.lit(False)))
+    out = _exceeding(df.withColumn("magnitude", F.sqrt(total) if nodata == "zero" else F.when(known, F.sqrt(total))), k)
     if len(deltas) != 2:
         return out.withColumns({"direction": F.lit(None).cast("double"), "change_type": F.lit(0)})
     d0, d1 = deltas
@@ -72,6 +75,16 @@ def change_vectors(df: DataFrame, before: list[str], after: list[str], k: float
     return out.withColumns({"direction": F.degrees(F.atan2(d0, d1)), "change_type": kind})
 
 
+def array_change_vectors(df: DataFrame, before: str, after: str, k: float = 1.5) -> DataFrame:
+    """``df`` with magnitude, threshold, changed and change_type 0, over all elements of two array columns.
+
+    An unknown difference counts as 0, also where an array is missing or the shorter one.
+    """
+    squares = F.zip_with(before, after, lambda a, b: F.coalesce(F.pow(b.cast("double") - a.cast("double"), 2), F.lit(0.0)))
+    total = F.coalesce(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x), F.lit(0.0))
+    return _exceeding(df.withColumn("magnitude", F.sqrt(total)), k).withColumn("change_type", F.lit(0))
+
+
 def transitions(classes: DataFrame, pixel_area: float = 100.0) -> DataFrame:
     """All 16 (c1, c2) with pixel counts and hectares, of pairs that are both known; absent ones are 0."""
     spark = classes.sparkSession

@@ -225,7 +225,7 @@ def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register(
     "cva_nd",
-    lambda spark, d: ch.change_vectors(embedding_pairs(spark, d).select("pair", *[F.get("a", F.lit(i)).cast("double").alias(f"a{i}") for i in range(8)], *[F.get("b", F.lit(i)).cast("double").alias(f"b{i}") for i in range(8)]), [f"a{i}" for i in range(8)], [f"b{i}" for i in range(8)]).select("pair", F.round("magnitude", 6).alias("magnitude"), "changed", "change_type"),
+    lambda spark, d: ch.array_change_vectors(embedding_pairs(spark, d), "a", "b").select("pair", F.round("magnitude", 6).alias("magnitude"), "changed", "change_type"),
     f"""WITH e AS (SELECT vec_id // 2 AS pair, any_value(embedding) FILTER (WHERE vec_id % 2 = 0) AS a, any_value(embedding) FILTER (WHERE vec_id % 2 = 1) AS b FROM embeddings GROUP BY 1),
     m AS (SELECT pair, sqrt({' + '.join(f'coalesce((b[{i}]::DOUBLE - a[{i}]::DOUBLE) * (b[{i}]::DOUBLE - a[{i}]::DOUBLE), 0::DOUBLE)' for i in range(1, 9))}) AS mag FROM e), lim AS (SELECT avg(mag) + 1.5::DOUBLE * stddev_pop(mag) AS t FROM m)
     SELECT pair, round(mag, 6) AS magnitude, mag > t AS changed, 0 AS change_type FROM m CROSS JOIN lim""",
