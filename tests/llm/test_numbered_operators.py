@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from verdanta.llm import op10_chunk_reuse_bpe as bpe
 from verdanta.llm import queries
 from verdanta.llm.components import components
 from verdanta.llm.lyndon import suffix_arrays
+from verdanta.llm.shingles import row_sets
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string"
@@ -199,6 +201,24 @@ def test_near_duplicates_of_odd_documents(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_shingles_of_short_slices():
+    words = ["a", "b", "c", "d", "e", "f"]
+    for n in range(7):
+        text = " ".join(words[:n])
+        (alone,) = row_sets(pa.array([text]))
+        (beside, _) = row_sets(pa.array([text, "g h i j k l m n"]))
+        assert len(alone) == len(shingles(text)) and alone.tolist() == beside.tolist()
+    long = " ".join(f"word{i}" for i in range(150_000))
+    assert len(long) > 1 << 20
+    assert [len(s) for s in row_sets(pa.array([long, "a b", long]))] == [149_996, 1, 149_996]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4])
+def test_near_duplicates_of_one_short_row(spark, n):
+    docs = spark.createDataFrame([(7, " ".join("abcd"[:n]))], "doc_id long, text string")
+    assert [tuple(r) for r in minhash.near_duplicates(docs).collect()] == [(7, 1, 7, True)]
+
+
 def checked_packing(rows, ids_of):
     by_seq = {}
     for r in rows:

@@ -24,7 +24,7 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[np.ndarray,
         count = np.diff(upto)
         rolled = np.zeros(len(words), np.uint64)
         for j, f in enumerate(factors):
-            rolled[: len(words) - j] += words[j:] * f
+            rolled[: max(len(words) - j, 0)] += words[j:] * f
         rows = np.repeat(np.arange(len(count)), count)
         full = np.arange(len(words)) + size <= upto[1:][rows]
         for r in np.flatnonzero((count > 0) & (count < size)):
