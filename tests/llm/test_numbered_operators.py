@@ -219,6 +219,25 @@ def test_near_duplicates_of_one_short_row(spark, n):
     assert [tuple(r) for r in minhash.near_duplicates(docs).collect()] == [(7, 1, 7, True)]
 
 
+def test_near_duplicates_beyond_the_cap_of_partners(spark, monkeypatch):
+    """The documents 2 and 5 are near copies, but each one's nearest partner in their only common buckets is another, and is already checked."""
+    slots, each = minhash.SLOTS, minhash.SLOTS // minhash.CHUNKS
+    place = np.arange(slots)
+    other, same = (place >= each) & (place % each < 2), (place >= each) & (place < 11 * each) & (place % each >= 2)
+    two = np.arange(slots)
+    five = np.where(other, 1000 + place, two)
+    sigs = {1: np.where(place < each, two, 2000 + place), 2: two, 3: np.where(same, 3000 + place, two), 4: np.where(same, 4000 + place, five), 5: five}
+    far = lambda a, b: int((sigs[a] != sigs[b]).sum())
+    assert (far(2, 3), far(4, 5), far(2, 5)) == (20, 20, minhash.MAX_ERRORS) and min(far(1, 2), far(3, 4), far(3, 5), far(2, 4)) > minhash.MAX_ERRORS
+    copy = " ".join(f"w{i}" for i in range(100))
+    texts = {i: " ".join(f"{i}x{j}" for j in range(100)) for i in (1, 3, 4)} | {2: copy, 5: copy + " end"}
+    features = spark.createDataFrame([(i, 96, bytearray([i]), bytearray(s.astype(np.uint16).tobytes())) for i, s in sigs.items()], minhash.FEATURES)
+    monkeypatch.setattr(minhash, "document_features", lambda docs: features)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for cap in (8, 1):
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, cap).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
 def checked_packing(rows, ids_of):
     by_seq = {}
     for r in rows:

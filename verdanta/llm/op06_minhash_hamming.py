@@ -229,8 +229,8 @@ def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, partners: i
     return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, partners: int = 8) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. The first round compares ``partners`` a document and bucket."""
     features = stored(document_features(docs))
     some = features.where("n_shingles > 0")
     nodes = stored(some.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")))
@@ -246,7 +246,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nearest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))).where("nth = 1").select("a", "b")
     checked = stored(nearest)
     links = stored(_confirmed(checked, texts))
-    partners = 8
     while True:
         found = components(links)
         labels = stored(usable.select("doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")))
@@ -254,14 +253,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         at = lambda x: labels.select(F.col("doc").alias(x), F.col("component").alias(f"c{x}"))
         apart = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select("a", "b")
         fresh = stored(across.select("a", "b").unionByName(apart).distinct().join(checked, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        more = stored(_confirmed(fresh, texts))
-        links, checked = links.unionByName(more), checked.unionByName(fresh)
-        if across.where("more").isEmpty():
-            if not more.isEmpty():
+        further = not across.where("more").isEmpty()
+        if not fresh.isEmpty():
+            more = stored(_confirmed(fresh, texts))
+            links, checked = links.unionByName(more), checked.unionByName(fresh)
+            if not further and not more.isEmpty():
                 found = components(links)
+        if not further:
             break
+        # also where all offered pairs are old: what lies beyond the cap hasn't been looked at
         partners *= 8
 
     classes = nodes.select("set_key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
