@@ -114,6 +114,23 @@ def test_quantisation_against_brute_force(spark):
     assert quantized.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_quantisation_finds_all_links_of_every_length(spark):
+    """64 dimensions with few directions, so that neighbours lie straight across the lists' borders, and two rarer lengths."""
+    rng = np.random.default_rng(5)
+    flat = rng.normal(0, 1, (3000, 3)) @ rng.normal(0, 1, (3, 64)) + rng.normal(0, 0.01, (3000, 64))
+    parts = [flat, rng.normal(0, 1, (200, 3)), rng.normal(0, 1, (40, 2))]
+    rows, want, at = [], {}, 0
+    for x in (p.astype(np.float32) for p in parts):
+        rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
+        u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+        links = (u @ u.T >= quantized.COSINE) & ~np.eye(len(x), dtype=bool)
+        want |= {at + i: int(n) for i, n in enumerate(links.sum(1))}
+        at += len(x)
+    got = {r["vec_id"]: r["n_links"] for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert min(sum(want[i] for i in span) for span in (range(3000), range(3000, 3200), range(3200, 3240))) > 0
+    assert got == want
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     strings = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 40)).tolist() for _ in range(400)]

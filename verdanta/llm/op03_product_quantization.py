@@ -3,9 +3,8 @@
 Equal vectors are one node. Nodes are filed in the coarse list of their nearest centroid, with the residual
 coded in subspaces of ``SUB`` dimensions by ``CODES`` codewords each, and with the length of what the code
 leaves out. Every node is also a query in each list that a neighbour may lie in: a list is probed when the
-query lies within ``min(1, 4 / sqrt(dim))`` of the link radius beyond the plane between its own centroid and
-the list's, so that a neighbour in a direction that isn't turned against the centroids is missed about once in
-30,000. In a list, asymmetric distances come from one table per query and subspace; a member whose table
+query lies within the link radius of the plane between its own centroid and the list's, so no neighbour across
+it is missed. In a list, asymmetric distances come from one table per query and subspace; a member whose table
 distance is within the link radius plus the length its code leaves out is a candidate (no link can be lost
 here), and candidates are confirmed by the cosine in double precision.
 
@@ -16,9 +15,9 @@ proportion to its size.
 The centroids and codewords are fitted on at most ``SAMPLE`` nodes (those of the smallest hashes); every
 vector is filed and compared. Recall is measured against brute force in the tests.
 
-Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do vectors
-whose length isn't the most common one (the larger on ties) or rows with a null vec_id. Repeated rows are
-vectors of their own. Labels and extra columns are ignored. An empty table gives an empty table.
+Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows with a
+null vec_id. Vectors of different lengths don't link; those of each length are compared with a quantizer of
+their own. Repeated rows are vectors of their own. Labels and extra columns are ignored. An empty table gives an empty table.
 """
 
 from collections.abc import Iterator
@@ -108,7 +107,6 @@ def _filed(nodes: DataFrame, model: Quantizer, dtype: str, radius: float, blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, blocks = shared.value
-        margin = radius * min(1.0, 4 / model.centroids.shape[1] ** 0.5)
         for whole in batches:
             for at in range(0, len(whole), QUERIES):
                 batch = whole.slice(at, QUERIES)
@@ -125,9 +123,8 @@ def _filed(nodes: DataFrame, model: Quantizer, dtype: str, radius: float, blocks
                 lists, block, query, of = own, np.zeros(len(x), np.int64), np.zeros(len(x), bool), rows
                 if blocks is not None:
                     n = np.array([blocks.get(c, 0) for c in range(len(model.centroids))])
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        gap = (d - d[rows, own][:, None]) / (2 * model.between[own])
-                    near = (gap <= margin) & (n > 0)
+                    # the distance to the plane, times twice that of the centroids, with room for rounding
+                    near = (d - d[rows, own][:, None] <= 2 * radius * model.between[own] + 1e-9) & (n > 0)
                     near[rows, own] = True
                     q, c = np.nonzero(near)
                     times = n[c]
@@ -210,24 +207,15 @@ def _compared(filed: DataFrame, model: Quantizer, dtype: str, radius: float, cos
     return dealt.mapInArrow(run, "node long, n long, a long, b long")
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
-    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
-    double = "double" in dict(vectors.dtypes)["embedding"]
-    dtype = "<f8" if double else "<f4"
-    finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.when(usable, F.col("embedding")).alias("e"))
-    lengths = rows.where("e IS NOT NULL").groupBy(F.size("e").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).limit(1).collect()
-    if not lengths:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    rows = rows.withColumn("e", F.when(F.size("e") == lengths[0]["dim"], F.col("e")))
+def _of_one_length(rows: DataFrame, dtype: str, cosine: float) -> DataFrame:
+    """vec_id, n_links, component_id of rows (vec_id, e) whose vectors have one length."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = batch.column(1).flatten().to_numpy().astype(dtype).reshape(len(batch), -1)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["vec_id", "vec"])
 
-    vecs = stored(rows.where("e IS NOT NULL").mapInArrow(packed, "vec_id long, vec binary"))
+    vecs = stored(rows.mapInArrow(packed, "vec_id long, vec binary"))
     nodes = stored(vecs.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     sample = nodes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()
     model = fit(unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype).reshape(len(sample), -1)))
@@ -240,6 +228,17 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     classes = components(found.where("node IS NULL").select("a", "b"))
     told = nodes.join(counts, "node", "left").join(classes.withColumnRenamed("id", "rep"), "rep", "left")
     told = told.select("vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    alone = rows.where("e IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    out = vecs.join(told, "vec").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id")).unionByName(alone)
+    return vecs.join(told, "vec").select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """Per row of ``vectors`` (vec_id, embedding): vec_id, n_links, component_id, kept."""
+    double = "double" in dict(vectors.dtypes)["embedding"]
+    dtype = "<f8" if double else "<f4"
+    finite = ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda v: v != 0)
+    rows = vectors.select(F.col("vec_id").cast("long"), F.when(usable, F.col("embedding")).alias("e"))
+    out = rows.where("e IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for found in rows.where("e IS NOT NULL").select(F.size("e").alias("dim")).distinct().orderBy("dim").collect():
+        out = out.unionByName(_of_one_length(rows.where(F.size("e") == found["dim"]), dtype, cosine))
     return out.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
