@@ -236,8 +236,8 @@ def test_near_duplicates_of_one_short_row(spark, n):
     assert [tuple(r) for r in minhash.near_duplicates(docs).collect()] == [(7, 1, 7, True)]
 
 
-def test_near_duplicates_beyond_the_cap_of_partners(spark, monkeypatch):
-    """The documents 2 and 5 are near copies, but each one's nearest partner in their only common buckets is another, and is already checked."""
+def test_near_duplicates_whose_nearest_partners_are_others(spark, monkeypatch):
+    """The documents 2 and 5 are near copies, but each one's nearest partner in their only common buckets is another."""
     slots, each = minhash.SLOTS, minhash.SLOTS // minhash.CHUNKS
     place = np.arange(slots)
     other, same = (place >= each) & (place % each < 2), (place >= each) & (place < 11 * each) & (place % each >= 2)
@@ -251,8 +251,47 @@ def test_near_duplicates_beyond_the_cap_of_partners(spark, monkeypatch):
     features = spark.createDataFrame([(i, 96, bytearray([i]), bytearray(s.astype(np.uint16).tobytes())) for i, s in sigs.items()], minhash.FEATURES)
     monkeypatch.setattr(minhash, "document_features", lambda docs: features)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    for cap in (8, 1):
-        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, cap).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+    for limit in (4096, 1):
+        monkeypatch.setattr(minhash, "DOCUMENTS", limit)
+        monkeypatch.setattr(minhash, "SHINGLES", limit)
+        assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 2}
+
+
+def families(rng):
+    """A family at similarities of 0.6 to 0.74, one large group of near copies with stragglers, and chains of copies of copies."""
+    word = lambda: f"w{rng.integers(1 << 40)}"
+    words = lambda n: [word() for _ in range(n)]
+
+    def edited(text, n):
+        text = list(text)
+        for i in rng.choice(len(text), n, replace=False):
+            text[i] = word()
+        return text
+
+    core, hot, chain = words(400), words(120), words(90)
+    docs = [core + words(int(rng.integers(70, 130))) for _ in range(40)]
+    docs += [edited(hot, int(rng.integers(1, 5))) for _ in range(120)]
+    for _ in range(40):
+        chain = edited(chain, 2)
+        docs.append(chain)
+    ids = rng.permutation(len(docs))
+    return [(int(i), " ".join(d)) for i, d in zip(ids, docs, strict=True)]
+
+
+@pytest.mark.parametrize(("documents_limit", "shingles_limit"), [(4096, 1 << 20), (7, 1500)])
+def test_near_duplicates_in_families(spark, monkeypatch, documents_limit, shingles_limit):
+    rows = families(np.random.default_rng(6))
+    monkeypatch.setattr(minhash, "DOCUMENTS", documents_limit)
+    monkeypatch.setattr(minhash, "SHINGLES", shingles_limit)
+    emitted = []
+    plain = minhash._linked
+    monkeypatch.setattr(minhash, "_linked", lambda *args: emitted.append(plain(*args)) or emitted[-1])
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, want = brute_near(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == want
+    assert len(set(want.values())) < 120
+    if documents_limit > len(rows):
+        assert emitted[0].count() < len(rows)
 
 
 def checked_packing(rows, ids_of):

@@ -6,25 +6,30 @@ two signatures within ``MAX_ERRORS`` agree up to a chunk's share of errors in so
 is filed under every chunk with every allowed choice of wrong slots masked out: no pair within the threshold
 is missed. The threshold lies four standard deviations above the distance expected at a similarity of 0.75.
 
-Documents with equal shingle sets are one node. Buckets are read in key order as a stream, and give pairs of
-each document with the first and the previous one of its bucket, never all pairs. Each document's nearest of
-these partners is confirmed on the full sets first, which joins most copies; after that only pairs of
-documents that are still in different components count. In buckets with several components every such pair
-within the threshold is looked at, the nearest partners first, and confirmed, until none is left. So every
-link between components is found while a group of copies costs links in proportion to its size. A bucket of
-more than ``BLOCK`` documents is compared as pairs of blocks, in many tasks.
+Documents with equal shingle sets are one node. A bucket's size and head (the member of least hash) come from
+one aggregation that combines before its shuffle, and only buckets of two or more members go on. Each document
+is confirmed on the full sets against the nearest of its buckets' heads, which joins most copies: one pair a
+document, so a group of copies costs links in proportion to its size.
+
+What is left are pairs that share a bucket but no component. In such a bucket only the members outside its
+largest component ask, all its members answer, and a pair belongs to the first bucket that its documents
+share. ``_involved`` compares signatures and tells which documents have a pair in which bucket; ``_linked``
+brings the full shingle sets of these documents to the bucket and confirms every such pair there, until its
+two components are joined. Both emit rows in proportion to documents, never pairs. A bucket beyond ``DOCUMENTS``
+or ``SHINGLES`` is dealt out as blocks of those that ask by blocks of those that answer, in many tasks.
 
 Cases: null, empty and wordless texts have no shingles and link with nothing; a text of fewer words than a
 shingle is one shingle. Rows with one doc_id are one document, each gets its own result row. Extra columns
 are ignored. An empty table gives an empty table.
 """
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -34,7 +39,10 @@ from .words import mix
 
 SLOTS, CHUNKS, MAX_ERRORS = 64, 16, 30
 SHINGLE, PERCENT = 5, 75
-BLOCK = 20_000
+#: of a block: documents when signatures are compared, shingles when sets are
+DOCUMENTS, SHINGLES = 4096, 1 << 20
+#: bits of a row's role in a block
+ANSWERS, ASKS, MINOR = 1, 2, 4
 _RNG = np.random.Generator(np.random.PCG64(6))
 MULTIPLY = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
@@ -80,7 +88,7 @@ def keys_of(sigs: np.ndarray) -> np.ndarray:
 
 
 def document_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a key of the whole shingle set, and the signature (null without shingles)."""
+    """doc_id, n_shingles, a digest of the whole shingle set, and the signature (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,12 +97,8 @@ def document_features(docs: DataFrame) -> DataFrame:
                 n = np.diff(offsets)
                 some = np.flatnonzero(n)
                 sig = dict(zip(some.tolist(), signatures(found, np.append(offsets[some], len(found))), strict=True))
-                sums = np.zeros((2, len(found) + 1), np.uint64)
-                np.cumsum(mix(found), out=sums[0, 1:])
-                np.cumsum(mix(found ^ np.uint64(0xD6E8FEB86659FD93)), out=sums[1, 1:])
-                whole = (sums[:, offsets[1:]] - sums[:, offsets[:-1]]).T
                 counts += n.tolist()
-                keys += [row.tobytes() for row in np.ascontiguousarray(whole)]
+                keys += [hashlib.blake2b(found[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 sigs += [sig[i].tobytes() if i in sig else None for i in range(len(n))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "signature"])
 
@@ -113,31 +117,6 @@ def _filed(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc", "signature").mapInArrow(run, "key long, doc long")
 
 
-def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (key, doc) in key order: pairs with the bucket's first and the previous document, and the members of buckets of three or more."""
-    key, first, previous, place = None, 0, 0, 0
-    for batch in batches:
-        keys, docs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(keys):
-            continue
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        goes_on = key is not None and keys[0] == key
-        new[0] = not goes_on
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(keys)), -1))
-        head = np.where(begin < 0, first, docs[begin])
-        before = np.concatenate([[previous], docs[:-1]])
-        nth = np.where(begin < 0, np.arange(len(keys)) + place + 1, np.arange(len(keys)) - begin)
-        later, third, far = nth > 0, nth == 2, nth > 1
-        key, first, previous, place = keys[-1], head[-1], docs[-1], int(nth[-1])
-        a = np.concatenate([head[later], before[far], docs[far], head[third], before[third]])
-        b = np.concatenate([docs[later], docs[far], np.zeros(far.sum() + 2 * third.sum(), np.int64)])
-        pair = np.arange(len(a)) < later.sum() + far.sum()
-        of = np.concatenate([np.zeros(later.sum() + far.sum(), np.int64), keys[far], keys[third], keys[third]])
-        lo, hi = np.where(pair, np.minimum(a, b), a), np.where(pair, np.maximum(a, b), b)
-        yield pa.RecordBatch.from_arrays([pa.array(of, mask=pair), pa.array(lo), pa.array(hi, mask=~pair)], names=["key", "a", "b"])
-
-
 def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) within the signature distance and of fitting sizes, with their distance."""
     side = lambda x: nodes.select(F.col("doc").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
@@ -148,121 +127,192 @@ def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         return pa.array((x != y).sum(1).astype(np.int32))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return both.select("a", "b", distance("sa", "sb").alias("distance")).where(F.col("distance") <= MAX_ERRORS)
+    return both.select(*pairs.columns, distance("sa", "sb").alias("distance")).where(F.col("distance") <= MAX_ERRORS)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough."""
+def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, found) of the wanted documents: their distinct shingle hashes, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = row_sets(batch.column(2), SHINGLE), row_sets(batch.column(3), SHINGLE)
-            common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(left, right, strict=True)], np.int64)
-            union = np.array([len(x) + len(y) for x, y in zip(left, right, strict=True)], np.int64) - common
-            linked = pa.array(100 * common >= PERCENT * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(linked)
+            found = [x.tobytes() for x in row_sets(batch.column(1), SHINGLE)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "found"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    return texts.mapInArrow(run, "doc long, found binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough."""
 
-    side = lambda x: texts.select(F.col("doc").alias(x), F.col("text").alias(f"t{x}"))
-    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+        return pa.array(out, pa.bool_())
 
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("found").alias(f"s{x}"))
+    return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(similar("sa", "sb")).select("a", "b")
 
-def _across(members: DataFrame, labels: DataFrame, nodes: DataFrame, partners: int) -> DataFrame:
-    """(a, b, more) of pairs within the distance whose documents share a bucket but no component: each document's nearest ``partners``.
 
-    ``more`` tells that the document has further ones.
+def _dealt(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+    """``rows`` (key, doc, component, ...) of keys with several components, in blocks of about ``limit``: with m, q and role.
+
+    A member asks if it is outside the largest component of its key. Block (m, q) of a key holds the m-th share
+    of all members, which answer, and the q-th share of those that ask.
     """
-    rows = members.join(labels, "doc")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most")
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    rows = rows.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.join(nodes.select("doc", "signature"), "doc").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "component", "signature")
-
-    def compared(own: np.ndarray, docs: np.ndarray, comps: np.ndarray, sigs: np.ndarray, alone: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-        names, sizes = np.unique(comps, return_counts=True)
-        largest = names[sizes.argmax()]
-        for x in np.flatnonzero(comps != largest):
-            there = np.flatnonzero((comps != comps[x]) & (alone | (own != own[x])))
-            far = (sigs[there] != sigs[x]).sum(1)
-            near = far <= MAX_ERRORS
-            there, far = there[near], far[near]
-            more = len(there) > partners
-            if more:
-                there = there[np.argpartition(far, partners)[:partners]]
-            if len(there):
-                yield np.minimum(docs[x], docs[there]), np.maximum(docs[x], docs[there]), more
+    by = rows.groupBy("key", "component").agg(F.sum(weight).alias("w"))
+    sizes = by.groupBy("key").agg(F.sum("w").alias("all"), F.max(F.struct("w", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    share = lambda w: F.ceil(w / F.lit(limit)).cast("int")
+    sizes = sizes.select("key", F.col("most.component").alias("largest"), share(F.col("all")).alias("ms"), share(F.col("all") - F.col("most.w")).alias("qs"))
+    spread, asks = F.xxhash64("doc"), F.col("component") != F.col("largest")
+    own = lambda n: F.pmod(spread, F.col(n)).cast("int")
+    place = lambda m, q, role: F.struct(m.alias("m"), q.alias("q"), role.cast("int").alias("role"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    answers = F.when(asks, ANSWERS + MINOR).otherwise(ANSWERS)
+    alone = F.array(place(F.lit(0), F.lit(0), F.when(asks, answers + ASKS).otherwise(answers)))
+    answering = F.transform(upto("qs"), lambda q: place(own("ms"), q, answers))
+    asking = F.transform(upto("ms"), lambda m: place(m, own("qs"), F.lit(ASKS)))
+    places = F.when((F.col("ms") == 1) & (F.col("qs") == 1), alone).when(asks, F.concat(answering, asking)).otherwise(answering)
+    return rows.join(sizes, "key").withColumn("at", F.explode(places)).select(*rows.columns, F.col("at.m").alias("m"), F.col("at.q").alias("q"), F.col("at.role").alias("role"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches, which are in order of their first three columns, cut where a group ends."""
+    whole = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        group = [batch.column(i).to_numpy() for i in range(3)]
+        if rest and any(rest[-1].column(i)[-1].as_py() != x[0] for i, x in enumerate(group)):
+            yield whole(rest)
+            rest = []
+        other = np.logical_or.reduce([x != x[-1] for x in group])
+        edge = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if edge:
+            yield whole([*rest, batch.slice(0, edge)])
+            rest = []
+        rest.append(batch.slice(edge))
+    if rest:
+        yield whole(rest)
+
+
+class Bucket:
+    """One group of rows (key, m, q, role, doc, component, n, signature): the pairs that belong to its bucket."""
+
+    def __init__(self, key: int, role: np.ndarray, docs: np.ndarray, comps: np.ndarray, n: np.ndarray, sigs: np.ndarray, keys: np.ndarray):
+        self.docs, self.comps, self.n, self.sigs, self.keys = docs, comps.copy(), n, sigs, keys
+        self.asking, self.answering = np.flatnonzero(role & ASKS), np.flatnonzero(role & ANSWERS)
+        self.mask = int((keys == key).any(0).argmax())
+        self.minor = role & MINOR > 0
+
+    def partners(self, x: int) -> np.ndarray:
+        """The rows that ``x`` has to be compared with, of components that aren't joined yet."""
+        there = self.answering
+        # of two that ask, the one with the smaller doc asks
+        there = there[(self.comps[there] != self.comps[x]) & (~self.minor[there] | (self.docs[there] > self.docs[x]))]
+        there = there[100 * np.minimum(self.n[there], self.n[x]) >= PERCENT * np.maximum(self.n[there], self.n[x])]
+        there = there[(self.sigs[there] != self.sigs[x]).sum(1) <= MAX_ERRORS]
+        return there[(self.keys[there] == self.keys[x]).argmax(1) == self.mask]
+
+    def joined(self, x: int, y: int) -> None:
+        self.comps[self.comps == self.comps[y]] = self.comps[x]
+
+
+def _buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Bucket]]:
+    """The groups of a batch with where they begin and end."""
+    key, m, q, role, docs, comps, n = (batch.column(i).to_numpy() for i in range(7))
+    sigs = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(-1, SLOTS)
+    keys = keys_of(sigs).view(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (m[1:] != m[:-1]) | (q[1:] != q[:-1])]))
+    for s, e in zip(new.tolist(), [*new[1:].tolist(), len(key)], strict=True):
+        if e - s > 1:
+            yield s, e, Bucket(key[s], role[s:e], docs[s:e], comps[s:e], n[s:e], sigs[s:e], keys[s:e])
+
+
+GROUPED = ["key", "m", "q", "role", "doc", "component", "n_shingles", "signature"]
+
+
+def _involved(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, doc) of documents that have a pair to confirm in a bucket; members: key, doc, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            yield from groups(rest, False)
-            rest = rest.slice(edge(rest))
-        if rest is not None:
-            yield from groups(rest, True)
-
-    def edge(table: pa.Table) -> int:
-        """Where the last group begins."""
-        if not len(table):
-            return 0
-        k, i, j = (table.column(c).to_numpy() for c in range(3))
-        return int(len(k) - np.argmin(((k == k[-1]) & (i == i[-1]) & (j == j[-1]))[::-1])) if not ((k == k[-1]) & (i == i[-1]) & (j == j[-1])).all() else 0
-
-    def groups(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
-        table = table if last else table.slice(0, edge(table))
-        if not len(table):
-            return
-        k, i, j, own, docs, comps = (table.column(c).to_numpy() for c in range(6))
-        sigs = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint16).reshape(-1, SLOTS)
-        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-        out: list[tuple] = []
-        for s, e in zip(new, [*new[1:], len(k)], strict=True):
-            if e - s > 1:
-                out += compared(own[s:e], docs[s:e], comps[s:e], sigs[s:e], i[s] == j[s])
-        if out:
-            more = np.concatenate([np.full(len(a), m) for a, _, m in out])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a for a, _, _ in out])), pa.array(np.concatenate([b for _, b, _ in out])), pa.array(more)], names=["a", "b", "more"])
-
-    # a key's blocks are dealt out by all three columns, so a hot key's pairs of blocks go to many tasks
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
-
-
-def near_duplicates(docs: DataFrame, partners: int = 8) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. The first round compares ``partners`` a document and bucket."""
+        for whole in _blocks(batches):
+            keys, docs = [], []
+            for s, _, bucket in _buckets(whole):
+                some = np.zeros(len(bucket.docs), bool)
+                for x in bucket.asking:
+                    there = bucket.partners(x)
+                    some[there] = True
+                    some[x] |= len(there) > 0
+                if some.any():
+                    docs.append(np.unique(bucket.docs[some]))
+                    keys.append(np.full(len(docs[-1]), whole.column(0)[s].as_py()))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
+
+    rows = _dealt(members, F.lit(1), DOCUMENTS).join(nodes.select("doc", "n_shingles", "signature"), "doc").select(*GROUPED)
+    return rows.repartition("key", "m", "q").sortWithinPartitions("key", "m", "q").mapInArrow(run, "key long, doc long").distinct()
+
+
+def _linked(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join the components of members (key, doc, component) wherever a pair of a bucket is similar enough."""
+
+    def links(bucket: Bucket, found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for x in found])
+        begin = np.cumsum(sizes) - sizes
+        _, code = np.unique(np.concatenate(found), return_inverse=True)
+        own = np.zeros(code.max() + 1, bool)
+        for x in bucket.asking:
+            there = bucket.partners(x)
+            if not len(there):
+                continue
+            mine = code[begin[x] : begin[x] + sizes[x]]
+            own[mine] = True
+            upto = np.cumsum(sizes[there])
+            at = np.repeat(begin[there] - (upto - sizes[there]), sizes[there]) + np.arange(upto[-1])
+            common = np.add.reduceat(own[code[at]].astype(np.int64), upto - sizes[there])
+            own[mine] = False
+            for y in there[100 * common >= PERCENT * (sizes[x] + sizes[there] - common)]:
+                if bucket.comps[y] != bucket.comps[x]:
+                    yield int(bucket.docs[x]), int(bucket.docs[y])
+                    bucket.joined(x, y)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _blocks(batches):
+            out = [pair for s, e, bucket in _buckets(whole) for pair in links(bucket, [np.frombuffer(x.as_buffer(), np.uint64) for x in whole.column(8).slice(s, e - s)])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    rows = _dealt(members.join(nodes, "doc").select("key", "doc", "component", "n_shingles", "signature"), F.col("n_shingles"), SHINGLES)
+    rows = rows.join(sets, "doc").select(*GROUPED, "found")
+    return rows.repartition("key", "m", "q").sortWithinPartitions("key", "m", "q").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     features = stored(document_features(docs))
     some = features.where("n_shingles > 0")
     nodes = stored(some.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("doc"), F.min("signature").alias("signature")))
-    usable = nodes.where("doc IS NOT NULL")
-    filed = stored(_filed(usable).repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_streamed, "key long, a long, b long"))
-    members = filed.where("key IS NOT NULL").select("key", F.col("a").alias("doc"))
-    pairs = stored(_near(filed.where("key IS NULL AND a <> b").select("a", "b").distinct(), usable))
-
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(members.select("doc")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi"))
-
-    # each document's nearest partner first
-    nearest = pairs.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy("distance", "a"))).where("nth = 1").select("a", "b")
-    checked = stored(nearest)
-    links = stored(_confirmed(checked, texts))
-    while True:
-        found = components(links)
-        labels = stored(usable.select("doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("component")))
-        across = stored(_across(members, labels, usable, partners))
-        at = lambda x: labels.select(F.col("doc").alias(x), F.col("component").alias(f"c{x}"))
-        apart = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").where("ca <> cb").select("a", "b")
-        fresh = stored(across.select("a", "b").unionByName(apart).distinct().join(checked, ["a", "b"], "left_anti"))
-        further = not across.where("more").isEmpty()
-        if not fresh.isEmpty():
-            more = stored(_confirmed(fresh, texts))
-            links, checked = links.unionByName(more), checked.unionByName(fresh)
-            if not further and not more.isEmpty():
-                found = components(links)
-        if not further:
-            break
-        # also where all offered pairs are old: what lies beyond the cap hasn't been looked at
-        partners *= 8
+    usable = nodes.where("doc IS NOT NULL").select("doc", "n_shingles", "signature")
+    filed = _filed(usable)
+    heads = filed.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stored(filed.join(heads, "key"))
+    sets = stored(_shingled(docs, members.select("doc").distinct()))
+
+    # each document's nearest head first
+    pairs = members.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), "doc").distinct()
+    near = _near(pairs, usable)
+    nearest = near.groupBy("doc").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    found = components(_confirmed(nearest, sets))
+    labels = members.select("key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left")
+    labelled = stored(labels.select("key", "doc", F.coalesce("component", "doc").alias("component")))
+    involved = stored(_involved(labelled, usable).join(labelled, ["key", "doc"]))
+    found = components(found.toDF("a", "b").unionByName(_linked(involved, usable, sets)))
 
     classes = nodes.select("set_key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")
