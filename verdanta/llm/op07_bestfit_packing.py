@@ -8,8 +8,8 @@ go, the longest first, to the sequence with the least gap that holds them, and o
 The plan is made from the number of pieces of each length, which is at most ``capacity`` numbers however many
 documents there are; equal lengths and equal gaps are handled as runs. It is a list of runs: the pieces of one
 length with ranks from a to b go to consecutive sequences at one offset. Every piece gets its rank within its
-length from counts by (length, salt), so that a length which a third of all pieces has is ranked by many
-tasks, and looks its run up in the plan.
+length, where a length of many pieces is dealt to shares of about ``SHARE`` pieces that are ranked apart and
+follow each other by their counts, and looks its run up in the plan.
 
 Cases: a null or empty text is its end id alone; repeated rows are packed one by one; equal lengths are taken
 in any order. Extra columns are ignored. An empty table gives no pieces.
@@ -31,38 +31,48 @@ from .words import hashes, spans
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SALTS = 64
+SHARE = 1 << 16
 _ENCODERS: dict[str, WordPieces] = {}
 
 
 def encoder(path: str) -> WordPieces:
-    """The worker's encoder, which keeps the words it has seen."""
+    """The worker's encoder, which keeps words that it has seen of late."""
     if path not in _ENCODERS:
         _ENCODERS[path] = WordPieces(path)
     return _ENCODERS[path]
 
 
-def token_ids(column: pa.Array, path: str, end_id: int = END_ID) -> Iterator[np.ndarray]:
-    """The ids of each text of an Arrow column, the end id last."""
+def coded(column: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, ids, offsets) of slices of an Arrow column of texts: each text's ids, the end id last."""
     words = encoder(path)
-    for _, _, data, offsets in slices(column):
+    for first, end, data, offsets in slices(column):
         starts, ends, upto = spans(data, offsets)
         ids, n = words.encode(data, starts, ends, hashes(data, starts, ends))
         edge = np.concatenate([[0], np.cumsum(n)])[upto]
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            yield np.append(ids[a:b], np.uint32(end_id))
+        edge += np.arange(len(edge))  # each text's end id comes on top
+        out = np.full(edge[-1], end_id, np.uint32)
+        own = np.ones(len(out), bool)
+        own[edge[1:] - 1] = False
+        out[own] = ids
+        yield first, end, out, edge
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1), tokenizer, end_id), strict=True):
-                rows += [(doc, k, a, min(capacity, len(ids) - a), zlib.crc32(ids[a : a + capacity].astype("<u4").tobytes())) for k, a in enumerate(range(0, len(ids), capacity))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, schema.types, strict=True)], schema=schema)
+            for first, end, ids, edge in coded(batch.column(1), tokenizer, end_id):
+                sizes = np.diff(edge)
+                n = -(-sizes // capacity)
+                of = np.repeat(np.arange(len(n)), n)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(sizes[of] - start, capacity)
+                raw, at = memoryview(ids.astype("<u4").view(np.uint8)), 4 * (edge[of] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                doc = batch.column(0).slice(first, end - first).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([doc, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=[c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
 
@@ -141,42 +151,53 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
             first, m = ranges[gap].pop()
             if not ranges[gap]:
                 del ranges[gap], gaps[i]
-            k = min(n, m)
-            if k < m:
-                leave(gap, first + k, m - k)
-            place(length, k, first, capacity - gap)
-            leave(gap - length, first, k)
-            n -= k
+            # what one piece leaves is the least gap for the next one, so a sequence is filled before another is taken
+            each = gap // length
+            full = min(n // each, m)
+            for k in range(each if full else 0):
+                place(length, full, first, capacity - gap + k * length)
+            if full:
+                leave(gap - each * length, first, full)
+            n -= each * full
+            rest = n if full < m else 0
+            for k in range(rest):
+                place(length, 1, first + full, capacity - gap + k * length)
+            if rest:
+                leave(gap - rest * length, first + full, 1)
+            if full + (rest > 0) < m:
+                leave(gap, first + full + (rest > 0), m - full - (rest > 0))
+            n -= rest
     return runs
 
 
+def ranked(pieces: DataFrame, totals: dict[int, int], share: int = SHARE) -> DataFrame:
+    """``pieces`` with their rank, from 0, within their length; a length of many pieces is ranked in shares of about ``share``."""
+    shares = pieces.sparkSession.createDataFrame([(length, -(-n // share)) for length, n in totals.items()], "length long, shares long")  # at most capacity rows
+    salted = pieces.join(F.broadcast(shares), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start"), "shares")).drop("shares")
+    sizes = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece"))
+    return salted.withColumn("nth", nth).join(sizes, ["length", "salt"]).select(*pieces.columns, (F.col("base") + F.col("nth") - 1).alias("rank"))
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents with sequence_id and offset."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    pieces = stored(cut_documents(docs, tokenizer, capacity, end_id).withColumn("salt", salt))
-    by_salt = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    # at most capacity * SALTS rows: bounded by parameters, not by the documents
-    counts = sorted((r["length"], r["salt"], r["n"]) for r in by_salt.collect())
-    total: dict[int, int] = {}
-    base = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, s, n in counts:
-        base[length, s] = total.get(length, 0)
-        total[length] = total.get(length, 0) + n
-    runs = sorted(plan_runs(total, capacity))
-    plan = pieces.sparkSession.sparkContext.broadcast((np.array(runs, np.int64).reshape(-1, 4), base))
+    pieces = stored(cut_documents(docs, tokenizer, capacity, end_id))
+    # at most capacity rows, and runs: bounded by parameters, not by the documents
+    totals = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plan = pieces.sparkSession.sparkContext.broadcast(np.array(sorted(plan_runs(totals, capacity)), np.int64).reshape(-1, 4))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, first_of = plan.value
-        starts = [table[table[:, 0] == length] for length in range(capacity + 1)] if len(table) else []
+        table = plan.value
+        edge = np.searchsorted(table[:, 0], np.arange(capacity + 2))
         for batch in batches:
-            length, s, nth = (batch.column(i).to_numpy() for i in (3, 5, 6))
-            rank = first_of[length, s] + nth - 1
+            length, rank = batch.column(3).to_numpy(), batch.column(5).to_numpy()
             seq, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
             for x in np.unique(length):
-                rows, own = np.flatnonzero(length == x), starts[x]
+                rows, own = np.flatnonzero(length == x), table[edge[x] : edge[x + 1]]
                 k = np.searchsorted(own[:, 1], rank[rows], "right") - 1
                 seq[rows], offset[rows] = own[k, 2] + rank[rows] - own[k, 1], own[k, 3]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long")
-    return pieces.withColumn("nth", nth).mapInArrow(assigned, PIECES + ", sequence_id long, offset long")
+    return ranked(pieces, totals).mapInArrow(assigned, PIECES + ", sequence_id long, offset long")
