@@ -2,18 +2,20 @@
 
 Equal vectors are one node. Nodes are filed in the coarse list of their nearest centroid, with the residual
 coded in subspaces of ``SUB`` dimensions by ``CODES`` codewords each, and with the length of what the code
-leaves out. Every node is also a query in each list that a neighbour may lie in: a list is probed when the
-query lies within the link radius of the plane between its own centroid and the list's, so no neighbour across
-it is missed. In a list, asymmetric distances come from one table per query and subspace; a member whose table
-distance is within the link radius plus the length its code leaves out is a candidate (no link can be lost
-here), and candidates are confirmed by the cosine in double precision.
+leaves out. Every node is also a query in its own list and in each list whose border, the plane between the two
+centroids, lies within half the link radius. Two linked nodes of different lists stand on two sides of such a
+plane and at most a link radius apart, so at least one of them is that near to it: every link is met, whatever
+the vectors look like. A link that only one side meets counts for both; each member brings the lists that it
+probes itself, so that is known. In a list, asymmetric distances come from one table per query and subspace; a
+member whose table distance is within the link radius plus the length its code leaves out is a candidate (no
+link can be lost here), and candidates are confirmed by the cosine in double precision.
 
-A long list is cut into blocks of at most ``BLOCK`` members, which are separate groups. Groups emit a count per
-query and a spanning forest of their links, never the pairs, so a large group of near copies costs rows in
-proportion to its size.
+The number of lists is ``2 * sqrt(n)``, so work grows as n to the power 1.5, up to ``LISTS``. A list of more than
+``BLOCK`` members is cut into blocks, which are separate groups. Groups emit counts and a spanning forest of
+their links, never the pairs, so a large group of near copies costs rows in proportion to its size.
 
-The centroids and codewords are fitted on at most ``SAMPLE`` nodes (those of the smallest hashes); every
-vector is filed and compared. Recall is measured against brute force in the tests.
+The centroids are fitted on at most ``PER_LIST`` nodes per list and the codewords on at most ``SAMPLE`` (those of
+the smallest hashes); every vector is filed and compared.
 
 Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, nor do rows with a
 null vec_id. Vectors of different lengths don't link; those of each length are compared with a quantizer of
@@ -33,18 +35,17 @@ from .storage import stored
 
 COSINE = 0.95
 SUB, CODES = 8, 256
-LISTS, SAMPLE = 256, 8192
-BLOCK, QUERIES, RERANKED = 4096, 1024, 1 << 16
-FILED = "list int, block int, query boolean, node long, rep long, copies long, vec binary, codes binary, rest double"
+LISTS, PER_LIST, SAMPLE = 4096, 32, 1 << 14
+BLOCK, QUERIES, MEMBERS, RERANKED = 1 << 14, 1024, 256, 1 << 15
+FILED = "list int, block int, query boolean, node long, rep long, copies long, vec binary, codes binary, rest double, own int, probed binary"
 
 
 @dataclass
 class Quantizer:
-    """centroids (lists, dim), codebooks (parts, codes, SUB or less), and between, the distances of the centroids."""
+    """centroids (lists, dim), and codebooks (parts, codes, SUB or less)."""
 
     centroids: np.ndarray
     codebooks: list[np.ndarray]
-    between: np.ndarray
 
     def parts(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, i : i + SUB] for i in range(0, x.shape[1], SUB)]
@@ -54,24 +55,29 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1), 0)
 
 
+def nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x the nearest row of y, in blocks."""
+    half = (y * y).sum(1) / 2
+    return np.concatenate([(half - x[i : i + QUERIES] @ y.T).argmin(1) for i in range(0, len(x), QUERIES)])
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """At most ``k`` means; an empty one keeps its place."""
+    x = x.astype(np.float32)
     means = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)].copy()
     for _ in range(rounds):
-        own = squared(x, means).argmin(1)
-        n = np.bincount(own, minlength=len(means))
-        sums = np.zeros_like(means)
-        np.add.at(sums, own, x)
-        means[n > 0] = sums[n > 0] / n[n > 0, None]
-    return means
+        own = nearest(x, means)
+        order = np.argsort(own, kind="stable")
+        names, begin = np.unique(own[order], return_index=True)
+        means[names] = np.add.reduceat(x[order], begin, axis=0) / np.diff(np.append(begin, len(x)))[:, None]
+    return means.astype(np.float64)
 
 
-def fit(x: np.ndarray, lists: int = LISTS) -> Quantizer:
+def fit(x: np.ndarray, lists: int) -> Quantizer:
     """From unit vectors."""
-    centroids = k_means(x, max(1, min(lists, len(x) // 32)))
-    residuals = x - centroids[squared(x, centroids).argmin(1)]
-    model = Quantizer(centroids, [], np.sqrt(squared(centroids, centroids)))
-    model.codebooks = [k_means(part, CODES) for part in model.parts(residuals)]
+    model = Quantizer(k_means(x, lists), [])
+    some = x[:SAMPLE]
+    model.codebooks = [k_means(part, CODES) for part in model.parts(some - model.centroids[nearest(some, model.centroids)])]
     return model
 
 
@@ -107,6 +113,7 @@ def _filed(nodes: DataFrame, model: Quantizer, dtype: str, radius: float, blocks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, blocks = shared.value
+        n = np.array([(blocks or {}).get(c, 0) for c in range(len(model.centroids))])
         for whole in batches:
             for at in range(0, len(whole), QUERIES):
                 batch = whole.slice(at, QUERIES)
@@ -116,45 +123,49 @@ def _filed(nodes: DataFrame, model: Quantizer, dtype: str, radius: float, blocks
                 d = squared(x, model.centroids)
                 own = d.argmin(1)
                 rows = np.arange(len(x))
+                if blocks is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32))], names=["list"])
+                    continue
                 residual = x - model.centroids[own]
-                codes = np.stack([squared(p, book).argmin(1) for p, book in zip(model.parts(residual), model.codebooks, strict=True)], 1)
+                codes = np.stack([nearest(p, book) for p, book in zip(model.parts(residual), model.codebooks, strict=True)], 1)
                 coded = np.concatenate([book[codes[:, m]] for m, book in enumerate(model.codebooks)], 1)
                 rest = np.sqrt(((residual - coded) ** 2).sum(1))
-                lists, block, query, of = own, np.zeros(len(x), np.int64), np.zeros(len(x), bool), rows
-                if blocks is not None:
-                    n = np.array([blocks.get(c, 0) for c in range(len(model.centroids))])
-                    # the distance to the plane, times twice that of the centroids, with room for rounding
-                    near = (d - d[rows, own][:, None] <= 2 * radius * model.between[own] + 1e-9) & (n > 0)
-                    near[rows, own] = True
-                    q, c = np.nonzero(near)
-                    times = n[c]
-                    q, c = np.repeat(q, times), np.repeat(c, times)
-                    nth = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-                    spread = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
-                    lists, block = np.concatenate([own, c]), np.concatenate([spread % n[own], nth])
-                    query, of = np.repeat([False, True], [len(x), len(q)]), np.concatenate([rows, q])
+                # twice the distance of the centroids times that to the plane, with room for rounding
+                near = (d - d[rows, own][:, None] <= radius * np.sqrt(squared(model.centroids[own], model.centroids)) + 1e-9) & (n > 0)
+                near[rows, own] = True
+                q, c = np.nonzero(near)
+                probed = [p.astype("<i4").tobytes() for p in np.split(c, np.searchsorted(q, rows[1:]))]
+                times = n[c]
+                q, c = np.repeat(q, times), np.repeat(c, times)
+                nth = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
+                spread = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)
+                lists, block = np.concatenate([own, c]), np.concatenate([spread % n[own], nth])
+                query, of = np.repeat([False, True], [len(x), len(q)]), np.concatenate([rows, q])
+                asked = pa.array(np.where(query, -1, of), mask=query)  # queries need neither codes nor probed lists
                 vec = pa.array([r.tobytes() for r in raw], pa.binary()).take(pa.array(of))
-                code = pa.array([r.tobytes() for r in codes.astype(np.uint8)], pa.binary()).take(pa.array(of))
-                columns = [pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(query), pa.array(node[of]), pa.array(rep[of]), pa.array(copies[of]), vec, code, pa.array(rest[of])]
+                code = pa.array([r.tobytes() for r in codes.astype(np.uint8)], pa.binary()).take(asked)
+                columns = [pa.array(lists.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(query), pa.array(node[of]), pa.array(rep[of]), pa.array(copies[of]), vec, code, pa.array(rest[of]), pa.array(own[of].astype(np.int32)), pa.array(probed, pa.binary()).take(asked)]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in FILED.split(", ")])
 
-    return nodes.select("node", "rep", "copies", "vec").mapInArrow(run, FILED)
+    return nodes.select("node", "rep", "copies", "vec").mapInArrow(run, FILED if blocks is not None else "list int")
 
 
-def _linked(x: np.ndarray, y: np.ndarray, maybe: np.ndarray, cosine: float) -> np.ndarray:
-    """Of the candidates ``maybe`` those confirmed by the exact cosine."""
-    if maybe.mean() > 0.02:
-        return maybe & (x @ y.T >= cosine)
-    i, j = np.nonzero(maybe)
-    out = np.zeros(maybe.shape, bool)
-    for k in range(0, len(i), RERANKED):
-        a, b = i[k : k + RERANKED], j[k : k + RERANKED]
-        out[a, b] = np.einsum("nd,nd->n", x[a], y[b]) >= cosine
-    return out
+def candidates(x: np.ndarray, codes: np.ndarray, rest: np.ndarray, model: Quantizer, c: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, member) pairs whose table distance doesn't exclude a link, by blocks of members."""
+    residual = x - model.centroids[c]
+    tables = [squared(book, part).astype(np.float32) for part, book in zip(model.parts(residual), model.codebooks, strict=True)]
+    limit = ((radius + rest) ** 2 * (1 + 1e-5) + 1e-5).astype(np.float32)
+    for at in range(0, len(codes), MEMBERS):
+        own = codes[at : at + MEMBERS]
+        d = tables[0][own[:, 0]]
+        for m, table in enumerate(tables[1:], 1):
+            d += table[own[:, m]]
+        j, i = np.nonzero(d <= limit[at : at + MEMBERS, None])
+        yield i, j + at
 
 
 def _compared(filed: DataFrame, model: Quantizer, dtype: str, radius: float, cosine: float) -> DataFrame:
-    """Per query and group (node, n), and links (a, b) that span each group's."""
+    """Counts of links (node, n), to be added up by node, and links (a, b) that span each group's."""
     shared = filed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,36 +183,55 @@ def _compared(filed: DataFrame, model: Quantizer, dtype: str, radius: float, cos
                     parts.append(batch.slice(s, e - s))
                     continue
                 if parts and members is None:
-                    members = arrays(pa.Table.from_batches(parts).combine_chunks().to_batches()[0])
+                    members = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+                    members = arrays(members), np.frombuffer(b"".join(members.column(7).to_pylist()), np.uint8).reshape(len(members), -1), members.column(8).to_numpy(), probed_by(members)
                 if members is not None:
                     for at in range(s, e, QUERIES):
-                        yield from compare(model, int(key[0]), members, arrays(batch.slice(at, min(QUERIES, e - at))))
+                        yield from compare(model, int(key[0]), members, batch.slice(at, min(QUERIES, e - at)))
 
     def arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-        ids = tuple(batch.column(i).to_numpy() for i in (3, 4, 5))
         x = unit(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype).reshape(len(batch), -1))
-        codes = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(len(batch), -1)
-        return *ids, x, codes, batch.column(8).to_numpy()
-
-    def compare(model: Quantizer, c: int, members: tuple, queries: tuple) -> Iterator[pa.RecordBatch]:
-        m_node, m_rep, m_copies, y, codes, rest = members
-        q_node, q_rep, _, x, _, _ = queries
-        residual = x - model.centroids[c]
-        d = np.zeros((len(x), len(y)), np.float32)
-        for m, (part, book) in enumerate(zip(model.parts(residual), model.codebooks, strict=True)):
-            d += squared(part, book).astype(np.float32)[:, codes[:, m]]
-        maybe = d <= ((radius + rest) ** 2 * (1 + 1e-5) + 1e-5).astype(np.float32)
-        maybe &= q_node[:, None] != m_node
-        linked = _linked(x, y, maybe, cosine)
-        counts = linked @ m_copies
-        some = counts > 0
-        i, j = np.nonzero(linked)
+        return x, *(batch.column(i).to_numpy() for i in (3, 4, 5))
+
+    def probed_by(members: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(list, member) of all lists that the members probe, in order."""
+        found = [np.frombuffer(p, "<i4") for p in members.column(10).to_pylist()]
+        lists, who = np.concatenate(found), np.repeat(np.arange(len(found)), [len(p) for p in found])
+        order = np.argsort(lists, kind="stable")
+        return lists[order], who[order]
+
+    def compare(model: Quantizer, c: int, members: tuple, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        (y, m_node, m_rep, m_copies), codes, rest, (lists, who) = members
+        x, q_node, q_rep, q_copies = arrays(batch)
+        own = batch.column(9).to_numpy()
+        linked: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in candidates(x, codes, rest, model, c, radius):
+            apart = q_node[i] != m_node[j]
+            i, j = i[apart], j[apart]
+            for k in range(0, len(i), RERANKED):
+                u, v = i[k : k + RERANKED], j[k : k + RERANKED]
+                near = np.einsum("nd,nd->n", x[u], y[v]) >= cosine
+                linked.append((u[near], v[near]))
+        i, j = (np.concatenate([p[k] for p in linked]) if linked else np.zeros(0, np.int64) for k in (0, 1))
+        counts = np.bincount(i, m_copies[j], len(x)).astype(np.int64)
+        # members that don't meet the link as queries of the other one's list
+        back = np.zeros(len(y), np.int64)
+        for other in np.unique(own[i]):
+            if other != c:
+                meets = np.zeros(len(y), bool)
+                meets[who[np.searchsorted(lists, other) : np.searchsorted(lists, other, "right")]] = True
+                once = (own[i] == other) & ~meets[j]
+                back += np.bincount(j[once], q_copies[i[once]], len(y)).astype(np.int64)
         a, b = forest(q_rep[i], m_rep[j]) if len(i) else (np.zeros(0, np.int64),) * 2
-        n = int(some.sum())
+        some, more = counts > 0, back > 0
+        n = int(some.sum() + more.sum())
+        if not n + len(a):
+            return
         counted = np.arange(n + len(a)) < n
         both = lambda u, v, mask: pa.array(np.concatenate([u, v]).astype(np.int64), mask=mask)
         none = np.zeros(len(a), np.int64), np.zeros(n, np.int64)
-        yield pa.RecordBatch.from_arrays([both(q_node[some], none[0], ~counted), both(counts[some], none[0], ~counted), both(none[1], a, counted), both(none[1], b, counted)], names=["node", "n", "a", "b"])
+        node, times = np.concatenate([q_node[some], m_node[more]]), np.concatenate([counts[some], back[more]])
+        yield pa.RecordBatch.from_arrays([both(node, none[0], ~counted), both(times, none[0], ~counted), both(none[1], a, counted), both(none[1], b, counted)], names=["node", "n", "a", "b"])
 
     dealt = filed.repartition("list", "block").sortWithinPartitions("list", "block", "query")
     return dealt.mapInArrow(run, "node long, n long, a long, b long")
@@ -217,8 +247,9 @@ def _of_one_length(rows: DataFrame, dtype: str, cosine: float) -> DataFrame:
 
     vecs = stored(rows.mapInArrow(packed, "vec_id long, vec binary"))
     nodes = stored(vecs.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    sample = nodes.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").collect()
-    model = fit(unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype).reshape(len(sample), -1)))
+    lists = min(LISTS, max(1, int(2 * nodes.count() ** 0.5)))
+    sample = nodes.orderBy(F.xxhash64("vec"), "vec").limit(max(SAMPLE, PER_LIST * lists)).select("vec").collect()
+    model = fit(unit(np.frombuffer(b"".join(bytes(r["vec"]) for r in sample), dtype).reshape(len(sample), -1)), min(lists, max(1, len(sample) // PER_LIST)))
     radius = (2 - 2 * cosine) ** 0.5
     # one row per list: bounded by LISTS
     sizes = _filed(nodes, model, dtype, radius, None).groupBy("list").count().collect()
