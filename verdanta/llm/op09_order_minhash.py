@@ -2,22 +2,24 @@
 
 A text's symbols are its runs of at most ``RUN`` characters that aren't white space, and at every symbol a
 k-mer of ``K`` symbols starts (the last ones are shorter). K-mers are numbered by occurrence: the second time
-a k-mer stands in a text it is another element. Elements are ordered by the k-mer's hash, then by number; the
-hash's top bits deal the k-mers to ``BINS`` bins, so one hash function does for all sketches. A bin's sketch is
-its two least elements, put back into text order and hashed as a tuple. So a bin agrees only where both texts
-have the same minimal elements in the same order, which follows the edit distance and not only the set of
-k-mers. The likeness of two fingerprints is the share of bins that agree, of the bins that either text fills.
+a k-mer stands in a text it is another element. Each element, k-mer and number together, is hashed to a rank of
+its own. Sketch j has its own order of the elements: by rank, from the j-th of ``SKETCHES`` equal stretches of the
+ranks on and around to its beginning, so one hash function and one sort do for all sketches, and texts of few
+k-mers fill all of them too. A sketch is its two least elements, put back into text order and hashed as a
+tuple. So it agrees only where both texts have the same minimal elements in the same order, which follows the
+edit distance and not only the set of k-mers. The likeness of two fingerprints is the share of sketches that agree.
 
 A text becomes one array of packed (k-mer hash, place), sorted once: the occurrences of a k-mer stand in a
-row there, in text order, and the two least elements of a bin are the first two of its stretch. Work and
-memory are in proportion to one text, and nothing is exploded.
+row there, in text order. Numbered and ranked, it is sorted once more, and the two least elements of each
+stretch are all that any sketch needs. Work and memory are in proportion to one text, and nothing is exploded.
 
 The next document is found from the ids alone: they are range-partitioned and sorted, each partition's first
 and last id close the gaps between partitions. A document's text moves to its predecessor's key cut to the
 part that the edited text needs.
 
-Cases: a null text is empty; texts without symbols have an empty fingerprint, and two of these are alike (1).
-Places from 2 ** 24 symbols on share one place number, so ties there follow the hash. Rows with one doc_id
+Cases: a null text is empty; texts without symbols have an empty fingerprint, and two of these are alike (1);
+a text with one element has it in all sketches, alone. Places and hashes share 64 bits, of which 31 are the
+place's, more than a string can have symbols. Rows with one doc_id
 are one document for its predecessor, which sees the text of the smallest hash; every row gets its result.
 A null doc_id comes before all others. A lone document is its own next. Extra columns are ignored. An empty
 table gives an empty table.
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 
 from .storage import stored
 
-RUN, K, BINS = 8, 3, 64
-PLACE_BITS = 24
+RUN, K, SKETCHES = 8, 3, 64
+PLACE_BITS = 31
 PLACES = (1 << PLACE_BITS) - 1
+BIN_SHIFT = 64 - SKETCHES.bit_length() + 1
+#: set in every element, so that none is equal to the mark at which a stretch begins
+ELEMENT = 1 << PLACE_BITS
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -40,6 +45,18 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def hash_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(~PLACES))
+
+
+def place_of(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(PLACES))
+
+
+def bin_of(x: Column) -> Column:
+    return F.shiftright(x, BIN_SHIFT)
+
+
 def packed_kmers(text: Column) -> Column:
     """Ascending array of k-mer hashes with their places in the low bits."""
     symbols = F.regexp_extract_all(text, F.lit(rf"\S{{1,{RUN}}}"), F.lit(0))
@@ -47,48 +64,58 @@ def packed_kmers(text: Column) -> Column:
     hashes = F.transform(symbols, lambda s: F.xxhash64(s))
 
     def packed(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]).bitwiseAND(F.lit(~PLACES)).bitwiseOR(F.least(i, F.lit(PLACES)).cast("long")))
+        return F.transform(h, lambda x, i: hash_of(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)])).bitwiseOR(i.cast("long")))
 
     return F.sort_array(bound(hashes, packed))
 
 
+def ranked_elements(kmers: Column) -> Column:
+    """Ascending array of the ranks of (k-mer, occurrence), with their places in the low bits."""
+
+    def ranked(run: Column) -> Column:
+        return F.transform(run, lambda x, nth: hash_of(F.xxhash64(hash_of(x), nth)).bitwiseOR(F.lit(ELEMENT)).bitwiseOR(place_of(x)))
+
+    def numbered(p: Column) -> Column:
+        every = F.when(F.size(p) > 0, F.sequence(F.lit(0), F.size(p) - 1)).otherwise(F.array().cast("array<int>"))
+        begins = F.filter(every, lambda i: (i == 0) | (hash_of(F.get(p, i)) != hash_of(F.get(p, i - 1))))
+        runs = bound(begins, lambda b: F.transform(b, lambda at, j: F.slice(p, at + 1, F.coalesce(F.get(b, j + 1), F.size(p)) - at)))
+        return F.flatten(F.transform(runs, ranked))
+
+    return F.sort_array(bound(kmers, numbered))
+
+
 def fingerprint(text: Column) -> Column:
-    """Array of BINS ints, one tuple hash per bin; 0 where a bin is empty."""
-    shift = 64 - BINS.bit_length() + 1
-    bin_of = lambda x: F.shiftright(x, shift)
-    kmer = lambda x: F.shiftright(x, PLACE_BITS)
-    place = lambda x: x.bitwiseAND(F.lit(PLACES))
+    """Array of SKETCHES ints, one tuple hash each; 0 where a text has no elements."""
+    half = SKETCHES // 2
+    marks = F.sequence(F.lit(-half), F.lit(half - 1))
 
-    def least_two(kmers: Column) -> Column:
-        return F.filter(kmers, lambda x, i: (i < 2) | (bin_of(F.get(kmers, i - 2)) != bin_of(x)))
+    def least_two(elements: Column) -> Column:
+        return F.filter(elements, lambda x, i: (i < 2) | (bin_of(F.get(elements, i - 2)) != bin_of(x)))
 
     def sketches(least: Column) -> Column:
-        def sketch(x: Column, i: Column) -> Column:
-            other = F.get(least, i + 1)
-            paired = bin_of(other) == bin_of(x)
-            in_order = F.when(place(x) <= place(other), F.xxhash64(kmer(x), kmer(other))).otherwise(F.xxhash64(kmer(other), kmer(x)))
-            code = F.shiftright(F.when(paired, in_order).otherwise(F.xxhash64(kmer(x))), 32).cast("int")
-            mine = F.struct((bin_of(x) + BINS // 2).cast("int").alias("bin"), F.when(code == 0, 1).otherwise(code).alias("code"))
-            return F.when((i == 0) | (bin_of(F.get(least, i - 1)) != bin_of(x)), mine)
+        # a stretch's mark stands before its elements and behind all earlier ones and their marks
+        both = F.sort_array(F.concat(least, F.transform(marks, lambda m: F.shiftleft(m.cast("long"), BIN_SHIFT))))
+        at = F.transform(F.filter(F.transform(both, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda e: e["x"].bitwiseAND(F.lit(ELEMENT)) == 0), lambda e, j: e["i"] - j)
 
-        return F.map_from_entries(F.filter(F.transform(least, sketch), lambda e: e.isNotNull()))
+        def sketch(i: Column) -> Column:
+            x, y = F.get(least, i % F.size(least)), F.get(least, (i + 1) % F.size(least))
+            one, two = hash_of(x), hash_of(y)
+            code = F.when(F.size(least) == 1, F.xxhash64(one)).when(place_of(x) <= place_of(y), F.xxhash64(one, two)).otherwise(F.xxhash64(two, one))
+            short = F.shiftright(code, 32).cast("int")
+            return F.when(short == 0, 1).otherwise(short)
 
-    def laid_out(found: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0)))
+        return F.when(F.size(least) == 0, F.array_repeat(F.lit(0), SKETCHES)).otherwise(F.transform(at, sketch))
 
-    return bound(bound(bound(packed_kmers(text), least_two), sketches), laid_out)
+    return bound(bound(ranked_elements(packed_kmers(text)), least_two), sketches)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of agreeing bins among the bins that either fills; 1 where neither fills any."""
-    pairs = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise((x == y).cast("int")))
-    known = F.filter(pairs, lambda p: p.isNotNull())
-    agree = F.aggregate(known, F.lit(0), lambda s, p: s + p)
-    return F.when(F.size(known) == 0, F.lit(1.0)).otherwise(agree / F.size(known))
+    """Share of the sketches that agree."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, p: s + p) / F.lit(SKETCHES)
 
 
 def as_text(codes: Column) -> Column:
-    """A fingerprint as a string of 8 hexadecimal digits per bin."""
+    """A fingerprint as a string of 8 hexadecimal digits per sketch."""
     return F.lower(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
 
 
