@@ -114,11 +114,17 @@ def test_quantisation_against_brute_force(spark):
     assert quantized.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-def test_quantisation_finds_all_links_of_every_length(spark):
-    """64 dimensions with few directions, so that neighbours lie straight across the lists' borders, and two rarer lengths."""
+@pytest.mark.parametrize("block", [1 << 14, 20])
+def test_quantisation_finds_all_links_of_every_length(spark, monkeypatch, block):
+    """64 dimensions with few, some and all directions, so that neighbours also lie straight across the lists' borders, and two rarer lengths."""
+    monkeypatch.setattr(quantized, "BLOCK", block)
     rng = np.random.default_rng(5)
     flat = rng.normal(0, 1, (3000, 3)) @ rng.normal(0, 1, (3, 64)) + rng.normal(0, 0.01, (3000, 64))
-    parts = [flat, rng.normal(0, 1, (200, 3)), rng.normal(0, 1, (40, 2))]
+    near = lambda z: np.concatenate([z, z + rng.normal(0, 0.25, z.shape)])
+    ranks = [near(rng.normal(0, 1, (350, r))) @ rng.normal(0, 1, (r, 64)) for r in (8, 16)]
+    spread = rng.normal(0, 1, (600, 64))
+    copies = spread[:300] + rng.normal(0, 0.3, (300, 64))
+    parts = [np.concatenate([flat, *ranks, spread, copies, flat[:5]]), rng.normal(0, 1, (200, 3)), rng.normal(0, 1, (40, 2))]
     rows, want, at = [], {}, 0
     for x in (p.astype(np.float32) for p in parts):
         rows += [(at + i, v.tolist()) for i, v in enumerate(x)]
@@ -127,7 +133,7 @@ def test_quantisation_finds_all_links_of_every_length(spark):
         want |= {at + i: int(n) for i, n in enumerate(links.sum(1))}
         at += len(x)
     got = {r["vec_id"]: r["n_links"] for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
-    assert min(sum(want[i] for i in span) for span in (range(3000), range(3000, 3200), range(3200, 3240))) > 0
+    assert min(sum(want[i] for i in span) for span in (range(3000), range(3700, 4400), range(4400, 5000), range(5305, 5505), range(5505, 5545))) > 0
     assert got == want
 
 
@@ -309,6 +315,43 @@ def checked_packing(rows, ids_of):
     return len(by_seq)
 
 
+def plain_packing(lengths, capacity):
+    """The free room of each sequence by large-item matching and best fit, one piece after the other."""
+    large = sorted(x for x in lengths if 3 * x > capacity)
+    rooms = []
+    while large:
+        a = large.pop()
+        fitting = [x for x in large if x <= capacity - a]
+        if fitting:
+            large.remove(fitting[-1])
+        rooms.append(capacity - a - (fitting[-1] if fitting else 0))
+    for x in sorted((x for x in lengths if 3 * x <= capacity), reverse=True):
+        holding = [r for r in rooms if r >= x]
+        room = min(holding) if holding else capacity
+        if holding:
+            rooms.remove(room)
+        rooms.append(room - x)
+    return sorted(rooms)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_plan_by_definition(seed):
+    rng = np.random.default_rng(seed)
+    capacity = int(rng.integers(8, 60))
+    lengths = (rng.integers(1, capacity + 1, rng.integers(1, 400)) if seed % 3 else np.minimum(rng.geometric(4 / capacity, 300), capacity)).tolist()
+    counts = {x: lengths.count(x) for x in set(lengths)}
+    used = {}
+    runs = sorted(packing.plan_runs(counts, capacity))
+    for i, (length, rank, first, offset) in enumerate(runs):
+        end = runs[i + 1][1] if i + 1 < len(runs) and runs[i + 1][0] == length else counts[length]
+        for k in range(end - rank):
+            used.setdefault(first + k, []).append((offset, length))
+    for parts in used.values():
+        parts.sort()
+        assert all(o == sum(n for _, n in parts[:i]) for i, (o, _) in enumerate(parts))
+    assert sorted(capacity - sum(n for _, n in p) for p in used.values()) == plain_packing(lengths, capacity)
+
+
 def test_packing_is_gapless_and_tight(spark, documents):
     from tokenizers import Tokenizer
 
@@ -321,6 +364,11 @@ def test_packing_is_gapless_and_tight(spark, documents):
     n = checked_packing(rows, ids_of)
     assert sum(r["length"] for r in rows) == sum(map(len, ids_of.values()))
     assert n <= 1.05 * -(-sum(map(len, ids_of.values())) // packing.CAPACITY) + 1
+    small = packing.ranked(packing.cut_documents(spark.createDataFrame(documents), path, 64), {64: 4000} | {n: 40 for n in range(1, 64)}, 16)
+    by_length = {}
+    for r in small.collect():
+        by_length.setdefault(r["length"], []).append(r["rank"])
+    assert all(sorted(x) == list(range(len(x))) for x in by_length.values()) and len(by_length[64]) > 100
     odd = packing.pack(odd_documents(spark), path).collect()
     assert sum(r["start"] == 0 for r in odd) == 11
     assert packing.pack(empty(spark), path).count() == 0
@@ -344,6 +392,49 @@ def test_order_minhash(spark, documents):
     assert got["near_edited"].mean() > 5 * got["near_next"].mean() + 0.05
 
 
+def plain_fingerprint(text):
+    """By definition: every element has its own rank, every sketch its own order of all elements."""
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    bits = lambda x: x & (1 << 64) - 1
+    mixed = lambda x, seed: signed(xxhash.xxh64(x, seed=bits(seed)).intdigest())
+    long = lambda x, seed: mixed(bits(x).to_bytes(8, "little"), seed)
+    symbols = [mixed(m.encode(), 42) for m in re.findall(r"\S{1,8}", text)]
+    seen, elements = {}, []
+    for place in range(len(symbols)):
+        code = 42
+        for s in symbols[place : place + 3]:
+            code = long(s, code)
+        kmer = code >> 31 << 31
+        nth = seen[kmer] = seen.get(kmer, -1) + 1
+        rank = mixed(nth.to_bytes(4, "little"), long(kmer, 42)) >> 31 << 31 | 1 << 31
+        elements.append((rank, place))
+    out = []
+    for j in range(64):
+        two = sorted(sorted(elements, key=lambda e: (((e[0] >> 58) + 32 - j) % 64, e))[:2], key=lambda e: e[1])
+        code = 42
+        for rank, _ in two:
+            code = long(rank, code)
+        out.append((code >> 32 or 1) & 0xFFFFFFFF if two else 0)
+    return "".join(f"{c:08x}" for c in out)
+
+
+def test_order_minhash_by_definition(spark, documents):
+    rng = np.random.default_rng(9)
+    x = [f"w{i}" for i in range(400)]
+    y = [w for block in rng.permutation(40) for w in x[10 * block : 10 * block + 10]]
+    short = [f"s{i}" for i in range(30)]
+    texts = [" ".join(t) for t in (x, y, x + x, y + y, short, short[20:] + short[:20], ["a"] * 50, ["a"], ["a", "b"])]
+    texts += [t for t in documents["text"][:60] if t]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows.select("doc_id", order_minhash.as_text(order_minhash.fingerprint(F.col("text"))).alias("f")).collect()}
+    assert [got[i]["f"] for i in range(len(texts))] == [plain_fingerprint(t) for t in texts]
+    alike = lambda i, j: np.mean([got[i]["f"][8 * k : 8 * k + 8] == got[j]["f"][8 * k : 8 * k + 8] for k in range(64)])
+    # in a doubled text half of the pairs are of different occurrences, whose order the blocks do not change
+    assert alike(0, 1) < 0.4 and alike(2, 3) < 0.6 and alike(4, 5) < 0.8
+
+
 def test_order_minhash_of_odd_documents(spark):
     got = order_minhash.fingerprints(odd_documents(spark)).collect()
     assert len(got) == 11 and all(0 <= r["near_edited"] <= 1 for r in got)

@@ -17,7 +17,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     least = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
     linked = around.join(least, "a")
     out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else linked.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,10 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges with a null end, loops and repeated edges do no harm. Every round is written to the shared folder.
     """
-    now = stored(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct())
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    now = stored(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     while True:
-        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("child")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("child")).distinct())
-        open_ends = ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("root")).where("n > 1 or (n = 1 and root = 0)")
-        if now.where("a < b").isEmpty() and open_ends.isEmpty():
+        # stars: no node is a child twice, or a child and a root
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("child")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("child")))
+        if ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("root")).where("n > 1 or (n = 1 and root = 0)").isEmpty():
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        now = stored(_stars(_stars(now, True), False))
+        now = stored(_stars(_stars(now, True), False).distinct())

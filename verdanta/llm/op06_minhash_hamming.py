@@ -8,8 +8,8 @@ is missed. The threshold lies four standard deviations above the distance expect
 
 Documents with equal shingle sets are one node. A bucket's size and head (the member of least hash) come from
 one aggregation that combines before its shuffle, and only buckets of two or more members go on. Each document
-is confirmed on the full sets against the nearest of its buckets' heads, which joins most copies: one pair a
-document, so a group of copies costs links in proportion to its size.
+is confirmed on the full sets against the document that heads most of its buckets, which joins most copies: one
+pair a document, so a group of copies costs links in proportion to its size.
 
 What is left are pairs that share a bucket but no component. In such a bucket only the members outside its
 largest component ask, all its members answer, and a pair belongs to the first bucket that its documents
@@ -117,19 +117,6 @@ def _filed(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc", "signature").mapInArrow(run, "key long, doc long")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) within the signature distance and of fitting sizes, with their distance."""
-    side = lambda x: nodes.select(F.col("doc").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-
-    @F.arrow_udf("int")
-    def distance(left: pa.Array, right: pa.Array) -> pa.Array:
-        x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, SLOTS) for c in (left, right))
-        return pa.array((x != y).sum(1).astype(np.int32))
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    return both.select(*pairs.columns, distance("sa", "sb").alias("distance")).where(F.col("distance") <= MAX_ERRORS)
-
-
 def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc, found) of the wanted documents: their distinct shingle hashes, ascending."""
 
@@ -167,7 +154,8 @@ def _dealt(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     by = rows.groupBy("key", "component").agg(F.sum(weight).alias("w"))
     sizes = by.groupBy("key").agg(F.sum("w").alias("all"), F.max(F.struct("w", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
     share = lambda w: F.ceil(w / F.lit(limit)).cast("int")
-    sizes = sizes.select("key", F.col("most.component").alias("largest"), share(F.col("all")).alias("ms"), share(F.col("all") - F.col("most.w")).alias("qs"))
+    # written, so that Spark can split a hot key's part of the join
+    sizes = stored(sizes.select("key", F.col("most.component").alias("largest"), share(F.col("all")).alias("ms"), share(F.col("all") - F.col("most.w")).alias("qs")))
     spread, asks = F.xxhash64("doc"), F.col("component") != F.col("largest")
     own = lambda n: F.pmod(spread, F.col(n)).cast("int")
     place = lambda m, q, role: F.struct(m.alias("m"), q.alias("q"), role.cast("int").alias("role"))
@@ -301,13 +289,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = nodes.where("doc IS NOT NULL").select("doc", "n_shingles", "signature")
     filed = _filed(usable)
     heads = filed.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(filed.join(heads, "key"))
+    members = stored(filed.join(stored(heads), "key"))
     sets = stored(_shingled(docs, members.select("doc").distinct()))
 
-    # each document's nearest head first
-    pairs = members.where("doc <> head").select(F.least("doc", "head").alias("a"), F.greatest("doc", "head").alias("b"), "doc").distinct()
-    near = _near(pairs, usable)
-    nearest = near.groupBy("doc").agg(F.min(F.struct("distance", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    # first each document with the head of most of its buckets
+    shared = members.where("doc <> head").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n"))
+    nearest = shared.groupBy("doc").agg(F.max(F.struct("n", "head")).alias("most")).select(F.col("doc").alias("b"), F.col("most.head").alias("a"))
     found = components(_confirmed(nearest, sets))
     labels = members.select("key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left")
     labelled = stored(labels.select("key", "doc", F.coalesce("component", "doc").alias("component")))
