@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .indices import clip
 
+#: gain and offset of Collection 2 Level 2: fixed values
 OPTICAL = (0.0000275, -0.2)
 THERMAL = (0.00341802, 149.0)
 
@@ -25,22 +26,24 @@ def scale_landsat(df: DataFrame) -> DataFrame:
     return df.withColumns(made)
 
 
-#: red to yellow to green stops of a diverging colour map (position, r, g, b)
-STOPS = ((0.0, 165, 0, 38), (0.25, 244, 109, 67), (0.5, 255, 255, 191), (0.75, 102, 189, 99), (1.0, 0, 104, 55))
+#: the public red-yellow-green colour map, 11 stops at tenths: fixed values
+STOPS = ((165, 0, 38), (215, 48, 39), (244, 109, 67), (253, 174, 97), (254, 224, 139), (255, 255, 191), (217, 239, 139), (166, 217, 106), (102, 189, 99), (26, 152, 80), (0, 104, 55))
+LEVELS = 256
 
 
 def ndvi_rgba(value: Column, low: float = 0.0, high: float = 0.9) -> Column:
-    """Struct r, g, b, a of a value on the colour map; NULL is transparent."""
+    """Struct r, g, b, a of a value on the colour map, of which ``LEVELS`` colours are used; NULL is transparent."""
     t = clip((value - F.lit(low)) / F.lit(high - low), 0.0, 1.0)
+    place = F.least(F.floor(t * LEVELS), F.lit(LEVELS - 1)) * F.lit(10) / F.lit(float(LEVELS - 1))
+    k = F.least(F.floor(place), F.lit(9)).cast("int")
 
-    def channel(k: int) -> Column:
-        out = F.lit(0)
-        for p, q in zip(STOPS, STOPS[1:], strict=False):
-            share = (t - F.lit(p[0])) / F.lit(q[0] - p[0])
-            out = F.when(t >= p[0], F.floor(F.lit(float(p[k + 1])) + share * F.lit(float(q[k + 1] - p[k + 1]))).cast("int")).otherwise(out)
-        return out
+    def channel(c: int) -> Column:
+        stops = F.array(*[F.lit(float(s[c])) for s in STOPS])
+        lower, upper = F.get(stops, k), F.get(stops, k + 1)
+        # a whisker up, so that whole numbers stay whole
+        return F.coalesce(F.floor(lower + (place - k) * (upper - lower) + F.lit(1e-9)).cast("int"), F.lit(0))
 
-    return F.struct(*[channel(k).alias(n) for k, n in enumerate("rgb")], F.when(t.isNull(), 0).otherwise(255).alias("a"))
+    return F.struct(*[channel(c).alias(n) for c, n in enumerate("rgb")], F.when(t.isNull(), 0).otherwise(255).alias("a"))
 
 
 def change_rgba(gain: Column, loss: Column) -> Column:
