@@ -1,13 +1,19 @@
-"""Crown segmentation: seeded flooding per grid, segment filters and outlines."""
+"""Crown segmentation: seeded flooding per connected piece of canopy, segment filters, outlines and features."""
 
 import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tiles import local_maxima, smoothed
+from ..functions.mapping import Affine, from_utm, map_x, map_y, pixel_area
+from ..sources.shared import stored
+from .stats import beside, carried, in_order
+from .tiles import smoothed, with_maxima
+
+#: rows and columns of a grid that one task floods whole
+TILE = 512
 
 
 def flood(values: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int, int]]) -> np.ndarray:
@@ -28,25 +34,112 @@ def flood(values: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int, int]
     return labels
 
 
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the 0 .. n - 1 that each is connected with by the edges (a, b)."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[a], least[b])
+        new = least.copy()
+        for ends in (a, b, least[a], least[b]):
+            np.minimum.at(new, ends, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
+def connected_pixels(pixels: DataFrame, by: list[str], width: int, tile: int | None = None) -> DataFrame:
+    """``pixels`` (by, r, c, ...) with the component of 4-neighbours each is in, named by its least place r * width + c.
+
+    Tiles are labelled each by itself; then labels that meet at the tiles' borders are joined.
+    """
+    tile = tile or TILE
+
+    @F.pandas_udf("array<long>")
+    def local(rows: pd.Series, cols: pd.Series) -> pd.Series:
+        out = []
+        for r, c in zip(rows, cols, strict=True):
+            place = r * width + c
+            at = np.argsort(place)
+            p, column = place[at], c[at]
+            edges = []
+            for step, ok in ((1, column + 1 < width), (width, np.ones(len(p), bool))):
+                spot = np.minimum(np.searchsorted(p, p + step), len(p) - 1)
+                there = (p[spot] == p + step) & ok
+                edges.append((np.flatnonzero(there), spot[there]))
+            least = joined(len(p), *(np.concatenate(x) for x in zip(*edges, strict=True)))
+            own = np.empty(len(p), np.int64)
+            own[at] = p[least]
+            out.append(own)
+        return pd.Series(out)
+
+    key = [F.expr(f"{x} div {tile}").alias(f"tile_{x}") for x in "rc"]
+    cells = pixels.groupBy(*by, *key).agg(F.collect_list(F.struct(*[c for c in pixels.columns if c not in by])).alias("px"))
+    cells = cells.withColumn("part", local(F.col("px.r"), F.col("px.c")))
+    labelled = stored(cells.select(*by, F.inline(F.transform("px", lambda t, i: F.struct(t.alias("t"), F.get("part", i).alias("part"))))).select(*by, "t.*", "part"))
+
+    def meets(dr: int, dc: int) -> DataFrame:
+        x, n = ("r", dr) if dr else ("c", dc)
+        here = labelled.where(F.col(x) % tile == tile - 1).select(*by, (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col("part").alias("a"))
+        return here.join(labelled.where(F.col(x) % tile == 0).select(*by, "r", "c", F.col("part").alias("b")), [*by, "r", "c"]).select(*by, "a", "b")
+
+    edges = stored(meets(1, 0).unionByName(meets(0, 1)).distinct())
+    both = edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = stored(both.select(*by, F.col("a").alias("part")).distinct().withColumn("component", F.col("part")))
+    while True:
+        # each takes the least label around it, then that one's label
+        around = both.join(labels.withColumnsRenamed({"part": "b"}), [*by, "b"]).groupBy(*by, F.col("a").alias("part")).agg(F.min("component").alias("low"))
+        lower = labels.join(around, [*by, "part"]).select(*by, "part", F.col("component").alias("was"), F.least("component", "low").alias("low"))
+        jump = lower.select(*by, F.col("part").alias("low"), F.col("low").alias("next"))
+        new = stored(lower.join(jump, [*by, "low"], "left").select(*by, "part", "was", F.least("low", "next").alias("component")))
+        if new.where("component <> was").isEmpty():
+            break
+        labels = new.drop("was")
+    return labelled.join(labels, [*by, "part"], "left").withColumn("component", F.coalesce("component", "part")).drop("part")
+
+
 def watershed(df: DataFrame, by: list[str], height: int, width: int, pixel_size: float = 5.8, min_area: float = 10.0, sigma: float = 1.5, threshold: float = 0.3) -> DataFrame:
-    """(by, r, c, label) of grids (by, r, c, v): smoothing, local maxima as seeds, flooding, and the smallest crowns removed (label 0)."""
-    distance = max(2, int(3.0 / pixel_size))
-    smooth = smoothed(df, by, height, width, sigma)
-    joined = smooth.withColumnRenamed("v", "s").join(df, [*by, "r", "c"])
-    peaks = local_maxima(joined.select(*by, "r", "c", F.when(F.col("v") > threshold, F.col("s")).alias("v")), by, distance).select(*by, "r", "c", F.lit(True).alias("seed"))
-    rows = joined.join(peaks, [*by, "r", "c"], "left")
-
-    def run(grid: pd.DataFrame) -> pd.DataFrame:
-        s, v = np.full((height, width), -np.inf), np.zeros((height, width), bool)
-        r, c = grid["r"].to_numpy(), grid["c"].to_numpy()
-        s[r, c], v[r, c] = grid["s"].fillna(-np.inf), (grid["v"] > threshold).fillna(False)
-        first = grid[grid["seed"].notna()].sort_values(["s", "r", "c"], ascending=[False, True, True])
-        labels = flood(s, v, [(y, x, i + 1) for i, (y, x) in enumerate(zip(first["r"], first["c"], strict=True))])
-        return grid[[*by, "r", "c"]].assign(label=labels[r, c])
-
-    schema = ", ".join(f"{n} {t}" for n, t in df.select(*by, "r", "c").dtypes)
-    labelled = rows.groupBy(*by).applyInPandas(run, f"{schema}, label long")
-    return large_segments(labelled, by, int(min_area / pixel_size**2))
+    """(by, r, c, label) of grids (by, r, c, v): smoothing, local maxima as seeds, flooding, and the smallest crowns removed (label 0).
+
+    Seeds are numbered from the highest, then by row and column. A grid of more than ``TILE`` by ``TILE`` pixels is
+    flooded by connected pieces of its mask, which give the same labels, since a flood never leaves its piece.
+    """
+    distance, least, pieces = max(2, int(3.0 / pixel_size)), int(min_area / pixel_size**2), height * width > TILE * TILE
+    smooth = smoothed(df.select(*by, "r", "c", "v", F.col("v").alias("raw")), by, height, width, sigma)
+    mask = F.coalesce(F.col("raw") > threshold, F.lit(False))
+    rows = smooth.select(*by, "r", "c", F.coalesce("v", F.lit(float("-inf"))).alias("s"), mask.alias("mask"), F.when(mask, F.col("v")).alias("v"))
+    rows = with_maxima(rows, by, distance, height, width).drop("v")
+
+    @F.pandas_udf("array<long>")
+    def labels_of(r: pd.Series, c: pd.Series, s: pd.Series, mask: pd.Series, seed: pd.Series) -> pd.Series:
+        out = []
+        for y, x, values, open_, number in zip(r, c, s, mask, seed, strict=True):
+            y, x = y - y.min(), x - x.min()
+            level, inside = np.full((y.max() + 1, x.max() + 1), -np.inf), np.zeros((y.max() + 1, x.max() + 1), bool)
+            level[y, x], inside[y, x] = values, open_
+            at = np.flatnonzero(number)
+            at = at[np.lexsort((x[at], y[at], -values[at]))]
+            numbers = number[at] if pieces else np.arange(1, len(at) + 1)
+            found = flood(level, inside, list(zip(y[at].tolist(), x[at].tolist(), numbers.tolist(), strict=True)))[y, x]
+            names, of, sizes = np.unique(found, return_inverse=True, return_counts=True)
+            out.append(np.where(sizes >= least, names, 0)[of])
+        return pd.Series(out)
+
+    def flooded(pixels: DataFrame, keys: list[str]) -> DataFrame:
+        whole = pixels.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "s", "mask", "seed")).alias("px"))
+        told = whole.withColumn("labels", labels_of(*[F.col(f"px.{n}") for n in ("r", "c", "s", "mask", "seed")]))
+        return told.select(*by, F.inline(F.transform("px", lambda t, i: F.struct(t["r"].alias("r"), t["c"].alias("c"), F.get("labels", i).alias("label")))))
+
+    if not pieces:
+        return flooded(rows.withColumn("seed", F.col("peak").cast("long")), by)
+    rows = stored(rows)
+    numbered = in_order(rows.where("peak").select(*by, "r", "c", F.struct((-F.col("s")).alias("s"), "r", "c").alias("key")), by, "key")
+    before = carried(numbered, by, before=(F.count(F.lit(1)), "sum"))
+    nth = F.row_number().over(Window.partitionBy("part", *by).orderBy("key"))
+    seeds = beside(numbered.withColumn("nth", nth), before, ["part", *by]).select(*by, "r", "c", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("seed"))
+    connected = connected_pixels(rows.where("mask").select(*by, "r", "c", "s", "mask"), by, width)
+    seeded = connected.join(seeds, [*by, "r", "c"], "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
+    return flooded(seeded, [*by, "component"]).unionByName(rows.where("NOT mask").select(*by, "r", "c", F.lit(0).cast("long").alias("label")))
 
 
 def segment_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -66,20 +159,31 @@ def vegetated_segments(pixels: DataFrame, by: list[str], least: int, most: int,
     return out.where(F.col("pixels").between(least, most) & (F.col("overlap") >= overlap)).drop("veg")
 
 
-def map_x(row: Column, col: Column, t: tuple[float, float, float, float, float, float]) -> Column:
-    a, b, c, _, _, _ = t
-    return F.lit(a) * col + F.lit(b) * row + F.lit(c)
-
-
-def map_y(row: Column, col: Column, t: tuple[float, float, float, float, float, float]) -> Column:
-    _, _, _, d, e, f = t
-    return F.lit(d) * col + F.lit(e) * row + F.lit(f)
-
-
-def outlines(labels: DataFrame, by: list[str], transform: tuple[float, float, float, float, float, float]) -> DataFrame:
+def outlines(labels: DataFrame, by: list[str], transform: Affine) -> DataFrame:
     """Per segment its box in map units, area and the box as WKT."""
     box = labels.where("label > 0").groupBy(*by, "label").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("pixels"))
     x0, y0 = map_x(F.col("r0"), F.col("c0"), transform), map_y(F.col("r0"), F.col("c0"), transform)
     x1, y1 = map_x(F.col("r1") + 1, F.col("c1") + 1, transform), map_y(F.col("r1") + 1, F.col("c1") + 1, transform)
-    out = box.select(*by, "label", F.least(x0, x1).alias("minx"), F.least(y0, y1).alias("miny"), F.greatest(x0, x1).alias("maxx"), F.greatest(y0, y1).alias("maxy"), (F.col("pixels") * F.lit(abs(transform[0] * transform[4]))).alias("area_m2"))
+    out = box.select(*by, "label", F.least(x0, x1).alias("minx"), F.least(y0, y1).alias("miny"), F.greatest(x0, x1).alias("maxx"), F.greatest(y0, y1).alias("maxy"), (F.col("pixels") * F.lit(pixel_area(transform))).alias("area_m2"))
     return out.withColumn("wkt", F.format_string("POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))", "minx", "miny", "maxx", "miny", "maxx", "maxy", "minx", "maxy", "minx", "miny"))
+
+
+def box_features(boxes: DataFrame, zone: int | None = None, north: bool = True) -> DataFrame:
+    """``boxes`` (minx, miny, maxx, maxy in map units) with ``feature``, a GeoJSON feature of the polygon.
+
+    Its properties are those of score, area_m2 and label that there are. With a UTM zone the corners are put in degrees.
+    """
+    corner = lambda x, y: (lambda p: F.array(p["lon"], p["lat"]))(from_utm(F.col(x), F.col(y), zone, north)) if zone else F.array(F.col(x), F.col(y))
+    ring = F.array(*[corner(x, y) for x, y in (("minx", "miny"), ("maxx", "miny"), ("maxx", "maxy"), ("minx", "maxy"), ("minx", "miny"))])
+    shown = [c for c in ("score", "area_m2", "label") if c in boxes.columns]
+    properties = F.struct(*shown) if shown else F.create_map().cast("map<string,string>")
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return boxes.withColumn("feature", F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), properties.alias("properties"))))
+
+
+def map_boxes(boxes: DataFrame, transform: Affine) -> DataFrame:
+    """Detected boxes (xmin, ymin, xmax, ymax in pixels) in map units, as minx, miny, maxx, maxy; other columns stay."""
+    x0, y0 = map_x(F.col("ymin"), F.col("xmin"), transform), map_y(F.col("ymin"), F.col("xmin"), transform)
+    x1, y1 = map_x(F.col("ymax"), F.col("xmax"), transform), map_y(F.col("ymax"), F.col("xmax"), transform)
+    made = {"minx": F.least(x0, x1), "miny": F.least(y0, y1), "maxx": F.greatest(x0, x1), "maxy": F.greatest(y0, y1)}
+    return boxes.withColumns(made).drop("xmin", "ymin", "xmax", "ymax")

@@ -1,11 +1,16 @@
 """Overlapping tiles, neighbourhoods and resampling of pixel tables."""
 
 from collections.abc import Callable
+from functools import reduce
+from math import exp, pi
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.mapping import Affine, inverse, map_x, map_y, to_utm
+
 
 def tiles(df: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
     """Every pixel once per tile that covers it: tile_r, tile_c, and its place in the tile."""
@@ -18,14 +23,22 @@ def tiles(df: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
     return out.withColumns({"r": F.col("row") - F.col("tile_r") * step, "c": F.col("col") - F.col("tile_c") * step})
 
 
-def predict_tiles(df: DataFrame, predict: Callable[[pd.DataFrame], pd.Series], bands: list[str], size: int = 256, overlap: int = 64, threshold: float = 0.5) -> DataFrame:
+def patch(tile: pd.DataFrame, bands: list[str], size: int) -> np.ndarray:
+    """(bands, size, size) of a tile's rows; where the picture ends or has no value, zero."""
+    out = np.zeros((len(bands), size, size))
+    out[:, tile["r"], tile["c"]] = tile[bands].fillna(0.0).to_numpy().T
+    return out
+
+
+def predict_tiles(df: DataFrame, predict: Callable[[np.ndarray], np.ndarray], bands: list[str], size: int = 256, overlap: int = 64, threshold: float = 0.5) -> DataFrame:
     """Mean over the tiles of a model's probability per pixel, and whether it is above the threshold.
 
-    ``predict`` gets a tile's rows (r, c and bands) and returns a probability for each.
+    ``predict`` gets a whole tile (bands, size, size), padded with zeros, and returns its logits (size, size).
     """
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"row": tile["row"], "col": tile["col"], "p": predict(tile)})
+        logits = predict(patch(tile, bands, size))[tile["r"], tile["c"]]
+        return pd.DataFrame({"row": tile["row"], "col": tile["col"], "p": 1 / (1 + np.exp(-logits))})
 
     part = tiles(df.select("row", "col", *bands), size, overlap).groupBy("tile_r", "tile_c").applyInPandas(run, "row long, col long, p double")
     return averaged(part, threshold)
@@ -35,10 +48,30 @@ def averaged(parts: DataFrame, threshold: float = 0.5) -> DataFrame:
     return parts.groupBy("row", "col").agg(F.avg("p").alias("probability")).withColumn("canopy", (F.col("probability") > threshold).cast("int"))
 
 
+def detect_tiles(df: DataFrame, detect: Callable[[np.ndarray], pd.DataFrame], bands: list[str], size: int = 400, overlap: float = 0.05, score_threshold: float = 0.4) -> DataFrame:
+    """Boxes (xmin, ymin, xmax, ymax in pixels, score, label) that a detector finds in tiles, of a sufficient score.
+
+    ``detect`` gets a whole tile (bands, size, size), padded with zeros, and returns boxes in the tile's pixels. Of
+    tiles that overlap, the one in whose inner half of the overlap a box's centre lies keeps it, so none counts twice.
+    """
+    shared = int(size * overlap)
+    step = size - shared
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        r, c = int(tile["tile_r"].iloc[0]), int(tile["tile_c"].iloc[0])
+        found = detect(patch(tile, bands, size))
+        x, y = (found["xmin"] + found["xmax"]) / 2, (found["ymin"] + found["ymax"]) / 2
+        own = (found["score"] >= score_threshold) & (x < size - shared / 2) & (y < size - shared / 2)
+        own &= ((c == 0) | (x >= shared / 2)) & ((r == 0) | (y >= shared / 2))
+        found = found[own]
+        return pd.DataFrame({"xmin": found["xmin"] + c * step, "ymin": found["ymin"] + r * step, "xmax": found["xmax"] + c * step, "ymax": found["ymax"] + r * step, "score": found["score"], "label": found["label"]})
+
+    part = tiles(df.select("row", "col", *bands), size, shared)
+    return part.groupBy("tile_r", "tile_c").applyInPandas(run, "xmin double, ymin double, xmax double, ymax double, score double, label string")
+
+
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     """(offset, weight) of a Gaussian cut at truncate sigmas."""
-    from math import exp
-
     radius = int(truncate * sigma + 0.5)
     raw = [(i, exp(-0.5 * (i / sigma) ** 2)) for i in range(-radius, radius + 1)]
     total = sum(w for _, w in raw)
@@ -53,46 +86,121 @@ def reflected(i: Column, n: Column | int) -> Column:
 
 
 def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float = 1.5) -> DataFrame:
-    """Gaussian smoothing of v on full grids (by, r, c, v), as two passes that send each value to its neighbours.
+    """Gaussian smoothing of v on full grids (by, r, c, v); other columns of df stay.
 
-    A target takes its mirrored neighbours, so a pass joins offsets on the target and looks its source up.
+    Each column, then each row of a grid becomes one array, over which the kernel slides; a value whose
+    neighbourhood has a NULL is NULL.
     """
     kernel = gaussian_kernel(sigma)
-    spark = df.sparkSession
-    table = F.broadcast(spark.createDataFrame(kernel, "o long, w double"))  # 2 * radius + 1 rows
+    radius = len(kernel) // 2
 
     def one(x: DataFrame, axis: str, n: int) -> DataFrame:
-        other = "c" if axis == "r" else "r"
-        wanted = x.select(*by, "r", "c").crossJoin(table).withColumn("s", reflected(F.col(axis) + F.col("o"), n))
-        source = x.select(*by, F.col(axis).alias("s"), other, "v")
-        return wanted.join(source, [*by, "s", other]).groupBy(*by, "r", "c").agg(F.when(F.count(F.lit(1)) == F.count("v"), F.sum(F.col("v") * F.col("w"))).alias("v"))
+        line = [*by, "c" if axis == "r" else "r"]
+        rest = [c for c in x.columns if c not in line]
+        out = x.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line"))
+        mirrored = F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(F.col("line"), reflected(i, n))["v"])
+        out = out.withColumn("wide", mirrored)
+        slide = lambda i: reduce(lambda a, b: a + b, [F.get("wide", i + o + radius) * F.lit(w) for o, w in kernel])
+        cells = F.transform("line", lambda t: F.struct(*[slide(t[axis].cast("int")).alias("v") if c == "v" else t[c].alias(c) for c in rest]))
+        return out.select(*line, F.inline(cells))
 
-    return one(one(df, "r", height), "c", width)
+    return one(one(df, "r", height), "c", width).select(*df.columns)
 
 
-def local_maxima(df: DataFrame, by: list[str], distance: int) -> DataFrame:
-    """Pixels of full grids with the largest v within ``distance`` in both directions; of equal ones the first by r, then c.
+def with_maxima(df: DataFrame, by: list[str], distance: int, height: int, width: int, exclude_border: bool = True) -> DataFrame:
+    """``df`` with ``peak``: whether v is the largest within ``distance`` in both directions; of equal ones the first by r, then c.
 
     Pixels without a value are no maxima, but stay for the second pass, which reads what the first left at them.
+    Nearer than ``distance`` to the border there are no peaks, unless it isn't excluded.
     """
     best = F.when(F.col("v").isNotNull(), F.struct("v", (-F.col("r")).alias("nr"), (-F.col("c")).alias("nc")))
     near = lambda keep, order: Window.partitionBy(*by, keep).orderBy(order).rangeBetween(-distance, distance)
     out = df.withColumn("best", best).withColumn("m", F.max("best").over(near("r", "c"))).withColumn("m", F.max("m").over(near("c", "r")))
-    return out.where("m = best").select(*by, "r", "c", "v")
+    inside = F.col("r").between(distance, height - 1 - distance) & F.col("c").between(distance, width - 1 - distance)
+    peak = F.coalesce(F.col("m") == F.col("best"), F.lit(False))
+    return out.withColumn("peak", peak & inside if exclude_border else peak).drop("best", "m")
 
 
-def resampled(df: DataFrame, by: list[str], height: int, width: int, new_height: int, new_width: int, method: str = "bilinear") -> DataFrame:
-    """Full grids (by, r, c, v) on another number of rows and columns; an unknown method is bilinear."""
-    spark = df.sparkSession
-    grid = spark.range(new_height * new_width).select((F.col("id") / new_width).cast("long").alias("nr"), (F.col("id") % new_width).alias("nc"))
-    centre = lambda x, old, new: (F.col(x) + F.lit(0.5)) * F.lit(old / new) - F.lit(0.5)
-    y, x = centre("nr", height, new_height), centre("nc", width, new_width)
+def local_maxima(df: DataFrame, by: list[str], distance: int, height: int, width: int, exclude_border: bool = True) -> DataFrame:
+    """The peaks of full grids (by, r, c, v)."""
+    return with_maxima(df, by, distance, height, width, exclude_border).where("peak").select(*by, "r", "c", "v")
+
+
+def _linear(d: Column) -> Column:
+    return F.greatest(F.lit(1.0) - d, F.lit(0.0))
+
+
+def _cubic(d: Column) -> Column:
+    inner, outer = F.lit(1.5) * d**3 - F.lit(2.5) * d**2 + F.lit(1.0), F.lit(-0.5) * d**3 + F.lit(2.5) * d**2 - F.lit(4.0) * d + F.lit(2.0)
+    return F.when(d <= 1, inner).when(d < 2, outer).otherwise(F.lit(0.0))
+
+
+def _lanczos(d: Column) -> Column:
+    sinc = lambda x: F.sin(F.lit(pi) * x) / (F.lit(pi) * x)
+    return F.when(d < 1e-12, F.lit(1.0)).when(d < 3, sinc(d) * sinc(d / F.lit(3.0))).otherwise(F.lit(0.0))
+
+
+#: by name, how far a kernel reaches and its weight at a distance; an unknown name is bilinear
+KERNELS: dict[str, tuple[int, Callable[[Column], Column]]] = {"bilinear": (1, _linear), "cubic": (2, _cubic), "lanczos": (3, _lanczos)}
+
+
+def sampled(df: DataFrame, by: list[str], height: int, width: int, targets: DataFrame, method: str = "bilinear") -> DataFrame:
+    """Values of full grids (by, r, c, v) at ``targets`` (nr, nc, y, x), whose y and x are places in pixels of the grids, 0 at the first centre.
+
+    Beyond the border a grid goes on with its border's values; a NULL under the kernel makes NULL.
+    """
     inside = lambda i, n: F.least(F.greatest(i.cast("long"), F.lit(0).cast("long")), F.lit(n - 1).cast("long"))
     if method == "nearest":
-        taps = grid.select("nr", "nc", inside(F.floor(y + F.lit(0.5)), height).alias("r"), inside(F.floor(x + F.lit(0.5)), width).alias("c"), F.lit(1.0).alias("w"))
+        taps = targets.select("nr", "nc", inside(F.floor(F.col("y") + F.lit(0.5)), height).alias("r"), inside(F.floor(F.col("x") + F.lit(0.5)), width).alias("c"), F.lit(1.0).alias("w"))
     else:
-        fy, fx = y - F.floor(y), x - F.floor(x)
-        corner = lambda dy, dx: F.struct(inside(F.floor(y) + dy, height).alias("r"), inside(F.floor(x) + dx, width).alias("c"), ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("w"))
-        taps = grid.select("nr", "nc", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("t")).select("nr", "nc", "t.*").groupBy("nr", "nc", "r", "c").agg(F.sum("w").alias("w"))
-    taps = taps.where("w > 0")
+        reach, weight = KERNELS.get(method, KERNELS["bilinear"])
+
+        def along(at: str, n: int) -> Column:
+            raw = F.transform(F.sequence(F.lit(1 - reach), F.lit(reach)), lambda k: F.struct(inside(F.floor(at) + k, n).alias("i"), weight(F.abs(F.col(at) - F.floor(at) - k)).alias("w")))
+            return raw
+
+        taps = targets.select("nr", "nc", along("y", height).alias("ys"), along("x", width).alias("xs"))
+        total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, t: s + t["w"])
+        taps = taps.withColumn("all", total("ys") * total("xs")).select("nr", "nc", "all", "xs", F.inline("ys")).withColumnsRenamed({"i": "r", "w": "wy"})
+        taps = taps.select("nr", "nc", "all", "r", "wy", F.inline("xs")).select("nr", "nc", "r", F.col("i").alias("c"), (F.col("wy") * F.col("w") / F.col("all")).alias("w"))
+        taps = taps.groupBy("nr", "nc", "r", "c").agg(F.sum("w").alias("w"))
+    taps = taps.where("w <> 0")
     return df.join(taps, ["r", "c"]).groupBy(*by, "nr", "nc").agg(F.when(F.count(F.lit(1)) == F.count("v"), F.sum(F.col("v") * F.col("w"))).alias("v")).withColumnsRenamed({"nr": "r", "nc": "c"})
+
+
+def grid_cells(df: DataFrame, height: int, width: int) -> DataFrame:
+    """(nr, nc) of a grid."""
+    return df.sparkSession.range(height * width).select((F.col("id") / width).cast("long").alias("nr"), (F.col("id") % width).alias("nc"))
+
+
+def resampled(df: DataFrame, by: list[str], height: int, width: int, new_height: int, new_width: int, method: str = "bilinear") -> DataFrame:
+    """Full grids (by, r, c, v) on another number of rows and columns over the same extent."""
+    centre = lambda x, old, new: (F.col(x) + F.lit(0.5)) * F.lit(old / new) - F.lit(0.5)
+    cells = grid_cells(df, new_height, new_width)
+    return sampled(df, by, height, width, cells.select("nr", "nc", centre("nr", height, new_height).alias("y"), centre("nc", width, new_width).alias("x")), method)
+
+
+def _covered(targets: DataFrame, height: int, width: int) -> DataFrame:
+    """Targets whose centre lies in the grids; others have no value."""
+    return targets.where(F.col("y").between(-0.5, height - 0.5) & F.col("x").between(-0.5, width - 0.5))
+
+
+def coregistered(df: DataFrame, by: list[str], height: int, width: int, transform: Affine, new_height: int, new_width: int, new_transform: Affine, method: str = "bilinear") -> DataFrame:
+    """Full grids on the grid of a reference in the same map system; reference pixels outside of them are left out."""
+    cells = grid_cells(df, new_height, new_width)
+    row, col = F.col("nr") + F.lit(0.5), F.col("nc") + F.lit(0.5)
+    mx, my = map_x(row, col, new_transform), map_y(row, col, new_transform)
+    back = inverse(transform)
+    places = cells.select("nr", "nc", (map_y(my, mx, back) - F.lit(0.5)).alias("y"), (map_x(my, mx, back) - F.lit(0.5)).alias("x"))
+    return sampled(df, by, height, width, _covered(places, height, width), method)
+
+
+def to_wgs84(df: DataFrame, by: list[str], height: int, width: int, transform: Affine, zone: int, north: bool, new_height: int, new_width: int, new_transform: Affine, method: str = "bilinear") -> DataFrame:
+    """Full grids in a UTM zone on a grid of longitudes and latitudes; pixels outside of them are left out."""
+    cells = grid_cells(df, new_height, new_width)
+    row, col = F.col("nr") + F.lit(0.5), F.col("nc") + F.lit(0.5)
+    here = cells.select("nr", "nc", to_utm(map_x(row, col, new_transform), map_y(row, col, new_transform), zone, north).alias("m"))
+    back = inverse(transform)
+    mx, my = F.col("m")["x"], F.col("m")["y"]
+    places = here.select("nr", "nc", (map_y(my, mx, back) - F.lit(0.5)).alias("y"), (map_x(my, mx, back) - F.lit(0.5)).alias("x"))
+    return sampled(df, by, height, width, _covered(places, height, width), method)
