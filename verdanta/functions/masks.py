@@ -49,3 +49,8 @@ def apply_mask(df: DataFrame, mask: Column, bands: list[str]) -> DataFrame:
 def cloud_fraction(mask: Column) -> Column:
     """Aggregate: share of invalid pixels."""
     return F.avg(F.when(mask, 0.0).otherwise(1.0))
+
+
+def ndvi_or_zero(nir: Column, red: Column) -> Column:
+    """NDVI for masks of segments: 0 where both bands together aren't above 0."""
+    return F.when(nir + red > 0, (nir - red) / (nir + red + F.lit(1e-9))).otherwise(F.lit(0.0))

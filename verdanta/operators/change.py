@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indices import ndvi
 
+#: NDVI from which a class begins, and the class of nodata: fixed values
 CLASSES = {"sparse": 0.10, "moderate": 0.25, "dense": 0.45}
 NODATA_CLASS = 255
 NAMES = ["bare", "sparse", "moderate", "dense"]
@@ -122,6 +123,18 @@ def summary(pairs: DataFrame, pixel_area: float, threshold: float = 0.35, crown_
     )
 
 
+def report(summary: DataFrame, matrix: DataFrame, vectors: DataFrame, pixel_area: float, **labels: str) -> DataFrame:
+    """One row with ``report``, a JSON text of the labels, a summary, change vectors and transitions; hectares to four places."""
+    ha = lambda kind: F.bround(F.count(F.when(F.col("change_type") == kind, 1)) * F.lit(pixel_area) / F.lit(10000.0), 4)
+    cva = vectors.agg(F.struct(ha(1).alias("gain_ha"), ha(2).alias("loss_ha"), F.bround(F.max("threshold"), 4).alias("threshold_magnitude")).alias("cva"))
+    net = net_change(matrix).agg(F.struct(*[F.bround(F.sum(F.when(F.col("class") == k, F.col("net_ha"))), 4).alias(n) for k, n in enumerate(NAMES)]).alias("net_change_ha"))
+    forest = forest_change(matrix).select(*[F.bround(c, 4).alias(c) for c in ("forest_gain_ha", "forest_loss_ha")])
+    # one row each
+    parts = summary.select(F.struct("*").alias("summary")).crossJoin(cva).crossJoin(forest).crossJoin(net)
+    pcc = F.struct("forest_gain_ha", "forest_loss_ha", "net_change_ha").alias("pcc")
+    return parts.select(F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in labels.items()], "summary", "cva", pcc)).alias("report"))
+
+
 #: biome, mean crown area and its deviation in square metres: fixed values
 BIOMES = [("tropical_wet", 40.0, 20.0), ("tropical_dry", 25.0, 12.0), ("subtropical", 20.0, 10.0), ("temperate", 18.0, 8.0), ("boreal", 12.0, 5.0), ("urban", 15.0, 8.0)]
 

@@ -96,21 +96,105 @@ def wms_url(base: str, layer: str, bbox: Column, width: int = 512, height: int =
     return F.concat(F.lit(f"{base}?SERVICE=WMS&VERSION=1.1.1&REQUEST=GetMap&LAYERS={layer}&BBOX="), corners, F.lit(f"&WIDTH={width}&HEIGHT={height}&FORMAT=image/png&SRS=EPSG:4326"))
 
 
+#: dataset of each Landsat (8 and 9 share one), and which file code holds which band: fixed values
+DATASETS = {"L9": "landsat_ot_c2_l2", "L8": "landsat_ot_c2_l2", "L7": "landsat_etm_c2_l2", "L5": "landsat_tm_c2_l2"}
+LATER = {"blue": "SR_B2", "green": "SR_B3", "red": "SR_B4", "nir": "SR_B5", "swir1": "SR_B6", "swir2": "SR_B7", "qa": "QA_PIXEL"}
+EARLIER = {"blue": "SR_B1", "green": "SR_B2", "red": "SR_B3", "nir": "SR_B4", "swir1": "SR_B5", "swir2": "SR_B7", "qa": "QA_PIXEL"}
+SAFE_BANDS = ["B02", "B03", "B04", "B05", "B06", "B07", "B08", "B8A", "B11", "B12"]
+
+
+def search_landsat(scenes: DataFrame, satellite: str, bounds: tuple[int, int, int, int] | None = None, start: str | None = None, end: str | None = None, max_cloud: float = 30.0, max_results: int = 20) -> DataFrame:
+    """At most ``max_results`` scenes of the satellite's dataset, the earliest first; the cloud limit is inclusive."""
+    found = collection(scenes.where(F.col("dataset") == DATASETS[satellite]), bounds, start, end, max_cloud, inclusive=True)
+    return found.orderBy("acquired", "scene_id").limit(max_results)
+
+
 def band_files(paths: DataFrame) -> DataFrame:
     """(path) with the band code in its file name (``_B04_``, ``_SR_B4`` or at the end) and the scene before it."""
     name = F.regexp_extract("path", r"([^/]+)\.(?i:tif|jp2)$", 1)
     return paths.select("path", F.regexp_extract(name, r"_((?:SR_|ST_)?B[0-9]{1,2}A?)(?:_|$)", 1).alias("band"), F.regexp_extract(name, r"^(.*?)_(?:SR_|ST_)?B[0-9]", 1).alias("scene")).where("band <> ''")
 
 
-def crown_scene(spark: SparkSession, height: int, width: int, crowns: DataFrame, base: float = 0.09) -> DataFrame:
+def _in_folder(paths: DataFrame) -> DataFrame:
+    split = F.regexp_extract("path", r"^(.*)/([^/]+)\.([A-Za-z0-9]+)$", 1), F.regexp_extract("path", r"([^/]+)\.[A-Za-z0-9]+$", 1), F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
+    return paths.select("path", split[0].alias("folder"), split[1].alias("stem"), split[2].alias("ending"))
+
+
+def landsat_band_files(paths: DataFrame, satellite: str = "L8") -> DataFrame:
+    """(folder, band, path) of extracted scenes: the first file whose name holds the band's code, ``TIF`` before ``tif``, then by path."""
+    codes = LATER if satellite in ("L8", "L9") else EARLIER
+    band = F.explode(F.filter(F.array(*[F.when(F.contains("stem", F.lit(code)), F.lit(name)) for name, code in codes.items()]), lambda b: b.isNotNull()))
+    files = _in_folder(paths).where(F.col("ending").isin("TIF", "tif")).select("folder", band.alias("band"), "path", "ending")
+    return files.groupBy("folder", "band").agg(F.min(F.struct("ending", "path")).alias("first")).select("folder", "band", "first.path")
+
+
+def safe_band_files(paths: DataFrame) -> DataFrame:
+    """(product, band, path) of SAFE folders: the last file by path whose name holds ``_B04_`` or ends in ``_B04``, of the 10 m and 20 m bands."""
+    files = _in_folder(paths).where("ending = 'jp2'").select("path", F.regexp_extract("path", r"^(.*?\.SAFE)(?:/|$)", 1).alias("product"), "stem")
+    hit = lambda b: F.contains("stem", F.lit(f"_{b}_")) | F.endswith("stem", F.lit(f"_{b}"))
+    band = F.explode(F.filter(F.array(*[F.when(hit(b), F.lit(b)) for b in SAFE_BANDS]), lambda b: b.isNotNull()))
+    return files.select("product", band.alias("band"), "path").groupBy("product", "band").agg(F.max("path").alias("path"))
+
+
+def save_first(primary: DataFrame, secondary: DataFrame, on: list[str], order: list[str]) -> DataFrame:
+    """``primary`` with the first match of ``secondary`` in its order; rows without a match go."""
+    rest = [c for c in secondary.columns if c not in on]
+    first = secondary.groupBy(*on).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first"))
+    return primary.join(first, on).select(*primary.columns, *[F.col("first")[c].alias(c) for c in rest])
+
+
+def band_stack(bands: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """One row per pixel from one row per pixel and band (by, band, v); a band that a pixel hasn't is NULL."""
+    return bands.groupBy(*by).pivot("band", names).agg(F.first("v", ignorenulls=True))
+
+
+#: the layers of forest change that are used: fixed values
+HANSEN = ["treecover2000", "loss", "lossyear", "gain"]
+
+
+def hansen_layers(df: DataFrame, by: list[str]) -> DataFrame:
+    return df.select(*by, *HANSEN)
+
+
+def loss_by_year(df: DataFrame, pixel_area: float, cover: int = 30) -> DataFrame:
+    """Hectares lost by year (2000 and the layer's number) where tree cover in 2000 was at least ``cover`` per cent."""
+    lost = df.where((F.col("loss") == 1) & (F.col("treecover2000") >= cover))
+    return lost.groupBy((F.col("lossyear") + 2000).alias("year")).agg((F.count(F.lit(1)) * F.lit(pixel_area) / F.lit(10000.0)).alias("loss_ha"))
+
+
+def write_pixels(df: DataFrame, path: str, tile: int = 512, nodata: float | None = None) -> None:
+    """Pixels (scene_id, row, col, bands) as Parquet by scene and tile, so that readers of either skip the rest; NaN and nodata become NULL."""
+    bands = [c for c, t in df.dtypes if t in ("double", "float") and c not in ("row", "col")]
+    out = nodata_to_null(df, bands, nodata).withColumns({"tile_r": F.expr(f"row div {tile}"), "tile_c": F.expr(f"col div {tile}")})
+    # a tile's rows meet in one task, a scene's tiles spread over many
+    out.repartition("scene_id", "tile_r", "tile_c").sortWithinPartitions("scene_id", "tile_r", "tile_c", "row", "col").write.mode("overwrite").partitionBy("scene_id", "tile_r", "tile_c").parquet(path)
+
+
+def read_pixels(spark: SparkSession, path: str, names: list[str], indices: list[int] | None = None) -> DataFrame:
+    """Pixels with the bands at 1-based ``indices`` of ``names``; without indices, or with none, all of them."""
+    wanted = [names[i - 1] for i in indices] if indices else names
+    return spark.read.parquet(path).select("scene_id", "row", "col", *wanted)
+
+
+def crown_scene(spark: SparkSession, height: int, width: int, crowns: DataFrame, base: float = 0.09, patches: DataFrame | None = None, noise: Column | None = None) -> DataFrame:
     """NDVI of a grid with Gaussian crowns (r, c, peak, sigma); the crowns near a pixel are found by cells, not by a cross join.
 
-    A crown reaches six sigma; beyond that its part is below 2e-8 of its peak and counts as nothing.
+    A crown reaches six sigma; beyond that its part is below 2e-8 of its peak and counts as nothing. ``noise`` of row
+    and col is added before values are cut to 0 and 1. Then ``patches`` (r, c, height, width, low, high), as of loss
+    and regrowth, put a slope from low to high over their rows; of patches that overlap, the higher one counts.
     """
     grid = spark.range(height * width).select((F.col("id") / width).cast("long").alias("row"), (F.col("id") % width).alias("col"))
     reach = F.ceil(F.lit(6.0) * F.col("sigma")).cast("long")
-    seq = lambda x, most: F.sequence(F.greatest(F.col(x).cast("long") - reach, F.lit(0).cast("long")), F.least(F.col(x).cast("long") + reach, F.lit(most - 1).cast("long")))
-    near = crowns.withColumn("row", F.explode(seq("r", height))).withColumn("col", F.explode(seq("c", width)))
+    seq = lambda first, last, most: F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(most - 1).cast("long")))
+    around = lambda x, most: seq(F.col(x).cast("long") - reach, F.col(x).cast("long") + reach, most)
+    near = crowns.withColumn("row", F.explode(around("r", height))).withColumn("col", F.explode(around("c", width)))
     d2 = (F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
     lit = near.groupBy("row", "col").agg(F.sum(F.col("peak") * F.exp(-d2 / (F.lit(2.0) * F.col("sigma") * F.col("sigma")))).alias("crown"))
-    return grid.join(lit, ["row", "col"], "left").select("row", "col", F.least(F.lit(base) + F.coalesce("crown", F.lit(0.0)), F.lit(1.0)).alias("ndvi"))
+    value = F.lit(base) + F.coalesce("crown", F.lit(0.0)) + (F.lit(0.0) if noise is None else noise)
+    out = grid.join(lit, ["row", "col"], "left").select("row", "col", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("ndvi"))
+    if patches is None:
+        return out
+    inside = patches.withColumn("row", F.explode(seq(F.col("r"), F.col("r") + F.col("height") - 1, height))).withColumn("col", F.explode(seq(F.col("c"), F.col("c") + F.col("width") - 1, width)))
+    put = F.col("low") + (F.col("high") - F.col("low")) * (F.col("row") - F.col("r")) / F.greatest(F.col("height") - 1, F.lit(1))
+    over = inside.groupBy("row", "col").agg(F.max(put).alias("put"))
+    return out.join(over, ["row", "col"], "left").select("row", "col", F.when(F.col("put").isNull(), F.col("ndvi")).otherwise(F.least(F.greatest("put", F.lit(0.0)), F.lit(1.0))).alias("ndvi"))
