@@ -1,13 +1,15 @@
 """Hand-worked cases: nodata, zero denominators, equal thresholds, ties, empty tables, and properties."""
 
 import heapq
+import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from verdanta.functions import indices, masks, radiometry
+from verdanta.functions import indices, mapping, masks, radiometry
 from verdanta.operators import change, crowns, stats, tiles
 from verdanta.sources import imagery
 from verdanta.streaming.arrivals import event_window_counts
@@ -128,13 +130,38 @@ def test_smoothing_is_a_mirrored_convolution(spark):
 
 def test_tiles_then_mean_is_identity(spark):
     df = spark.createDataFrame([(r, c, float(r * 20 + c)) for r in range(20) for c in range(20)], "row long, col long, nir double")
-    got = tiles.predict_tiles(df, lambda t: t["nir"], ["nir"], 8, 3).collect()
-    assert len(got) == 400 and all(r["probability"] == pytest.approx(r["row"] * 20 + r["col"]) for r in got)
+
+    def logits(tile):
+        assert tile.shape == (1, 8, 8)
+        return tile[0] / 400
+
+    got = tiles.predict_tiles(df, logits, ["nir"], 8, 3).collect()
+    assert len(got) == 400 and all(r["probability"] == pytest.approx(1 / (1 + math.exp(-(r["row"] * 20 + r["col"]) / 400))) for r in got)
+    assert all(r["canopy"] == (r["probability"] > 0.5) for r in got)
     with pytest.raises(ValueError):
         tiles.tiles(df, 8, 8)
 
 
-def test_watershed_against_a_plain_loop(spark):
+def test_detected_boxes_count_once_and_by_score(spark):
+    df = spark.createDataFrame([(r, c, float((r * 7 + c * 3) % 10)) for r in range(30) for c in range(25)], "row long, col long, nir double")
+
+    def detect(tile):
+        r, c = np.nonzero(tile[0] > 0)
+        return pd.DataFrame({"xmin": c - 0.5, "ymin": r - 0.5, "xmax": c + 1.5, "ymax": r + 1.5, "score": tile[0][r, c] / 10, "label": "Tree"})
+
+    got = tiles.detect_tiles(df, detect, ["nir"], 12, 0.35, 0.4)
+    want = sorted((c - 0.5, r - 0.5, ((r * 7 + c * 3) % 10) / 10) for r in range(30) for c in range(25) if (r * 7 + c * 3) % 10 >= 4)
+    assert sorted((r["xmin"], r["ymin"], r["score"]) for r in got.collect()) == want
+    placed = one(crowns.map_boxes(got.where("xmin = 0.5 and ymin = 2.5"), (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)))
+    assert (placed["minx"], placed["miny"], placed["maxx"], placed["maxy"]) == (101.0, 41.0, 105.0, 45.0) and placed["label"] == "Tree"
+    none = tiles.detect_tiles(df.where("row < 0"), detect, ["nir"], 12, 0.35, 0.4)
+    assert none.count() == 0 and none.columns == ["xmin", "ymin", "xmax", "ymax", "score", "label"]
+
+
+@pytest.mark.parametrize("tile", [512, 5])
+def test_watershed_against_a_plain_loop(spark, monkeypatch, tile):
+    """Also where the grid is flooded by connected pieces that cross tiles."""
+    monkeypatch.setattr(crowns, "TILE", tile)
     v = np.random.default_rng(5).random((12, 12))
     got = np.zeros((12, 12), int)
     for r in crowns.watershed(grid_frame(spark, v), ["g"], 12, 12, pixel_size=1.0, min_area=0.0, threshold=0.4).collect():
@@ -144,7 +171,7 @@ def test_watershed_against_a_plain_loop(spark):
         smooth[r["r"], r["c"]] = r["v"]
     mask = v > 0.4
     masked = np.where(mask, smooth, -np.inf)
-    peaks = [(r, c) for r in range(12) for c in range(12) if mask[r, c] and (masked[r, c], -r, -c) == max((masked[y, x], -y, -x) for y in range(max(0, r - 3), min(12, r + 4)) for x in range(max(0, c - 3), min(12, c + 4)))]
+    peaks = [(r, c) for r in range(12) for c in range(12) if mask[r, c] and 3 <= r < 9 and 3 <= c < 9 and (masked[r, c], -r, -c) == max((masked[y, x], -y, -x) for y in range(max(0, r - 3), min(12, r + 4)) for x in range(max(0, c - 3), min(12, c + 4)))]
     peaks.sort(key=lambda p: (-smooth[p], p))
     want, heap, n = np.zeros((12, 12), int), [], 0
     for k, p in enumerate(peaks):
@@ -162,6 +189,109 @@ def test_watershed_against_a_plain_loop(spark):
     assert (got == want).all()
 
 
+def test_connected_pixels_across_tiles(spark):
+    rng = np.random.default_rng(8)
+    open_ = rng.random((23, 17)) < 0.6
+    px = spark.createDataFrame([(1, int(r), int(c)) for r, c in zip(*np.nonzero(open_), strict=True)], "g int, r long, c long")
+    want = np.where(open_, np.arange(open_.size).reshape(open_.shape), open_.size)
+    while True:
+        low = want.copy()
+        for a, b in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
+            low[a] = np.where(open_[a], np.minimum(low[a], low[b]), low[a])
+            low[b] = np.where(open_[b], np.minimum(low[b], low[a]), low[b])
+        if (low == want).all():
+            break
+        want = low
+    for tile in (4, 100):
+        got = crowns.connected_pixels(px, ["g"], 17, tile).collect()
+        assert len(got) == open_.sum() and all(r["component"] == want[r["r"], r["c"]] for r in got)
+
+
+def test_maxima_at_the_border(spark):
+    v = np.zeros((7, 7))
+    v[0, 3], v[3, 3], v[6, 0] = 9, 5, 7
+    peaks = lambda **how: {(r["r"], r["c"]) for r in tiles.local_maxima(grid_frame(spark, v), ["g"], 2, 7, 7, **how).where("v > 0").collect()}
+    assert peaks() == {(3, 3)} and peaks(exclude_border=False) == {(0, 3), (3, 3), (6, 0)}
+
+
+def test_colours_of_the_public_map(spark):
+    rows = spark.createDataFrame([(0.0,), (0.9,), (0.45,), (5.0,), (-1.0,)], "v double")
+    got = [tuple(r["x"]) for r in rows.select(radiometry.ndvi_rgba(F.col("v")).alias("x")).collect()]
+    assert got[:2] == [(165, 0, 38, 255), (0, 104, 55, 255)] and got[3:] == [got[1], got[0]]
+    assert got[2] == (254, 254, 189, 255)  # entry 128 of 256, just past the middle
+
+
+def test_utm_against_the_meridian_arc(spark):
+    a, f, k0 = 6378137.0, 1 / 298.257223563, 0.9996
+    e2 = f * (2 - f)
+    lat = np.radians(41.5)
+    steps = np.linspace(0, lat, 200_001)
+    m = a * (1 - e2) / (1 - e2 * np.sin(steps) ** 2) ** 1.5
+    arc = float(((m[1:] + m[:-1]) / 2 * np.diff(steps)).sum())
+    rows = spark.createDataFrame([(75.0, 41.5), (75.001, 41.5), (77.9, -33.0)], "lon double, lat double")
+    got = rows.select("lon", "lat", mapping.to_utm(F.col("lon"), F.col("lat"), 43).alias("m"), mapping.to_utm(F.col("lon"), F.col("lat"), 43, north=False).alias("s")).collect()
+    assert got[0]["m"]["x"] == pytest.approx(500000, abs=1e-6) and got[0]["m"]["y"] == pytest.approx(k0 * arc, abs=1e-3)
+    assert got[1]["m"]["x"] - 500000 == pytest.approx(k0 * a / math.sqrt(1 - e2 * math.sin(lat) ** 2) * math.cos(lat) * math.radians(0.001), abs=1e-4)
+    assert got[2]["s"]["y"] - got[2]["m"]["y"] == pytest.approx(1e7)
+    back = spark.createDataFrame([(r["m"]["x"], r["m"]["y"]) for r in got], "x double, y double").select(mapping.from_utm(F.col("x"), F.col("y"), 43).alias("p")).collect()
+    assert [tuple(r["p"]) for r in back] == [pytest.approx((r["lon"], r["lat"]), abs=1e-8) for r in got]
+
+
+@pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "lanczos", "other"])
+def test_resampling_keeps_planes_and_nodata(spark, method):
+    v = np.add.outer(np.arange(10.0), 2 * np.arange(10.0))
+    same = {(r["r"], r["c"]): r["v"] for r in tiles.coregistered(grid_frame(spark, v), ["g"], 10, 10, (2.0, 0.0, 5.0, 0.0, -2.0, 9.0), 4, 4, (2.0, 0.0, 11.0, 0.0, -2.0, 3.0), method).collect()}
+    assert same == {(r, c): pytest.approx(v[r + 3, c + 3]) for r in range(4) for c in range(4)}
+    half = tiles.coregistered(grid_frame(spark, v), ["g"], 10, 10, (2.0, 0.0, 5.0, 0.0, -2.0, 9.0), 3, 3, (2.0, 0.0, 12.0, 0.0, -2.0, 2.0), method).collect()
+    if method not in ("nearest", "lanczos"):
+        assert all(r["v"] == pytest.approx(r["r"] + 3.5 + 2 * (r["c"] + 3.5)) for r in half)
+    outside = tiles.coregistered(grid_frame(spark, v), ["g"], 10, 10, (2.0, 0.0, 5.0, 0.0, -2.0, 9.0), 2, 2, (2.0, 0.0, -50.0, 0.0, -2.0, 9.0), method)
+    assert outside.count() == 0
+    holed = grid_frame(spark, v).withColumn("v", F.when((F.col("r") == 5) & (F.col("c") == 5), None).otherwise(F.col("v")))
+    assert {r["v"] is None for r in tiles.resampled(holed, ["g"], 10, 10, 10, 10, "nearest").where("r = 5 and c = 5").collect()} == {True}
+
+
+def test_features_in_degrees(spark):
+    boxes = spark.createDataFrame([(500000.0, 4600000.0, 500010.0, 4600010.0, 0.5)], "minx double, miny double, maxx double, maxy double, score double")
+    feature = json.loads(one(crowns.box_features(boxes, zone=43))["feature"])
+    ring = feature["geometry"]["coordinates"][0]
+    assert feature["type"] == "Feature" and ring[0] == ring[4] and len(ring) == 5 and feature["properties"] == {"score": 0.5}
+    assert ring[0][0] == pytest.approx(75.0) and 41.5 < ring[0][1] < 41.6
+
+
+def test_percentiles_by_group_and_over_many_partitions(spark):
+    rng = np.random.default_rng(4)
+    rows = [(g, float(v)) for g in ("a", "b", None) for v in rng.normal(0, 1, 400).round(2)] + [("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    got = {r["g"]: r for r in stats.column_stats(df, "v", ["g"]).collect()}
+    for g in ("a", "b", None):
+        own = [v for k, v in rows if k == g]
+        assert got[g]["median"] == pytest.approx(np.median(own)) and got[g]["count"] == 400
+    assert got["c"]["median"] is None and got["c"]["count"] == 0
+    p = one(stats.percentiles(df, "v", {"p": 0.37}))["p"]
+    assert p == pytest.approx(np.percentile([v for _, v in rows if v is not None], 37))
+
+
+def test_band_files_and_first_matches(spark):
+    paths = spark.createDataFrame([(x,) for x in ("/d/a_SR_B2.tif", "/d/b_SR_B2.TIF", "/d/a_SR_B2.TIF", "/d/x_QA_PIXEL.TIF", "/d/readme.txt", "/d/a_SR_B4.TIF")], "path string")
+    got = lambda s: {(r["band"], r["path"]) for r in imagery.landsat_band_files(paths, s).collect()}
+    assert got("L9") == {("blue", "/d/a_SR_B2.TIF"), ("qa", "/d/x_QA_PIXEL.TIF"), ("red", "/d/a_SR_B4.TIF")}
+    assert got("L7") == {("green", "/d/a_SR_B2.TIF"), ("qa", "/d/x_QA_PIXEL.TIF"), ("nir", "/d/a_SR_B4.TIF")}
+    left = spark.createDataFrame([(1,), (2,), (2,)], "k int")
+    right = spark.createDataFrame([(2, 5, "late"), (2, 3, "first"), (3, 1, "other")], "k int, nr int, v string")
+    assert [tuple(r) for r in imagery.save_first(left, right, ["k"], ["nr"]).collect()] == [(2, 3, "first")] * 2
+
+
+def test_sink_keeps_pixels_and_prunes(spark, tmp_path):
+    df = spark.createDataFrame([(s, r, c, float(r * c), float("nan") if c == 3 else 1.0) for s in (1, 2) for r in range(6) for c in range(6)], "scene_id long, row long, col long, nir double, red double")
+    imagery.write_pixels(df, f"{tmp_path}/px", 4, 20.0)
+    assert sorted(p.name for p in (tmp_path / "px").iterdir() if p.is_dir()) == ["scene_id=1", "scene_id=2"]
+    back = imagery.read_pixels(spark, f"{tmp_path}/px", ["nir", "red"])
+    assert back.columns == ["scene_id", "row", "col", "nir", "red"] and back.count() == 72
+    assert back.where("red IS NULL").count() == 12 and back.where("nir IS NULL").count() == 4
+    assert imagery.read_pixels(spark, f"{tmp_path}/px", ["nir", "red"], [2]).columns == ["scene_id", "row", "col", "red"]
+
+
 def test_sources(spark):
     assert [r["sensor"] for r in imagery.recommend_sensors(spark, 10.0).collect()] == ["CARTOSAT-3-MX", "LISS-IV-MX", "LISS-III"]
     with pytest.raises(ValueError):

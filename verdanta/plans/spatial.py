@@ -1,10 +1,12 @@
 """Queries over statistics, catalogs, tiles, neighbourhoods and crowns, each with its SQL where SQL can say it."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import indices as ix
+from ..functions import mapping as mp
 from ..operators import crowns as cr
 from ..operators import stats as st
 from ..operators import tiles as ti
@@ -55,7 +57,7 @@ register(
 register(
     "sensor_recommend",
     lambda spark, d: im.recommend_sensors(spark, 10.0).select("sensor", "resolution_m"),
-    f"SELECT * FROM (VALUES {', '.join(repr((s, float(r))) for s, _, r, _, _, _ in im.SENSORS if s in ('CARTOSAT-3-MX', 'LISS-IV-MX', 'LISS-III'))}) t(sensor, resolution_m)",
+    "SELECT sensor, resolution_m FROM (VALUES ('LISS-III', 23.5::DOUBLE, true), ('LISS-IV-MX', 5.8::DOUBLE, true), ('LISS-IV-PAN', 5.8::DOUBLE, false), ('AWiFS', 56::DOUBLE, true), ('CARTOSAT-3-PAN', 0.25::DOUBLE, false), ('CARTOSAT-3-MX', 1::DOUBLE, true)) t(sensor, resolution_m, nir) WHERE nir AND resolution_m <= 5 * 10",
 )
 register("sensor_info", lambda spark, d: im.sensor_info(spark, "AWiFS").select("sensor", "satellite", "resolution_m", F.size("bands").alias("n_bands"), "revisit_days", "swath_km"), "SELECT 'AWiFS' AS sensor, 'Resourcesat-2/2A' AS satellite, 56::DOUBLE AS resolution_m, 4 AS n_bands, 5 AS revisit_days, 740 AS swath_km")
 
@@ -72,6 +74,24 @@ register(
     lambda spark, d: im.band_files(im.table(spark, d, "orders").select(F.format_string("/data/LC08_%d_SR_B%d.TIF", "o_orderkey", F.col("o_orderkey") % 7 + 1).alias("path"))),
     "SELECT '/data/LC08_' || o_orderkey || '_SR_B' || (o_orderkey % 7 + 1) || '.TIF' AS path, 'SR_B' || (o_orderkey % 7 + 1) AS band, 'LC08_' || o_orderkey AS scene FROM orders",
 )
+register(
+    "landsat_bands",
+    lambda spark, d: im.landsat_band_files(im.table(spark, d, "orders").select(F.format_string("/data/LC08_%d/LC08_%d_%s.%s", F.expr("o_orderkey div 7"), F.expr("o_orderkey div 7"), F.when(F.col("o_orderkey") % 11 == 0, "QA_PIXEL").otherwise(F.concat(F.lit("SR_B"), F.col("o_orderkey") % 8 + 1)), F.when(F.col("o_orderkey") % 3 == 0, "tif").otherwise("TIF")).alias("path"))),
+    """WITH f AS (SELECT '/data/LC08_' || o_orderkey // 7 AS folder, CASE WHEN o_orderkey % 11 = 0 THEN 'QA_PIXEL' ELSE 'SR_B' || (o_orderkey % 8 + 1) END AS code, CASE WHEN o_orderkey % 3 = 0 THEN 'tif' ELSE 'TIF' END AS ending, '/data/LC08_' || o_orderkey // 7 || '/LC08_' || o_orderkey // 7 || '_' || code || '.' || ending AS path FROM orders),
+    b(band, want) AS (VALUES ('blue', 'SR_B2'), ('green', 'SR_B3'), ('red', 'SR_B4'), ('nir', 'SR_B5'), ('swir1', 'SR_B6'), ('swir2', 'SR_B7'), ('qa', 'QA_PIXEL'))
+    SELECT folder, band, path FROM (SELECT *, row_number() OVER (PARTITION BY folder, band ORDER BY ending = 'tif', path) AS k FROM f JOIN b ON code = want) WHERE k = 1""",
+)
+register(
+    "safe_bands",
+    lambda spark, d: im.safe_band_files(im.table(spark, d, "orders").select(F.format_string("/s/P%d.SAFE/GRANULE/R%dm/T43_%s.jp2", F.expr("o_orderkey div 9"), F.col("o_orderkey") % 2 * 10 + 10, F.get(F.array(*[F.lit(x) for x in ("B02_10m", "B8A", "B09_60m", "B12_20m", "B04_10m")]), (F.col("o_orderkey") % 5).cast("int"))).alias("path"))),
+    """WITH f AS (SELECT '/s/P' || o_orderkey // 9 || '.SAFE' AS product, ['B02_10m', 'B8A', 'B09_60m', 'B12_20m', 'B04_10m'][o_orderkey % 5 + 1] AS name, '/s/P' || o_orderkey // 9 || '.SAFE/GRANULE/R' || (o_orderkey % 2 * 10 + 10) || 'm/T43_' || name || '.jp2' AS path FROM orders)
+    SELECT product, left(name, 3) AS band, max(path) AS path FROM f WHERE name <> 'B09_60m' GROUP BY 1, 2""",
+)
+register(
+    "bbox_centre",
+    lambda spark, d: im.table(spark, d, "nation").select("n_nationkey", mp.bbox_centre(F.struct((F.col("n_nationkey") * 2).alias("min_lon"), F.col("n_nationkey").alias("min_lat"), (F.col("n_nationkey") * 2 + 1).alias("max_lon"), (F.col("n_nationkey") + 1).alias("max_lat"))).alias("m")).select("n_nationkey", "m.lat", "m.lon"),
+    "SELECT n_nationkey, n_nationkey + 0.5::DOUBLE AS lat, n_nationkey * 2 + 0.5::DOUBLE AS lon FROM nation",
+)
 
 CROWNS = [(20.0, 20.0, 0.6, 3.0), (50.0, 70.0, 0.8, 4.5), (90.0, 30.0, 0.5, 2.0), (110.0, 110.0, 0.7, 5.0)]
 register(
@@ -81,6 +101,17 @@ register(
     SELECT "row", col, round(least(0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))) FILTER (WHERE abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma)), 0::DOUBLE), 1::DOUBLE), 6) AS ndvi FROM g CROSS JOIN k GROUP BY 1, 2""",
 )
 
+PATCHES = [(80, 82, 33, 33, 0.04, 0.13), (7, 7, 27, 27, 0.35, 0.8), (100, 100, 20, 40, 0.1, 0.1)]
+register(
+    "synthetic_change",
+    lambda spark, d: rounded(im.crown_scene(spark, 150, 150, spark.createDataFrame(CROWNS, "r double, c double, peak double, sigma double"), patches=spark.createDataFrame(PATCHES, "r long, c long, height long, width long, low double, high double"), noise=((F.col("row") * 7 + F.col("col") * 13) % 11 - 5) / 400.0), "ndvi"),
+    f"""WITH g AS (SELECT i // 150 AS "row", i % 150 AS col FROM (SELECT unnest(range(22500)) AS i)), k(r, c, peak, sigma) AS (VALUES {', '.join('(' + ', '.join(f'{x}::DOUBLE' for x in c) + ')' for c in CROWNS)}),
+    p(r, c, h, w, low, high) AS (VALUES {', '.join('(' + ', '.join(f'{x}::DOUBLE' if isinstance(x, float) else str(x) for x in c) + ')' for c in PATCHES)}),
+    v AS (SELECT "row", col, 0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))) FILTER (WHERE abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma)), 0::DOUBLE) + (("row" * 7 + col * 13) % 11 - 5) / 400::DOUBLE AS x FROM g CROSS JOIN k GROUP BY 1, 2),
+    o AS (SELECT "row", col, max(low + (high - low) * ("row" - r) / (h - 1)) AS put FROM g JOIN p ON "row" BETWEEN r AND r + h - 1 AND col BETWEEN c AND c + w - 1 GROUP BY 1, 2)
+    SELECT "row", col, round(coalesce(put, least(greatest(x, 0::DOUBLE), 1::DOUBLE)), 6) AS ndvi FROM v LEFT JOIN o USING ("row", col)""",
+)
+
 # tiles over the grid of the pixel table's composites
 SIZE, OVERLAP = 16, 4
 GRID = f'{vg.PIXELS}, grid AS (SELECT "row", col, avg(nir) AS nir, avg(red) AS red FROM pixels GROUP BY 1, 2)'
@@ -99,17 +130,32 @@ register(
 )
 
 
-def logistic(tile):
-    """A stand-in for a network: logistic in the bands, higher towards the tile's centre."""
-    return 1 / (1 + np.exp(-(4 * (tile["nir"] - tile["red"]) - 0.01 * (tile["r"] + tile["c"]))))
+def logits(tile: np.ndarray) -> np.ndarray:
+    """A stand-in for a network: linear in the bands, lower away from the tile's first pixel."""
+    r, c = np.indices(tile.shape[1:])
+    return 4 * (tile[0] - tile[1]) - 0.01 * (r + c)
 
 
 register(
     "tile_predict_avg",
-    lambda spark, d: rounded(ti.predict_tiles(ti.tiles(grid(spark, d), SIZE, OVERLAP).where("tile_r >= 0").select("row", "col", "nir", "red").distinct(), logistic, ["nir", "red"], SIZE, OVERLAP), "probability"),
+    lambda spark, d: rounded(ti.predict_tiles(grid(spark, d), logits, ["nir", "red"], SIZE, OVERLAP), "probability"),
     f'WITH {TILED} SELECT "row", col, round(avg(1 / (1 + exp(-(4::DOUBLE * (nir - red) - 0.01::DOUBLE * (r + c))))), 6) AS probability, (avg(1 / (1 + exp(-(4::DOUBLE * (nir - red) - 0.01::DOUBLE * (r + c))))) > 0.5)::INT AS canopy FROM tiled GROUP BY 1, 2',
 )
 
+
+def bright_boxes(tile: np.ndarray) -> pd.DataFrame:
+    """A stand-in for a detector: a box of one pixel wherever the bands differ."""
+    r, c = np.nonzero(tile[0] > tile[1])
+    return pd.DataFrame({"xmin": c, "ymin": r, "xmax": c + 1.0, "ymax": r + 1.0, "score": (tile[0] - tile[1])[r, c], "label": "Tree"}).astype({"xmin": float, "ymin": float})
+
+
+MAP = (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0)
+register(
+    "detect_boxes",
+    lambda spark, d: rounded(cr.map_boxes(ti.detect_tiles(grid(spark, d), bright_boxes, ["nir", "red"], SIZE, 0.25, 0.1), MAP), "score"),
+    f'WITH {GRID} SELECT col * 10::DOUBLE + 500000 AS minx, 4600000 - ("row" + 1) * 10::DOUBLE AS miny, (col + 1) * 10::DOUBLE + 500000 AS maxx, 4600000 - "row" * 10::DOUBLE AS maxy, round(nir - red, 6) AS score, \'Tree\' AS label FROM grid WHERE nir - red >= 0.1::DOUBLE',
+)
+
 # 8 x 8 grids: one per embedding
 GRIDS = "g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) t(i))"
 
@@ -129,8 +175,8 @@ def _smooth_sql(source: str) -> str:
 register("gauss_smooth", lambda spark, d: rounded(ti.smoothed(small_grids(spark, d), ["vec_id"], 8, 8), "v"), f"WITH {GRIDS}, {_smooth_sql('g')} SELECT vec_id, r, c, {vg.r6("v")} AS v FROM s2")
 register(
     "local_maxima",
-    lambda spark, d: rounded(ti.local_maxima(small_grids(spark, d), ["vec_id"], 2), "v"),
-    f"WITH {GRIDS} SELECT vec_id, r, c, {vg.r6("v")} AS v FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.vec_id = a.vec_id AND abs(b.r - a.r) <= 2 AND abs(b.c - a.c) <= 2 AND (b.v > a.v OR b.v = a.v AND (b.r < a.r OR b.r = a.r AND b.c < a.c)))",
+    lambda spark, d: rounded(ti.local_maxima(small_grids(spark, d), ["vec_id"], 2, 8, 8), "v"),
+    f"WITH {GRIDS} SELECT vec_id, r, c, {vg.r6("v")} AS v FROM g a WHERE r BETWEEN 2 AND 5 AND c BETWEEN 2 AND 5 AND NOT EXISTS (SELECT 1 FROM g b WHERE b.vec_id = a.vec_id AND abs(b.r - a.r) <= 2 AND abs(b.c - a.c) <= 2 AND (b.v > a.v OR b.v = a.v AND (b.r < a.r OR b.r = a.r AND b.c < a.c)))",
 )
 
 
@@ -140,7 +186,7 @@ def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # flooding by priority isn't expressible in SQL; the tests hold it against a plain loop
 register("crowns_watershed", crowns)
-register("crown_outlines", lambda spark, d: cr.outlines(crowns(spark, d), ["vec_id"], (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0)))
+register("crown_outlines", lambda spark, d: cr.outlines(crowns(spark, d), ["vec_id"], MAP))
 SEGMENTS = f"{GRIDS}, s AS (SELECT vec_id, r, c, v, (r // 3) * 3 + c // 3 + 1 AS label FROM g)"
 
 
@@ -161,11 +207,17 @@ register(
 )
 register(
     "segment_outlines",
-    lambda spark, d: cr.outlines(blocks(spark, d), ["vec_id"], (10.0, 0.0, 500000.0, 0.0, -10.0, 4600000.0)).drop("wkt"),
+    lambda spark, d: cr.outlines(blocks(spark, d), ["vec_id"], MAP).drop("wkt"),
     f"WITH {SEGMENTS} SELECT vec_id, label, 10::DOUBLE * min(c) + 500000 AS minx, -10::DOUBLE * (max(r) + 1) + 4600000 AS miny, 10::DOUBLE * (max(c) + 1) + 500000 AS maxx, -10::DOUBLE * min(r) + 4600000 AS maxy, count(*) * 100::DOUBLE AS area_m2 FROM s GROUP BY 1, 2",
 )
 _TARGET = "t AS (SELECT i // 12 AS nr, i % 12 AS nc, (i // 12 + 0.5::DOUBLE) * (8 / 12::DOUBLE) - 0.5::DOUBLE AS y, (i % 12 + 0.5::DOUBLE) * (8 / 12::DOUBLE) - 0.5::DOUBLE AS x FROM (SELECT unnest(range(144)) AS i))"
 _AT = lambda x, d: f"least(greatest(floor({x})::BIGINT + {d}, 0), 7)"
+register(
+    "crown_features",
+    lambda spark, d: cr.box_features(cr.outlines(blocks(spark, d), ["vec_id"], MAP)).select("vec_id", "feature"),
+    f"""WITH {SEGMENTS}, b AS (SELECT vec_id, label, 10::DOUBLE * min(c) + 500000 AS x0, -10::DOUBLE * (max(r) + 1) + 4600000 AS y0, 10::DOUBLE * (max(c) + 1) + 500000 AS x1, -10::DOUBLE * min(r) + 4600000 AS y1, count(*) * 100::DOUBLE AS area FROM s GROUP BY 1, 2)
+    SELECT vec_id, to_json({{'type': 'Feature', 'geometry': {{'type': 'Polygon', 'coordinates': [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}}, 'properties': {{'area_m2': area, 'label': label}}}})::VARCHAR AS feature FROM b""",
+)
 register(
     "resample_nearest",
     lambda spark, d: rounded(ti.resampled(small_grids(spark, d), ["vec_id"], 8, 8, 12, 12, "nearest"), "v"),
@@ -178,6 +230,52 @@ register(
     SELECT vec_id, nr AS r, nc AS c, {vg.r6("sum(v * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END))")} AS v
     FROM taps JOIN g ON g.r = {_AT('y', 'dy')} AND g.c = {_AT('x', 'dx')} GROUP BY 1, 2, 3""",
 )
+_WEIGHTS = {
+    "cubic": (2, lambda d: f"CASE WHEN {d} <= 1 THEN 1.5::DOUBLE * {d} ** 3 - 2.5::DOUBLE * {d} ** 2 + 1 WHEN {d} < 2 THEN -0.5::DOUBLE * {d} ** 3 + 2.5::DOUBLE * {d} ** 2 - 4 * {d} + 2 ELSE 0 END"),
+    "lanczos": (3, lambda d: f"CASE WHEN {d} < 1e-12::DOUBLE THEN 1 WHEN {d} < 3 THEN sin(pi() * {d}) / (pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d} / 3) ELSE 0 END"),
+    "bilinear": (1, lambda d: f"greatest(1 - {d}, 0)"),
+}
+
+
+def sampled_sql(targets: str, method: str) -> str:
+    """SQL that takes t(nr, nc, y, x) from the 8 x 8 grids."""
+    reach, weight = _WEIGHTS[method]
+    taps = f"unnest(range({1 - reach}, {reach + 1}))"
+    return f"""WITH {GRIDS}, {targets}, taps AS (SELECT nr, nc, y, x, dy, dx, {weight('abs(y - floor(y) - dy)')} AS wy, {weight('abs(x - floor(x) - dx)')} AS wx FROM t, {taps} a(dy), {taps} b(dx))
+    SELECT vec_id, nr AS r, nc AS c, {vg.r6("sum(v * wy * wx) / sum(wy * wx)")} AS v FROM taps JOIN g ON g.r = {_AT('y', 'dy')} AND g.c = {_AT('x', 'dx')} GROUP BY 1, 2, 3"""
+
+
+for _method in ("cubic", "lanczos"):
+    register(f"resample_{_method}", lambda spark, d, m=_method: rounded(ti.resampled(small_grids(spark, d), ["vec_id"], 8, 8, 12, 12, m), "v"), sampled_sql(_TARGET, _method))
+
+REFERENCE = (7.0, 0.0, 500005.0, 0.0, -7.0, 4599990.0)
+register(
+    "coregister",
+    lambda spark, d: rounded(ti.coregistered(small_grids(spark, d), ["vec_id"], 8, 8, MAP, 9, 9, REFERENCE, "cubic"), "v"),
+    sampled_sql("t AS (SELECT i // 9 AS nr, i % 9 AS nc, (4600000 - (4599990 - 7 * (i // 9 + 0.5::DOUBLE))) / 10 - 0.5::DOUBLE AS y, (500005 + 7 * (i % 9 + 0.5::DOUBLE) - 500000) / 10 - 0.5::DOUBLE AS x FROM (SELECT unnest(range(81)) AS i))", "cubic"),
+)
+
+# a grid of degrees that lies inside the map grid, in zone 43
+DEGREES, ZONE = (0.00012, 0.0, 75.00005, 0.0, -0.00009, 41.55165), 43
+
+
+def _utm_sql() -> str:
+    e = 2 * mp.N**0.5 / (1 + mp.N)
+    x, y = "eta", "xi"
+    for j, a in enumerate(mp.ALPHA, 1):
+        x += f" + {a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+        y += f" + {a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+    k = mp.SCALE * mp.RADIUS
+    return f"""d AS (SELECT i // 6 AS nr, i % 6 AS nc, radians({DEGREES[2]}::DOUBLE + {DEGREES[0]}::DOUBLE * (i % 6 + 0.5::DOUBLE) - 75) AS away, sin(radians({DEGREES[5]}::DOUBLE + {DEGREES[4]}::DOUBLE * (i // 6 + 0.5::DOUBLE))) AS s FROM (SELECT unnest(range(36)) AS i)),
+    tt AS (SELECT nr, nc, away, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS tau FROM d), xe AS (SELECT nr, nc, atan2(tau, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + tau * tau)) AS eta FROM tt),
+    t AS (SELECT nr, nc, (4600000 - {k!r}::DOUBLE * ({y})) / 10 - 0.5::DOUBLE AS y, ({k!r}::DOUBLE * ({x})) / 10 - 0.5::DOUBLE AS x FROM xe)"""
+
+
+register(
+    "reproject_wgs84",
+    lambda spark, d: ti.to_wgs84(small_grids(spark, d), ["vec_id"], 8, 8, MAP, ZONE, True, 6, 6, DEGREES).withColumn("v", F.round("v", 4)),
+    sampled_sql(_utm_sql(), "bilinear").replace(", 6) END AS v", ", 4) END AS v"),
+)
 register(
     "regional_reduce",
     lambda spark, d: im.pixels(spark, d).where(F.col("col").between(10, 30)).agg(F.round(F.avg(ix.ndvi(F.col("nir"), F.col("red"))), 6).alias("mean_ndvi"), F.count(F.lit(1)).alias("n")),

@@ -10,6 +10,7 @@ from ..functions import masks as mk
 from ..functions import radiometry as rad
 from ..operators import change as ch
 from ..sources import imagery as im
+from ..sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,10 +170,18 @@ register(
     lambda spark, d: im.collection(im.observations(spark, d), BOX, "1996-01-01", "1997-12-31", 20, sensor="F").where(mk.qa_collection_valid(F.col("qa_pixel"))).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("nir"), 6).alias("nir")),
     f"WITH {OBS} SELECT \"row\", col, count(*)::BIGINT AS n, round(median(nir), 6) AS nir FROM obs WHERE col BETWEEN 5 AND 40 AND \"row\" BETWEEN 2 AND 30 AND acquired >= TIMESTAMP '1996-01-01' AND acquired < TIMESTAMP '1997-12-31' AND cloud_cover < 20 AND sensor = 'F' AND (qa_pixel & 24) = 0 GROUP BY \"row\", col",
 )
+
+
+def cloud_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A secondary collection with several scenes for one of the primary's."""
+    return im.scenes(spark, sf_dir).select(F.expr("scene_id div 2").alias("scene_id"), F.col("scene_id").alias("nr"), "acquired", F.col("cloud_cover").alias("score"))
+
+
 register(
     "join_savefirst",
-    lambda spark, d: im.pixels(spark, d).join(im.scenes(spark, d).select((F.col("scene_id") * 2).alias("scene_id"), "cloud_cover").groupBy("scene_id").agg(F.min("cloud_cover").alias("cloud_cover")), "scene_id").groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"), F.min("cloud_cover").alias("cloud_cover")),
-    f"WITH {PIXELS}, {SCENES} SELECT p.scene_id, count(*)::BIGINT AS pixels, min(s.cloud_cover) AS cloud_cover FROM pixels p JOIN (SELECT scene_id * 2 AS scene_id, min(cloud_cover) AS cloud_cover FROM scenes GROUP BY 1) s ON p.scene_id = s.scene_id GROUP BY 1",
+    lambda spark, d: im.save_first(im.pixels(spark, d).select("scene_id", "pix"), cloud_scores(spark, d), ["scene_id"], ["acquired", "nr"]).groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"), F.min("nr").alias("nr"), F.min("score").alias("score")),
+    f"""WITH {PIXELS}, {SCENES}, f AS (SELECT scene_id // 2 AS scene_id, scene_id AS nr, cloud_cover AS score, row_number() OVER (PARTITION BY scene_id // 2 ORDER BY acquired, scene_id) AS k FROM scenes)
+    SELECT scene_id, count(*)::BIGINT AS pixels, min(nr) AS nr, min(score) AS score FROM pixels JOIN f USING (scene_id) WHERE k = 1 GROUP BY 1""",
 )
 register("scene_topk", lambda spark, d: im.clearest_scenes(im.scenes(spark, d), 5), f"WITH {SCENES} SELECT * FROM scenes ORDER BY coalesce(cloud_cover, 100), scene_id LIMIT 5")
 register(
@@ -182,7 +191,7 @@ register(
 )
 register(
     "band_stack",
-    lambda spark, d: im.pixels(spark, d).select("pix", F.explode(F.create_map(*[x for b in ("green", "nir", "red") for x in (F.lit(b), F.col(b))])).alias("band", "v")).groupBy("pix").pivot("band", ["green", "nir", "red"]).agg(F.round(F.avg("v"), 6)),
+    lambda spark, d: im.band_stack(im.pixels(spark, d).select("pix", F.explode(F.create_map(*[x for b in im.BANDS for x in (F.lit(b), F.col(b))])).alias("band", "v")).groupBy("pix", "band").agg(F.round(F.avg("v"), 6).alias("v")), ["green", "nir", "red"], ["pix"]),
     f"WITH {PIXELS} SELECT pix, round(avg(green), 6) AS green, round(avg(nir), 6) AS nir, round(avg(red), 6) AS red FROM pixels GROUP BY pix",
 )
 
@@ -227,7 +236,7 @@ register(
     "cva_nd",
     lambda spark, d: ch.array_change_vectors(embedding_pairs(spark, d), "a", "b").select("pair", F.round("magnitude", 6).alias("magnitude"), "changed", "change_type"),
     f"""WITH e AS (SELECT vec_id // 2 AS pair, any_value(embedding) FILTER (WHERE vec_id % 2 = 0) AS a, any_value(embedding) FILTER (WHERE vec_id % 2 = 1) AS b FROM embeddings GROUP BY 1),
-    m AS (SELECT pair, sqrt({' + '.join(f'coalesce((b[{i}]::DOUBLE - a[{i}]::DOUBLE) * (b[{i}]::DOUBLE - a[{i}]::DOUBLE), 0::DOUBLE)' for i in range(1, 9))}) AS mag FROM e), lim AS (SELECT avg(mag) + 1.5::DOUBLE * stddev_pop(mag) AS t FROM m)
+    m AS (SELECT pair, sqrt(coalesce(list_sum(list_transform(list_zip(a, b), lambda z: coalesce((z[2]::DOUBLE - z[1]::DOUBLE) * (z[2]::DOUBLE - z[1]::DOUBLE), 0::DOUBLE))), 0::DOUBLE)) AS mag FROM e), lim AS (SELECT avg(mag) + 1.5::DOUBLE * stddev_pop(mag) AS t FROM m)
     SELECT pair, round(mag, 6) AS magnitude, mag > t AS changed, 0 AS change_type FROM m CROSS JOIN lim""",
 )
 register("classify", classes, f'WITH {CLASSES} SELECT "row", col, c1, c2 FROM classes')
@@ -282,28 +291,89 @@ register(
 )
 
 
-def _channel_sql(k: int) -> str:
-    out = "0"
-    for p, q in zip(rad.STOPS, rad.STOPS[1:], strict=False):
-        out = f"CASE WHEN t >= {p[0]}::DOUBLE THEN floor({float(p[k + 1])}::DOUBLE + (t - {p[0]}::DOUBLE) / {q[0] - p[0]}::DOUBLE * {float(q[k + 1] - p[k + 1])}::DOUBLE)::INT ELSE {out} END"
-    return out
-
-
+# the public colour map again, written out for SQL
+RDYLGN = "[165, 215, 244, 253, 254, 255, 217, 166, 102, 26, 0] AS red, [0, 48, 109, 174, 224, 255, 239, 217, 189, 152, 104] AS green, [38, 39, 67, 97, 139, 191, 139, 106, 99, 80, 55] AS blue"
+_MIXED = lambda c: f"coalesce(floor({c}[k + 1] + (place - k) * ({c}[k + 2] - {c}[k + 1]) + 1e-9::DOUBLE)::INT, 0)"
 register(
     "rgba_ndvi",
     lambda spark, d: pairs(spark, d).select("row", "col", rad.ndvi_rgba(F.col("n2")).alias("x")).select("row", "col", "x.*"),
-    f'WITH {PAIR}, v AS (SELECT "row", col, CASE WHEN n2 IS NOT NULL THEN least(greatest((n2 - 0::DOUBLE) / 0.9::DOUBLE, 0::DOUBLE), 1::DOUBLE) END AS t FROM pair) SELECT "row", col, {_channel_sql(0)} AS r, {_channel_sql(1)} AS g, {_channel_sql(2)} AS b, CASE WHEN t IS NULL THEN 0 ELSE 255 END AS a FROM v',
+    f"""WITH {PAIR}, v AS (SELECT "row", col, CASE WHEN n2 IS NOT NULL THEN least(greatest((n2 - 0::DOUBLE) / 0.9::DOUBLE, 0::DOUBLE), 1::DOUBLE) END AS t FROM pair),
+    u AS (SELECT "row", col, t, least(floor(t * 256), 255) * 10::DOUBLE / 255::DOUBLE AS place, {RDYLGN} FROM v), w AS (SELECT *, least(floor(place), 9)::INT AS k FROM u)
+    SELECT "row", col, {_MIXED("red")} AS r, {_MIXED("green")} AS g, {_MIXED("blue")} AS b, CASE WHEN t IS NULL THEN 0 ELSE 255 END AS a FROM w""",
+)
+
+
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix, vectors = ch.transitions(classes(spark, sf_dir)), ch.change_vectors(feature_pairs(spark, sf_dir), ["n1", "s1"], ["n2", "s2"])
+    return ch.report(ch.summary(pairs(spark, sf_dir), 100.0), matrix, vectors, 100.0, aoi="site", source="sentinel2")
+
+
+register(
+    "report_full",
+    full_report,
+    f"""WITH s AS ({summary_sql()}), mx AS (WITH {MATRIX} SELECT * FROM matrix), v AS ({_CVA} SELECT mag > t AS changed, d0, d1, t FROM m CROSS JOIN lim),
+    n AS (SELECT c AS class, sum(ha) AS ha FROM (SELECT c2 AS c, area_ha AS ha FROM mx UNION ALL SELECT c1, -area_ha FROM mx) GROUP BY 1),
+    net AS (SELECT round_even(sum(ha) FILTER (WHERE class = 0), 4) AS bare, round_even(sum(ha) FILTER (WHERE class = 1), 4) AS sparse, round_even(sum(ha) FILTER (WHERE class = 2), 4) AS moderate, round_even(sum(ha) FILTER (WHERE class = 3), 4) AS dense FROM n),
+    p AS (SELECT round_even(sum(area_ha) FILTER (WHERE c2 = 3 AND c1 <> 3), 4) AS gain, round_even(sum(area_ha) FILTER (WHERE c1 = 3 AND c2 <> 3), 4) AS loss FROM mx),
+    c AS (SELECT round_even(count(*) FILTER (WHERE changed AND d0 > 0 AND d1 <= 0) * 100::DOUBLE / 10000::DOUBLE, 4) AS gain, round_even(count(*) FILTER (WHERE changed AND d0 < 0 AND d1 >= 0) * 100::DOUBLE / 10000::DOUBLE, 4) AS loss, round_even(max(t), 4) AS t FROM v)
+    SELECT to_json({{'aoi': 'site', 'source': 'sentinel2', 'summary': s, 'cva': {{'gain_ha': c.gain, 'loss_ha': c.loss, 'threshold_magnitude': c.t}},
+        'pcc': {{'forest_gain_ha': p.gain, 'forest_loss_ha': p.loss, 'net_change_ha': {{'bare': net.bare, 'sparse': net.sparse, 'moderate': net.moderate, 'dense': net.dense}}}}}})::VARCHAR AS report FROM s, c, p, net""",
 )
 register(
     "report_json",
     lambda spark, d: ch.forest_change(ch.transitions(classes(spark, d))).select(F.to_json(F.struct(F.lit("site").alias("aoi"), F.bround("forest_gain_ha", 2).alias("forest_gain_ha"), F.bround("forest_loss_ha", 2).alias("forest_loss_ha"))).alias("report")),
     f"WITH {MATRIX} SELECT '{{\"aoi\":\"site\",\"forest_gain_ha\":' || round_even(sum(area_ha) FILTER (WHERE c2 = 3 AND c1 <> 3), 2)::DOUBLE || ',\"forest_loss_ha\":' || round_even(sum(area_ha) FILTER (WHERE c1 = 3 AND c2 <> 3), 2)::DOUBLE || '}}' AS report FROM matrix",
 )
+
+
+def hansen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = im.table(spark, sf_dir, "part")
+    return im.hansen_layers(p.select(F.col("p_partkey").alias("pix"), (F.col("p_partkey") % 101).alias("treecover2000"), (F.col("p_size") % 2).alias("loss"), (F.col("p_partkey") % 23).alias("lossyear"), (F.col("p_size") % 3).alias("gain"), "p_brand"), ["pix"])
+
+
 register(
     "hansen_area",
-    lambda spark, d: im.table(spark, d, "part").select((F.col("p_partkey") % 101).alias("treecover2000"), (F.col("p_size") % 2).alias("loss"), (F.col("p_size") % 3).alias("gain")).agg(F.sum((F.col("treecover2000") >= 30).cast("long")).alias("forest_pixels"), F.sum("loss").cast("long").alias("loss_pixels"), F.round(F.sum(F.col("gain") * 900.0) / 10000.0, 6).alias("gain_ha")),
+    lambda spark, d: hansen(spark, d).agg(F.sum((F.col("treecover2000") >= 30).cast("long")).alias("forest_pixels"), F.sum("loss").cast("long").alias("loss_pixels"), F.round(F.sum(F.col("gain") * 900.0) / 10000.0, 6).alias("gain_ha")),
     "SELECT count(*) FILTER (WHERE p_partkey % 101 >= 30)::BIGINT AS forest_pixels, sum(p_size % 2)::BIGINT AS loss_pixels, round(sum((p_size % 3) * 900::DOUBLE) / 10000::DOUBLE, 6) AS gain_ha FROM part",
 )
+register(
+    "hansen_loss_by_year",
+    lambda spark, d: im.loss_by_year(hansen(spark, d), 900.0).select("year", F.round("loss_ha", 6).alias("loss_ha")),
+    "SELECT p_partkey % 23 + 2000 AS year, round(count(*) * 900::DOUBLE / 10000::DOUBLE, 6) AS loss_ha FROM part WHERE p_size % 2 = 1 AND p_partkey % 101 >= 30 GROUP BY 1",
+)
+
+
+def dated_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(n) for n in ("landsat_ot_c2_l2", "landsat_etm_c2_l2", "landsat_tm_c2_l2")])
+    return im.scenes(spark, sf_dir).withColumn("dataset", F.get(names, (F.col("scene_id") % 3).cast("int")))
+
+
+register(
+    "search_landsat",
+    lambda spark, d: im.search_landsat(dated_scenes(spark, d), "L9", start="1995-06-01", end="1997-06-01", max_cloud=25.0),
+    f"WITH {SCENES} SELECT *, 'landsat_ot_c2_l2' AS dataset FROM scenes WHERE scene_id % 3 = 0 AND acquired >= TIMESTAMP '1995-06-01' AND acquired < TIMESTAMP '1997-06-01' AND cloud_cover <= 25 ORDER BY acquired, scene_id LIMIT 20",
+)
+register(
+    "segment_ndvi",
+    lambda spark, d: im.pixels(spark, d).select("scene_id", "pix", F.round(mk.ndvi_or_zero(F.col("nir") - 0.3, F.col("red") - 0.3), 6).alias("ndvi")),
+    f"WITH {PIXELS} SELECT scene_id, pix, CASE WHEN nir - 0.3::DOUBLE + (red - 0.3::DOUBLE) > 0 THEN {r6('((nir - 0.3::DOUBLE) - (red - 0.3::DOUBLE)) / ((nir - 0.3::DOUBLE) + (red - 0.3::DOUBLE) + 1e-9::DOUBLE)')} ELSE 0::DOUBLE END AS ndvi FROM pixels",
+)
+
+
+def sunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composites written by scene and tile and read back with two of their bands."""
+    made = im.observations(spark, sf_dir).groupBy(F.col("period").cast("long").alias("scene_id"), "row", "col").agg(*[F.avg(b).alias(b) for b in ("green", "nir", "red")])
+    path = shared_dir(spark)
+    im.write_pixels(made.withColumn("red", F.when(F.col("row") % 7 == 0, F.lit(-9999.0)).otherwise(F.col("red"))), path, 64, -9999.0)
+    return im.read_pixels(spark, path, ["green", "nir", "red"], [2, 3]).groupBy("scene_id").agg(F.count(F.lit(1)).alias("pixels"), F.count("red").alias("known"), F.round(F.avg("nir"), 6).alias("nir"), F.round(F.avg("red"), 6).alias("red"))
+
+
+register(
+    "pixel_sink",
+    sunk,
+    f"""WITH {OBS}, k AS (SELECT period::BIGINT AS scene_id, "row", col, avg(nir) AS nir, avg(red) AS red FROM obs GROUP BY 1, 2, 3)
+    SELECT scene_id, count(*)::BIGINT AS pixels, count(*) FILTER (WHERE "row" % 7 <> 0)::BIGINT AS known, round(avg(nir), 6) AS nir, round(avg(red) FILTER (WHERE "row" % 7 <> 0), 6) AS red FROM k GROUP BY 1""",
+)
 register(
     "gedi_stats",
     lambda spark, d: im.pixels(spark, d).select("pix", (F.col("nir") * 40.0 - 5.0).alias("rh98")).where("rh98 > 0").groupBy("pix").agg(F.avg("rh98").alias("height")).agg(F.round(F.avg("height"), 6).alias("mean_height"), F.round(F.stddev_pop("height"), 6).alias("std_height"), F.count(F.lit(1)).alias("pixels")),
