@@ -1,6 +1,6 @@
 """Corpus pipeline: documents pass through STAGES, each written as Parquet and read again for the next."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdanta.llm import op04_suffix_dedup as suffixes
@@ -11,21 +11,30 @@ from verdanta.llm.queries import table, vocabulary
 from verdanta.llm.storage import stored
 
 
+def as_struct(docs: DataFrame) -> Column:
+    """The row as one column, beside which any name is free."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones of ``docs``, doesn't reject."""
     model = cnn.train(docs, table(spark, sf_dir, "labels"))
-    return cnn.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    return docs.select(as_struct(docs), cnn.quality_score(F.col("text"), model).alias("score")).where(F.col("score") >= cnn.THRESHOLD).select("row.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of near-duplicates."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = minhash.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(as_struct(docs))
+    return rows.join(gone, F.col("row.doc_id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 50-byte strings that start in a document of smaller doc_id; a text may become empty."""
-    return suffixes.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = suffixes.without_repeats(docs)
+    if "n_chars" not in docs.columns:
+        return left
+    return left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
