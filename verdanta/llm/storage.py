@@ -1,20 +1,5 @@
-"""Tables that cut lineage: written to the folder that the whole cluster shares, then read again."""
+"""Tables that cut lineage, as the rest of the library writes them."""
 
-import tempfile
-import uuid
+from ..sources.shared import shared_dir, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a local one only where that setting is missing (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/verdanta-checkpoints"
-    return f"{root.rstrip('/')}/verdanta/{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of that table."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "stored"]
