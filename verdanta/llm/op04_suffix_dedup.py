@@ -21,7 +21,7 @@ All readings of the texts by document are one shuffle, which Spark reuses.
 
 Cases: a null text is empty and loses nothing, as does a text of fewer than ``LENGTH`` bytes; rows with equal
 doc_ids never remove from each other, and repeated rows lose alike; rows with a null doc_id neither remove
-nor lose. An empty table gives an empty table.
+nor lose. Extra columns are kept, whatever their names. An empty table gives an empty table.
 """
 
 import hashlib
@@ -43,7 +43,8 @@ RUN = 32
 HOT = 2000
 PIECES, LEVELS = 16, 4
 BATCH_SYMBOLS = 1 << 19
-BUCKET_KEYS = 1 << 20
+BUCKET_KEYS = 1 << 19
+COMPARED = 1 << 14
 FACTOR = 0x9E3779B97F4A7C15
 LOST = "doc long, tag int, s int, e int"
 #: bytes, least doc_id, and the places where each window's least doc_id is kept
@@ -95,6 +96,16 @@ def key_runs(data: np.ndarray, offsets: np.ndarray, level: int = 0) -> Iterator[
         yield keys[first], row[first], first + a, np.minimum(np.repeat(n, cuts) - part * RUN, RUN)
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the ``sizes`` bytes from a are those from b."""
+    out = np.ones(len(sizes), bool)
+    for i in range(0, len(sizes), COMPARED):
+        x, y, n = a[i : i + COMPARED], b[i : i + COMPARED], sizes[i : i + COMPARED]
+        differs = data[ranges(x, x + n)] != data[ranges(y, y + n)]
+        out[i : i + COMPARED] = ~np.logical_or.reduceat(differs, np.cumsum(n) - n)
+    return out
+
+
 def _keys_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, doc, tag, n, keys): per batch and bucket the different keys of the documents, packed."""
     schema = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("tag", pa.binary()), ("n", pa.binary()), ("keys", pa.binary())])
@@ -214,7 +225,15 @@ def _pieces(texts: DataFrame) -> DataFrame:
                     found["doc"], found["tag"], found["s"] = docs[row + first], tags[row + first], at - offsets[row]
                     order = np.lexsort((found["doc"], content, key, single))
                     key, single, content, found = key[order], single[order], content[order], found[order]
-                    lead = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (single[1:] != single[:-1])]))
+                    other = np.ones(len(key), bool)
+                    other[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (single[1:] != single[:-1])
+                    # equal hashes are a guess; the bytes tell
+                    size, start = (stop - begin)[order], begin[order]
+                    like = np.flatnonzero(~other)
+                    like = like[size[like] == size[like - 1]]
+                    other[1:] |= size[1:] != size[:-1]
+                    other[like] = ~same_bytes(data, start[like], start[like - 1], size[like])
+                    lead = np.flatnonzero(other)
                     whose = order[lead]
                     pieces = packed_binary(data[ranges(begin[whose], stop[whose])], stop[whose] - begin[whose])
                     blobs = packed_binary(found.view(np.uint8), np.diff(np.append(lead, len(found))) * OCCURRENCE.itemsize)
@@ -329,8 +348,8 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
         occ, of = np.concatenate(found), np.repeat(np.arange(len(found)), k)
         upto = np.concatenate(least)
         base = np.cumsum(n) - n
-        for a in range(0, len(occ), 1 << 16):
-            o, which = occ[a : a + (1 << 16)], of[a : a + (1 << 16)]
+        for a in range(0, len(occ), COMPARED):
+            o, which = occ[a : a + COMPARED], of[a : a + COMPARED]
             cells = ranges(base[which], base[which] + n[which])
             row = np.repeat(np.arange(len(o)), n[which])
             gone = upto[cells] < o["doc"][row]
@@ -348,11 +367,13 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
         table = table.combine_chunks()
         key, single = (table.column(i).to_numpy() for i in (0, 1))
         data, offsets = flat(table.column(2))
-        content = hashes(data, offsets[:-1], offsets[1:])
+        size = np.diff(offsets)
         change = np.ones(len(key), bool)
         change[1:] = (key[1:] != key[:-1]) | (single[1:] != single[:-1])
         other = change.copy()
-        other[1:] |= content[1:] != content[:-1]
+        other[1:] |= size[1:] != size[:-1]
+        like = np.flatnonzero(~other)  # equal pieces of a key stand side by side
+        other[like] = ~same_bytes(data, offsets[like], offsets[like - 1], size[like])
         group = np.cumsum(np.where(single, other, change)) - 1
         lead = np.flatnonzero(np.diff(group, prepend=-1))
         one = (np.add.reduceat(other.astype(np.int64), lead) == 1)[group]
@@ -361,14 +382,14 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
             held = group == group[-1]
         take = one & ~held
         least = np.minimum.reduceat(table.column(3).to_numpy(), lead)
-        if state["single"] and single[0] and (key[0], content[0]) == state["single"]:
+        if state["single"] and single[0] and data[: offsets[1]].tobytes() == state["single"]:
             least[0] = state["least"]  # the hot window goes on; its least owner came first
-        state["single"], state["least"] = ((key[-1], content[-1]), least[-1]) if single[-1] else (None, 0)
+        state["single"], state["least"] = (data[offsets[-2] :].tobytes(), least[-1]) if single[-1] else (None, 0)
         raw, ends = flat(table.column(4))
         occ = raw.view(OCCURRENCE) if len(raw) else np.zeros(0, OCCURRENCE)
         row = np.repeat(np.arange(len(key)), np.diff(ends) // OCCURRENCE.itemsize)
         lost = take[row] & (occ["doc"] > least[group[row]])
-        o, size = occ[lost], np.diff(offsets)[row[lost]]
+        o, size = occ[lost], size[row[lost]]
         yield pa.RecordBatch.from_arrays([pa.array(o["doc"]), pa.array(o["tag"]), pa.array(o["s"]), pa.array((o["s"] + size).astype(np.int32))], names=["doc", "tag", "s", "e"])
         yield table.filter(pa.array(~one & ~held))
         yield table.filter(pa.array(held))
@@ -426,7 +447,9 @@ def lost_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), nbytes >> 25, 1)
     buckets = partitions * max(1, (nbytes >> 4) // BUCKET_KEYS // partitions)
     digests = rows.where("doc IS NOT NULL").select("doc", "tag", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
+    # both written, so that Spark can split the join where one text has very many copies
+    digests = stored(digests)
+    firsts = stored(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     copies = stored(digests.join(firsts, "digest").where("doc > first").select("doc", "tag").distinct())
     base = rows.where("doc IS NOT NULL")
     known = base.join(copies, ["doc", "tag"], "left_anti")
@@ -491,7 +514,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
         return pa.array([x.decode(errors="ignore") for x in _kept_bytes(text, lost.to_pylist())])
 
-    spans = lost_spans(docs).where(F.size("lost") > 0).select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"), "lost").dropDuplicates(["__doc", "__text"])
-    keyed = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64("text"))
-    text = F.when(F.col("lost").isNotNull(), kept("text", "lost")).otherwise(F.col("text"))
-    return keyed.join(spans, ["__doc", "__text"], "left").withColumn("text", text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    spans = lost_spans(docs).where(F.size("lost") > 0).select("doc_id", F.xxhash64("text").alias("hash"), "lost").dropDuplicates(["doc_id", "hash"])
+    # the row is one struct on the way, so its columns may have any names
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("hash"))
+    text = F.when(F.col("lost").isNotNull(), kept("row.text", "lost")).otherwise(F.col("row.text"))
+    return keyed.join(spans, ["doc_id", "hash"], "left").select(F.col("row").withField("text", text).alias("row")).select("row.*")
