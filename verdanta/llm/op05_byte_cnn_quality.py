@@ -6,9 +6,9 @@ within each chunk. The mean and the maximum over a document's chunks go through
 gives one probability.
 
 The model is fitted on a sample of at most ``per_class`` labelled rows of each class (those of the smallest
-hashes of doc_id), of which at most ``WINDOWS`` stretches of ``WINDOW`` bytes each, spread over the text, are
-used. The sample is bounded by these parameters; every document is scored over its whole text. The model is a
-few kilobytes and goes to the tasks with the code. Both classes count equally in the loss.
+hashes of doc_id), over their whole texts, as every document is scored over its whole text; of a text of more than
+``STEP_BYTES`` each step sees stretches of ``STRETCH`` bytes drawn anew from all of it. The model is a few kilobytes
+and goes to the tasks with the code. Both classes count equally in the loss.
 
 Cases: a null or empty text is scored as one chunk of padding; equal texts get equal scores; labels of
 documents that aren't in the table are ignored, as are null labels; of contradicting labels of a document the
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .texts import slices
 
 HALF = 256
-WINDOW, WINDOWS = 1024, 4
 PER_CLASS = 2000
+STEP_BYTES, STRETCH = 1 << 17, 1 << 12
 THRESHOLD = 0.7
 BLOCK = 1 << 16
 FOLDS, HELD_OUT = 4, 2
@@ -106,11 +106,12 @@ def score_documents(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.n
     return 1 / (1 + np.exp(-z))
 
 
-def spread(text: bytes) -> bytes:
-    """At most WINDOWS stretches of WINDOW bytes, spread evenly over the text, in a row."""
-    if len(text) <= WINDOW * WINDOWS:
+def drawn(text: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The text, or as many stretches of it as a step may see."""
+    if len(text) <= STEP_BYTES:
         return text
-    return b"".join(text[i : i + WINDOW] for i in np.linspace(0, len(text) - WINDOW, WINDOWS).astype(int))
+    at = np.sort(rng.integers(0, len(text) - STRETCH + 1, STEP_BYTES // STRETCH))
+    return np.concatenate([text[i : i + STRETCH] for i in at])
 
 
 def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, filters: int = 16, passes: int = 8, least_steps: int = 400, batch: int = 64, seed: int = 5) -> Model:
@@ -124,7 +125,7 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
         model.offset = float(np.log(share / (1 - share)))
         return model
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    docs = [np.frombuffer(spread(t), np.uint8) for t in texts]
+    docs = [np.frombuffer(t, np.uint8) for t in texts]
     params = [model.embed, model.filters, model.bias, model.out, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     steps = max(passes * -(-len(y) // batch), least_steps)
@@ -133,7 +134,8 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
         if len(order) < batch:
             order += rng.permutation(len(y)).tolist()
         rows, order = order[:batch], order[batch:]
-        data, at, ends, counts = laid_out(np.concatenate([docs[r] for r in rows]), np.array([len(docs[r]) for r in rows]), taps - 1)
+        own = [drawn(docs[r], rng) for r in rows]
+        data, at, ends, counts = laid_out(np.concatenate(own), np.array([len(x) for x in own]), taps - 1)
         x = unfolded(data, model)
         spots = np.minimum(at[:, None] + np.arange(HALF), ends[:, None] - 1)
         flat = np.concatenate([x[i : i + BLOCK] @ model.filters for i in range(0, len(x), BLOCK)])
@@ -172,8 +174,8 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows whose labels are never learned from."""
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT
+    """Rows whose labels are never learned from; false for a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -185,15 +187,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     wanted = docs.sparkSession.createDataFrame(list(quality.items()), "doc_id long, quality int") if quality else None
     if wanted is None:
         return fit([], [])
-    n = WINDOW * WINDOWS
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    size = F.octet_length(text)
-    # the same stretches that spread() takes, cut before they reach the driver
-    step = (size - WINDOW) / F.lit(float(WINDOWS - 1))
-    thin = F.concat(*[F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(WINDOW)) for k in range(WINDOWS)])
-    sample = docs.select("doc_id", F.when(size <= n, text).otherwise(thin).alias("piece")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("piece").alias("piece"), F.min("quality").alias("quality"))
+    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    return fit([bytes(r["piece"]) for r in rows], [r["quality"] for r in rows])
+    return fit([bytes(r["text"]) for r in rows], [r["quality"] for r in rows])
 
 
 def quality_score(text: Column, model: Model) -> Column:
