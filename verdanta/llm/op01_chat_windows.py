@@ -9,8 +9,11 @@ once. A turn too long for the budget makes a window of its own and stays whole.
 Template: each turn is ``[INST]role`` newline, text, ``[/INST]`` newline, and a window stands between ``<s>``
 and ``</s>``. Texts and roles have ``~`` written as ``~0``, ``[`` as ``~1`` and ``<`` as ``~2`` (in roles a
 newline as ``~3``), so no control string can occur inside a text, and ``unescaped`` brings the text back.
-A token here is a run of characters that aren't white space, plus four for a turn's markers: a stable count
-that Spark makes without a tokenizer.
+A token here is a run of at most ``RUN`` characters that aren't white space, plus four for a turn's markers: a
+stable count that Spark makes without a tokenizer, and which long runs without spaces can't escape.
+
+Where a turn's history begins is the first turn in a range frame over the prefix sums; each window takes its own
+turns out of the conversation before windows become rows. So work and memory are in proportion to the turns.
 
 Cases: a null text or role is empty; turns with equal numbers are ordered by role, then text; repeated rows
 are turns of their own, also when they repeat a whole conversation; rows with a null conv_id are one
@@ -22,7 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY = 512, 128
-MARKER_TOKENS = 4
+MARKER_TOKENS, RUN = 4, 8
+STRETCH = 256
 OPEN, CLOSE, START, END = "[INST]", "[/INST]\n", "<s>", "</s>"
 ESCAPES = (("~", "~0"), ("[", "~1"), ("<", "~2"))
 
@@ -40,23 +44,25 @@ def unescaped(text: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return (F.regexp_count(text, F.lit(r"\S+")) + MARKER_TOKENS).cast("long")
+    return (F.regexp_count(text, F.lit(rf"\S{{1,{RUN}}}")) + MARKER_TOKENS).cast("long")
 
 
 def window_starts(ends: Column, budget: Column) -> Column:
     """Indices of the turns that start a span, from the turns' prefix sums (``ends``, 0 first).
 
-    A span goes on while the tokens since its start stay within ``budget``; the fold keeps only the starts.
+    A span goes on while the tokens since its start stay within ``budget``; the fold keeps only the starts, in
+    stretches of ``STRETCH``, since each one that is added copies its stretch.
     """
     n = F.size(ends) - 1
-    zero = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("at"))
+    state_of = lambda done, now, at: F.struct(done.cast("array<array<int>>").alias("done"), now.cast("array<int>").alias("now"), at.cast("int").alias("at"))
 
     def step(state: Column, i: Column) -> Column:
-        over = F.get(ends, i + 1) - F.get(ends, state["at"]) > budget
-        fresh = over & (i > state["at"])
-        return F.when(fresh, F.struct(F.array_append(state["starts"], i).alias("starts"), i.alias("at"))).otherwise(state)
+        fresh = (F.get(ends, i + 1) - F.get(ends, state["at"]) > budget) & (i > state["at"])
+        full = F.size(state["now"]) == STRETCH
+        return F.when(fresh & full, state_of(F.array_append(state["done"], state["now"]), F.array(i), i)).when(fresh, state_of(state["done"], F.array_append(state["now"], i), i)).otherwise(state)
 
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda s: s["starts"])).otherwise(F.array().cast("array<int>"))
+    starts = F.aggregate(F.sequence(F.lit(0), n - 1), state_of(F.array(), F.array(F.lit(0)), F.lit(0)), step, lambda s: F.concat(F.flatten(s["done"]), s["now"]))
+    return F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
 def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
@@ -69,22 +75,25 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("turn").asc_nulls_first(), "role", "text"]
     upto = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("end", F.sum(token_count(F.col("text"))).over(upto)).withColumn("nr", F.count(F.lit(1)).over(upto))
+    rows = rows.withColumn("tokens", token_count(F.col("text")))
+    rows = rows.withColumn("end", F.sum("tokens").over(upto)).withColumn("nr", F.count(F.lit(1)).over(upto).cast("int")).withColumn("begin", F.col("end") - F.col("tokens"))
+    # the first turn whose tokens up to this one fit the history
+    rows = rows.withColumn("back", F.min("nr").over(Window.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, Window.currentRow)))
     body = F.concat(escaped(F.col("role"), role=True), F.lit("\n"), escaped(F.col("text")))
-    turn = F.struct("nr", "end", (F.col("role") == "assistant").alias("target"), (F.col("role") == "system").alias("system"), F.concat(F.lit(OPEN), body, F.lit(CLOSE)).alias("block"), F.char_length(escaped(F.col("role"), role=True)).alias("role_chars"))
+    turn = F.struct("nr", "end", "back", (F.col("role") == "assistant").alias("target"), (F.col("role") == "system").alias("system"), F.concat(F.lit(OPEN), body, F.lit(CLOSE)).alias("block"), F.char_length(escaped(F.col("role"), role=True)).alias("role_chars"))
     convs = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
 
     convs = convs.select("conv_id", "turns", F.concat(F.array(F.lit(0).cast("long")), F.transform("turns", lambda t: t["end"])).alias("ends"), F.get("turns", F.lit(0))["system"].cast("int").alias("sys"))
     room = F.lit(budget) - F.col("sys") * F.get("ends", F.lit(1)) - F.lit(history)
-    convs = convs.withColumn("starts", window_starts(F.col("ends"), F.greatest(room, F.lit(1))))
-    spans = convs.select("conv_id", "turns", "ends", "sys", "starts", F.posexplode("starts").alias("window", "lo"))
-    spans = spans.withColumn("hi", F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns")))
-    # the first turn before the span whose tokens up to the span fit the history, behind the system turn
-    back = F.filter(F.sequence(F.lit(0), F.col("lo")), lambda i: (F.get("ends", F.col("lo")) - F.get("ends", i) <= history) & (i >= F.least("sys", "lo")))
-    spans = spans.withColumn("from", F.array_min(back))
-    lead = F.when((F.col("sys") == 1) & (F.col("lo") > 0), F.slice("turns", 1, 1)).otherwise(F.slice("turns", 1, 0))
-    past = F.slice("turns", F.col("from") + 1, F.col("lo") - F.col("from"))
-    spans = spans.select("conv_id", "window", F.concat(lead, past).alias("repeated"), F.slice("turns", F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("span"))
+    convs = convs.withColumn("starts", window_starts(F.col("ends"), F.greatest(room, F.lit(1)))).drop("ends")
+
+    def window(lo: Column, nth: Column) -> Column:
+        since = F.greatest(F.get("turns", lo)["back"] - 1, F.least("sys", lo))
+        lead = F.slice("turns", 1, F.when((F.col("sys") == 1) & (lo > 0), 1).otherwise(0))
+        end = F.coalesce(F.get("starts", nth + 1), F.size("turns"))
+        return F.struct(nth.alias("window"), F.concat(lead, F.slice("turns", since + 1, lo - since)).alias("repeated"), F.slice("turns", lo + 1, end - lo).alias("span"))
+
+    spans = convs.select("conv_id", F.inline(F.transform("starts", window)))
     spans = spans.withColumn("all", F.concat("repeated", "span")).withColumn("n_repeated", F.size("repeated"))
 
     text = F.concat(F.lit(START), F.array_join(F.transform("all", lambda t: t["block"]), ""), F.lit(END))
