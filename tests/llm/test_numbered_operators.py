@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +79,48 @@ def test_chat_round_trip(spark):
     assert chat.format_conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string")).count() == 0
 
 
+def plain_windows(turns, budget, history):
+    """(repeated, new) turn numbers of each window."""
+    size = [len(re.findall(r"\S{1,8}", t)) + 4 for _, t in turns]
+    system = turns[0][0] == "system"
+    room = max(budget - (size[0] if system else 0) - history, 1)
+    starts = [0]
+    for i in range(len(turns)):
+        if i > starts[-1] and sum(size[starts[-1] : i + 1]) > room:
+            starts.append(i)
+    out = []
+    for lo, hi in zip(starts, [*starts[1:], len(turns)], strict=True):
+        back = min(i for i in range(lo + 1) if sum(size[i:lo]) <= history and i >= min(int(system), lo))
+        out.append(([0] * (system and lo > 0) + list(range(back, lo)), list(range(lo, hi))))
+    return out
+
+
+def test_chat_windows_by_definition(spark):
+    rng = np.random.default_rng(3)
+    talks = {c: [("system" if c % 2 and i == 0 else ("user", "assistant")[i % 2], f"{c}:{i} " + " ".join("w" * int(n) for n in rng.integers(1, 30, rng.integers(0, 20)))) for i in range(int(rng.integers(1, 60)))] for c in range(12)}
+    rows = [(c, i, r, t) for c, talk in talks.items() for i, (r, t) in enumerate(talk)]
+    got = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), 96, 24).collect()
+    by = {(r["conv_id"], r["window"]): r for r in got}
+    for c, talk in talks.items():
+        want = plain_windows(talk, 96, 24)
+        assert sum(r["conv_id"] == c for r in got) == len(want)
+        for k, (repeated, new) in enumerate(want):
+            told = "<s>" + "".join(f"[INST]{talk[i][0]}\n{talk[i][1]}[/INST]\n" for i in [*repeated, *new]) + "</s>"
+            assert by[c, k]["formatted"] == told and by[c, k]["n_repeated"] == len(repeated)
+            assert [told[a : a + n] for a, n in by[c, k]["loss_spans"]] == [talk[i][1] for i in new if talk[i][0] == "assistant"]
+
+
+def test_one_long_conversation_costs_as_its_turns(spark):
+    turns = spark.range(40_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("word and "), 30).alias("text"))
+    took = []
+    for n in (100, 20_000, 40_000):
+        began = time.time()
+        (r,) = chat.conversation_digests(chat.format_conversations(turns.limit(n))).collect()
+        took.append(time.time() - began)
+        assert r["n_turns"] == n and r["loss_chars"] == n // 2 * 270
+    assert took[2] < 4 * took[1] + 2
+
+
 def test_chat_query_on_all_conversations(spark):
     got = {r["conv_id"]: r for r in queries.op1_chat_formatting(spark, DATA).collect()}
     turns = spark.read.parquet(f"{DATA}/conversations.parquet").orderBy("conv_id", "turn").collect()
@@ -190,6 +233,35 @@ def test_quality_on_held_out_rows(spark):
     assert (m["predicted"] == m["quality"]).mean() > 0.93
 
 
+def plain_score(text, model):
+    """The network on one document by definition: every place, every chunk, every filter in a loop."""
+    data = list(text) or [0]
+    padded = data + [0] * (model.taps - 1)
+    if not text:
+        padded = [0] * model.taps
+    at = [np.concatenate([model.embed[b] for b in padded[i : i + model.taps]]) @ model.filters + model.bias for i in range(len(data))]
+    halves = [np.maximum(np.max(at[i : i + cnn.HALF], axis=0), 0) for i in range(0, len(at), cnn.HALF)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+    z = np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ model.out + model.offset
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_by_definition():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 255, 256, 257, 511, 512, 513, 1500, 70_000)]
+    model = cnn.fit([t for t in texts for _ in (0, 1)], [0, 1] * len(texts), least_steps=5, passes=1)
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = cnn.score_documents(np.frombuffer(b"".join(texts), np.uint8), offsets, model)
+    assert got == pytest.approx([plain_score(t, model) for t in texts], abs=1e-5)
+
+
+def test_long_texts_of_the_sample_are_drawn_from_end_to_end():
+    text = np.arange(1 << 19, dtype=np.uint32).astype("<u4").view(np.uint8)
+    rng = np.random.default_rng(1)
+    seen = np.concatenate([cnn.drawn(text, rng) for _ in range(3)])
+    assert len(seen) == 3 * cnn.STEP_BYTES and cnn.drawn(text[:100], rng).tolist() == text[:100].tolist()
+
+
 def test_quality_of_odd_documents(spark):
     docs, labels = odd_documents(spark), spark.createDataFrame([(1, 1), (2, None), (99, 0)], "doc_id long, quality int")
     got = cnn.classify(docs, cnn.train(docs, labels)).collect()
@@ -478,5 +550,56 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in stages["bestfit_packing"](spark, third, DATA).collect()} == {r["doc_id"] for r in third.collect()}
 
 
+CLASHES = ["lost", "score", "host", "path", "rule", "verdict", "label", "key", "doc", "row", "n", "a", "b", "w", "component", "list", "block", "salt", "window", "turns", "edited", "codes", "text hash", "hash", "found", "tag", "predicted", "held_out", "quality", "head", "rank", "length", "kept", "gone", "payload", "size", "rep", "copies", "vec", "e", "start", "given", "__doc", "__text", "__host", "nr", "end"]
+
+
+def crowded(df):
+    """With an extra column of every name that the operators use."""
+    return df.withColumns({c: F.lit("extra") for c in CLASHES if c not in df.columns})
+
+
+def same_rows(left, right):
+    return sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, map(tuple, right.select(*left.columns).collect())))
+
+
+def test_extra_columns_of_any_name(spark, documents):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(documents[:40]).withColumn("lang", F.lit("x"))
+    path, plain = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("byte_bpe_50k.json")
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "<p>"), (2, None, None)], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn int, role string, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "vec_id long, embedding array<float>")
+    labels = spark.createDataFrame([(int(d), int(d) % 2) for d in documents["doc_id"][:40]], "doc_id long, quality int")
+    model = cnn.train(docs, labels)
+    for run, table in (
+        (lambda t: chat.conversation_digests(chat.format_conversations(t)), turns),
+        (lambda t: warc.read_archive(spark, warc.write_archive(t)).drop("record"), pages),
+        (quantized.near_duplicates, vectors),
+        (lambda t: suffixes.kept_digests(suffixes.lost_spans(t)), docs),
+        (suffixes.without_repeats, docs),
+        (lambda t: cnn.classify(t, model), docs),
+        (minhash.near_duplicates, docs),
+        (lambda t: packing.pack(t, path).drop("sequence_id", "offset"), docs),
+        (lambda t: urls.judge_urls(t, queries.URL_RULES), pages),
+        (order_minhash.fingerprints, docs),
+        (lambda t: bpe.encoding_digests(t, plain), docs),
+    ):
+        assert same_rows(run(table), run(crowded(table)))
+    extra = crowded(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, extra, DATA)
+        assert out.columns == extra.columns and out.where("score <> 'extra'").count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark):
+    import corpus_pipeline
+
+    now = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, DATA)
+        assert now.count() == 0
+
+
 def test_no_sql_oracle_is_missing_a_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}

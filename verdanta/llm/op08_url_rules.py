@@ -95,6 +95,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
     keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict") or c == url]
-    split = pages.select(*[F.col(f"`{c}`") for c in keep], host_of(F.col(url)).alias("__host"), path_of(F.col(url)).alias("__path"))
-    out = split.withColumn("__judged", judged("__host", "__path"))
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__host").alias("host"), F.col("__path").alias("path"), "__judged.rule", "__judged.verdict")
+    # the row is one struct on the way, so its columns may have any names
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    split = pages.select(row, host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
+    return split.withColumn("judged", judged("host", "path")).select("row.*", "host", "path", "judged.rule", "judged.verdict")
