@@ -101,7 +101,7 @@ register(
     SELECT "row", col, round(least(0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))) FILTER (WHERE abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma)), 0::DOUBLE), 1::DOUBLE), 6) AS ndvi FROM g CROSS JOIN k GROUP BY 1, 2""",
 )
 
-PATCHES = [(80, 82, 33, 33, 0.04, 0.13), (7, 7, 27, 27, 0.35, 0.8), (100, 100, 20, 40, 0.1, 0.1)]
+PATCHES = [(80, 82, 30, 33, 0.04, 0.13), (7, 7, 27, 27, 0.35, 0.8), (100, 100, 20, 40, 0.1, 0.1)]
 register(
     "synthetic_change",
     lambda spark, d: rounded(im.crown_scene(spark, 150, 150, spark.createDataFrame(CROWNS, "r double, c double, peak double, sigma double"), patches=spark.createDataFrame(PATCHES, "r long, c long, height long, width long, low double, high double"), noise=((F.col("row") * 7 + F.col("col") * 13) % 11 - 5) / 400.0), "ndvi"),
