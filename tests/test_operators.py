@@ -251,6 +251,15 @@ def test_resampling_keeps_planes_and_nodata(spark, method):
     assert {r["v"] is None for r in tiles.resampled(holed, ["g"], 10, 10, 10, 10, "nearest").where("r = 5 and c = 5").collect()} == {True}
 
 
+def test_polygons_with_holes_and_pinches(spark):
+    ring = [(r, c) for r in range(5) for c in range(5) if not (1 <= r <= 3 and 1 <= c <= 3)]
+    rows = [(1, r, c, 1) for r, c in ring] + [(1, 10, 10, 2), (1, 11, 11, 2), (1, 20, 20, 3), (1, 20, 21, 3), (1, 21, 20, 3), (1, 2, 2, 0)]
+    got = {r["label"]: r for r in crowns.polygons(spark.createDataFrame(rows, "g int, r long, c long, label long"), ["g"], (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)).collect()}
+    assert {k: (len(r["rings"]), r["area_m2"], r["perimeter_m"]) for k, r in got.items()} == {1: (2, 64.0, 64.0), 2: (2, 8.0, 16.0), 3: (1, 12.0, 16.0)}
+    assert [len(x) for x in got[1]["rings"]] == [5, 5] and len(got[3]["rings"][0]) == 7
+    assert got[1]["rings"][0][0] == [100.0, 50.0]
+
+
 def test_features_in_degrees(spark):
     boxes = spark.createDataFrame([(500000.0, 4600000.0, 500010.0, 4600010.0, 0.5)], "minx double, miny double, maxx double, maxy double, score double")
     feature = json.loads(one(crowns.box_features(boxes, zone=43))["feature"])

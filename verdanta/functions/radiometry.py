@@ -1,5 +1,7 @@
 """Digital numbers to reflectance, and values to colours."""
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,10 @@ def scale_sentinel2(df: DataFrame, bands: list[str]) -> DataFrame:
 
 
 def scale_landsat(df: DataFrame) -> DataFrame:
-    """Columns named SR_B* are optical, ST_B* thermal; others stay."""
+    """Columns named SR_B and one sign are optical, ST_B and any thermal; others stay."""
     made = {}
-    for prefix, (gain, offset) in (("SR_B", OPTICAL), ("ST_B", THERMAL)):
-        made |= {c: F.col(c) * F.lit(gain) + F.lit(offset) for c in df.columns if c.startswith(prefix)}
+    for pattern, (gain, offset) in ((r"SR_B.", OPTICAL), (r"ST_B.*", THERMAL)):
+        made |= {c: F.col(c) * F.lit(gain) + F.lit(offset) for c in df.columns if re.fullmatch(pattern, c)}
     return df.withColumns(made)
 
 

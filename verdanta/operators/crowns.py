@@ -168,6 +168,59 @@ def outlines(labels: DataFrame, by: list[str], transform: Affine) -> DataFrame:
     return out.withColumn("wkt", F.format_string("POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))", "minx", "miny", "maxx", "miny", "maxx", "maxy", "minx", "maxy", "minx", "miny"))
 
 
+def chained(edges: np.ndarray) -> list[np.ndarray]:
+    """Closed rings of directed unit edges (x0, y0, x1, y1), without points amid straight runs; where four edges meet, a ring turns right."""
+    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for x0, y0, x1, y1 in edges.tolist():
+        after.setdefault((x0, y0), []).append((x1, y1))
+    rings = []
+    while after:
+        at = first = min(after)
+        ring, way = [], None
+        while True:
+            options = after[at]
+            right = (at[0] - way[1], at[1] + way[0]) if way else options[0]
+            to = right if right in options else options[0]
+            options.remove(to)
+            if not options:
+                del after[at]
+            step = to[0] - at[0], to[1] - at[1]
+            if step != way:
+                ring.append(at)
+            at, way = to, step
+            if at == first and (at not in after or not ring or (at[0] - way[1], at[1] + way[0]) not in after[at]):
+                break
+        rings.append(np.array(ring))
+    return rings
+
+
+def polygons(labels: DataFrame, by: list[str], transform: Affine) -> DataFrame:
+    """Per segment its rings in map units (arrays of x, y; holes run the other way round), and area and perimeter of these.
+
+    A pixel's side is part of a ring if the segment has it once; so only the sides at its edge are gathered.
+    """
+    c, r = F.col("c"), F.col("r")
+    corner = [(c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1)]
+    side = lambda k: F.struct(*[x.cast("int").alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), (*corner[k], *corner[(k + 1) % 4]), strict=True)])
+    sides = labels.where("label > 0").select(*by, "label", F.explode(F.array(*[side(k) for k in range(4)])).alias("s"))
+    place = [F.least("s.x0", "s.x1"), F.least("s.y0", "s.y1"), F.col("s.x0") == F.col("s.x1")]
+    sides = sides.select(*by, "label", "s", *[p.alias(n) for p, n in zip(place, ("x", "y", "upright"), strict=True)])
+    edge = sides.groupBy(*by, "label", "x", "y", "upright").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s")).where("n = 1")
+    whole = edge.groupBy(*by, "label").agg(F.collect_list("s").alias("sides"))
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def rings(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        a, b, cc, d, e, f = transform
+        found = [chained(np.stack(four, 1)) for four in zip(x0, y0, x1, y1, strict=True)]
+        return pd.Series([[[[a * x + b * y + cc, d * x + e * y + f] for x, y in [*ring.tolist(), ring[0].tolist()]] for ring in each] for each in found])
+
+    out = whole.select(*by, "label", rings(*[F.col(f"sides.{n}") for n in ("x0", "y0", "x1", "y1")]).alias("rings"))
+    added = lambda ring, term: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda t, i: t + term(F.get(ring, i), F.get(ring, i + 1)))
+    area = F.abs(F.aggregate("rings", F.lit(0.0), lambda t, ring: t + added(ring, lambda p, q: (p[0] * q[1] - q[0] * p[1]) / 2.0)))
+    length = F.aggregate("rings", F.lit(0.0), lambda t, ring: t + added(ring, lambda p, q: F.hypot(q[0] - p[0], q[1] - p[1])))
+    return out.withColumns({"area_m2": area, "perimeter_m": length})
+
+
 def box_features(boxes: DataFrame, zone: int | None = None, north: bool = True) -> DataFrame:
     """``boxes`` (minx, miny, maxx, maxy in map units) with ``feature``, a GeoJSON feature of the polygon.
 

@@ -59,6 +59,13 @@ register(
     lambda spark, d: im.recommend_sensors(spark, 10.0).select("sensor", "resolution_m"),
     "SELECT sensor, resolution_m FROM (VALUES ('LISS-III', 23.5::DOUBLE, true), ('LISS-IV-MX', 5.8::DOUBLE, true), ('LISS-IV-PAN', 5.8::DOUBLE, false), ('AWiFS', 56::DOUBLE, true), ('CARTOSAT-3-PAN', 0.25::DOUBLE, false), ('CARTOSAT-3-MX', 1::DOUBLE, true)) t(sensor, resolution_m, nir) WHERE nir AND resolution_m <= 5 * 10",
 )
+register(
+    "sensor_bands",
+    lambda spark, d: im.sensors(spark).select("sensor", F.explode("bands").alias("code", "band"), "ndvi_bands").select("sensor", "code", "band.name", "band.low", "band.high", F.coalesce((F.col("code") == F.col("ndvi_bands.nir")) | (F.col("code") == F.col("ndvi_bands.red")), F.lit(False)).alias("for_ndvi")),
+    """WITH b AS (SELECT * FROM (VALUES ('B2', 'Green', 0.52::DOUBLE, 0.59::DOUBLE), ('B3', 'Red', 0.62, 0.68), ('B4', 'NIR', 0.77, 0.86), ('B5', 'SWIR', 1.55, 1.70)) t(code, name, low, high))
+    SELECT sensor, code, name, low, high, code IN ('B4', 'B3') AS for_ndvi FROM b CROSS JOIN (VALUES ('LISS-III'), ('AWiFS'), ('LISS-IV-MX')) s(sensor) WHERE NOT (sensor = 'LISS-IV-MX' AND code = 'B5')
+    UNION ALL SELECT * FROM (VALUES ('LISS-IV-PAN', 'PAN', 'Panchromatic', 0.50::DOUBLE, 0.75::DOUBLE, false), ('CARTOSAT-3-PAN', 'PAN', 'Panchromatic', 0.45, 0.90, false), ('CARTOSAT-3-MX', 'B1', 'Blue', 0.45, 0.52, false), ('CARTOSAT-3-MX', 'B2', 'Green', 0.52, 0.60, false), ('CARTOSAT-3-MX', 'B3', 'Red', 0.63, 0.69, true), ('CARTOSAT-3-MX', 'B4', 'NIR', 0.77, 0.89, true))""",
+)
 register("sensor_info", lambda spark, d: im.sensor_info(spark, "AWiFS").select("sensor", "satellite", "resolution_m", F.size("bands").alias("n_bands"), "revisit_days", "swath_km"), "SELECT 'AWiFS' AS sensor, 'Resourcesat-2/2A' AS satellite, 56::DOUBLE AS resolution_m, 4 AS n_bands, 5 AS revisit_days, 740 AS swath_km")
 
 
@@ -212,6 +219,12 @@ register(
 )
 _TARGET = "t AS (SELECT i // 12 AS nr, i % 12 AS nc, (i // 12 + 0.5::DOUBLE) * (8 / 12::DOUBLE) - 0.5::DOUBLE AS y, (i % 12 + 0.5::DOUBLE) * (8 / 12::DOUBLE) - 0.5::DOUBLE AS x FROM (SELECT unnest(range(144)) AS i))"
 _AT = lambda x, d: f"least(greatest(floor({x})::BIGINT + {d}, 0), 7)"
+register(
+    "crown_polygons",
+    lambda spark, d: cr.polygons(blocks(spark, d).withColumn("label", F.when(F.col("v") > -0.05, F.col("label")).otherwise(0)), ["vec_id"], MAP).select("vec_id", "label", F.round("area_m2", 6).alias("area_m2"), F.round("perimeter_m", 6).alias("perimeter_m")),
+    f"""WITH {SEGMENTS}, k AS (SELECT vec_id, r, c, label FROM s WHERE v > -0.05::DOUBLE), d(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
+    SELECT k.vec_id, k.label, count(*) * 25::DOUBLE AS area_m2, (count(*) - count(o.r)) * 10::DOUBLE AS perimeter_m FROM k CROSS JOIN d LEFT JOIN k o ON o.vec_id = k.vec_id AND o.label = k.label AND o.r = k.r + dr AND o.c = k.c + dc GROUP BY 1, 2""",
+)
 register(
     "crown_features",
     lambda spark, d: cr.box_features(cr.outlines(blocks(spark, d), ["vec_id"], MAP)).select("vec_id", "feature"),

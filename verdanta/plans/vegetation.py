@@ -144,6 +144,11 @@ register(
     lambda spark, d: rad.scale_landsat(im.pixels(spark, d).select("scene_id", "pix", (F.col("nir") * 40000.0).alias("SR_B5"), (F.col("swir2") * 50000.0).alias("ST_B10"))).withColumns({b: F.round(b, 6) for b in ("SR_B5", "ST_B10")}),
     f"WITH {PIXELS} SELECT scene_id, pix, round(nir * 40000::DOUBLE * 0.0000275::DOUBLE + -0.2::DOUBLE, 6) AS SR_B5, round(swir2 * 50000::DOUBLE * 0.00341802::DOUBLE + 149::DOUBLE, 6) AS ST_B10 FROM pixels",
 )
+register(
+    "select_regex",
+    lambda spark, d: im.select_bands(im.pixels(spark, d), r"(n|r)\w*", "pix").groupBy("pix").agg(*[F.round(F.sum(b), 6).alias(b) for b in ("red", "red_edge", "nir", "row")]),
+    f'WITH {PIXELS} SELECT pix, round(sum(red), 6) AS red, round(sum(red_edge), 6) AS red_edge, round(sum(nir), 6) AS nir, sum("row")::BIGINT AS "row" FROM pixels GROUP BY 1',
+)
 register(
     "scale_dn",
     lambda spark, d: im.pixels(spark, d).select("scene_id", "pix", F.round(rad.dn_to_reflectance(F.col("nir") * 12000.0, 1.1, -50.0), 6).alias("reflectance")),

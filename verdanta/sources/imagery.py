@@ -1,5 +1,7 @@
 """Scenes and pixel observations as DataFrames, the sensor registry, band files, and synthetic scenes."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def select_bands(df: DataFrame, pattern: str, *others: str) -> DataFrame:
+    """``others``, then the columns whose whole names match the pattern."""
+    return df.select(*others, *[F.col(f"`{c}`") for c in df.columns if re.fullmatch(pattern, c) and c not in others])
+
+
 def nodata_to_null(df: DataFrame, bands: list[str], nodata: float | None = None) -> DataFrame:
     """NaN and the nodata value become NULL, the only nodata inside the engine."""
     def clean(c: str) -> Column:
@@ -61,20 +68,22 @@ def clearest_scenes(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy(F.coalesce("cloud_cover", F.lit(100.0)), "scene_id").limit(n)
 
 
-#: sensor, satellite, resolution in metres, bands by code, revisit days, swath in km: fixed values
-_FOUR = {"B2": "Green", "B3": "Red", "B4": "NIR", "B5": "SWIR"}
+#: sensor, satellite, resolution in metres, bands by code with wavelengths in micrometres, NIR and red band, revisit days, swath in km: fixed values
+_FOUR = {"B2": ("Green", 0.52, 0.59), "B3": ("Red", 0.62, 0.68), "B4": ("NIR", 0.77, 0.86), "B5": ("SWIR", 1.55, 1.70)}
+_THREE = {"B2": ("Green", 0.52, 0.59), "B3": ("Red", 0.62, 0.68), "B4": ("NIR", 0.77, 0.86)}
+_FINE = {"B1": ("Blue", 0.45, 0.52), "B2": ("Green", 0.52, 0.60), "B3": ("Red", 0.63, 0.69), "B4": ("NIR", 0.77, 0.89)}
 SENSORS = [
-    ("LISS-III", "Resourcesat-2/2A", 23.5, _FOUR, 24, 141),
-    ("LISS-IV-MX", "Resourcesat-2/2A", 5.8, {"B2": "Green", "B3": "Red", "B4": "NIR"}, 5, 70),
-    ("LISS-IV-PAN", "Resourcesat-2/2A", 5.8, {"PAN": "Panchromatic"}, 5, 23),
-    ("AWiFS", "Resourcesat-2/2A", 56.0, _FOUR, 5, 740),
-    ("CARTOSAT-3-PAN", "Cartosat-3", 0.25, {"PAN": "Panchromatic"}, 4, 16),
-    ("CARTOSAT-3-MX", "Cartosat-3", 1.0, {"B1": "Blue", "B2": "Green", "B3": "Red", "B4": "NIR"}, 4, 16),
+    ("LISS-III", "Resourcesat-2/2A", 23.5, _FOUR, ("B4", "B3"), 24, 141, None),
+    ("LISS-IV-MX", "Resourcesat-2/2A", 5.8, _THREE, ("B4", "B3"), 5, 70, "single crowns in open stands"),
+    ("LISS-IV-PAN", "Resourcesat-2/2A", 5.8, {"PAN": ("Panchromatic", 0.50, 0.75)}, None, 5, 23, None),
+    ("AWiFS", "Resourcesat-2/2A", 56.0, _FOUR, ("B4", "B3"), 5, 740, "districts and states"),
+    ("CARTOSAT-3-PAN", "Cartosat-3", 0.25, {"PAN": ("Panchromatic", 0.45, 0.90)}, None, 4, 16, "the finest; counting of trees"),
+    ("CARTOSAT-3-MX", "Cartosat-3", 1.0, _FINE, ("B4", "B3"), 4, 16, None),
 ]
 
 
 def sensors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENSORS, "sensor string, satellite string, resolution_m double, bands map<string,string>, revisit_days int, swath_km int")
+    return spark.createDataFrame(SENSORS, "sensor string, satellite string, resolution_m double, bands map<string,struct<name:string,low:double,high:double>>, ndvi_bands struct<nir:string,red:string>, revisit_days int, swath_km int, note string")
 
 
 def sensor_info(spark: SparkSession, name: str) -> DataFrame:
@@ -86,7 +95,7 @@ def sensor_info(spark: SparkSession, name: str) -> DataFrame:
 def recommend_sensors(spark: SparkSession, resolution: float, requires_nir: bool = True) -> DataFrame:
     """Sensors at most five times as coarse, with a NIR band if asked for, the finest first."""
     fit = sensors(spark).where(F.col("resolution_m") <= F.lit(5.0 * resolution))
-    fit = fit.where(F.array_contains(F.map_values("bands"), "NIR")) if requires_nir else fit
+    fit = fit.where(F.exists(F.map_values("bands"), lambda b: b["name"] == "NIR")) if requires_nir else fit
     return fit.orderBy("resolution_m", "sensor")
 
 
