@@ -1,8 +1,8 @@
 """Byte-level BPE with reuse of content-defined chunks, repaired at the joins.
 
 A rolling hash over 32 bytes cuts every text where the hash's top bits are zero, so passages that documents
-share are cut alike wherever they stand. Each distinct chunk is encoded once in a task: chunks of the
-documents at hand are grouped by their bytes, and what was encoded before is kept up to ``KEPT_BYTES``. A
+share are cut alike wherever they stand. A chunk is encoded once as long as its worker remembers it: of the chunks
+encoded or used before, the latest ``KEPT_BYTES`` at least are kept, twice that at most. A
 chunk encoded alone is wrong near its ends. At a join, the bytes from the last safe place before it to the
 first safe place after it are encoded again; safe is a single space between two characters that aren't white
 space, where the vocabulary's pre-tokenizer always parts tokens. The chunk's own tokens must have a boundary
@@ -29,7 +29,7 @@ from .texts import slices
 from .wordpieces import byte_of_symbol
 
 CHUNK_BITS = 9
-KEPT_BYTES = 8 << 20
+KEPT_BYTES = 16 << 20
 GEAR = np.random.Generator(np.random.PCG64(10)).integers(0, 1 << 32, 256, dtype=np.uint32)
 #: pre-tokens of byte-level BPE: fixed values of the vocabulary
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -87,15 +87,18 @@ class ChunkEncoder:
         self.plain = tiktoken.Encoding("chunks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.kept: dict[bytes, np.ndarray] = {}
+        self.older: dict[bytes, np.ndarray] = {}
         self.held = 0
 
     def chunk(self, raw: bytes) -> np.ndarray:
         """Ids of a chunk encoded alone."""
         ids = self.kept.get(raw)
         if ids is None:
-            ids = self.plain.encode_to_numpy(raw.decode(), disallowed_special=())
-            if self.held > KEPT_BYTES:
-                self.kept, self.held = {}, 0
+            ids = self.older.get(raw)
+            if ids is None:
+                ids = self.plain.encode_to_numpy(raw.decode(), disallowed_special=())
+            if self.held > KEPT_BYTES:  # what hasn't been used since the last change goes
+                self.older, self.kept, self.held = self.kept, {}, 0
             self.kept[raw] = ids
             self.held += len(raw) + ids.nbytes
         return ids
