@@ -11,10 +11,11 @@ keys, neighbouring windows mostly share one, and a run of them makes a piece of
 3. these documents cut the pieces of such keys; equal pieces of a batch are joined before the shuffle, and
    pieces are grouped by key. A key of more than ``HOT`` documents is cut into single windows that are dealt by
    their whole content, so a passage that a third of all documents hold is not one group;
-4. the different pieces of a key, joined to one string, get a suffix array (see ``lyndon``). Equal windows
-   stand side by side in it; the least doc_id of each such run tells which documents lose the window. A key
-   with one different piece needs no order: the piece's least doc_id holds for all its windows. The pieces of
-   a key with more than ``PIECES`` are dealt again by the keys of other hash functions, at last by content;
+4. the pieces of a key, joined to one string, get a suffix array (see ``lyndon``); many strings are ordered at
+   once. Equal windows stand side by side in it; the least doc_id of each such run tells which documents lose
+   the window. Of more than ``PIECES`` pieces, equal ones, which stand side by side, are joined first; if more are
+   left they are dealt again by the keys of other hash functions, at last by content, since one long string
+   can't share its steps with others. Single windows of hot keys come in order and are compared as a stream;
 5. the lost stretches go back to their documents and are merged.
 
 All readings of the texts by document are one shuffle, which Spark reuses.
@@ -26,6 +27,7 @@ nor lose. Extra columns are kept, whatever their names. An empty table gives an
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,8 @@ LENGTH, GRAM = 50, 20
 STEP_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 RUN = 32
 HOT = 2000
-PIECES, LEVELS = 16, 4
+PIECES, LEVELS = 32, 4
+HELD_BYTES = 4 << 20
 BATCH_SYMBOLS = 1 << 19
 BUCKET_KEYS = 1 << 19
 COMPARED = 1 << 14
@@ -295,17 +298,24 @@ def _dealt_again(strings: list[list[Piece]], level: int, single: bool) -> list[l
 
 
 def _settle(strings: list[list[Piece]]) -> None:
-    """Lower the owners of equal windows within each string to their least, by the strings' suffix arrays."""
-    flat_pieces = [p for s in strings for p in s]
-    lengths = np.array([len(p) for p, _, _ in flat_pieces])
-    per = np.array([len(s) for s in strings])
-    ends_string = np.zeros(len(flat_pieces), np.int64)
+    """Lower the owners of equal windows within each string to their least."""
+    pieces = [p for s in strings for p in s]
+    lengths = np.array([len(p) for p, _, _ in pieces])
+    owner = window_owners(np.frombuffer(b"".join(p for p, _, _ in pieces), np.uint8), lengths, np.array([len(s) for s in strings]), np.array([doc for _, doc, _ in pieces]))
+    begin = np.cumsum(lengths - LENGTH + 1) - (lengths - LENGTH + 1)
+    for (p, _, owners), at in zip(pieces, begin, strict=True):
+        for o in owners:
+            o[:] = owner[at : at + len(p) - LENGTH + 1]
+
+
+def window_owners(text: np.ndarray, lengths: np.ndarray, per: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For every window of pieces in a row, of which each string has the next ``per``: the least doc_id of the pieces of its string that hold the window, by the strings' suffix arrays."""
+    ends_string = np.zeros(len(lengths), np.int64)
     ends_string[np.cumsum(per) - 1] = 1
     # each piece has a mark behind it (1), each string its end (0); bytes are 2 and above
     starts = np.cumsum(lengths + 1 + ends_string) - (lengths + 1 + ends_string)
     n = int(starts[-1] + lengths[-1] + 2)
     symbols = np.ones(n, np.int16)
-    text = np.frombuffer(b"".join(p for p, _, _ in flat_pieces), np.uint8)
     inside = ranges(starts, starts + lengths)
     symbols[inside] = text.astype(np.int16) + 2
     last = np.flatnonzero(ends_string)
@@ -327,112 +337,127 @@ def _settle(strings: list[list[Piece]]) -> None:
         w = words[order + k]
         new[1:] |= w[1:] != w[:-1]
     owner = np.zeros(n, np.int64)
-    owner[at] = np.repeat(np.array([doc for _, doc, _ in flat_pieces]), windows)
+    owner[at] = np.repeat(docs, windows)
     begin = np.flatnonzero(new)
     least = np.minimum.reduceat(owner[order], begin)
     owner[order] = np.repeat(least, np.diff(np.append(begin, len(order))))
-    for (_, _, owners), s, w in zip(flat_pieces, starts, windows, strict=True):
-        for o in owners:
-            o[:] = owner[s : s + w]
+    return owner[at]
 
 
-def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
-    """(doc, tag, s, e): stretches of documents that equal windows of documents with smaller ids cover."""
+class Pieces:
+    """Rows (key, single, piece, least, found) of whole keys, and for each window of each row the least doc_id that has it."""
 
-    def settled(groups: list[list[tuple[bytes, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-        owners = least_owners([[(p, int(o["doc"].min())) for p, o in g] for g in groups])
-        yield from stretches([o for g in groups for _, o in g], [x for g in owners for x in g])
-
-    def stretches(found: list[np.ndarray], least: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, k = np.array([len(x) for x in least]), np.array([len(o) for o in found])
-        occ, of = np.concatenate(found), np.repeat(np.arange(len(found)), k)
-        upto = np.concatenate(least)
-        base = np.cumsum(n) - n
-        for a in range(0, len(occ), COMPARED):
-            o, which = occ[a : a + COMPARED], of[a : a + COMPARED]
-            cells = ranges(base[which], base[which] + n[which])
-            row = np.repeat(np.arange(len(o)), n[which])
-            gone = upto[cells] < o["doc"][row]
+    def __init__(self, table: pa.Table):
+        table = table.combine_chunks()
+        self.key, self.single = (table.column(i).to_numpy() for i in (0, 1))
+        self.data, self.offsets = flat(table.column(2))
+        self.least = table.column(3).to_numpy()
+        raw, ends = flat(table.column(4))
+        self.found = raw.view(OCCURRENCE) if len(raw) else np.zeros(0, OCCURRENCE)
+        self.times = np.diff(ends) // OCCURRENCE.itemsize
+        self.sizes = np.diff(self.offsets)
+        self.windows = self.sizes - LENGTH + 1
+        self.base = np.cumsum(self.windows) - self.windows
+        self.owner = np.repeat(self.least, self.windows)
+
+    def alike(self, rows: np.ndarray) -> np.ndarray:
+        """Whether the piece of each row is that of the row before it."""
+        out = self.sizes[rows] == self.sizes[rows - 1]
+        some = rows[out]
+        out[out] = same_bytes(self.data, self.offsets[some], self.offsets[some - 1], self.sizes[some])
+        return out
+
+    def stream(self, before: tuple[bytes, int] | None) -> tuple[bytes, int] | None:
+        """Single windows, of which equal ones stand side by side; ``before`` is the last window so far with its least doc_id."""
+        rows = np.flatnonzero(self.single)
+        if not len(rows):
+            return before
+        new = np.ones(len(rows), bool)
+        new[1:] = ~self.alike(rows[1:])
+        begin = np.flatnonzero(new)
+        least = np.minimum.reduceat(self.least[rows], begin)
+        if before and self.data[self.offsets[rows[0]] : self.offsets[rows[0] + 1]].tobytes() == before[0]:
+            least[0] = min(least[0], before[1])
+        self.owner[self.base[rows]] = np.repeat(least, np.diff(np.append(begin, len(rows))))
+        return self.data[self.offsets[-2] :].tobytes(), int(least[-1])
+
+    def settle(self) -> None:
+        """The pieces of every key with several of them."""
+        rows = np.flatnonzero(~self.single)
+        if not len(rows):
+            return
+        lead = np.flatnonzero(np.diff(self.key[rows], prepend=self.key[rows[0]] - 1))
+        n = np.diff(np.append(lead, len(rows)))
+        crowded = np.repeat(n > PIECES, n)
+        for s, e in zip(lead[n > PIECES], (lead + n)[n > PIECES], strict=True):
+            self.crowd(rows[s:e])
+        rows = rows[~crowded & np.repeat(n > 1, n)]
+        per = n[(n > 1) & (n <= PIECES)]
+        if not len(per):
+            return
+        begin = np.cumsum(per) - per
+        symbols = np.add.reduceat(self.sizes[rows] + 1, begin) + 1
+        order = np.argsort(symbols, kind="stable")  # strings of one size take as many steps
+        batch = np.cumsum(symbols[order]) // BATCH_SYMBOLS
+        for which in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+            own = rows[ranges(begin[which], begin[which] + per[which])]
+            text = self.data[ranges(self.offsets[own], self.offsets[own + 1])]
+            self.owner[ranges(self.base[own], self.base[own] + self.windows[own])] = window_owners(text, self.sizes[own], per[which], self.least[own])
+
+    def crowd(self, rows: np.ndarray) -> None:
+        """One key of many rows."""
+        new = np.ones(len(rows), bool)
+        new[1:] = ~self.alike(rows[1:])
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        docs = np.minimum.reduceat(self.least[rows], begin)
+        pieces = [(self.data[self.offsets[r] : self.offsets[r + 1]].tobytes(), int(d)) for r, d in zip(rows[begin].tolist(), docs, strict=True)]
+        (owners,) = least_owners([pieces])
+        for r, g in zip(rows.tolist(), group.tolist(), strict=True):
+            self.owner[self.base[r] : self.base[r] + self.windows[r]] = owners[g]
+
+    def stretches(self) -> Iterator[pa.RecordBatch]:
+        """Where windows of documents are lost to a smaller doc_id, neighbours joined."""
+        of = np.repeat(np.arange(len(self.key)), self.times)
+        for a in range(0, len(of), COMPARED):
+            o, which = self.found[a : a + COMPARED], of[a : a + COMPARED]
+            cells = ranges(self.base[which], self.base[which] + self.windows[which])
+            row = np.repeat(np.arange(len(o)), self.windows[which])
+            gone = self.owner[cells] < o["doc"][row]
             before = np.zeros(len(gone), bool)
             before[1:] = gone[:-1] & (row[1:] == row[:-1])
             begin = np.flatnonzero(gone & ~before)
             end = np.flatnonzero(gone & ~np.append(gone[1:] & before[1:], False))
             r = row[begin]
-            shift = o["s"][r] - base[which][r]
+            shift = o["s"][r] - self.base[which][r]
             first, last = cells[begin] + shift, cells[end] + shift + LENGTH
             yield pa.RecordBatch.from_arrays([pa.array(o["doc"][r].copy()), pa.array(o["tag"][r].copy()), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "tag", "s", "e"])
 
-    def easy(table: pa.Table, hold: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-        """The stretches of keys with one different piece; the rows of other keys, and of the last key if it is to be held, come as tables."""
-        table = table.combine_chunks()
-        key, single = (table.column(i).to_numpy() for i in (0, 1))
-        data, offsets = flat(table.column(2))
-        size = np.diff(offsets)
-        change = np.ones(len(key), bool)
-        change[1:] = (key[1:] != key[:-1]) | (single[1:] != single[:-1])
-        other = change.copy()
-        other[1:] |= size[1:] != size[:-1]
-        like = np.flatnonzero(~other)  # equal pieces of a key stand side by side
-        other[like] = ~same_bytes(data, offsets[like], offsets[like - 1], size[like])
-        group = np.cumsum(np.where(single, other, change)) - 1
-        lead = np.flatnonzero(np.diff(group, prepend=-1))
-        one = (np.add.reduceat(other.astype(np.int64), lead) == 1)[group]
-        held = np.zeros(len(key), bool)
-        if hold and not single[-1]:
-            held = group == group[-1]
-        take = one & ~held
-        least = np.minimum.reduceat(table.column(3).to_numpy(), lead)
-        if state["single"] and single[0] and data[: offsets[1]].tobytes() == state["single"]:
-            least[0] = state["least"]  # the hot window goes on; its least owner came first
-        state["single"], state["least"] = (data[offsets[-2] :].tobytes(), least[-1]) if single[-1] else (None, 0)
-        raw, ends = flat(table.column(4))
-        occ = raw.view(OCCURRENCE) if len(raw) else np.zeros(0, OCCURRENCE)
-        row = np.repeat(np.arange(len(key)), np.diff(ends) // OCCURRENCE.itemsize)
-        lost = take[row] & (occ["doc"] > least[group[row]])
-        o, size = occ[lost], size[row[lost]]
-        yield pa.RecordBatch.from_arrays([pa.array(o["doc"]), pa.array(o["tag"]), pa.array(o["s"]), pa.array((o["s"] + size).astype(np.int32))], names=["doc", "tag", "s", "e"])
-        yield table.filter(pa.array(~one & ~held))
-        yield table.filter(pa.array(held))
 
-    state: dict = {"single": None, "least": 0}
+def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
+    """(doc, tag, s, e): stretches of documents that equal windows of documents with smaller ids cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state["single"] = None
-        crowded: list[pa.Table] = []
-        size, rest = 0, None
-        for batch in batches:
-            if not len(batch):
+        parts: list[pa.RecordBatch] = []
+        held, last = 0, None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                parts.append(batch)
+                held += batch.nbytes
+                if held < HELD_BYTES or not len(batch):
+                    continue
+            if not any(len(p) for p in parts):
                 continue
-            table = pa.Table.from_batches([batch])
-            if rest is not None and len(rest):
-                table = pa.concat_tables([rest, table])
-            out, hard, rest = easy(table, True)
-            yield out
-            crowded.append(hard)
-            size += hard.nbytes
-            if size > 2 << 20:
-                yield from settled(groups(crowded))
-                crowded, size = [], 0
-        if rest is not None and len(rest):
-            out, hard, _ = easy(rest, False)
-            yield out
-            crowded.append(hard)
-        if any(len(t) for t in crowded):
-            yield from settled(groups(crowded))
-
-    def groups(tables: list[pa.Table]) -> list[list[tuple[bytes, np.ndarray]]]:
-        out: list[list[tuple[bytes, list[np.ndarray]]]] = []
-        now, piece = None, None
-        for table in tables:
-            for key, p, found in zip(*(table.column(i).to_pylist() for i in (0, 2, 4)), strict=True):
-                if key != now:
-                    out.append([])
-                    now, piece = key, None
-                if p != piece:
-                    out[-1].append((p, []))
-                    piece = p
-                out[-1][-1][1].append(np.frombuffer(found, OCCURRENCE))
-        return [[(p, np.concatenate(o)) for p, o in g] for g in out]
+            table = pa.Table.from_batches(parts)
+            key, single = (table.column(i).to_numpy() for i in (0, 1))
+            # the last key may go on; single windows go on in any case
+            end = len(key) if batch is None or single[-1] else 0 if (key == key[-1]).all() else int(np.flatnonzero(key != key[-1])[-1]) + 1
+            parts, held = table.slice(end).to_batches(), 0
+            if end:
+                own = Pieces(table.slice(0, end))
+                own.settle()
+                last = own.stream(last)
+                yield from own.stretches()
 
     return pieces.repartition(partitions, "key").sortWithinPartitions("single", "key", "piece", "least").mapInArrow(run, LOST)
 
