@@ -214,6 +214,14 @@ def test_repeats_against_brute_force(spark, documents, hot):
     assert got == brute_repeats(list(documents.itertuples(index=False, name=None)))
 
 
+@pytest.mark.parametrize(("pieces", "levels", "least"), [(2, 1, 2), (1, 0, 10**9), (3, 4, 3)])
+def test_repeats_with_crowded_and_common_keys(spark, documents, monkeypatch, pieces, levels, least):
+    for name, value in (("PIECES", pieces), ("LEVELS", levels), ("SAMPLED", 1), ("LEAST", least), ("HELD_BYTES", 1 << 12), ("BATCH_SYMBOLS", 1 << 12)):
+        monkeypatch.setattr(suffixes, name, value)
+    got = sorted(tuple(r) for r in suffixes.kept_digests(suffixes.lost_spans(spark.createDataFrame(documents[:150]))).collect())
+    assert got == brute_repeats(list(documents[:150].itertuples(index=False, name=None)))
+
+
 def test_repeats_in_odd_documents(spark):
     docs = odd_documents(spark)
     got = [tuple(r) for r in suffixes.kept_digests(suffixes.lost_spans(docs)).collect()]

@@ -7,7 +7,8 @@ keys, neighbouring windows mostly share one, and a run of them makes a piece of
 1. of documents with equal texts (by SHA-256) only that with the smallest doc_id goes on; the others lose all;
 2. every document's keys go to buckets by their own value, packed in few rows and shortened to 32 bits (in a
    bucket of bounded size hardly any meet by chance, and chance meetings do no harm); the keys that two
-   documents have are sent back to the documents that have them;
+   documents have are sent back to the documents that have them. Keys that a sample of the documents shows to be
+   common need no bucket: they are told to each document at once;
 3. these documents cut the pieces of such keys; equal pieces of a batch are joined before the shuffle, and
    pieces are grouped by key. A key of more than ``HOT`` documents is cut into single windows that are dealt by
    their whole content, so a passage that a third of all documents hold is not one group;
@@ -45,6 +46,8 @@ RUN = 32
 HOT = 2000
 PIECES, LEVELS = 32, 4
 HELD_BYTES = 4 << 20
+#: of one document in SAMPLED, and of LEAST of these at least, the share that makes a key common
+SAMPLED, LEAST, COMMON = 64, 32, 0.002
 BATCH_SYMBOLS = 1 << 19
 BUCKET_KEYS = 1 << 19
 COMPARED = 1 << 14
@@ -109,8 +112,32 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray
     return out
 
 
-def _keys_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc, tag, n, keys): per batch and bucket the different keys of the documents, packed."""
+def _common_keys(docs: DataFrame) -> np.ndarray:
+    """Ascending keys that a noticeable share of a sample of documents has: at most 1 / COMMON times the keys of a mean document.
+
+    They are known to be shared and hot, so they needn't meet in a bucket; which ones are found changes no result.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0), SLICE_BYTES):
+                for keys, row, _, _ in key_runs(data, offsets):
+                    each = np.unique(row.astype(np.uint64) << np.uint64(32) | shortened(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(each.astype(np.uint32).view(np.int32))], names=["key"])
+
+    sample = stored(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("text").dropDuplicates())
+    least = max(LEAST, int(COMMON * sample.count()))
+    # a text longer than a step counts a key once per step
+    counts = sample.mapInArrow(run, "key int").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int32).view(np.uint32))
+
+
+def _keys_by_bucket(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
+    """(bucket, doc, tag, n, keys): per batch and bucket the different keys of the documents, packed.
+
+    Common keys go by document, in buckets below 0.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
     schema = pa.schema([("bucket", pa.int32()), ("doc", pa.binary()), ("tag", pa.binary()), ("n", pa.binary()), ("keys", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +149,8 @@ def _keys_by_bucket(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 keys, row = (np.concatenate(c) for c in zip(*found, strict=True))
                 short, bucket = shortened(keys), bucket_of(keys, buckets)
+                known = np.isin(short, shared.value)
+                bucket[known] = -1 - bucket_of(docs[first + row[known]].astype(np.uint64), buckets)
                 order = np.lexsort((row, bucket))  # a key that a row repeats does no harm
                 short, row, bucket = short[order], row[order], bucket[order]
                 lead = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -145,7 +174,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
     """(doc, tag, keys, hot): the keys of each document that another document has too, and whether very many have them."""
 
-    def told(parts: list[tuple[bytes, ...]]) -> Iterator[pa.RecordBatch]:
+    def told(parts: list[tuple[bytes, ...]], common: bool) -> Iterator[pa.RecordBatch]:
         doc, tag = (np.concatenate([np.frombuffer(p[i], t).repeat(np.frombuffer(p[2], "<i4")) for p in parts]) for i, t in ((0, np.int64), (1, np.int32)))
         keys = np.concatenate([np.frombuffer(p[3], "<u4") for p in parts])
         order = np.lexsort((doc, keys))
@@ -156,8 +185,8 @@ def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
         lead = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         n = np.diff(np.append(lead, len(keys)))
         n = np.repeat(n, n)
-        keep = n > 1
-        doc, tag, keys, hot = doc[keep], tag[keep], keys[keep], n[keep] > most
+        keep = common | (n > 1)
+        doc, tag, keys, hot = doc[keep], tag[keep], keys[keep], common | (n[keep] > most)
         order = np.lexsort((tag, doc))
         doc, tag, keys, hot = doc[order], tag[order], keys[order], hot[order]
         new = np.ones(len(doc), bool)
@@ -173,12 +202,12 @@ def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
         for batch in batches:
             for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != now and parts:
-                    yield from told(parts)
+                    yield from told(parts, now < 0)
                     parts = []
                 now = bucket
                 parts.append(rest)
         if parts:
-            yield from told(parts)
+            yield from told(parts, now < 0)
 
     return by_bucket.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc long, tag int, keys binary, hot binary")
 
@@ -478,7 +507,7 @@ def lost_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = stored(digests.join(firsts, "digest").where("doc > first").select("doc", "tag").distinct())
     base = rows.where("doc IS NOT NULL")
     known = base.join(copies, ["doc", "tag"], "left_anti")
-    shared = _shared_keys(_keys_by_bucket(known, buckets), partitions, hot)
+    shared = _shared_keys(_keys_by_bucket(known, buckets, _common_keys(base)), partitions, hot)
     shared = shared.groupBy("doc", "tag").agg(F.collect_list(F.struct("keys", "hot")).alias("shared"))
     lost = _lost(_pieces(base.join(shared, ["doc", "tag"])), partitions)
     lost = lost.groupBy("doc", "tag").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("found"))
