@@ -180,6 +180,23 @@ def test_quantisation_finds_all_links_of_every_length(spark, monkeypatch, block)
     assert got == want
 
 
+def test_links_at_the_limit_count_on_both_sides(spark):
+    """Cosines of 19/20, as doubles give them, and equal vectors of other lengths."""
+    rows = [(i + 1, [float(x) for x in v]) for i, v in enumerate([(1, 0, 0, 0, 0), (19, 5, 3, 2, 1), (19, -5, -3, -2, -1), (2, 0, 0, 0, 0), (1, 0, 0, 0, 0), (0, 0, 0, 0, 1)])]
+    got = {r["vec_id"]: r for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    x = np.array([v for _, v in rows])
+    u = quantized.unit(x)
+    links = (np.einsum("id,jd->ij", u, u) >= 0.95) & ~np.eye(len(rows), dtype=bool)
+    assert [got[i + 1]["n_links"] for i in range(6)] == links.sum(1).tolist() and got[1]["n_links"] >= 2 and got[6]["kept"]
+
+
+def test_warc_of_repeated_pages(spark):
+    rows = [(3, "http://a/", "x" * 200), (3, "http://a/", "x" * 200), (5, "http://b/", "x" * 200), (6, None, None), (None, "http://c/", "x" * 200)]
+    got = warc.read_archive(spark, warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
+    told = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"], len(r["payload"])) for r in got)
+    assert told == [(0, "revisit", 3, 200), (3, "response", None, 200), (3, "response", None, 200), (5, "revisit", 3, 200), (6, "response", None, 0)]
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(1)
     strings = [rng.integers(0, rng.integers(1, 4), rng.integers(0, 40)).tolist() for _ in range(400)]
@@ -450,7 +467,7 @@ def test_packing_is_gapless_and_tight(spark, documents):
         by_length.setdefault(r["length"], []).append(r["rank"])
     assert all(sorted(x) == list(range(len(x))) for x in by_length.values()) and len(by_length[64]) > 100
     odd = packing.pack(odd_documents(spark), path).collect()
-    assert sum(r["start"] == 0 for r in odd) == 11
+    assert sum(r["start"] == 0 for r in odd) == 11 and len({(r["sequence_id"], r["offset"]) for r in odd}) == len(odd)
     assert packing.pack(empty(spark), path).count() == 0
 
 

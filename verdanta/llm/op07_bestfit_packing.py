@@ -31,7 +31,7 @@ from .words import hashes, spans
 
 CAPACITY, END_ID = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-SHARE = 1 << 16
+SHARE = 1 << 10
 _ENCODERS: dict[str, WordPieces] = {}
 
 
