@@ -16,9 +16,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/verdanta/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of that table."""
+class Scratch:
+    """The tables of one computation that nothing needs any more once its result is written."""
+
+    def __init__(self):
+        self.paths: list[tuple[SparkSession, str]] = []
+
+    def stored(self, df: DataFrame) -> DataFrame:
+        return stored(df, self)
+
+    def clear(self) -> None:
+        for spark, path in self.paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
+def stored(df: DataFrame, scratch: Scratch | None = None, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a reader of that table, which goes with ``scratch`` if there is one."""
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
+    if scratch is not None:
+        scratch.paths.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
