@@ -8,7 +8,7 @@ from verdanta.llm import op05_byte_cnn_quality as cnn
 from verdanta.llm import op06_minhash_hamming as minhash
 from verdanta.llm import op07_bestfit_packing as packing
 from verdanta.llm.queries import table, vocabulary
-from verdanta.llm.storage import stored
+from verdanta.llm.storage import Scratch, stored
 
 
 def as_struct(docs: DataFrame) -> Column:
@@ -55,6 +55,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    older = Scratch()
     for _, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir))
+        scratch = Scratch()
+        docs = stored(stage(spark, docs, sf_dir), scratch)
+        older.clear()  # what the stage has read
+        older = scratch
     return docs
