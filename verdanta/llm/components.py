@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import Scratch, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,13 +23,17 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of ``edges`` (a, b) that isn't the smallest of its component.
 
-    Edges with a null end, loops and repeated edges do no harm. Every round is written to the shared folder.
+    Edges with a null end, loops and repeated edges do no harm. Every round is written to the shared folder, and the
+    one before it goes.
     """
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    now = stored(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    scratch = Scratch()
+    now = stored(edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), scratch)
     while True:
         # stars: no node is a child twice, or a child and a root
         ends = now.select(F.col("a").alias("x"), F.lit(1).alias("child")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("child")))
         if ends.groupBy("x").agg(F.sum("child").alias("n"), F.min("child").alias("root")).where("n > 1 or (n = 1 and root = 0)").isEmpty():
             return now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        now = stored(_stars(_stars(now, True), False).distinct())
+        older, scratch = scratch, Scratch()
+        now = stored(_stars(_stars(now, True), False).distinct(), scratch)
+        older.clear()

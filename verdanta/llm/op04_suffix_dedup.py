@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .lyndon import ranges, suffix_arrays
-from .storage import stored
+from .storage import Scratch, stored
 from .texts import flat, slices
 from .words import VALUE, hashes, mix
 
@@ -125,11 +125,14 @@ def _common_keys(docs: DataFrame) -> np.ndarray:
                     each = np.unique(row.astype(np.uint64) << np.uint64(32) | shortened(keys))
                     yield pa.RecordBatch.from_arrays([pa.array(each.astype(np.uint32).view(np.int32))], names=["key"])
 
-    sample = stored(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("text").dropDuplicates())
+    scratch = Scratch()
+    sample = scratch.stored(docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLED)) == 0).select("text").dropDuplicates())
     least = max(LEAST, int(COMMON * sample.count()))
     # a text longer than a step counts a key once per step
     counts = sample.mapInArrow(run, "key int").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int32).view(np.uint32))
+    found = np.sort(np.array([r["key"] for r in counts.select("key").collect()], np.int32).view(np.uint32))
+    scratch.clear()
+    return found
 
 
 def _keys_by_bucket(docs: DataFrame, buckets: int, common: np.ndarray) -> DataFrame:
@@ -502,9 +505,11 @@ def lost_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     buckets = partitions * max(1, (nbytes >> 4) // BUCKET_KEYS // partitions)
     digests = rows.where("doc IS NOT NULL").select("doc", "tag", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"))
     # both written, so that Spark can split the join where one text has very many copies
-    digests = stored(digests)
-    firsts = stored(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
+    scratch = Scratch()
+    digests = scratch.stored(digests)
+    firsts = scratch.stored(digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     copies = stored(digests.join(firsts, "digest").where("doc > first").select("doc", "tag").distinct())
+    scratch.clear()
     base = rows.where("doc IS NOT NULL")
     known = base.join(copies, ["doc", "tag"], "left_anti")
     shared = _shared_keys(_keys_by_bucket(known, buckets, _common_keys(base)), partitions, hot)

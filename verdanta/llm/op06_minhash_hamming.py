@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import row_sets, shingle_sets
-from .storage import stored
+from .storage import Scratch, stored
 from .words import mix
 
 SLOTS, CHUNKS, MAX_ERRORS = 64, 16, 30
@@ -145,7 +145,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").where(similar("sa", "sb")).select("a", "b")
 
 
-def _dealt(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
+def _dealt(rows: DataFrame, weight: Column, limit: int, scratch: Scratch) -> DataFrame:
     """``rows`` (key, doc, component, ...) of keys with several components, in blocks of about ``limit``: with m, q and role.
 
     A member asks if it is outside the largest component of its key. Block (m, q) of a key holds the m-th share
@@ -155,7 +155,7 @@ def _dealt(rows: DataFrame, weight: Column, limit: int) -> DataFrame:
     sizes = by.groupBy("key").agg(F.sum("w").alias("all"), F.max(F.struct("w", "component")).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1")
     share = lambda w: F.ceil(w / F.lit(limit)).cast("int")
     # written, so that Spark can split a hot key's part of the join
-    sizes = stored(sizes.select("key", F.col("most.component").alias("largest"), share(F.col("all")).alias("ms"), share(F.col("all") - F.col("most.w")).alias("qs")))
+    sizes = stored(sizes.select("key", F.col("most.component").alias("largest"), share(F.col("all")).alias("ms"), share(F.col("all") - F.col("most.w")).alias("qs")), scratch)
     spread, asks = F.xxhash64("doc"), F.col("component") != F.col("largest")
     own = lambda n: F.pmod(spread, F.col(n)).cast("int")
     place = lambda m, q, role: F.struct(m.alias("m"), q.alias("q"), role.cast("int").alias("role"))
@@ -225,7 +225,7 @@ def _buckets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Bucket]]:
 GROUPED = ["key", "m", "q", "role", "doc", "component", "n_shingles", "signature"]
 
 
-def _involved(members: DataFrame, nodes: DataFrame) -> DataFrame:
+def _involved(members: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, doc) of documents that have a pair to confirm in a bucket; members: key, doc, component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,11 +243,11 @@ def _involved(members: DataFrame, nodes: DataFrame) -> DataFrame:
             if docs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(docs))], names=["key", "doc"])
 
-    rows = _dealt(members, F.lit(1), DOCUMENTS).join(nodes.select("doc", "n_shingles", "signature"), "doc").select(*GROUPED)
+    rows = _dealt(members, F.lit(1), DOCUMENTS, scratch).join(nodes.select("doc", "n_shingles", "signature"), "doc").select(*GROUPED)
     return rows.repartition("key", "m", "q").sortWithinPartitions("key", "m", "q").mapInArrow(run, "key long, doc long").distinct()
 
 
-def _linked(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def _linked(members: DataFrame, nodes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that join the components of members (key, doc, component) wherever a pair of a bucket is similar enough."""
 
     def links(bucket: Bucket, found: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -276,7 +276,7 @@ def _linked(members: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    rows = _dealt(members.join(nodes, "doc").select("key", "doc", "component", "n_shingles", "signature"), F.col("n_shingles"), SHINGLES)
+    rows = _dealt(members.join(nodes, "doc").select("key", "doc", "component", "n_shingles", "signature"), F.col("n_shingles"), SHINGLES, scratch)
     rows = rows.join(sets, "doc").select(*GROUPED, "found")
     return rows.repartition("key", "m", "q").sortWithinPartitions("key", "m", "q").mapInArrow(run, "a long, b long")
 
@@ -289,17 +289,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     usable = nodes.where("doc IS NOT NULL").select("doc", "n_shingles", "signature")
     filed = _filed(usable)
     heads = filed.groupBy("key").agg(F.min_by("doc", F.xxhash64("doc")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stored(filed.join(stored(heads), "key"))
-    sets = stored(_shingled(docs, members.select("doc").distinct()))
+    scratch = Scratch()
+    members = scratch.stored(filed.join(scratch.stored(heads), "key"))
+    sets = scratch.stored(_shingled(docs, members.select("doc").distinct()))
 
     # first each document with the head of most of its buckets
     shared = members.where("doc <> head").groupBy("doc", "head").agg(F.count(F.lit(1)).alias("n"))
     nearest = shared.groupBy("doc").agg(F.max(F.struct("n", "head")).alias("most")).select(F.col("doc").alias("b"), F.col("most.head").alias("a"))
     found = components(_confirmed(nearest, sets))
     labels = members.select("key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left")
-    labelled = stored(labels.select("key", "doc", F.coalesce("component", "doc").alias("component")))
-    involved = stored(_involved(labelled, usable).join(labelled, ["key", "doc"]))
-    found = components(found.toDF("a", "b").unionByName(_linked(involved, usable, sets)))
+    labelled = scratch.stored(labels.select("key", "doc", F.coalesce("component", "doc").alias("component")))
+    involved = scratch.stored(_involved(labelled, usable, scratch).join(labelled, ["key", "doc"]))
+    found = components(found.toDF("a", "b").unionByName(_linked(involved, usable, sets, scratch)))
+    scratch.clear()
 
     classes = nodes.select("set_key", "doc").join(found.withColumnRenamed("id", "doc"), "doc", "left").select("set_key", F.coalesce("component", "doc").alias("component_id"))
     out = features.select("doc_id", "n_shingles", "set_key").join(classes, "set_key", "left")

@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import Scratch, stored
 
 RUN, K, SKETCHES = 8, 3, 64
 PLACE_BITS = 31
@@ -119,9 +119,9 @@ def as_text(codes: Column) -> Column:
     return F.lower(F.array_join(F.transform(codes, lambda c: F.lpad(F.hex(c.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), ""))
 
 
-def successors(ids: DataFrame) -> DataFrame:
+def successors(ids: DataFrame, scratch: Scratch) -> DataFrame:
     """``ids`` (distinct key) with prev, the key before it; the first one has the last one."""
-    ranged = stored(ids.repartitionByRange(F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
+    ranged = scratch.stored(ids.repartitionByRange(F.col("key").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
     bounds = ranged.groupBy("part").agg(F.max("key").alias("high"))  # one row per partition
     overall = Window.orderBy("part")
     whole = overall.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -135,8 +135,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     # a null doc_id has the key below all others, so joins find it
     lowest = F.lit(-(1 << 63))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), lowest).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = stored(rows.groupBy("key").agg(F.max(F.char_length("text")).alias("n"), F.min(F.xxhash64("text")).alias("chosen")))
-    links = stored(successors(ids.select("key")).join(ids.withColumnsRenamed({"key": "prev", "n": "prev_n"}).drop("chosen"), "prev").join(ids.drop("n"), "key"))
+    scratch = Scratch()
+    ids = scratch.stored(rows.groupBy("key").agg(F.max(F.char_length("text")).alias("n"), F.min(F.xxhash64("text")).alias("chosen")))
+    links = stored(successors(ids.select("key"), scratch).join(ids.withColumnsRenamed({"key": "prev", "n": "prev_n"}).drop("chosen"), "prev").join(ids.drop("n"), "key"))
+    scratch.clear()
     # both sides of the last join read the same three columns by the same key, so one shuffle of the texts serves both
     coded = rows.withColumn("codes", fingerprint(F.col("text")))
     # what each document gives its predecessor: as much of its text as half of the predecessor's, and its codes
