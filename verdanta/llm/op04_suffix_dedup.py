@@ -12,11 +12,12 @@ keys, neighbouring windows mostly share one, and a run of them makes a piece of
 3. these documents cut the pieces of such keys; equal pieces of a batch are joined before the shuffle, and
    pieces are grouped by key. A key of more than ``HOT`` documents is cut into single windows that are dealt by
    their whole content, so a passage that a third of all documents hold is not one group;
-4. the pieces of a key, joined to one string, get a suffix array (see ``lyndon``); many strings are ordered at
-   once. Equal windows stand side by side in it; the least doc_id of each such run tells which documents lose
-   the window. Of more than ``PIECES`` pieces, equal ones, which stand side by side, are joined first; if more are
-   left they are dealt again by the keys of other hash functions, at last by content, since one long string
-   can't share its steps with others. Single windows of hot keys come in order and are compared as a stream;
+4. the different pieces of a key, joined to one string, get a suffix array (see ``lyndon``); many strings are
+   ordered at once. Equal windows stand side by side in it; the least doc_id of each such run tells which
+   documents lose the window. Pieces that are equal byte for byte, which stand side by side, are joined before
+   that; a key with one different piece needs no order. If more than ``PIECES`` are left they are dealt again by
+   the keys of other hash functions, at last by content, since one long string can't share its steps with
+   others. Single windows of hot keys come in order and are compared as a stream;
 5. the lost stretches go back to their documents and are merged.
 
 All readings of the texts by document are one shuffle, which Spark reuses.
@@ -44,7 +45,7 @@ LENGTH, GRAM = 50, 20
 STEP_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 RUN = 32
 HOT = 2000
-PIECES, LEVELS = 32, 4
+PIECES, LEVELS = 16, 4
 HELD_BYTES = 4 << 20
 #: of one document in SAMPLED, and of LEAST of these at least, the share that makes a key common
 SAMPLED, LEAST, COMMON = 64, 32, 0.002
@@ -414,39 +415,35 @@ class Pieces:
         return self.data[self.offsets[-2] :].tobytes(), int(least[-1])
 
     def settle(self) -> None:
-        """The pieces of every key with several of them."""
+        """The pieces of every key: equal ones are joined, and what is left of a key gets a suffix array."""
         rows = np.flatnonzero(~self.single)
         if not len(rows):
             return
-        lead = np.flatnonzero(np.diff(self.key[rows], prepend=self.key[rows[0]] - 1))
-        n = np.diff(np.append(lead, len(rows)))
-        crowded = np.repeat(n > PIECES, n)
-        for s, e in zip(lead[n > PIECES], (lead + n)[n > PIECES], strict=True):
-            self.crowd(rows[s:e])
-        rows = rows[~crowded & np.repeat(n > 1, n)]
-        per = n[(n > 1) & (n <= PIECES)]
-        if not len(per):
-            return
-        begin = np.cumsum(per) - per
-        symbols = np.add.reduceat(self.sizes[rows] + 1, begin) + 1
-        order = np.argsort(symbols, kind="stable")  # strings of one size take as many steps
-        batch = np.cumsum(symbols[order]) // BATCH_SYMBOLS
-        for which in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
-            own = rows[ranges(begin[which], begin[which] + per[which])]
-            text = self.data[ranges(self.offsets[own], self.offsets[own + 1])]
-            self.owner[ranges(self.base[own], self.base[own] + self.windows[own])] = window_owners(text, self.sizes[own], per[which], self.least[own])
-
-    def crowd(self, rows: np.ndarray) -> None:
-        """One key of many rows."""
-        new = np.ones(len(rows), bool)
-        new[1:] = ~self.alike(rows[1:])
-        group = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        docs = np.minimum.reduceat(self.least[rows], begin)
-        pieces = [(self.data[self.offsets[r] : self.offsets[r + 1]].tobytes(), int(d)) for r, d in zip(rows[begin].tolist(), docs, strict=True)]
-        (owners,) = least_owners([pieces])
-        for r, g in zip(rows.tolist(), group.tolist(), strict=True):
-            self.owner[self.base[r] : self.base[r] + self.windows[r]] = owners[g]
+        key = self.key[rows]
+        other = np.ones(len(rows), bool)
+        same = np.flatnonzero(key[1:] == key[:-1]) + 1
+        other[same] = ~self.alike(rows[same])
+        lead, of = np.flatnonzero(other), np.cumsum(other) - 1
+        first, least = rows[lead], np.minimum.reduceat(self.least[rows], lead)
+        sizes, windows = self.sizes[first], self.windows[first]
+        base = np.cumsum(windows) - windows
+        owner = np.repeat(least, windows)
+        begin = np.flatnonzero(np.concatenate([[True], key[lead][1:] != key[lead][:-1]]))
+        n = np.diff(np.append(begin, len(lead)))
+        for s, e in zip(begin[n > PIECES].tolist(), (begin + n)[n > PIECES].tolist(), strict=True):
+            pieces = [(self.data[self.offsets[r] : self.offsets[r + 1]].tobytes(), int(d)) for r, d in zip(first[s:e].tolist(), least[s:e], strict=True)]
+            owner[base[s] : base[e - 1] + windows[e - 1]] = np.concatenate(least_owners([pieces])[0])
+        some = (n > 1) & (n <= PIECES)
+        start, per = begin[some], n[some]
+        if len(per):
+            symbols = np.add.reduceat(sizes[ranges(start, start + per)] + 1, np.cumsum(per) - per) + 1
+            order = np.argsort(symbols, kind="stable")  # strings of one size take as many steps
+            batch = np.cumsum(symbols[order]) // BATCH_SYMBOLS
+            for which in np.split(order, np.flatnonzero(np.diff(batch)) + 1):
+                own = ranges(start[which], start[which] + per[which])
+                text = self.data[ranges(self.offsets[first[own]], self.offsets[first[own] + 1])]
+                owner[ranges(base[own], base[own] + windows[own])] = window_owners(text, sizes[own], per[which], least[own])
+        self.owner[ranges(self.base[rows], self.base[rows] + self.windows[rows])] = owner[ranges(base[of], base[of] + windows[of])]
 
     def stretches(self) -> Iterator[pa.RecordBatch]:
         """Where windows of documents are lost to a smaller doc_id, neighbours joined."""
