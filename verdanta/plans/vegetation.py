@@ -146,8 +146,8 @@ register(
 )
 register(
     "select_regex",
-    lambda spark, d: im.select_bands(im.pixels(spark, d), r"(n|r)\w*", "pix").groupBy("pix").agg(*[F.round(F.sum(b), 6).alias(b) for b in ("red", "red_edge", "nir", "row")]),
-    f'WITH {PIXELS} SELECT pix, round(sum(red), 6) AS red, round(sum(red_edge), 6) AS red_edge, round(sum(nir), 6) AS nir, sum("row")::BIGINT AS "row" FROM pixels GROUP BY 1',
+    lambda spark, d: im.select_bands(im.pixels(spark, d), r"(n|r)\w*", "pix").groupBy("pix").agg(*[F.max(b).alias(b) for b in ("red", "red_edge", "nir", "row")]),
+    f'WITH {PIXELS} SELECT pix, max(red) AS red, max(red_edge) AS red_edge, max(nir) AS nir, max("row") AS "row" FROM pixels GROUP BY 1',
 )
 register(
     "scale_dn",
