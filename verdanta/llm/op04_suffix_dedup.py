@@ -46,7 +46,7 @@ STEP_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 RUN = 32
 HOT = 2000
 PIECES, LEVELS = 16, 4
-HELD_BYTES = 4 << 20
+HELD_BYTES, HARD_BYTES = 1 << 21, 1 << 22
 #: of one document in SAMPLED, and of LEAST of these at least, the share that makes a key common
 SAMPLED, LEAST, COMMON = 64, 32, 0.002
 BATCH_SYMBOLS = 1 << 19
@@ -414,11 +414,15 @@ class Pieces:
         self.owner[self.base[rows]] = np.repeat(least, np.diff(np.append(begin, len(rows))))
         return self.data[self.offsets[-2] :].tobytes(), int(least[-1])
 
-    def settle(self) -> None:
-        """The pieces of every key: equal ones are joined, and what is left of a key gets a suffix array."""
+    def settle(self, put_off: bool) -> np.ndarray:
+        """The pieces of every key: equal ones are joined, and what is left of a key gets a suffix array.
+
+        Returns which rows are ready; those of keys that need one aren't, if that is ``put_off``.
+        """
+        ready = np.ones(len(self.key), bool)
         rows = np.flatnonzero(~self.single)
         if not len(rows):
-            return
+            return ready
         key = self.key[rows]
         other = np.ones(len(rows), bool)
         same = np.flatnonzero(key[1:] == key[:-1]) + 1
@@ -430,9 +434,13 @@ class Pieces:
         owner = np.repeat(least, windows)
         begin = np.flatnonzero(np.concatenate([[True], key[lead][1:] != key[lead][:-1]]))
         n = np.diff(np.append(begin, len(lead)))
-        for s, e in zip(begin[n > PIECES].tolist(), (begin + n)[n > PIECES].tolist(), strict=True):
-            pieces = [(self.data[self.offsets[r] : self.offsets[r + 1]].tobytes(), int(d)) for r, d in zip(first[s:e].tolist(), least[s:e], strict=True)]
-            owner[base[s] : base[e - 1] + windows[e - 1]] = np.concatenate(least_owners([pieces])[0])
+        if put_off:
+            ready[rows] = np.repeat(n == 1, n)[of]
+            n = np.minimum(n, 1)
+        many = list(zip(begin[n > PIECES].tolist(), (begin + n)[n > PIECES].tolist(), strict=True))
+        of_row = lambda k: (self.data[self.offsets[first[k]] : self.offsets[first[k] + 1]].tobytes(), int(least[k]))
+        for (s, e), found in zip(many, least_owners([[of_row(k) for k in range(s, e)] for s, e in many]), strict=True):
+            owner[base[s] : base[e - 1] + windows[e - 1]] = np.concatenate(found)
         some = (n > 1) & (n <= PIECES)
         start, per = begin[some], n[some]
         if len(per):
@@ -444,12 +452,14 @@ class Pieces:
                 text = self.data[ranges(self.offsets[first[own]], self.offsets[first[own] + 1])]
                 owner[ranges(base[own], base[own] + windows[own])] = window_owners(text, sizes[own], per[which], least[own])
         self.owner[ranges(self.base[rows], self.base[rows] + self.windows[rows])] = owner[ranges(base[of], base[of] + windows[of])]
+        return ready
 
-    def stretches(self) -> Iterator[pa.RecordBatch]:
-        """Where windows of documents are lost to a smaller doc_id, neighbours joined."""
+    def stretches(self, ready: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Where windows of documents are lost to a smaller doc_id, neighbours joined, of the rows that are ready."""
         of = np.repeat(np.arange(len(self.key)), self.times)
-        for a in range(0, len(of), COMPARED):
-            o, which = self.found[a : a + COMPARED], of[a : a + COMPARED]
+        at = np.flatnonzero(ready[of])
+        for a in range(0, len(at), COMPARED):
+            o, which = self.found[at[a : a + COMPARED]], of[at[a : a + COMPARED]]
             cells = ranges(self.base[which], self.base[which] + self.windows[which])
             row = np.repeat(np.arange(len(o)), self.windows[which])
             gone = self.owner[cells] < o["doc"][row]
@@ -468,6 +478,7 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
+        hard: list[pa.Table] = []  # whole keys with several pieces, until there are enough to share their steps
         held, last = 0, None
         for batch in chain(batches, [None]):
             if batch is not None:
@@ -475,18 +486,24 @@ def _lost(pieces: DataFrame, partitions: int) -> DataFrame:
                 held += batch.nbytes
                 if held < HELD_BYTES or not len(batch):
                     continue
-            if not any(len(p) for p in parts):
-                continue
-            table = pa.Table.from_batches(parts)
-            key, single = (table.column(i).to_numpy() for i in (0, 1))
-            # the last key may go on; single windows go on in any case
-            end = len(key) if batch is None or single[-1] else 0 if (key == key[-1]).all() else int(np.flatnonzero(key != key[-1])[-1]) + 1
-            parts, held = table.slice(end).to_batches(), 0
-            if end:
-                own = Pieces(table.slice(0, end))
-                own.settle()
-                last = own.stream(last)
-                yield from own.stretches()
+            if any(len(p) for p in parts):
+                table = pa.Table.from_batches(parts)
+                key, single = (table.column(i).to_numpy() for i in (0, 1))
+                # the last key may go on; single windows go on in any case
+                end = len(key) if batch is None or single[-1] else 0 if (key == key[-1]).all() else int(np.flatnonzero(key != key[-1])[-1]) + 1
+                parts, held = table.slice(end).to_batches(), 0
+                if end:
+                    now = table.slice(0, end)
+                    own = Pieces(now)
+                    ready = own.settle(put_off=True)
+                    last = own.stream(last)
+                    yield from own.stretches(ready)
+                    hard.append(now.filter(pa.array(~ready)).combine_chunks())
+            if hard and (batch is None or sum(t.nbytes for t in hard) > HARD_BYTES):
+                own = Pieces(pa.concat_tables(hard))
+                hard = []
+                if len(own.key):
+                    yield from own.stretches(own.settle(put_off=False))
 
     return pieces.repartition(partitions, "key").sortWithinPartitions("single", "key", "piece", "least").mapInArrow(run, LOST)
 
