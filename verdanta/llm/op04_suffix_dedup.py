@@ -33,6 +33,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,7 +177,7 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
-    """(doc, tag, keys, hot): the keys of each document that another document has too, and whether very many have them."""
+    """(doc, tag, keys, hot): the keys of each document that another document has too; those that very many have are in ``hot``."""
 
     def told(parts: list[tuple[bytes, ...]], common: bool) -> Iterator[pa.RecordBatch]:
         doc, tag = (np.concatenate([np.frombuffer(p[i], t).repeat(np.frombuffer(p[2], "<i4")) for p in parts]) for i, t in ((0, np.int64), (1, np.int32)))
@@ -199,7 +200,7 @@ def _shared_keys(by_bucket: DataFrame, partitions: int, most: int) -> DataFrame:
         for at in range(0, len(lead), 8192):
             chunk = lead[at : at + 8192]
             pairs = list(zip(chunk, [*lead[at + 1 : at + 8193], *([len(doc)] if at + 8192 >= len(lead) else [])], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(doc[chunk]), pa.array(tag[chunk]), pa.array([keys[s:e].tobytes() for s, e in pairs], pa.binary()), pa.array([np.packbits(hot[s:e]).tobytes() if hot[s:e].any() else None for s, e in pairs], pa.binary())], names=["doc", "tag", "keys", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[chunk]), pa.array(tag[chunk]), *(pa.array([keys[s:e][hot[s:e] == kind].tobytes() for s, e in pairs], pa.binary()) for kind in (False, True))], names=["doc", "tag", "keys", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
@@ -222,6 +223,13 @@ def packed_binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
+def keys_of_rows(column: pa.Array, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in a field of a column of lists of structs, and the n + 1 offsets of the rows' keys."""
+    data, ends = flat(column.flatten().field(name))
+    places = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return data.view("<u4") if len(data) else np.zeros(0, "<u4"), ends[places] // 4
+
+
 def _pieces(texts: DataFrame) -> DataFrame:
     """(key, single, piece, least, found): the different pieces of shared keys in each batch with all their occurrences and the least doc_id."""
     schema = pa.schema([("key", pa.int32()), ("single", pa.bool_()), ("piece", pa.binary()), ("least", pa.int64()), ("found", pa.binary())])
@@ -229,16 +237,11 @@ def _pieces(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            shared = batch.column(3).to_pylist()
+            shared = [keys_of_rows(batch.column(3), name) for name in ("keys", "hot")]
             for first, end, data, offsets in slices(batch.column(2), SLICE_BYTES):
-                wanted, flags, of = [], [], []
-                for k in range(first, end):
-                    for part in shared[k]:
-                        keys = np.frombuffer(part["keys"], "<u4")
-                        wanted.append(keys)
-                        flags.append(np.unpackbits(np.frombuffer(part["hot"], np.uint8), count=len(keys)).astype(bool) if part["hot"] else np.zeros(len(keys), bool))
-                        of.append(np.full(len(keys), k - first))
-                wanted, flags, of = np.concatenate(wanted), np.concatenate(flags), np.concatenate(of)
+                parts = [keys[ends[first] : ends[end]] for keys, ends in shared]
+                wanted, flags = np.concatenate(parts), np.repeat([False, True], [len(p) for p in parts])
+                of = np.concatenate([np.repeat(np.arange(end - first), np.diff(ends[first : end + 1])) for _, ends in shared])
                 mine = of.astype(np.uint64) << np.uint64(32) | wanted
                 order = np.argsort(mine)
                 mine, flags = mine[order], flags[order]
@@ -543,30 +546,36 @@ def merged(spans):
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
     def joined(column: pa.Array) -> pa.Array:
-        out = []
-        for spans in column.to_pylist():
-            own: list[dict] = []
-            for s in spans or ():
-                if own and s["start"] <= own[-1]["end"]:
-                    own[-1]["end"] = max(own[-1]["end"], s["end"])
-                else:
-                    own.append(s)
-            out.append(own)
-        return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        start, end, ends = spans_of_rows(column)
+        row = np.repeat(np.arange(len(column)), np.diff(ends))
+        far = np.maximum.accumulate((row << 32) + end) - (row << 32)  # of all spans of the row so far
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (start[1:] > far[:-1])
+        lead = np.flatnonzero(new)
+        last = np.append(lead[1:], len(row)) - 1 if len(lead) else lead
+        sizes = np.bincount(row[lead], minlength=len(column))
+        runs = pa.StructArray.from_arrays([pa.array(start[lead].astype(np.int32)), pa.array(far[last].astype(np.int32))], names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), runs)
 
     return joined(spans)
 
 
-def _kept_bytes(column: pa.Array, lost: list[list[dict]]) -> Iterator[bytes]:
+def spans_of_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the spans in a column of lists, and the n + 1 offsets of the rows' spans; null rows have none."""
+    held = column.flatten()
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return held.field("start").to_numpy().astype(np.int64), held.field("end").to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+
+
+def _kept_bytes(column: pa.Array, lost: pa.Array) -> Iterator[bytes]:
     data, offsets = flat(column)
-    raw = data.tobytes()
-    for k, spans in enumerate(lost):
-        a, b = int(offsets[k]), int(offsets[k + 1])
-        parts = []
-        for s in spans or ():
-            parts.append(raw[a : offsets[k] + s["start"]])
-            a = int(offsets[k]) + s["end"]
-        yield b"".join([*parts, raw[a:b]])
+    start, end, ends = spans_of_rows(lost)
+    base = np.repeat(offsets[:-1], np.diff(ends))
+    start, end = start + base, end + base
+    for k in range(len(column)):
+        s, e = ends[k], ends[k + 1]
+        begins, stops = [offsets[k], *end[s:e]], [*start[s:e], offsets[k + 1]]
+        yield b"".join([data[a:b].tobytes() for a, b in zip(begins, stops, strict=True)])
 
 
 def kept_digests(spans: DataFrame) -> DataFrame:
@@ -574,7 +583,7 @@ def kept_digests(spans: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def digest(text: pa.Array, lost: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(x).hexdigest() for x in _kept_bytes(text, lost.to_pylist())])
+        return pa.array([hashlib.sha256(x).hexdigest() for x in _kept_bytes(text, lost)])
 
     removed = F.aggregate("lost", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return spans.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("lost").cast("long").alias("n_spans"), digest("text", "lost").alias("kept_sha256"))
@@ -585,7 +594,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, lost: pa.Array) -> pa.Array:
-        return pa.array([x.decode(errors="ignore") for x in _kept_bytes(text, lost.to_pylist())])
+        return pa.array([x.decode(errors="ignore") for x in _kept_bytes(text, lost)])
 
     spans = lost_spans(docs).where(F.size("lost") > 0).select("doc_id", F.xxhash64("text").alias("hash"), "lost").dropDuplicates(["doc_id", "hash"])
     # the row is one struct on the way, so its columns may have any names
