@@ -158,35 +158,114 @@ def test_detected_boxes_count_once_and_by_score(spark):
     assert none.count() == 0 and none.columns == ["xmin", "ymin", "xmax", "ymax", "score", "label"]
 
 
-@pytest.mark.parametrize("tile", [512, 5])
-def test_watershed_against_a_plain_loop(spark, monkeypatch, tile):
-    """Also where the grid is flooded by connected pieces that cross tiles."""
-    monkeypatch.setattr(crowns, "TILE", tile)
-    v = np.random.default_rng(5).random((12, 12))
-    got = np.zeros((12, 12), int)
-    for r in crowns.watershed(grid_frame(spark, v), ["g"], 12, 12, pixel_size=1.0, min_area=0.0, threshold=0.4).collect():
-        got[r["r"], r["c"]] = r["label"]
-    smooth = np.zeros((12, 12))
-    for r in tiles.smoothed(grid_frame(spark, v), ["g"], 12, 12).collect():
-        smooth[r["r"], r["c"]] = r["v"]
-    mask = v > 0.4
+def plain_watershed(smooth, mask, distance, least=0):
+    """Labels by one loop over a heap of (value, row, column); peaks by definition."""
+    h, w = smooth.shape
     masked = np.where(mask, smooth, -np.inf)
-    peaks = [(r, c) for r in range(12) for c in range(12) if mask[r, c] and 3 <= r < 9 and 3 <= c < 9 and (masked[r, c], -r, -c) == max((masked[y, x], -y, -x) for y in range(max(0, r - 3), min(12, r + 4)) for x in range(max(0, c - 3), min(12, c + 4)))]
+    peaks = []
+    for r, c in zip(*np.nonzero(mask), strict=True):
+        if distance <= r < h - distance and distance <= c < w - distance:
+            near = masked[r - distance : r + distance + 1, c - distance : c + distance + 1]
+            y, x = np.unravel_index(np.argmax(near), near.shape)  # the first of equal ones
+            if (y, x) == (distance, distance):
+                peaks.append((int(r), int(c)))
     peaks.sort(key=lambda p: (-smooth[p], p))
-    want, heap, n = np.zeros((12, 12), int), [], 0
+    want = np.zeros((h, w), int)
+    heap = [(-smooth[p], *p) for p in peaks]
     for k, p in enumerate(peaks):
         want[p] = k + 1
-        heap.append((-smooth[p], n, p))
-        n += 1
     heapq.heapify(heap)
     while heap:
-        _, _, (r, c) = heapq.heappop(heap)
+        _, r, c = heapq.heappop(heap)
         for p in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if 0 <= p[0] < 12 and 0 <= p[1] < 12 and mask[p] and not want[p]:
+            if 0 <= p[0] < h and 0 <= p[1] < w and mask[p] and not want[p]:
                 want[p] = want[r, c]
-                heapq.heappush(heap, (-smooth[p], n, p))
-                n += 1
-    assert (got == want).all()
+                heapq.heappush(heap, (-smooth[p], *p))
+    sizes = np.bincount(want.ravel())
+    return np.where(sizes[want] >= least, want, 0)
+
+
+def labels_and_smooth(spark, df, by, h, w, **how):
+    got, smooth = np.zeros((h, w), int), np.full((h, w), -np.inf)
+    rows = crowns.watershed(df, by, h, w, pixel_size=1.0, **how).toPandas()
+    assert not rows.duplicated(["r", "c"]).any()
+    got[rows["r"], rows["c"]] = rows["label"]
+    told = tiles.smoothed(df, by, h, w).toPandas()
+    smooth[told["r"], told["c"]] = told["v"].fillna(-np.inf)
+    return got, smooth, len(rows)
+
+
+@pytest.mark.parametrize("tile", [512, 5])
+def test_watershed_against_a_plain_loop(spark, monkeypatch, tile):
+    """Also where the grid is flooded over tiles."""
+    monkeypatch.setattr(crowns, "TILE", tile)
+    v = np.random.default_rng(5).random((12, 12))
+    got, smooth, _ = labels_and_smooth(spark, grid_frame(spark, v), ["g"], 12, 12, min_area=0.0, threshold=0.4)
+    assert (got == plain_watershed(smooth, v > 0.4, 3)).all()
+
+
+@pytest.mark.parametrize(("tile", "holes", "least"), [(16, 0, 0), (9, 12, 0), (16, 12, 25)])
+def test_watershed_of_one_piece_over_many_tiles(spark, tile, holes, least):
+    """A canopy that is one piece over all tiles, with missing rows, a null group and equal values."""
+    rng = np.random.default_rng(tile)
+    v = np.round(0.5 + 0.5 * rng.random((50, 64)), 2)
+    v[rng.random(v.shape) < 0.15] = 0
+    gone = {k * 64 + 40 + k % 5 for k in range(holes)}  # around them nothing is smoothed
+    df = spark.createDataFrame([(None, r, c, float(v[r, c])) for r in range(50) for c in range(64) if r * 64 + c not in gone], "g int, r long, c long, v double")
+    got, smooth, n = labels_and_smooth(spark, df, ["g"], 50, 64, min_area=float(least), threshold=0.3, tile=tile)
+    there = np.array([i not in gone for i in range(v.size)]).reshape(v.shape)
+    assert n == there.sum() and (got == plain_watershed(smooth, (v > 0.3) & there, 3, least)).all()
+    assert len(np.unique(got)) > 3
+
+
+def test_flooding_through_a_maze_of_tiles(spark):
+    """A single seed at the end of a spiral: each round carries the water one tile on."""
+    n = 33
+    open_, (r, c, dr, dc) = np.zeros((n, n), bool), (0, 0, 0, 1)
+    open_[0, 0] = True
+    while True:
+        moved = False
+        for _ in range(2):
+            while 0 <= r + 2 * dr < n and 0 <= c + 2 * dc < n and not open_[r + 2 * dr, c + 2 * dc]:
+                open_[r + dr, c + dc] = open_[r + 2 * dr, c + 2 * dc] = moved = True
+                r, c = r + 2 * dr, c + 2 * dc
+            dr, dc = dc, -dr
+        if not moved:
+            break
+    s = np.random.default_rng(2).random((n, n))
+    rows = [(1, int(y), int(x), float(s[y, x]), 7 if (y, x) == (r, c) else 8 if (y, x) == (0, 0) else 0) for y, x in zip(*np.nonzero(open_), strict=True)]
+    df = spark.createDataFrame(rows, "g int, r long, c long, s double, seed long")
+    heap, want = [(-s[r, c], r, c), (-s[0, 0], 0, 0)], {(r, c): 7, (0, 0): 8}
+    heapq.heapify(heap)
+    while heap:
+        _, y, x = heapq.heappop(heap)
+        for p in ((y - 1, x), (y, x - 1), (y, x + 1), (y + 1, x)):
+            if 0 <= p[0] < n and 0 <= p[1] < n and open_[p] and p not in want:
+                want[p] = want[y, x]
+                heapq.heappush(heap, (-s[p], *p))
+    got = {(x["r"], x["c"]): x["label"] for x in crowns.flooded_tiles(df, ["g"], n, 11).collect()}
+    assert got == want and len(got) == open_.sum()
+
+
+def test_smoothing_of_grids_with_missing_rows(spark):
+    """A missing pixel counts as one without a value; others don't shift."""
+    rng = np.random.default_rng(11)
+    v = rng.random((20, 31))
+    holes = {(4, 4), (0, 30), (10, 17), (11, 17)} | {(7, c) for c in range(31)}
+    rows = [(1, r, c, float(v[r, c])) for r in range(20) for c in range(31) if (r, c) not in holes]
+    got = tiles.smoothed(spark.createDataFrame(rows, "g int, r long, c long, v double"), ["g"], 20, 31, 0.8).collect()
+    k = np.array([w for _, w in tiles.gaussian_kernel(0.8)])
+    pad = len(k) // 2
+    for p in holes:
+        v[p] = np.nan
+    want = np.apply_along_axis(lambda x: np.convolve(np.pad(x, pad, "symmetric"), k, "valid"), 0, v)
+    want[tuple(zip(*holes, strict=True))] = np.nan
+    want = np.apply_along_axis(lambda x: np.convolve(np.pad(x, pad, "symmetric"), k, "valid"), 1, want)
+    assert len(got) == len(rows)
+    for r in got:
+        w = want[r["r"], r["c"]]
+        assert r["v"] is None if np.isnan(w) else r["v"] == pytest.approx(w)
+    assert sum(r["v"] is not None for r in got) > 200
 
 
 def test_connected_pixels_across_tiles(spark):

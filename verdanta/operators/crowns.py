@@ -1,6 +1,7 @@
-"""Crown segmentation: seeded flooding per connected piece of canopy, segment filters, outlines and features."""
+"""Crown segmentation: seeded flooding over tiles, segment filters, outlines and features."""
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -8,30 +9,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mapping import Affine, from_utm, map_x, map_y, pixel_area
-from ..sources.shared import stored
+from ..sources.shared import Scratch, stored
 from .stats import beside, carried, in_order
 from .tiles import smoothed, with_maxima
 
-#: rows and columns of a grid that one task floods whole
+#: rows and columns of a grid that one task floods
 TILE = 512
 
 
-def flood(values: np.ndarray, mask: np.ndarray, seeds: list[tuple[int, int, int]]) -> np.ndarray:
-    """Labels that grow from (row, column, label) seeds over 4-neighbours in the mask, the highest values first, then in order of arrival."""
-    labels = np.zeros(values.shape, np.int64)
-    heap = [(-values[r, c], i, r, c) for i, (r, c, _) in enumerate(seeds)]
-    for r, c, label in seeds:
-        labels[r, c] = label
+def flooded_tile(r: np.ndarray, c: np.ndarray, s: np.ndarray, seed: np.ndarray, halo: tuple[np.ndarray, ...] | None, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How water that rises from the seeds reaches the open pixels (r, c, value s, seed's label or 0) of one tile.
+
+    The highest values are flooded first, of equal ones that with the smallest place r * width + c. A pixel is as
+    hard to reach as the last pixel to be flooded on the easiest way to it. Returns of each pixel that pixel's value
+    and place, and where the pixel's label comes from: a seed's label, or -1 - the place of such a pixel beyond the tile.
+    ``halo`` is (r, c, value, place) of pixels around the tile that have been reached, as this function returns them.
+    """
+    place = r * width + c
+    hr, hc, hv, hp = halo if halo is not None else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+    values, places = np.concatenate([s, hv]), np.concatenate([place, hp])
+    order = np.lexsort((places, -values))
+    values, places = values[order], places[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (values[1:] != values[:-1]) | (places[1:] != places[:-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    values, places = values[new], places[new]
+    top, left = int(r.min()) - 1, int(c.min()) - 1
+    wide = int(c.max()) - left + 2
+    cells = (int(r.max()) - top + 2) * wide
+    at, around = (r - top) * wide + c - left, (hr - top) * wide + hc - left
+    near = (hr >= top) & (hr <= r.max() + 1) & (hc >= left) & (hc <= c.max() + 1)  # others touch no pixel of the tile
+    keys, reached, origin = [-1] * cells, [-1] * cells, [0] * cells
+    for i, k in zip(at.tolist(), rank[: len(at)].tolist(), strict=True):
+        keys[i] = k
+    heap = []
+    for i, k, label in zip(at[seed > 0].tolist(), rank[: len(at)][seed > 0].tolist(), seed[seed > 0].tolist(), strict=True):
+        reached[i], origin[i] = k, label
+        heap.append(k * cells + i)
+    for i, k, p in zip(around[near].tolist(), rank[len(at) :][near].tolist(), hp[near].tolist(), strict=True):
+        reached[i], origin[i] = k, -1 - p
+        heap.append(k * cells + i)
     heapq.heapify(heap)
-    age = len(heap)
     while heap:
-        _, _, r, c = heapq.heappop(heap)
-        for y, x in ((r - 1, c), (r, c - 1), (r, c + 1), (r + 1, c)):
-            if 0 <= y < len(values) and 0 <= x < values.shape[1] and mask[y, x] and not labels[y, x]:
-                labels[y, x] = labels[r, c]
-                heapq.heappush(heap, (-values[y, x], age, y, x))
-                age += 1
-    return labels
+        now, i = divmod(heapq.heappop(heap), cells)
+        for j in (i - wide, i - 1, i + 1, i + wide):
+            if 0 <= j < cells and keys[j] >= 0 and reached[j] < 0:
+                reached[j], origin[j] = max(now, keys[j]), origin[i]
+                heapq.heappush(heap, reached[j] * cells + j)
+    reached = np.array(reached)[at]
+    return np.where(reached >= 0, values[reached], np.nan), np.where(reached >= 0, places[reached], -1), np.array(origin)[at]
 
 
 def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -74,72 +101,131 @@ def connected_pixels(pixels: DataFrame, by: list[str], width: int, tile: int | N
         return pd.Series(out)
 
     key = [F.expr(f"{x} div {tile}").alias(f"tile_{x}") for x in "rc"]
+    scratch = Scratch()
     cells = pixels.groupBy(*by, *key).agg(F.collect_list(F.struct(*[c for c in pixels.columns if c not in by])).alias("px"))
     cells = cells.withColumn("part", local(F.col("px.r"), F.col("px.c")))
-    labelled = stored(cells.select(*by, F.inline(F.transform("px", lambda t, i: F.struct(t.alias("t"), F.get("part", i).alias("part"))))).select(*by, "t.*", "part"))
+    labelled = scratch.stored(cells.select(*by, F.inline(F.transform("px", lambda t, i: F.struct(t.alias("t"), F.get("part", i).alias("part"))))).select(*by, "t.*", "part"))
 
     def meets(dr: int, dc: int) -> DataFrame:
         x, n = ("r", dr) if dr else ("c", dc)
         here = labelled.where(F.col(x) % tile == tile - 1).select(*by, (F.col("r") + dr).alias("r"), (F.col("c") + dc).alias("c"), F.col("part").alias("a"))
         return here.join(labelled.where(F.col(x) % tile == 0).select(*by, "r", "c", F.col("part").alias("b")), [*by, "r", "c"]).select(*by, "a", "b")
 
-    edges = stored(meets(1, 0).unionByName(meets(0, 1)).distinct())
+    edges = scratch.stored(meets(1, 0).unionByName(meets(0, 1)).distinct())
     both = edges.unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = stored(both.select(*by, F.col("a").alias("part")).distinct().withColumn("component", F.col("part")))
+    labels = scratch.stored(both.select(*by, F.col("a").alias("part")).distinct().withColumn("component", F.col("part")))
     while True:
         # each takes the least label around it, then that one's label
         around = both.join(labels.withColumnsRenamed({"part": "b"}), [*by, "b"]).groupBy(*by, F.col("a").alias("part")).agg(F.min("component").alias("low"))
         lower = labels.join(around, [*by, "part"]).select(*by, "part", F.col("component").alias("was"), F.least("component", "low").alias("low"))
         jump = lower.select(*by, F.col("part").alias("low"), F.col("low").alias("next"))
-        new = stored(lower.join(jump, [*by, "low"], "left").select(*by, "part", "was", F.least("low", "next").alias("component")))
+        new = scratch.stored(lower.join(jump, [*by, "low"], "left").select(*by, "part", "was", F.least("low", "next").alias("component")))
         if new.where("component <> was").isEmpty():
             break
         labels = new.drop("was")
-    return labelled.join(labels, [*by, "part"], "left").withColumn("component", F.coalesce("component", "part")).drop("part")
+    return stored(labelled.join(labels, [*by, "part"], "left").withColumn("component", F.coalesce("component", "part")).drop("part"), then=scratch)
+
 
+def flooded_tiles(pixels: DataFrame, by: list[str], width: int, tile: int) -> DataFrame:
+    """(by, r, c, label) of open pixels (by, r, c, s, seed), flooded from their seeds as one grid, though no task sees more than a tile.
 
-def watershed(df: DataFrame, by: list[str], height: int, width: int, pixel_size: float = 5.8, min_area: float = 10.0, sigma: float = 1.5, threshold: float = 0.3) -> DataFrame:
+    Rounds over the tiles exchange how hard the pixels at their borders are to reach, until no tile learns anything new;
+    after the first, a round takes only tiles next to a change. Then each tile says where its pixels' labels come
+    from: all pixels that the same last pixel has opened up have its label, and its own comes from a neighbour
+    that was reached earlier. So what crosses borders is a pointer to a pixel that is strictly easier to reach, and the
+    few pixels that others point to find their seeds by pointer jumping.
+    """
+    scratch = Scratch()
+    place = ["tile_r", "tile_c"]
+    key = [F.expr(f"{x} div {tile}").cast("long").alias(f"tile_{x}") for x in "rc"]
+    cells = scratch.stored(pixels.groupBy(*by, *key).agg(F.collect_list(F.struct("r", "c", "s", "seed")).alias("px")))
+    halo_type = "array<struct<r:bigint,c:bigint,v:double,p:bigint>>"
+
+    @F.pandas_udf("struct<v:array<double>,p:array<long>,origin:array<long>>")
+    def reach(r: pd.Series, c: pd.Series, s: pd.Series, seed: pd.Series, hr: pd.Series, hc: pd.Series, hv: pd.Series, hp: pd.Series) -> pd.DataFrame:
+        told = [flooded_tile(*own[:4], own[4:] if own[4] is not None and len(own[4]) else None, width) for own in zip(r, c, s, seed, hr, hc, hv, hp, strict=True)]
+        return pd.DataFrame({n: [t[i] for t in told] for i, n in enumerate(("v", "p", "origin"))})
+
+    def run(tiles: DataFrame) -> DataFrame:
+        told = tiles.withColumn("told", reach(*[F.col(f"px.{n}") for n in ("r", "c", "s", "seed")], *[F.col(f"halo.{n}") for n in "rcvp"]))
+        cell = F.transform("px", lambda t, i: F.struct(t["r"].alias("r"), t["c"].alias("c"), *[F.get(f"told.{n}", i).alias(n) for n in ("v", "p", "origin")]))
+        return told.select(*by, *place, F.inline(cell))
+
+    def border(told: DataFrame) -> DataFrame:
+        edge = [F.col(x) % tile == k for x in "rc" for k in (0, tile - 1)]
+        return told.where(reduce(lambda a, b: a | b, edge) & F.col("v").isNotNull() & ~F.isnan("v")).select(*by, *place, "r", "c", "v", "p")
+
+    def beyond(ring: DataFrame) -> DataFrame:
+        """Per tile the reached pixels around it, and whether any has changed."""
+        sides = F.array(*[F.when(F.col(x) % tile == k, F.struct(*[(F.col(f"tile_{y}") + (step if x == y else 0)).alias(f"tile_{y}") for y in "rc"])) for x in "rc" for k, step in ((0, -1), (tile - 1, 1))])
+        to = ring.select(*by, F.explode(F.filter(sides, lambda t: t.isNotNull())).alias("to"), F.struct("r", "c", "v", "p").alias("t"), "moved")
+        return to.groupBy(*by, "to.tile_r", "to.tile_c").agg(F.collect_list("t").alias("halo"), F.max("moved").alias("moved"))
+
+    ring = scratch.stored(border(run(cells.withColumn("halo", F.lit(None).cast(halo_type)))).withColumn("moved", F.lit(True)))
+    while not ring.where("moved").isEmpty():
+        again = beside(cells, beyond(ring).where("moved").drop("moved"), [*by, *place])
+        new = scratch.stored(border(run(again)))
+        was = ring.select(*by, "r", "c", F.struct("v", "p").alias("was"))
+        moved = F.col("was").isNull() | (F.struct("v", "p") != F.col("was"))
+        fresh = beside(new, was, [*by, "r", "c"], "left").withColumn("moved", moved).drop("was")
+        # tiles that weren't run again keep what they had
+        ring = scratch.stored(fresh.unionByName(beside(ring, new.select(*by, *place).distinct(), [*by, *place], "left_anti").withColumn("moved", F.lit(False))))
+    known = beyond(ring).drop("moved")
+    told = scratch.stored(run(beside(cells, known, [*by, *place], "left").select(*by, *place, "px", "halo")).select(*by, "r", "c", "origin"))
+    if told.where("origin < 0").isEmpty():
+        return stored(told.withColumnRenamed("origin", "label"), then=scratch)
+    wanted = told.where("origin < 0").select(*by, "origin").distinct()
+    at = told.select(*by, (-1 - (F.col("r") * width + F.col("c"))).alias("origin"), F.col("origin").alias("next"))
+    links = scratch.stored(beside(at, wanted, [*by, "origin"], "left_semi"))
+    while not links.where("next < 0").isEmpty():
+        jump = links.select(*by, F.col("origin").alias("next"), F.col("next").alias("far"))
+        links = scratch.stored(beside(links, jump, [*by, "next"], "left").select(*by, "origin", F.coalesce("far", "next").alias("next")))
+    found = beside(told.where("origin < 0"), links, [*by, "origin"], "left").select(*by, "r", "c", F.col("next").alias("label"))
+    return stored(found.unionByName(told.where("origin >= 0").withColumnRenamed("origin", "label")), then=scratch)
+
+
+def watershed(df: DataFrame, by: list[str], height: int, width: int, pixel_size: float = 5.8, min_area: float = 10.0, sigma: float = 1.5, threshold: float = 0.3, tile: int | None = None) -> DataFrame:
     """(by, r, c, label) of grids (by, r, c, v): smoothing, local maxima as seeds, flooding, and the smallest crowns removed (label 0).
 
-    Seeds are numbered from the highest, then by row and column. A grid of more than ``TILE`` by ``TILE`` pixels is
-    flooded by connected pieces of its mask, which give the same labels, since a flood never leaves its piece.
+    Seeds are numbered from the highest, then by row and column; pixels are flooded by (value, row, column) too. A
+    grid of more than ``tile`` by ``tile`` pixels (TILE by default) is flooded over tiles, which gives the same labels. Rows that the
+    grid lacks are outside the mask.
     """
-    distance, least, pieces = max(2, int(3.0 / pixel_size)), int(min_area / pixel_size**2), height * width > TILE * TILE
+    tile = tile or TILE
+    distance, least = max(2, int(3.0 / pixel_size)), int(min_area / pixel_size**2)
+    scratch = Scratch()
     smooth = smoothed(df.select(*by, "r", "c", "v", F.col("v").alias("raw")), by, height, width, sigma)
     mask = F.coalesce(F.col("raw") > threshold, F.lit(False))
-    rows = smooth.select(*by, "r", "c", F.coalesce("v", F.lit(float("-inf"))).alias("s"), mask.alias("mask"), F.when(mask, F.col("v")).alias("v"))
+    rows = smooth.select(*by, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.coalesce("v", F.lit(float("-inf"))).alias("s"), mask.alias("mask"), F.when(mask, F.col("v")).alias("v"))
     rows = with_maxima(rows, by, distance, height, width).drop("v")
-
-    @F.pandas_udf("array<long>")
-    def labels_of(r: pd.Series, c: pd.Series, s: pd.Series, mask: pd.Series, seed: pd.Series) -> pd.Series:
-        out = []
-        for y, x, values, open_, number in zip(r, c, s, mask, seed, strict=True):
-            y, x = y - y.min(), x - x.min()
-            level, inside = np.full((y.max() + 1, x.max() + 1), -np.inf), np.zeros((y.max() + 1, x.max() + 1), bool)
-            level[y, x], inside[y, x] = values, open_
-            at = np.flatnonzero(number)
-            at = at[np.lexsort((x[at], y[at], -values[at]))]
-            numbers = number[at] if pieces else np.arange(1, len(at) + 1)
-            found = flood(level, inside, list(zip(y[at].tolist(), x[at].tolist(), numbers.tolist(), strict=True)))[y, x]
-            names, of, sizes = np.unique(found, return_inverse=True, return_counts=True)
-            out.append(np.where(sizes >= least, names, 0)[of])
-        return pd.Series(out)
-
-    def flooded(pixels: DataFrame, keys: list[str]) -> DataFrame:
-        whole = pixels.groupBy(*keys).agg(F.collect_list(F.struct("r", "c", "s", "mask", "seed")).alias("px"))
-        told = whole.withColumn("labels", labels_of(*[F.col(f"px.{n}") for n in ("r", "c", "s", "mask", "seed")]))
+    if height * width <= tile * tile:
+
+        @F.pandas_udf("array<long>")
+        def labels_of(r: pd.Series, c: pd.Series, s: pd.Series, mask: pd.Series, peak: pd.Series) -> pd.Series:
+            out = []
+            for y, x, values, open_, top in zip(r, c, s, mask, peak, strict=True):
+                open_, top = open_.astype(bool), np.flatnonzero(top)
+                top = top[np.lexsort((x[top], y[top], -values[top]))]
+                seed = np.zeros(len(y), np.int64)
+                seed[top] = np.arange(1, len(top) + 1)
+                found = np.zeros(len(y), np.int64)
+                if open_.any():
+                    found[open_] = flooded_tile(y[open_], x[open_], values[open_], seed[open_], None, width)[2]
+                names, of, sizes = np.unique(found, return_inverse=True, return_counts=True)
+                out.append(np.where(sizes >= least, names, 0)[of])
+            return pd.Series(out)
+
+        whole = rows.groupBy(*by).agg(F.collect_list(F.struct("r", "c", "s", "mask", "peak")).alias("px"))
+        told = whole.withColumn("labels", labels_of(*[F.col(f"px.{n}") for n in ("r", "c", "s", "mask", "peak")]))
         return told.select(*by, F.inline(F.transform("px", lambda t, i: F.struct(t["r"].alias("r"), t["c"].alias("c"), F.get("labels", i).alias("label")))))
-
-    if not pieces:
-        return flooded(rows.withColumn("seed", F.col("peak").cast("long")), by)
-    rows = stored(rows)
+    rows = scratch.stored(rows)
     numbered = in_order(rows.where("peak").select(*by, "r", "c", F.struct((-F.col("s")).alias("s"), "r", "c").alias("key")), by, "key")
     before = carried(numbered, by, before=(F.count(F.lit(1)), "sum"))
     nth = F.row_number().over(Window.partitionBy("part", *by).orderBy("key"))
     seeds = beside(numbered.withColumn("nth", nth), before, ["part", *by]).select(*by, "r", "c", (F.col("nth") + F.coalesce("before", F.lit(0))).alias("seed"))
-    connected = connected_pixels(rows.where("mask").select(*by, "r", "c", "s", "mask"), by, width)
-    seeded = connected.join(seeds, [*by, "r", "c"], "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
-    return flooded(seeded, [*by, "component"]).unionByName(rows.where("NOT mask").select(*by, "r", "c", F.lit(0).cast("long").alias("label")))
+    seeded = beside(rows.where("mask").select(*by, "r", "c", "s"), seeds, [*by, "r", "c"], "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
+    labels = large_segments(flooded_tiles(seeded, by, width, tile), by, least)
+    return stored(labels.unionByName(rows.where("NOT mask").select(*by, "r", "c", F.lit(0).cast("long").alias("label"))), then=scratch)
 
 
 def segment_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
@@ -149,7 +235,7 @@ def segment_sizes(labels: DataFrame, by: list[str]) -> DataFrame:
 def large_segments(labels: DataFrame, by: list[str], least: int) -> DataFrame:
     """Labels of segments with fewer pixels become 0; no row is dropped."""
     keep = segment_sizes(labels, by).where(F.col("pixels") >= least).withColumn("kept", F.lit(True)).drop("pixels")
-    return labels.join(keep, [*by, "label"], "left").select(*by, "r", "c", F.when(F.col("kept"), F.col("label")).otherwise(0).alias("label"))
+    return beside(labels, keep, [*by, "label"], "left").select(*by, "r", "c", F.when(F.col("kept"), F.col("label")).otherwise(0).alias("label"))
 
 
 def vegetated_segments(pixels: DataFrame, by: list[str], least: int, most: int, overlap: float = 0.6) -> DataFrame:

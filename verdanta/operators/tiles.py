@@ -86,10 +86,10 @@ def reflected(i: Column, n: Column | int) -> Column:
 
 
 def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float = 1.5) -> DataFrame:
-    """Gaussian smoothing of v on full grids (by, r, c, v); other columns of df stay.
+    """Gaussian smoothing of v on grids (by, r, c, v); other columns of df stay.
 
     Each column, then each row of a grid becomes one array, over which the kernel slides; a value whose
-    neighbourhood has a NULL is NULL.
+    neighbourhood has a NULL is NULL. A pixel whose row is missing is like one with a NULL, but stays missing.
     """
     kernel = gaussian_kernel(sigma)
     radius = len(kernel) // 2
@@ -98,7 +98,11 @@ def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float
         line = [*by, "c" if axis == "r" else "r"]
         rest = [c for c in x.columns if c not in line]
         out = x.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line"))
-        mirrored = F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(F.col("line"), reflected(i, n))["v"])
+        values = F.transform("line", lambda t: F.struct(t[axis].cast("int").alias("at"), t["v"].alias("v")))
+        absent = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform("line", lambda t: t[axis].cast("int")))
+        gaps = F.transform(absent, lambda i: F.struct(i.alias("at"), F.lit(None).cast(x.schema["v"].dataType).alias("v")))
+        out = out.withColumn("full", F.when(F.size("line") == n, values).otherwise(F.array_sort(F.concat(values, gaps))))
+        mirrored = F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(F.col("full"), reflected(i, n))["v"])
         out = out.withColumn("wide", mirrored)
         slide = lambda i: reduce(lambda a, b: a + b, [F.get("wide", i + o + radius) * F.lit(w) for o, w in kernel])
         cells = F.transform("line", lambda t: F.struct(*[slide(t[axis].cast("int")).alias("v") if c == "v" else t[c].alias(c) for c in rest]))

@@ -32,11 +32,19 @@ class Scratch:
         self.paths = []
 
 
-def stored(df: DataFrame, scratch: Scratch | None = None, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of that table, which goes with ``scratch`` if there is one."""
+def stored(df: DataFrame, scratch: Scratch | None = None, codec: str = "zstd", then: Scratch | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a reader of that table.
+
+    The table goes with ``scratch`` if there is one, and at the end of the application at the latest. What ``then``
+    holds goes at once, since nothing but ``df`` has needed it.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     if scratch is not None:
         scratch.paths.append((spark, path))
+    if then is not None:
+        then.clear()
     return spark.read.schema(df.schema).parquet(path)
