@@ -280,11 +280,34 @@ def test_scores_by_definition():
     assert got == pytest.approx([plain_score(t, model) for t in texts], abs=1e-5)
 
 
-def test_long_texts_of_the_sample_are_drawn_from_end_to_end():
-    text = np.arange(1 << 19, dtype=np.uint32).astype("<u4").view(np.uint8)
-    rng = np.random.default_rng(1)
-    seen = np.concatenate([cnn.drawn(text, rng) for _ in range(3)])
-    assert len(seen) == 3 * cnn.STEP_BYTES and cnn.drawn(text[:100], rng).tolist() == text[:100].tolist()
+def test_the_sample_is_bounded_in_bytes(spark):
+    """Long labelled texts are collected as far as they fit, whole; learning from them stays small, block by block."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat(concat('text ', id, ' '), cast(if(id % 4 = 3, 400000, 40) / 8 AS int)) AS text")
+    labels = spark.range(40).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = cnn.sampled(docs, labels, class_bytes=1_000_000)
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    usable = {i for i in texts if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert all(t == texts[i] and q == i % 2 and i in usable for i, t, q in rows)
+    for q in (0, 1):
+        assert sum(len(t) for _, t, k in rows if k == q) <= 1_000_000
+    # the class of short texts is whole, of the other one as many long ones as fit
+    assert {i for i, _, q in rows if q == 0} == {i for i in usable if i % 2 == 0}
+    long = len(texts[3])
+    assert sum(len(t) >= 300_000 for _, t, _ in rows) == min(1_000_000 // long, sum(i % 4 == 3 for i in usable))
+    assert len(cnn.sampled(docs, labels, per_class=3)) == 6
+
+
+def test_a_step_sees_whole_texts():
+    """The strongest responses are those over the whole text, wherever they are."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 256, 200_000).astype(np.uint8)
+    model = cnn.fit([b"a" * 600, b"b" * 700], [0, 1], least_steps=1, passes=1)
+    padded, at, ends, _ = cnn.laid_out(data, np.array([150_000, 50_000]), model.taps - 1)
+    x = cnn.unfolded(padded, model)
+    where, top = cnn.strongest(x, at, ends, model.filters)
+    whole = x @ model.filters
+    assert np.allclose(top, np.maximum.reduceat(whole, np.stack([at, ends], 1).ravel()[:-1], axis=0)[::2], atol=1e-4)
+    assert ((where >= at[:, None]) & (where < ends[:, None])).all()
 
 
 def test_quality_of_odd_documents(spark):

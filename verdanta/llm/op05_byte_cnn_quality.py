@@ -5,15 +5,17 @@ Every byte has a learned vector; ``filters`` learned filters slide over ``taps``
 within each chunk. The mean and the maximum over a document's chunks go through one logistic unit, which
 gives one probability.
 
-The model is fitted on a sample of at most ``per_class`` labelled rows of each class (those of the smallest
-hashes of doc_id), over their whole texts, as every document is scored over its whole text; of a text of more than
-``STEP_BYTES`` each step sees stretches of ``STRETCH`` bytes drawn anew from all of it. The model is a few kilobytes
-and goes to the tasks with the code. Both classes count equally in the loss.
+The model is fitted on a sample of labelled rows: of each class at most ``per_class`` rows and ``class_bytes`` bytes of
+text, in the order of the hashes of doc_id; a text that doesn't fit any more is passed over. Every visit sees the
+whole text, as every document is scored over its whole text. A step has as many texts as ``batch`` and ``STEP_BYTES``
+allow, one at least, and works through them in blocks, so the driver needs some 40 bytes for each byte of the longest
+step. The model is a few kilobytes and goes to the tasks with the code. Both classes count equally in the loss.
 
 Cases: a null or empty text is scored as one chunk of padding; equal texts get equal scores; labels of
 documents that aren't in the table are ignored, as are null labels; of contradicting labels of a document the
 lower one counts; with no or only one class of labels the model gives the share of label 1 (0.5 without
-any). Repeated rows are scored one by one, extra columns are kept. An empty table gives an empty table.
+any). Repeated rows are scored one by one; extra columns are kept, but for those named held_out, score or predicted,
+which are replaced. An empty table gives an empty table.
 """
 
 from collections.abc import Iterator
@@ -27,8 +29,8 @@ from pyspark.sql import functions as F
 from .texts import slices
 
 HALF = 256
-PER_CLASS = 2000
-STEP_BYTES, STRETCH = 1 << 17, 1 << 12
+PER_CLASS, CLASS_BYTES = 2000, 8 << 20
+STEP_BYTES = 1 << 20
 THRESHOLD = 0.7
 BLOCK = 1 << 16
 FOLDS, HELD_OUT = 4, 2
@@ -106,12 +108,17 @@ def score_documents(data: np.ndarray, offsets: np.ndarray, model: Model) -> np.n
     return 1 / (1 + np.exp(-z))
 
 
-def drawn(text: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """The text, or as many stretches of it as a step may see."""
-    if len(text) <= STEP_BYTES:
-        return text
-    at = np.sort(rng.integers(0, len(text) - STRETCH + 1, STEP_BYTES // STRETCH))
-    return np.concatenate([text[i : i + STRETCH] for i in at])
+def strongest(x: np.ndarray, at: np.ndarray, ends: np.ndarray, filters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each half chunk and filter the highest response and its place, block by block."""
+    where, top = np.empty((len(at), filters.shape[1]), np.int64), np.empty((len(at), filters.shape[1]), np.float32)
+    for a in range(0, len(at), BLOCK // HALF):
+        own = slice(a, a + BLOCK // HALF)
+        base = at[a]
+        flat = x[base : ends[own][-1]] @ filters
+        spots = np.minimum(at[own, None] + np.arange(HALF), ends[own, None] - 1) - base
+        best = np.take_along_axis(spots, flat[spots].argmax(1), 1)
+        where[own], top[own] = best + base, flat[best, np.arange(filters.shape[1])]
+    return where, top
 
 
 def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, filters: int = 16, passes: int = 8, least_steps: int = 400, batch: int = 64, seed: int = 5) -> Model:
@@ -128,20 +135,23 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
     docs = [np.frombuffer(t, np.uint8) for t in texts]
     params = [model.embed, model.filters, model.bias, model.out, np.zeros(1, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    steps = max(passes * -(-len(y) // batch), least_steps)
+    # a small sample is seen more often, as far as its bytes allow
+    mean_bytes = max(sum(map(len, docs)) / len(docs), 1)
+    visits = max(passes * len(y), min(least_steps * batch, int(passes * 2 * CLASS_BYTES / mean_bytes)))
     order: list[int] = []
-    for step in range(1, steps + 1):
+    seen = step = 0
+    while seen < visits:
         if len(order) < batch:
             order += rng.permutation(len(y)).tolist()
-        rows, order = order[:batch], order[batch:]
-        own = [drawn(docs[r], rng) for r in rows]
+        upto = np.cumsum([len(docs[r]) for r in order[:batch]])
+        n = max(int(np.searchsorted(upto, STEP_BYTES, "right")), 1)
+        rows, order = order[:n], order[n:]
+        seen, step = seen + n, step + 1
+        own = [docs[r] for r in rows]
         data, at, ends, counts = laid_out(np.concatenate(own), np.array([len(x) for x in own]), taps - 1)
         x = unfolded(data, model)
-        spots = np.minimum(at[:, None] + np.arange(HALF), ends[:, None] - 1)
-        flat = np.concatenate([x[i : i + BLOCK] @ model.filters for i in range(0, len(x), BLOCK)])
-        best = flat[spots].argmax(1)  # (halves, filters)
-        where = np.take_along_axis(spots, best, 1)
-        halves = np.maximum(flat[where, np.arange(filters)] + model.bias, 0)
+        where, top = strongest(x, at, ends, model.filters)
+        halves = np.maximum(top + model.bias, 0)
         left, right, n, begin = chunks_of(counts)
         chunks = np.maximum(halves[left], halves[right])
         mean = np.add.reduceat(chunks, begin, axis=0) / n[:, None]
@@ -158,13 +168,12 @@ def fit(texts: list[bytes], labels: list[int], width: int = 8, taps: int = 6, fi
         np.add.at(dh, left, dchunks * from_left)
         np.add.at(dh, right, dchunks * ~from_left)
         dh *= halves > 0
-        seen = x[where.ravel()].reshape(*where.shape, -1)
-        dfilters = np.einsum("hf,hfk->kf", dh, seen)
+        dfilters = np.einsum("hf,hfk->kf", dh, x[where.ravel()].reshape(*where.shape, -1))
         dx = (dh[..., None] * model.filters.T[None]).reshape(-1, width)
         dembed = np.zeros_like(model.embed)
         np.add.at(dembed, data[(where.ravel()[:, None] + np.arange(taps)).ravel()], dx)
         grads = [dembed, dfilters, dh.sum(0), feats.T @ dz, np.array([dz.sum()])]
-        rate = 0.01 * (1 - step / (steps + 1))
+        rate = 0.01 * max(1 - seen / (visits + batch), 0)
         for q, g, m, v in zip(params, grads, first, second, strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
@@ -178,19 +187,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> list[tuple[int, bytes, int]]:
+    """(doc_id, text, quality) of the sample: labelled rows outside the held-out fold, bounded in rows and bytes."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("doc_id")
     chosen = [r for q in (0, 1) for r in usable.where(F.col("quality") == q).orderBy(order, "doc_id").limit(per_class).collect()]
-    quality = {r["doc_id"]: r["quality"] for r in chosen}  # at most 2 * per_class entries
-    wanted = docs.sparkSession.createDataFrame(list(quality.items()), "doc_id long, quality int") if quality else None
-    if wanted is None:
-        return fit([], [])
+    if not chosen:
+        return []
+    spark = docs.sparkSession
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    sample = docs.select("doc_id", text.alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
-    rows = sorted(sample.collect(), key=lambda r: r["doc_id"])
-    return fit([bytes(r["text"]) for r in rows], [r["quality"] for r in rows])
+
+    def matching(ids: list[int], what: Column) -> dict[int, int | bytes]:
+        """``what`` of the documents with these ids, at most 2 * per_class; of several the least."""
+        wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(what.alias("what"))
+        return {r["doc_id"]: r["what"] for r in found.collect()}
+
+    sizes = matching([r["doc_id"] for r in chosen], F.octet_length(F.min("text")))
+    quality, left = {}, {0: class_bytes, 1: class_bytes}
+    for r in chosen:
+        size = sizes.get(r["doc_id"])
+        if size is not None and size <= left[r["quality"]]:
+            left[r["quality"]] -= size
+            quality[r["doc_id"]] = r["quality"]
+    texts = matching(list(quality), F.min("text")) if quality else {}
+    return [(i, bytes(texts[i]), quality[i]) for i in sorted(texts)]
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> Model:
+    """Fit on a bounded sample of labelled rows outside the held-out fold."""
+    rows = sampled(docs, labels, per_class, class_bytes)
+    return fit([text for _, text, _ in rows], [quality for _, _, quality in rows])
 
 
 def quality_score(text: Column, model: Model) -> Column:
