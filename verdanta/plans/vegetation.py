@@ -10,6 +10,7 @@ from ..functions import masks as mk
 from ..functions import radiometry as rad
 from ..operators import change as ch
 from ..sources import imagery as im
+from ..sources import raster as ra
 from ..sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,8 +147,8 @@ register(
 )
 register(
     "select_regex",
-    lambda spark, d: im.select_bands(im.pixels(spark, d), r"(n|r)\w*", "pix").groupBy("pix").agg(*[F.max(b).alias(b) for b in ("red", "red_edge", "nir", "row")]),
-    f'WITH {PIXELS} SELECT pix, max(red) AS red, max(red_edge) AS red_edge, max(nir) AS nir, max("row") AS "row" FROM pixels GROUP BY 1',
+    lambda spark, d: (lambda got: got.groupBy("pix").agg(*[F.sum(F.col(b).cast("decimal(38,12)")).cast("decimal(38,9)").cast("double").alias(b) for b in got.columns if b != "pix"]))(im.select_bands(im.pixels(spark, d), r"(n|r)\w*", "pix")),
+    f'WITH {PIXELS} SELECT pix, {", ".join(f"sum({b}::DECIMAL(38,12))::DECIMAL(38,9)::DOUBLE AS {b}" for b in ("red", "red_edge", "nir"))}, sum("row"::DECIMAL(38,12))::DECIMAL(38,9)::DOUBLE AS "row" FROM pixels GROUP BY 1',
 )
 register(
     "scale_dn",
@@ -379,6 +380,38 @@ register(
     f"""WITH {OBS}, k AS (SELECT period::BIGINT AS scene_id, "row", col, avg(nir) AS nir, avg(red) AS red FROM obs GROUP BY 1, 2, 3)
     SELECT scene_id, count(*)::BIGINT AS pixels, count(*) FILTER (WHERE "row" % 7 <> 0)::BIGINT AS known, round(avg(nir), 6) AS nir, round(avg(red) FILTER (WHERE "row" % 7 <> 0), 6) AS red FROM k GROUP BY 1""",
 )
+def raster_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Composites of both periods written as raster files of 64 x 64 pixels, and all their pixels read back from two of three bands."""
+    made = im.observations(spark, sf_dir).groupBy(F.col("period").alias("scene_id"), "row", "col").agg(*[F.avg(b).alias(b) for b in ("green", "nir", "red")])
+    made = made.withColumn("red", F.when(F.col("row") % 7 == 0, F.lit(-9999.0)).otherwise(F.col("red")))
+    size = im.pixels(spark, sf_dir).agg(F.max("row").alias("h"), F.max("col").alias("w")).first()
+    path = shared_dir(spark)
+    ra.write_rasters(made, path, ["green", "nir", "red"], (size["h"] or 0) + 1, (size["w"] or 0) + 1, nodata=-9999.0, dtype="float64", block=64)
+    back = ra.read_rasters(spark, path, [2, 3]).where("b2 IS NOT NULL OR b3 IS NOT NULL")
+    return back.select("scene", "row", "col", F.round("b2", 6).alias("nir"), F.round("b3", 6).alias("red"))
+
+
+register(
+    "raster_files",
+    raster_files,
+    f"""WITH {OBS} SELECT period::VARCHAR AS scene, "row", col, round(avg(nir), 6) AS nir, CASE WHEN "row" % 7 <> 0 THEN round(avg(red), 6) END AS red FROM obs GROUP BY 1, 2, 3""",
+)
+
+
+def raster_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window of one band of the maximum-value picture, read from its raster files without the chunks beside it."""
+    made = im.pixels(spark, sf_dir).groupBy(F.lit(1).alias("scene_id"), "row", "col").agg(F.max("nir").alias("nir"), F.max("swir1").alias("swir1"))
+    size = im.pixels(spark, sf_dir).agg(F.max("row").alias("h")).first()
+    path = shared_dir(spark)
+    ra.write_rasters(made, path, ["nir", "swir1"], (size["h"] or 0) + 1, 50, dtype="float64", block=16)
+    return ra.read_rasters(spark, path, [2], rows=(1, 30), cols=(10, 40)).where("b2 IS NOT NULL").select("row", "col", F.round("b2", 6).alias("swir1"))
+
+
+register(
+    "raster_window",
+    raster_window,
+    f'WITH {PIXELS} SELECT "row", col, round(max(swir1), 6) AS swir1 FROM pixels WHERE "row" BETWEEN 1 AND 29 AND col BETWEEN 10 AND 39 GROUP BY 1, 2',
+)
 register(
     "gedi_stats",
     lambda spark, d: im.pixels(spark, d).select("pix", (F.col("nir") * 40.0 - 5.0).alias("rh98")).where("rh98 > 0").groupBy("pix").agg(F.avg("rh98").alias("height")).agg(F.round(F.avg("height"), 6).alias("mean_height"), F.round(F.stddev_pop("height"), 6).alias("std_height"), F.count(F.lit(1)).alias("pixels")),
