@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from verdanta.functions import indices, mapping, masks, radiometry
-from verdanta.operators import change, crowns, stats, tiles
+from verdanta.operators import boxes, change, crowns, stats, tiles
 from verdanta.sources import imagery
 from verdanta.streaming.arrivals import event_window_counts
 
@@ -149,7 +149,7 @@ def test_detected_boxes_count_once_and_by_score(spark):
         r, c = np.nonzero(tile[0] > 0)
         return pd.DataFrame({"xmin": c - 0.5, "ymin": r - 0.5, "xmax": c + 1.5, "ymax": r + 1.5, "score": tile[0][r, c] / 10, "label": "Tree"})
 
-    got = tiles.detect_tiles(df, detect, ["nir"], 12, 0.35, 0.4)
+    got = tiles.detect_tiles(df, detect, ["nir"], 12, 0.35, 0.4, most_overlap=None)
     want = sorted((c - 0.5, r - 0.5, ((r * 7 + c * 3) % 10) / 10) for r in range(30) for c in range(25) if (r * 7 + c * 3) % 10 >= 4)
     assert sorted((r["xmin"], r["ymin"], r["score"]) for r in got.collect()) == want
     placed = one(crowns.map_boxes(got.where("xmin = 0.5 and ymin = 2.5"), (2.0, 0.0, 100.0, 0.0, -2.0, 50.0)))
@@ -316,6 +316,101 @@ def test_utm_against_the_meridian_arc(spark):
     assert [tuple(r["p"]) for r in back] == [pytest.approx((r["lon"], r["lat"]), abs=1e-8) for r in got]
 
 
+def plain_suppression(boxes, most):
+    """One by one, the best first."""
+    kept = []
+    for s, *b in sorted({(-s, x0, y0, x1, y1) for x0, y0, x1, y1, s in boxes}):
+        def share(o, b=b):
+            w, h = min(o[2], b[2]) - max(o[0], b[0]), min(o[3], b[3]) - max(o[1], b[1])
+            both = max(w, 0.0) * max(h, 0.0)
+            return both / ((o[2] - o[0]) * (o[3] - o[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both) if both else 0.0
+        if all(share(o) <= most for o, _ in kept):
+            kept.append((b, -s))
+    return sorted((*b, s) for b, s in kept)
+
+
+@pytest.mark.parametrize(("most", "cell"), [(0.15, 16.0), (0.5, 3.0), (0.0, 200.0)])
+def test_suppression_one_by_one(spark, most, cell):
+    """Boxes of very different sizes, ties, repeated rows, boxes without area, and groups of which one is null."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in (1, None):
+        for _ in range(150):
+            x, y, w, h = (rng.integers(0, 60, 4) / 2).tolist()
+            rows.append((g, x - 10, y - 10, x - 10 + (w if rng.random() < 0.9 else 60), y - 10 + h, float(rng.integers(0, 12)), "t"))
+    rows += rows[:20]
+    odd = [(1, 5.0, 5.0, 1.0, 9.0, 99.0, "inverted"), (1, None, 0.0, 9.0, 9.0, 99.0, "null"), (1, 0.0, 0.0, 90.0, 90.0, None, "no score"), (1, 0.0, 0.0, float("inf"), 9.0, 99.0, "endless"), (1, 0.0, 0.0, 9.0, 9.0, float("nan"), "no number")]
+    df = spark.createDataFrame(rows + odd, "g int, xmin double, ymin double, xmax double, ymax double, score double, label string")
+    got = boxes.suppressed(df, ["g"], most, cell).collect()
+    for g in (1, None):
+        assert sorted(tuple(r[c] for c in ("xmin", "ymin", "xmax", "ymax", "score")) for r in got if r["g"] == g) == plain_suppression([r[1:6] for r in rows if r[0] == g], most)
+    assert boxes.suppressed(df.where("g > 1"), ["g"]).count() == 0
+
+
+def test_detected_boxes_larger_than_the_overlap_count_once(spark):
+    """Neighbouring tiles see parts of one object; the picture as one tile says how many there are."""
+    rng = np.random.default_rng(9)
+    v = np.zeros((60, 50))
+    spots = [(r + int(rng.integers(0, 5)), c + int(rng.integers(0, 5))) for r in range(3, 55, 14) for c in range(3, 45, 13)]
+    for k, (r, c) in enumerate(spots):
+        v[r, c] = 0.5 + k / 100
+    df = spark.createDataFrame([(r, c, float(v[r, c])) for r in range(60) for c in range(50)], "row long, col long, nir double")
+
+    def detect(tile):
+        r, c = np.nonzero(tile[0] > 0)
+        n = tile.shape[1]
+        x0, y0, x1, y1 = np.maximum(c - 5.0, 0), np.maximum(r - 5.0, 0), np.minimum(c + 6.0, n), np.minimum(r + 6.0, n)
+        return pd.DataFrame({"xmin": x0, "ymin": y0, "xmax": x1, "ymax": y1, "score": tile[0][r, c] * (x1 - x0) * (y1 - y0) / 121, "label": "Tree"})
+
+    got = tiles.detect_tiles(df, detect, ["nir"], 16, 0.25, 0.1).collect()
+    per_tile = tiles.detect_tiles(df, detect, ["nir"], 16, 0.25, 0.1, most_overlap=1.0).collect()
+    assert sorted((r["xmin"], r["ymin"], r["xmax"], r["ymax"], r["score"]) for r in got) == plain_suppression([(r["xmin"], r["ymin"], r["xmax"], r["ymax"], r["score"]) for r in per_tile], 0.15)
+    assert len(per_tile) > len(spots)
+
+
+def kernel_weight(method, d):
+    sinc = lambda x: 1.0 if abs(x) < 1e-12 else math.sin(math.pi * x) / (math.pi * x)
+    if method == "bilinear":
+        return max(1 - d, 0.0)
+    if method == "cubic":
+        return 1.5 * d**3 - 2.5 * d**2 + 1 if d <= 1 else -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2 if d < 2 else 0.0
+    return sinc(d) * sinc(d / 3) if d < 3 else 0.0
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "lanczos", "average"])
+@pytest.mark.parametrize(("h", "w", "nh", "nw"), [(9, 14, 4, 3), (5, 4, 11, 2)])
+def test_coarser_pixels_average(spark, method, h, w, nh, nw):
+    """Against sums over all pixels, with a missing and an empty pixel."""
+    v = np.random.default_rng(h).random((h, w))
+    rows = [(1, r, c, None if (r, c) == (h - 1, w - 1) else float(v[r, c])) for r in range(h) for c in range(w) if (r, c) != (0, w - 1)]
+    got = {(r["r"], r["c"]): r["v"] for r in tiles.resampled(spark.createDataFrame(rows, "g int, r long, c long, v double"), ["g"], h, w, nh, nw, method).collect()}
+    hole = np.zeros((h, w), bool)
+    hole[0, w - 1] = hole[h - 1, w - 1] = True
+
+    def weights(n, m, i):
+        step = n / m
+        at, out = (i + 0.5) * step - 0.5, np.zeros(n)
+        for k in range(-40, n + 40):
+            if method == "average":
+                x = min(at + step / 2, k + 0.5, n - 0.5) - max(at - step / 2, k - 0.5, -0.5)
+                x = x if 0 <= k < n and x > 1e-12 else 0.0
+            else:
+                x = kernel_weight(method, abs(at - k) / max(step, 1.0))
+            out[min(max(k, 0), n - 1)] += x
+        return np.where(np.abs(out) < 1e-12, 0, out)
+
+    assert len(got) == nh * nw
+    for r in range(nh):
+        for c in range(nw):
+            k = np.outer(weights(h, nh, r), weights(w, nw, c))
+            if (k[hole] != 0).any():
+                assert got[r, c] is None
+            else:
+                assert got[r, c] == pytest.approx((k * v).sum() / k.sum())
+    whole = tiles.resampled(grid_frame(spark, v), ["g"], h, w, 1, 1, "average").collect()
+    assert [r["v"] for r in whole] == [pytest.approx(v.mean())]
+
+
 @pytest.mark.parametrize("method", ["nearest", "bilinear", "cubic", "lanczos", "other"])
 def test_resampling_keeps_planes_and_nodata(spark, method):
     v = np.add.outer(np.arange(10.0), 2 * np.arange(10.0))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mapping import Affine, inverse, map_x, map_y, to_utm
+from .boxes import suppressed
 
 
 def tiles(df: DataFrame, size: int = 256, overlap: int = 64) -> DataFrame:
@@ -48,11 +49,13 @@ def averaged(parts: DataFrame, threshold: float = 0.5) -> DataFrame:
     return parts.groupBy("row", "col").agg(F.avg("p").alias("probability")).withColumn("canopy", (F.col("probability") > threshold).cast("int"))
 
 
-def detect_tiles(df: DataFrame, detect: Callable[[np.ndarray], pd.DataFrame], bands: list[str], size: int = 400, overlap: float = 0.05, score_threshold: float = 0.4) -> DataFrame:
+def detect_tiles(df: DataFrame, detect: Callable[[np.ndarray], pd.DataFrame], bands: list[str], size: int = 400, overlap: float = 0.05, score_threshold: float = 0.4, most_overlap: float | None = 0.15) -> DataFrame:
     """Boxes (xmin, ymin, xmax, ymax in pixels, score, label) that a detector finds in tiles, of a sufficient score.
 
     ``detect`` gets a whole tile (bands, size, size), padded with zeros, and returns boxes in the tile's pixels. Of
-    tiles that overlap, the one in whose inner half of the overlap a box's centre lies keeps it, so none counts twice.
+    boxes that overlap by more than ``most_overlap``, in one tile or in several, the best remains (see ``suppressed``). If
+    that is None boxes may overlap as they like, and of tiles that overlap, the one in whose inner half of the
+    overlap a box's centre lies keeps it.
     """
     shared = int(size * overlap)
     step = size - shared
@@ -61,13 +64,15 @@ def detect_tiles(df: DataFrame, detect: Callable[[np.ndarray], pd.DataFrame], ba
         r, c = int(tile["tile_r"].iloc[0]), int(tile["tile_c"].iloc[0])
         found = detect(patch(tile, bands, size))
         x, y = (found["xmin"] + found["xmax"]) / 2, (found["ymin"] + found["ymax"]) / 2
-        own = (found["score"] >= score_threshold) & (x < size - shared / 2) & (y < size - shared / 2)
-        own &= ((c == 0) | (x >= shared / 2)) & ((r == 0) | (y >= shared / 2))
+        own = found["score"] >= score_threshold
+        if most_overlap is None:
+            own &= (x < size - shared / 2) & (y < size - shared / 2) & ((c == 0) | (x >= shared / 2)) & ((r == 0) | (y >= shared / 2))
         found = found[own]
         return pd.DataFrame({"xmin": found["xmin"] + c * step, "ymin": found["ymin"] + r * step, "xmax": found["xmax"] + c * step, "ymax": found["ymax"] + r * step, "score": found["score"], "label": found["label"]})
 
     part = tiles(df.select("row", "col", *bands), size, shared)
-    return part.groupBy("tile_r", "tile_c").applyInPandas(run, "xmin double, ymin double, xmax double, ymax double, score double, label string")
+    boxes = part.groupBy("tile_r", "tile_c").applyInPandas(run, "xmin double, ymin double, xmax double, ymax double, score double, label string")
+    return boxes if most_overlap is None else suppressed(boxes, most=most_overlap, cell=max(size / 4, 1.0))
 
 
 def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
@@ -85,6 +90,15 @@ def reflected(i: Column, n: Column | int) -> Column:
     return F.when(k < n, k).otherwise(n * 2 - 1 - k)
 
 
+def lines(df: DataFrame, line: list[str], axis: str, n: int) -> DataFrame:
+    """One row per line of a grid: its pixels in order (``line``), and (at, v) of all n places along ``axis``, NULL where there is no pixel (``full``)."""
+    out = df.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in df.columns if c != axis and c not in line]))).alias("line"))
+    values = F.transform("line", lambda t: F.struct(t[axis].cast("int").alias("at"), t["v"].alias("v")))
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform("line", lambda t: t[axis].cast("int")))
+    gaps = F.transform(absent, lambda i: F.struct(i.alias("at"), F.lit(None).cast(df.schema["v"].dataType).alias("v")))
+    return out.withColumn("full", F.when(F.size("line") == n, values).otherwise(F.array_sort(F.concat(values, gaps))))
+
+
 def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float = 1.5) -> DataFrame:
     """Gaussian smoothing of v on grids (by, r, c, v); other columns of df stay.
 
@@ -97,11 +111,7 @@ def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float
     def one(x: DataFrame, axis: str, n: int) -> DataFrame:
         line = [*by, "c" if axis == "r" else "r"]
         rest = [c for c in x.columns if c not in line]
-        out = x.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(axis, *[c for c in rest if c != axis]))).alias("line"))
-        values = F.transform("line", lambda t: F.struct(t[axis].cast("int").alias("at"), t["v"].alias("v")))
-        absent = F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), F.transform("line", lambda t: t[axis].cast("int")))
-        gaps = F.transform(absent, lambda i: F.struct(i.alias("at"), F.lit(None).cast(x.schema["v"].dataType).alias("v")))
-        out = out.withColumn("full", F.when(F.size("line") == n, values).otherwise(F.array_sort(F.concat(values, gaps))))
+        out = lines(x, line, axis, n)
         mirrored = F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(F.col("full"), reflected(i, n))["v"])
         out = out.withColumn("wide", mirrored)
         slide = lambda i: reduce(lambda a, b: a + b, [F.get("wide", i + o + radius) * F.lit(w) for o, w in kernel])
@@ -177,11 +187,58 @@ def grid_cells(df: DataFrame, height: int, width: int) -> DataFrame:
     return df.sparkSession.range(height * width).select((F.col("id") / width).cast("long").alias("nr"), (F.col("id") % width).alias("nc"))
 
 
+def along(x: DataFrame, by: list[str], axis: str, n: int, m: int, step: float, shift: float, method: str) -> DataFrame:
+    """Grids (by, r, c, v) with the n pixels along ``axis`` sampled at (i + 0.5) * step + shift for i below m, where that lies in the grid.
+
+    Where pixels become coarser (a step of more than 1) a kernel's reach grows with the step, so every pixel counts;
+    ``average`` weighs pixels by how much of them a target covers. Beyond the border a grid goes on with its border's values.
+    """
+    line = [*by, "c" if axis == "r" else "r"]
+    scale = max(1.0, abs(step))
+    last = F.lit(n - 1)
+
+    place = lambda i: (i + F.lit(0.5)) * F.lit(step) + F.lit(shift)
+
+    def sampled_at(i: Column) -> Column:
+        at = place(i)
+        value = lambda k: F.get("full", F.least(F.greatest(k, F.lit(0)), last))["v"]
+        if method == "nearest":
+            return value(F.floor(at + F.lit(0.5)).cast("int"))
+        if method == "average":
+            low, high = F.greatest(at - F.lit(abs(step) / 2), F.lit(-0.5)), F.least(at + F.lit(abs(step) / 2), F.lit(n - 0.5))
+            first, end = F.floor(low + F.lit(0.5)), F.ceil(high + F.lit(0.5)) - 1
+            weight = lambda k: F.least(high, k + F.lit(0.5)) - F.greatest(low, k - F.lit(0.5))
+        else:
+            reach, kernel = KERNELS.get(method, KERNELS["bilinear"])
+            wide = int(-(-reach * scale // 1))
+            first, end = F.floor(at) + (1 - wide), F.floor(at) + wide
+            weight = lambda k: kernel(F.abs(at - k) / F.lit(scale))
+
+        def add(t: Column, k: Column) -> Column:
+            w = weight(k)
+            return F.when(F.abs(w) < 1e-12, t).otherwise(F.struct((t["v"] + value(k) * w).alias("v"), (t["w"] + w).alias("w")))
+
+        zero = F.struct(F.lit(0.0).alias("v"), F.lit(0.0).alias("w"))
+        return F.aggregate(F.sequence(first.cast("int"), F.greatest(first, end).cast("int")), zero, add, lambda t: t["v"] / t["w"])
+
+    inside = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: place(i).between(-0.5, n - 0.5))
+    cells = F.transform(inside, lambda i: F.struct(i.cast("long").alias(axis), sampled_at(i).alias("v")))
+    return lines(x, line, axis, n).select(*line, F.inline(cells))
+
+
+def separable(df: DataFrame, by: list[str], rows: tuple[int, int, float, float], cols: tuple[int, int, float, float], method: str) -> DataFrame:
+    """Grids sampled along rows, then along columns (each old size, new size, step, shift): two shuffles, of the pixels and of what the first pass leaves."""
+    x = df.select(*by, "r", "c", F.col("v").cast("double").alias("v"))
+    return along(along(x, by, "r", *rows, method), by, "c", *cols, method).select(*by, "r", "c", "v")
+
+
 def resampled(df: DataFrame, by: list[str], height: int, width: int, new_height: int, new_width: int, method: str = "bilinear") -> DataFrame:
-    """Full grids (by, r, c, v) on another number of rows and columns over the same extent."""
-    centre = lambda x, old, new: (F.col(x) + F.lit(0.5)) * F.lit(old / new) - F.lit(0.5)
-    cells = grid_cells(df, new_height, new_width)
-    return sampled(df, by, height, width, cells.select("nr", "nc", centre("nr", height, new_height).alias("y"), centre("nc", width, new_width).alias("x")), method)
+    """Grids (by, r, c, v) on another number of rows and columns over the same extent; a NULL or missing pixel under the kernel makes NULL.
+
+    Methods: nearest, bilinear, cubic, lanczos, average; an unknown name is bilinear.
+    """
+    axis = lambda old, new: (old, new, old / new, -0.5)
+    return separable(df, by, axis(height, new_height), axis(width, new_width), method)
 
 
 def _covered(targets: DataFrame, height: int, width: int) -> DataFrame:
@@ -190,7 +247,15 @@ def _covered(targets: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def coregistered(df: DataFrame, by: list[str], height: int, width: int, transform: Affine, new_height: int, new_width: int, new_transform: Affine, method: str = "bilinear") -> DataFrame:
-    """Full grids on the grid of a reference in the same map system; reference pixels outside of them are left out."""
+    """Grids on the grid of a reference in the same map system; reference pixels outside of them are left out.
+
+    Without a rotation between them rows and columns are sampled apart, and coarser pixels average finer ones.
+    """
+    a, b, c, d, e, f = transform
+    na, nb, nc, nd, ne, nf = new_transform
+    if b == d == nb == nd == 0:
+        rows, cols = (height, new_height, ne / e, (nf - f) / e - 0.5), (width, new_width, na / a, (nc - c) / a - 0.5)
+        return separable(df, by, rows, cols, method)
     cells = grid_cells(df, new_height, new_width)
     row, col = F.col("nr") + F.lit(0.5), F.col("nc") + F.lit(0.5)
     mx, my = map_x(row, col, new_transform), map_y(row, col, new_transform)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as ix
 from ..functions import mapping as mp
+from ..operators import boxes as bx
 from ..operators import crowns as cr
 from ..operators import stats as st
 from ..operators import tiles as ti
@@ -163,6 +164,35 @@ register(
     f'WITH {GRID} SELECT col * 10::DOUBLE + 500000 AS minx, 4600000 - ("row" + 1) * 10::DOUBLE AS miny, (col + 1) * 10::DOUBLE + 500000 AS maxx, 4600000 - "row" * 10::DOUBLE AS maxy, round(nir - red, 6) AS score, \'Tree\' AS label FROM grid WHERE nir - red >= 0.1::DOUBLE',
 )
 
+
+
+def found_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box per line of an order, in the picture of its supplier."""
+    x, y, size = (F.col("l_partkey") * 7 % 400) / F.lit(2.0), (F.col("l_orderkey") * 3 % 400) / F.lit(2.0), F.col("l_quantity")
+    return im.table(spark, sf_dir, "lineitem").select("l_suppkey", x.alias("xmin"), y.alias("ymin"), (x + size).alias("xmax"), (y + size / 2 + 1).alias("ymax"), F.col("l_extendedprice").alias("score"))
+
+
+register(
+    "suppress_boxes",
+    lambda spark, d: bx.suppressed(found_boxes(spark, d), ["l_suppkey"], 0.15, 32.0),
+    """WITH b AS (SELECT DISTINCT l_suppkey, (l_partkey * 7 % 400) / 2::DOUBLE AS xmin, (l_orderkey * 3 % 400) / 2::DOUBLE AS ymin, (l_partkey * 7 % 400) / 2::DOUBLE + l_quantity AS xmax, (l_orderkey * 3 % 400) / 2::DOUBLE + l_quantity / 2 + 1 AS ymax, l_extendedprice AS score FROM lineitem),
+    l AS (SELECT l_suppkey, list([{'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax, 's': score}] ORDER BY score DESC, xmin, ymin, xmax, ymax) AS boxes FROM b GROUP BY 1),
+    k AS (SELECT l_suppkey, unnest(list_reduce(boxes, lambda kept, b: CASE WHEN len(list_filter(kept, lambda o: greatest(least(o.x1, b[1].x1) - greatest(o.x0, b[1].x0), 0) * greatest(least(o.y1, b[1].y1) - greatest(o.y0, b[1].y0), 0)
+        > 0.15::DOUBLE * ((o.x1 - o.x0) * (o.y1 - o.y0) + (b[1].x1 - b[1].x0) * (b[1].y1 - b[1].y0) - greatest(least(o.x1, b[1].x1) - greatest(o.x0, b[1].x0), 0) * greatest(least(o.y1, b[1].y1) - greatest(o.y0, b[1].y0), 0)))) > 0 THEN kept ELSE kept || b END)) AS o FROM l)
+    SELECT l_suppkey, o.x0 AS xmin, o.y0 AS ymin, o.x1 AS xmax, o.y1 AS ymax, o.s AS score FROM k""",
+)
+
+
+def large_boxes(tile: np.ndarray) -> pd.DataFrame:
+    """A stand-in for a detector whose boxes are larger than the tiles' overlap: around every bright pixel, as far as the tile shows it."""
+    r, c = np.nonzero(tile[0] > 0.6)
+    edge = tile.shape[1]
+    return pd.DataFrame({"xmin": np.maximum(c - 4.0, 0), "ymin": np.maximum(r - 4.0, 0), "xmax": np.minimum(c + 5.0, edge), "ymax": np.minimum(r + 5.0, edge), "score": tile[0][r, c], "label": "Tree"})
+
+
+# SQL has no detector; the tests hold it against suppression one by one
+register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"))
+
 # 8 x 8 grids: one per embedding
 GRIDS = "g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) t(i))"
 
@@ -193,6 +223,16 @@ def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # flooding by priority isn't expressible in SQL; the tests hold it against a plain loop
 register("crowns_watershed", crowns)
+
+
+def crowns_over_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crowns of the mean picture as one grid, flooded over tiles of 32 x 32 pixels."""
+    size = im.pixels(spark, sf_dir).agg(F.max("row").alias("h")).first()
+    picture = grid(spark, sf_dir).select(F.lit(1).alias("scene"), F.col("row").alias("r"), F.col("col").alias("c"), F.col("nir").alias("v"))
+    return cr.watershed(picture, ["scene"], (size["h"] or 0) + 1, 50, pixel_size=1.0, min_area=4.0, sigma=1.0, threshold=0.2, tile=32)
+
+
+register("crowns_over_tiles", crowns_over_tiles)
 register("crown_outlines", lambda spark, d: cr.outlines(crowns(spark, d), ["vec_id"], MAP))
 SEGMENTS = f"{GRIDS}, s AS (SELECT vec_id, r, c, v, (r // 3) * 3 + c // 3 + 1 AS label FROM g)"
 
@@ -250,17 +290,38 @@ _WEIGHTS = {
 }
 
 
-def sampled_sql(targets: str, method: str) -> str:
-    """SQL that takes t(nr, nc, y, x) from the 8 x 8 grids."""
+def sampled_sql(targets: str, method: str, scale: float = 1.0) -> str:
+    """SQL that takes t(nr, nc, y, x) from the 8 x 8 grids, with kernels ``scale`` times as wide."""
     reach, weight = _WEIGHTS[method]
-    taps = f"unnest(range({1 - reach}, {reach + 1}))"
-    return f"""WITH {GRIDS}, {targets}, taps AS (SELECT nr, nc, y, x, dy, dx, {weight('abs(y - floor(y) - dy)')} AS wy, {weight('abs(x - floor(x) - dx)')} AS wx FROM t, {taps} a(dy), {taps} b(dx))
+    wide = int(-(-reach * scale // 1))
+    taps = f"unnest(range({1 - wide}, {wide + 1}))"
+    away = lambda x: f"(abs({x} - floor({x}) - d{x}) / {scale!r}::DOUBLE)"
+    return f"""WITH {GRIDS}, {targets}, taps AS (SELECT nr, nc, y, x, dy, dx, {weight(away('y'))} AS wy, {weight(away('x'))} AS wx FROM t, {taps} a(dy), {taps} b(dx))
     SELECT vec_id, nr AS r, nc AS c, {vg.r6("sum(v * wy * wx) / sum(wy * wx)")} AS v FROM taps JOIN g ON g.r = {_AT('y', 'dy')} AND g.c = {_AT('x', 'dx')} GROUP BY 1, 2, 3"""
 
 
 for _method in ("cubic", "lanczos"):
     register(f"resample_{_method}", lambda spark, d, m=_method: rounded(ti.resampled(small_grids(spark, d), ["vec_id"], 8, 8, 12, 12, m), "v"), sampled_sql(_TARGET, _method))
 
+_COARSE = "t AS (SELECT i // 3 AS nr, i % 3 AS nc, (i // 3 + 0.5::DOUBLE) * (8 / 3::DOUBLE) - 0.5::DOUBLE AS y, (i % 3 + 0.5::DOUBLE) * (8 / 3::DOUBLE) - 0.5::DOUBLE AS x FROM (SELECT unnest(range(9)) AS i))"
+for _method in ("bilinear", "cubic", "lanczos"):
+    register(f"coarsen_{_method}", lambda spark, d, m=_method: rounded(ti.resampled(small_grids(spark, d), ["vec_id"], 8, 8, 3, 3, m), "v"), sampled_sql(_COARSE, _method, 8 / 3))
+
+
+def averaged_sql(targets: str, size: float) -> str:
+    """SQL of area means over targets of ``size`` pixels of the 8 x 8 grids."""
+    part = lambda at, i: f"(least({at} + {size / 2!r}::DOUBLE, {i} + 0.5::DOUBLE, 7.5::DOUBLE) - greatest({at} - {size / 2!r}::DOUBLE, {i} - 0.5::DOUBLE, -0.5::DOUBLE))"
+    w = f"{part('y', 'r')} * {part('x', 'c')}"
+    return f"WITH {GRIDS}, {targets} SELECT vec_id, nr AS r, nc AS c, {vg.r6(f'sum(v * {w}) / sum({w})')} AS v FROM t JOIN g ON {part('y', 'r')} > 1e-9::DOUBLE AND {part('x', 'c')} > 1e-9::DOUBLE GROUP BY 1, 2, 3"
+
+
+register("coarsen_average", lambda spark, d: rounded(ti.resampled(small_grids(spark, d), ["vec_id"], 8, 8, 3, 3, "average"), "v"), averaged_sql(_COARSE, 8 / 3))
+register(
+    "coregister_coarser",
+    lambda spark, d: rounded(ti.coregistered(small_grids(spark, d), ["vec_id"], 8, 8, MAP, 3, 4, (25.0, 0.0, 500005.0, 0.0, -25.0, 4600010.0), "average"), "v"),
+    averaged_sql("t AS (SELECT i // 4 AS nr, i % 4 AS nc, (4600000 - (4600010 - 25 * (i // 4 + 0.5::DOUBLE))) / 10 - 0.5::DOUBLE AS y, (500005 + 25 * (i % 4 + 0.5::DOUBLE) - 500000) / 10 - 0.5::DOUBLE AS x FROM (SELECT unnest(range(12)) AS i) WHERE x BETWEEN -0.5 AND 7.5 AND y BETWEEN -0.5 AND 7.5)", 2.5),
+)
+
 REFERENCE = (7.0, 0.0, 500005.0, 0.0, -7.0, 4599990.0)
 register(
     "coregister",
