@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import indices as ix
 from ..functions import mapping as mp
+from ..operators import blocks as bl
 from ..operators import boxes as bx
 from ..operators import crowns as cr
 from ..operators import stats as st
 from ..operators import tiles as ti
+from ..operators import zones as zo
 from ..sources import imagery as im
 from ..streaming.arrivals import event_window_counts
 from . import vegetation as vg
@@ -193,6 +195,61 @@ def large_boxes(tile: np.ndarray) -> pd.DataFrame:
 # SQL has no detector; the tests hold it against suppression one by one
 register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"))
 
+
+
+def around(picture: np.ndarray) -> np.ndarray:
+    """A stand-in for an opaque function: mean and spread of the values within two pixels."""
+    padded = np.pad(picture[0], 2, constant_values=np.nan)
+    near = np.lib.stride_tricks.sliding_window_view(padded, (5, 5)).reshape(*picture.shape[1:], 25)
+    n = (~np.isnan(near)).sum(-1)
+    return np.stack([np.nansum(near, -1) / np.maximum(n, 1), np.nanmax(near, -1) - np.nanmin(near, -1)])
+
+
+register(
+    "block_filter",
+    lambda spark, d: rounded(bl.map_blocks(grid(spark, d).select(F.lit("mean").alias("picture"), F.col("row").alias("r"), F.col("col").alias("c"), "nir"), ["picture"], around, ["nir"], ["mean", "spread"], 2, SIZE), "mean", "spread"),
+    f"""WITH {GRID} SELECT 'mean' AS picture, a."row" AS r, a.col AS c, round(avg(b.nir), 6) AS mean, round(max(b.nir) - min(b.nir), 6) AS spread
+    FROM grid a JOIN grid b ON b."row" BETWEEN a."row" - 2 AND a."row" + 2 AND b.col BETWEEN a.col - 2 AND a.col + 2 GROUP BY 1, 2, 3""",
+)
+
+
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A triangle on the map per nation."""
+    k = F.col("n_nationkey")
+    corner = lambda dx, dy: F.concat(((k % 5) * 9 + F.lit(dx)) * 10 + 500000, F.lit(" "), F.lit(4600000) - (F.expr("n_nationkey div 5") * 7 + F.lit(dy)) * 10)
+    first = corner(0.25, 0.5)
+    return im.table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("POLYGON (("), F.concat_ws(", ", first, corner(8.5, 1.25), corner(3.0, 6.75), first), F.lit("))")).alias("wkt"))
+
+
+def zone_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = im.pixels(spark, sf_dir).agg(F.max("row").alias("h")).first()
+    picture = grid(spark, sf_dir).withColumnsRenamed({"row": "r", "col": "c"})
+    return rounded(zo.reduced(picture, triangles(spark, sf_dir), ["n_nationkey"], "wkt", "nir", MAP, (size["h"] or 0) + 1, 50), "covered", "mean", "min", "max")
+
+
+def _clipped_sql() -> str:
+    """Every pixel's square cut by the three sides of a triangle, one after the other."""
+    side = lambda p, i: f"(t[{i % 3 + 1}].x - t[{i}].x) * ({p}.y - t[{i}].y) - (t[{i % 3 + 1}].y - t[{i}].y) * ({p}.x - t[{i}].x)"
+    p, q = "poly[i]", "poly[i % len(poly) + 1]"
+    steps = ["c0 AS (SELECT *, [{'x': col, 'y': \"row\"}, {'x': col + 1::DOUBLE, 'y': \"row\"}, {'x': col + 1::DOUBLE, 'y': \"row\" + 1::DOUBLE}, {'x': col, 'y': \"row\" + 1::DOUBLE}] AS poly FROM near)"]
+    for i in (1, 2, 3):
+        a, b = side(p, i), side(q, i)
+        cut = f"{{'x': {p}.x + ({q}.x - {p}.x) * ({a}) / (({a}) - ({b})), 'y': {p}.y + ({q}.y - {p}.y) * ({a}) / (({a}) - ({b}))}}"
+        steps.append(f"c{i} AS (SELECT k, t, \"row\", col, nir, flatten(list_transform(range(1, len(poly) + 1), lambda i: CASE WHEN {a} >= 0 THEN [{p}] ELSE [] END || CASE WHEN ({a}) * ({b}) < 0 THEN [{cut}] ELSE [] END)) AS poly FROM c{i - 1})")
+    return ", ".join(steps)
+
+
+register(
+    "zone_means",
+    zone_means,
+    f"""WITH {GRID}, z AS (SELECT n_nationkey AS k, n_nationkey % 5 * 9 AS x, n_nationkey // 5 * 7 AS y FROM nation),
+    tri AS (SELECT k, x, y, [{{'x': x + 0.25::DOUBLE, 'y': y + 0.5::DOUBLE}}, {{'x': x + 8.5::DOUBLE, 'y': y + 1.25::DOUBLE}}, {{'x': x + 3::DOUBLE, 'y': y + 6.75::DOUBLE}}] AS t FROM z),
+    near AS (SELECT k, t, "row"::DOUBLE AS "row", col::DOUBLE AS col, nir FROM tri JOIN grid ON "row" BETWEEN y AND y + 7 AND col BETWEEN x AND x + 9),
+    {_clipped_sql()}, a AS (SELECT k, nir, abs(list_sum(list_transform(range(1, len(poly) + 1), lambda i: poly[i].x * poly[i % len(poly) + 1].y - poly[i % len(poly) + 1].x * poly[i].y))) / 2 AS share FROM c3),
+    r AS (SELECT k, count(*) AS n, sum(share) AS covered, sum(share * nir) / sum(share) AS mean, min(nir) AS lo, max(nir) AS hi FROM a WHERE share > 1e-9 GROUP BY 1)
+    SELECT n_nationkey, coalesce(n, 0)::BIGINT AS n, round(covered, 6) AS covered, round(mean, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max FROM nation LEFT JOIN r ON k = n_nationkey""",
+)
+
 # 8 x 8 grids: one per embedding
 GRIDS = "g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) t(i))"
 
