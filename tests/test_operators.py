@@ -434,6 +434,63 @@ def test_polygons_with_holes_and_pinches(spark):
     assert got[1]["rings"][0][0] == [100.0, 50.0]
 
 
+def plain_rings(label, k):
+    """The rings of one label by one loop over all its edges."""
+    h, w = label.shape
+    mine = lambda r, c: 0 <= r < h and 0 <= c < w and label[r, c] == k
+    out = {}
+    for r, c in zip(*np.nonzero(label == k), strict=True):
+        for (dr, dc), a, b in (((-1, 0), (c, r), (c + 1, r)), ((0, 1), (c + 1, r), (c + 1, r + 1)), ((1, 0), (c + 1, r + 1), (c, r + 1)), ((0, -1), (c, r + 1), (c, r))):
+            if not mine(r + dr, c + dc):
+                out.setdefault((int(a[0]), int(a[1])), []).append((int(b[0]), int(b[1])))
+    rings = []
+    while any(out.values()):
+        at = min(p for p, ends in out.items() if ends)
+        ring, way = [], None
+        while out.get(at):
+            right = (at[0] - way[1], at[1] + way[0]) if way else None
+            to = right if right in out[at] else out[at][0]
+            out[at].remove(to)
+            if (to[0] - at[0], to[1] - at[1]) != way:
+                ring.append(at)
+            way, at = (to[0] - at[0], to[1] - at[1]), to
+        rings.append([*ring, ring[0]])
+    return sorted(rings)
+
+
+@pytest.mark.parametrize("tile", [5, 8, 100])
+def test_polygons_over_tiles(spark, tile):
+    """A region over many tiles with holes and islands, and small ones, against one loop."""
+    rng = np.random.default_rng(4)
+    label = np.where(rng.random((31, 26)) < 0.72, 1, 0)
+    label[4:7, 3:20], label[20, 20:25], label[25:30, 1:4], label[27, 2] = 1, 2, 3, 0
+    label[0, :] = label[:, 0] = 1
+    rows = [(None, int(r), int(c), int(label[r, c])) for r in range(31) for c in range(26)]
+    got = {r["label"]: r for r in crowns.polygons(spark.createDataFrame(rows, "g int, r long, c long, label long"), ["g"], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), tile).collect()}
+    assert set(got) == {1, 2, 3}
+    for k, r in got.items():
+        rings = [[(int(x), int(y)) for x, y in ring] for ring in r["rings"]]
+        area = lambda ring: sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:], strict=False)) / 2
+        assert sum(map(area, rings)) == (label == k).sum() == r["area_m2"]
+        edges = lambda rings: sorted((min(a, b), max(a, b)) for ring in rings for a, b in zip(ring, ring[1:], strict=False))
+        want = plain_rings(label, k)
+        units = lambda rings: sorted((x, y, x2, y2) for ring in rings for a, b in zip(ring, ring[1:], strict=False) for x, y, x2, y2 in steps(a, b))
+        assert units(rings) == units(want) and len(edges(rings)) > 0
+        if k != 1:
+            assert sorted(rings) == want
+        assert all(ring[0] == ring[-1] == min(ring) for ring in rings)
+        assert all((a[0] - b[0]) * (b[1] - c[1]) != (a[1] - b[1]) * (b[0] - c[0]) for ring in rings for a, b, c in zip(ring[-2:-1] + ring, ring, ring[1:], strict=False))
+    again = {r["label"]: r["rings"] for r in crowns.polygons(spark.createDataFrame(rows, "g int, r long, c long, label long"), ["g"], (1.0, 0.0, 0.0, 0.0, 1.0, 0.0), 64).collect()}
+    assert {k: r["rings"] for k, r in got.items()} == again
+
+
+def steps(a, b):
+    """Unit edges from a to b."""
+    n = max(abs(b[0] - a[0]), abs(b[1] - a[1]))
+    dx, dy = (b[0] - a[0]) // n, (b[1] - a[1]) // n
+    return [(a[0] + i * dx, a[1] + i * dy, a[0] + (i + 1) * dx, a[1] + (i + 1) * dy) for i in range(n)]
+
+
 def test_features_in_degrees(spark):
     boxes = spark.createDataFrame([(500000.0, 4600000.0, 500010.0, 4600010.0, 0.5)], "minx double, miny double, maxx double, maxy double, score double")
     feature = json.loads(one(crowns.box_features(boxes, zone=43))["feature"])

@@ -5,6 +5,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -254,57 +255,116 @@ def outlines(labels: DataFrame, by: list[str], transform: Affine) -> DataFrame:
     return out.withColumn("wkt", F.format_string("POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))", "minx", "miny", "maxx", "miny", "maxx", "maxy", "minx", "maxy", "minx", "miny"))
 
 
-def chained(edges: np.ndarray) -> list[np.ndarray]:
-    """Closed rings of directed unit edges (x0, y0, x1, y1), without points amid straight runs; where four edges meet, a ring turns right."""
-    after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for x0, y0, x1, y1 in edges.tolist():
-        after.setdefault((x0, y0), []).append((x1, y1))
-    rings = []
-    while after:
-        at = first = min(after)
-        ring, way = [], None
+WAYS = [(1, 0), (0, 1), (-1, 0), (0, -1)]
+PATHS = "array<struct<closed:boolean,sx:bigint,sy:bigint,d0:int,ex:bigint,ey:bigint,d1:int,points:array<struct<x:bigint,y:bigint>>>>"
+
+
+def traced(edges: list[tuple[int, int, int]], tile: int) -> list[dict]:
+    """Directed unit edges (x, y, way) that begin in one tile as closed rings and as paths that leave it, without points amid straight runs.
+
+    Where four edges meet, a ring turns right. A path ends at the vertex of another tile where the next one begins;
+    its first vertex counts as a corner, as what lies before it isn't known here.
+    """
+    out: dict[tuple[int, int], list[int]] = {}
+    for x, y, d in edges:
+        out.setdefault((x, y), []).append(d)
+    after = {}
+    for x, y, d in edges:
+        to = x + WAYS[d][0], y + WAYS[d][1]
+        if (to[0] // tile, to[1] // tile) == (x // tile, y // tile):
+            options = out[to]
+            after[x, y, d] = (*to, (d + 1) % 4 if (d + 1) % 4 in options else options[0])
+    heads = set(edges) - set(after.values())
+    done, found = set(), []
+    for start in [*sorted(heads), *sorted(edges)]:
+        if start in done:
+            continue
+        at, last, points = start, None, []
         while True:
-            options = after[at]
-            right = (at[0] - way[1], at[1] + way[0]) if way else options[0]
-            to = right if right in options else options[0]
-            options.remove(to)
-            if not options:
-                del after[at]
-            step = to[0] - at[0], to[1] - at[1]
-            if step != way:
-                ring.append(at)
-            at, way = to, step
-            if at == first and (at not in after or not ring or (at[0] - way[1], at[1] + way[0]) not in after[at]):
+            done.add(at)
+            if at[2] != last:
+                points.append(at[:2])
+            last, ahead = at[2], after.get(at)
+            if ahead is None or ahead == start:
                 break
-        rings.append(np.array(ring))
-    return rings
+            at = ahead
+        closed = ahead is not None
+        if closed and last == start[2]:
+            points = points[1:]
+        end = at[0] + WAYS[last][0], at[1] + WAYS[last][1]
+        found.append({"closed": closed, "sx": start[0], "sy": start[1], "d0": start[2], "ex": end[0], "ey": end[1], "d1": last, "points": [{"x": x, "y": y} for x, y in points]})
+    return found
+
+
+def ring_parts(paths: DataFrame, by: list[str], scratch: Scratch) -> DataFrame:
+    """Paths (by, id, sx, sy, d0, ex, ey, d1, points) with the ring each is in and its place in it, by pointer jumping.
 
+    A path is followed by the one that begins where it ends, to the right if there are two. Pointers double their reach
+    until every path knows the least number of its ring; there the ring is cut, and doubling again counts the steps to its end.
+    """
+    heads = paths.select(*by, F.col("sx").alias("ex"), F.col("sy").alias("ey"), F.col("id").alias("next"), F.col("d0").alias("way"))
+    meets = beside(paths.select(*by, "ex", "ey", "id", "d1"), heads, [*by, "ex", "ey"])
+    links = meets.groupBy("id").agg(F.min_by("next", F.when(F.col("way") == (F.col("d1") + 1) % 4, 0).otherwise(1)).alias("next"))
+    now = scratch.stored(links.select("id", "next", F.least("id", "next").alias("ring")))
+    while True:
+        far = now.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("ring").alias("low"))
+        new = scratch.stored(now.join(far, "next").select("id", F.col("after").alias("next"), F.least("ring", "low").alias("ring"), (F.col("low") < F.col("ring")).alias("moved")))
+        if new.where("moved").isEmpty():
+            break
+        now = new.drop("moved")
+    rings = scratch.stored(links.join(now.select("id", "ring"), "id"))
+    steps = scratch.stored(rings.select("id", F.when(F.col("next") != F.col("ring"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("ring"), 1).otherwise(0).cast("long").alias("left")))
+    while not steps.where("next IS NOT NULL").isEmpty():
+        far = steps.select(F.col("id").alias("next"), F.col("next").alias("after"), F.col("left").alias("more"))
+        steps = scratch.stored(steps.where("next IS NOT NULL").join(far, "next").select("id", F.col("after").alias("next"), (F.col("left") + F.col("more")).alias("left")).unionByName(steps.where("next IS NULL")))
+    return paths.join(rings.select("id", "ring"), "id").join(steps.select("id", "left"), "id")
 
-def polygons(labels: DataFrame, by: list[str], transform: Affine) -> DataFrame:
+
+def polygons(labels: DataFrame, by: list[str], transform: Affine, tile: int | None = None) -> DataFrame:
     """Per segment its rings in map units (arrays of x, y; holes run the other way round), and area and perimeter of these.
 
-    A pixel's side is part of a ring if the segment has it once; so only the sides at its edge are gathered.
+    A pixel's side is part of a ring if the segment has it once. The sides of a segment in a tile are traced in one task;
+    rings that cross tiles are put together from their paths, so only the corners of a ring, which are the
+    result, come to one place.
     """
-    c, r = F.col("c"), F.col("r")
+    tile = tile or TILE
+    scratch = Scratch()
+    key = [*by, "label"]
+    c, r = F.col("c").cast("long"), F.col("r").cast("long")
     corner = [(c, r), (c + 1, r), (c + 1, r + 1), (c, r + 1)]
-    side = lambda k: F.struct(*[x.cast("int").alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), (*corner[k], *corner[(k + 1) % 4]), strict=True)])
-    sides = labels.where("label > 0").select(*by, "label", F.explode(F.array(*[side(k) for k in range(4)])).alias("s"))
-    place = [F.least("s.x0", "s.x1"), F.least("s.y0", "s.y1"), F.col("s.x0") == F.col("s.x1")]
-    sides = sides.select(*by, "label", "s", *[p.alias(n) for p, n in zip(place, ("x", "y", "upright"), strict=True)])
-    edge = sides.groupBy(*by, "label", "x", "y", "upright").agg(F.count(F.lit(1)).alias("n"), F.first("s").alias("s")).where("n = 1")
-    whole = edge.groupBy(*by, "label").agg(F.collect_list("s").alias("sides"))
-
-    @F.pandas_udf("array<array<array<double>>>")
-    def rings(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
-        a, b, cc, d, e, f = transform
-        found = [chained(np.stack(four, 1)) for four in zip(x0, y0, x1, y1, strict=True)]
-        return pd.Series([[[[a * x + b * y + cc, d * x + e * y + f] for x, y in [*ring.tolist(), ring[0].tolist()]] for ring in each] for each in found])
-
-    out = whole.select(*by, "label", rings(*[F.col(f"sides.{n}") for n in ("x0", "y0", "x1", "y1")]).alias("rings"))
+    # sides go round a pixel; the side between two pixels has one place, whichever pixel it comes from
+    side = lambda k: F.struct(corner[k][0].alias("x"), corner[k][1].alias("y"), F.lit(k).alias("d"), F.least(corner[k][0], corner[(k + 1) % 4][0]).alias("px"), F.least(corner[k][1], corner[(k + 1) % 4][1]).alias("py"), F.lit(k % 2).alias("upright"))
+    sides = labels.where("label > 0").select(*key, F.inline(F.array(*[side(k) for k in range(4)])))
+    edges = sides.groupBy(*key, "px", "py", "upright").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("x", "y", "d")).alias("s")).where("n = 1").select(*key, "s.*")
+    place = [F.floor(F.col(x) / F.lit(tile)).alias(f"tile_{x}") for x in "xy"]
+    cells = edges.groupBy(*key, *place).agg(F.collect_list(F.struct("x", "y", "d")).alias("edges"))
+
+    @F.arrow_udf(PATHS)
+    def paths_of(x: pa.Array, y: pa.Array, d: pa.Array) -> pa.Array:
+        kind = pa.struct([("closed", pa.bool_()), ("sx", pa.int64()), ("sy", pa.int64()), ("d0", pa.int32()), ("ex", pa.int64()), ("ey", pa.int64()), ("d1", pa.int32()), ("points", pa.list_(pa.struct([("x", pa.int64()), ("y", pa.int64())])))])
+        return pa.array([traced(list(zip(*own, strict=True)), tile) for own in zip(x.to_pylist(), y.to_pylist(), d.to_pylist(), strict=True)], pa.list_(kind))
+
+    paths = scratch.stored(cells.select(*key, F.inline(paths_of("edges.x", "edges.y", "edges.d"))).withColumn("id", F.monotonically_increasing_id()))
+    whole = paths.where("closed").select(*key, "points")
+    open_ = paths.where("NOT closed")
+    if not open_.isEmpty():
+        parts = ring_parts(open_.drop("closed"), key, scratch)
+        joined_ = parts.groupBy(*key, "ring").agg(F.array_sort(F.collect_list(F.struct((-F.col("left")).alias("at"), "d0", "d1", "points"))).alias("ps"))
+        # a joint that goes straight on is no corner
+        before = lambda i: F.get("ps", F.when(i == 0, F.size("ps") - 1).otherwise(i - 1))["d1"]
+        points = F.flatten(F.transform("ps", lambda p, i: F.when(before(i) == p["d0"], F.slice(p["points"], F.lit(2), F.size(p["points"]))).otherwise(p["points"])))
+        whole = whole.unionByName(joined_.select(*key, points.alias("points")))
+    # a ring begins at its least corner
+    least = F.array_position("points", F.array_min("points")).cast("int")
+    turned = F.concat(F.slice("points", least, F.size("points")), F.slice("points", F.lit(1), least))
+    rings = whole.select(*key, turned.alias("points")).groupBy(*key).agg(F.array_sort(F.collect_list("points")).alias("points"))
+    a, b, cc, d, e, f = transform
+    put = lambda p: F.array(F.lit(a) * p["x"] + F.lit(b) * p["y"] + F.lit(cc), F.lit(d) * p["x"] + F.lit(e) * p["y"] + F.lit(f))
+    out = rings.select(*key, F.transform("points", lambda ring: F.transform(ring, put)).alias("rings"))
     added = lambda ring, term: F.aggregate(F.sequence(F.lit(0), F.size(ring) - 2), F.lit(0.0), lambda t, i: t + term(F.get(ring, i), F.get(ring, i + 1)))
     area = F.abs(F.aggregate("rings", F.lit(0.0), lambda t, ring: t + added(ring, lambda p, q: (p[0] * q[1] - q[0] * p[1]) / 2.0)))
     length = F.aggregate("rings", F.lit(0.0), lambda t, ring: t + added(ring, lambda p, q: F.hypot(q[0] - p[0], q[1] - p[1])))
-    return out.withColumns({"area_m2": area, "perimeter_m": length})
+    return stored(out.withColumns({"area_m2": area, "perimeter_m": length}), then=scratch)
 
 
 def box_features(boxes: DataFrame, zone: int | None = None, north: bool = True) -> DataFrame:
