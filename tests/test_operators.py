@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -525,7 +526,17 @@ def test_band_files_and_first_matches(spark):
 def test_sink_keeps_pixels_and_prunes(spark, tmp_path):
     df = spark.createDataFrame([(s, r, c, float(r * c), float("nan") if c == 3 else 1.0) for s in (1, 2) for r in range(6) for c in range(6)], "scene_id long, row long, col long, nir double, red double")
     imagery.write_pixels(df, f"{tmp_path}/px", 4, 20.0)
-    assert sorted(p.name for p in (tmp_path / "px").iterdir() if p.is_dir()) == ["scene_id=1", "scene_id=2"]
+    ranges = []
+    for file in (tmp_path / "px").glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        assert meta.num_row_groups <= 1
+        for k in range(meta.num_row_groups):
+            told = {meta.row_group(k).column(i).path_in_schema: meta.row_group(k).column(i).statistics for i in range(meta.num_columns)}
+            ranges.append((told["scene_id"].min, told["scene_id"].max))
+    # a scene's tiles lie side by side: files of other scenes can be skipped
+    assert 1 <= len(ranges) <= 8 and sum(lo < hi for lo, hi in ranges) <= 1
+    plan = imagery.read_pixels(spark, f"{tmp_path}/px", ["nir"]).where("scene_id = 2 AND row < 3")._jdf.queryExecution().toString()
+    assert "EqualTo(scene_id,2)" in plan and "LessThan(row,3)" in plan
     back = imagery.read_pixels(spark, f"{tmp_path}/px", ["nir", "red"])
     assert back.columns == ["scene_id", "row", "col", "nir", "red"] and back.count() == 72
     assert back.where("red IS NULL").count() == 12 and back.where("nir IS NULL").count() == 4

@@ -322,6 +322,20 @@ register(
     f"""WITH {SEGMENTS}, k AS (SELECT vec_id, r, c, label FROM s WHERE v > -0.05::DOUBLE), d(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
     SELECT k.vec_id, k.label, count(*) * 25::DOUBLE AS area_m2, (count(*) - count(o.r)) * 10::DOUBLE AS perimeter_m FROM k CROSS JOIN d LEFT JOIN k o ON o.vec_id = k.vec_id AND o.label = k.label AND o.r = k.r + dr AND o.c = k.c + dc GROUP BY 1, 2""",
 )
+
+def canopy_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canopy of the whole picture as one region, traced over tiles of 16 x 16 pixels, and its background as another."""
+    label = F.when(F.col("nir") > 0.5, 1).otherwise(2).cast("long")
+    pixels_ = grid(spark, sf_dir).select(F.lit("mean").alias("picture"), F.col("row").alias("r"), F.col("col").alias("c"), label.alias("label"))
+    return cr.polygons(pixels_, ["picture"], MAP, SIZE).select("picture", "label", F.round("area_m2", 6).alias("area_m2"), F.round("perimeter_m", 6).alias("perimeter_m"))
+
+
+register(
+    "canopy_polygons",
+    canopy_polygons,
+    f"""WITH {GRID}, k AS (SELECT "row" AS r, col AS c, CASE WHEN nir > 0.5 THEN 1 ELSE 2 END AS label FROM grid), d(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
+    SELECT 'mean' AS picture, k.label::BIGINT AS label, count(*) * 25::DOUBLE AS area_m2, (count(*) - count(o.r)) * 10::DOUBLE AS perimeter_m FROM k CROSS JOIN d LEFT JOIN k o ON o.label = k.label AND o.r = k.r + dr AND o.c = k.c + dc GROUP BY 1, 2""",
+)
 register(
     "crown_features",
     lambda spark, d: cr.box_features(cr.outlines(blocks(spark, d), ["vec_id"], MAP)).select("vec_id", "feature"),

@@ -172,11 +172,15 @@ def loss_by_year(df: DataFrame, pixel_area: float, cover: int = 30) -> DataFrame
 
 
 def write_pixels(df: DataFrame, path: str, tile: int = 512, nodata: float | None = None) -> None:
-    """Pixels (scene_id, row, col, bands) as Parquet by scene and tile, so that readers of either skip the rest; NaN and nodata become NULL."""
+    """Pixels (scene_id, row, col, bands) as Parquet in the order of scene and tile; NaN and nodata become NULL.
+
+    Rows are range-partitioned by scene and tile and sorted, so a file holds neighbouring tiles, however small they
+    are, and a reader of some scenes, rows or columns skips files and row groups by their statistics.
+    """
     bands = [c for c, t in df.dtypes if t in ("double", "float") and c not in ("row", "col")]
-    out = nodata_to_null(df, bands, nodata).withColumns({"tile_r": F.expr(f"row div {tile}"), "tile_c": F.expr(f"col div {tile}")})
-    # a tile's rows meet in one task, a scene's tiles spread over many
-    out.repartition("scene_id", "tile_r", "tile_c").sortWithinPartitions("scene_id", "tile_r", "tile_c", "row", "col").write.mode("overwrite").partitionBy("scene_id", "tile_r", "tile_c").parquet(path)
+    order = ["scene_id", F.expr(f"row div {tile}"), F.expr(f"col div {tile}")]
+    out = nodata_to_null(df, bands, nodata)
+    out.repartitionByRange(*order).sortWithinPartitions(*order, "row", "col").write.mode("overwrite").parquet(path)
 
 
 def read_pixels(spark: SparkSession, path: str, names: list[str], indices: list[int] | None = None) -> DataFrame:
