@@ -45,27 +45,31 @@ BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3
 DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
 
 
-def _meridian(zone: int) -> float:
-    return (6 * zone - 183) * pi / 180
+def _meridian(zone: int | Column) -> Column:
+    return (zone * F.lit(6.0) - F.lit(183.0)) * F.lit(pi / 180) if isinstance(zone, Column) else F.lit((6 * zone - 183) * pi / 180)
 
 
-def to_utm(lon: Column, lat: Column, zone: int, north: bool = True) -> Column:
+def _northing(north: bool | Column) -> Column:
+    return F.when(north, F.lit(0.0)).otherwise(F.lit(FALSE_NORTH)) if isinstance(north, Column) else F.lit(0.0 if north else FALSE_NORTH)
+
+
+def to_utm(lon: Column, lat: Column, zone: int | Column, north: bool | Column = True) -> Column:
     """Struct x, y in metres of a place in degrees."""
     e = 2 * sqrt(N) / (1 + N)
     sin_lat = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(sin_lat) - F.lit(e) * F.atanh(F.lit(e) * sin_lat))
-    away = F.radians(lon) - F.lit(_meridian(zone))
+    away = F.radians(lon) - _meridian(zone)
     xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(F.lit(1.0) + t * t))
     x, y = eta, xi
     for j, a in enumerate(ALPHA, 1):
         x = x + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
         y = y + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-    return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * RADIUS) * x).alias("x"), (F.lit(0.0 if north else FALSE_NORTH) + F.lit(SCALE * RADIUS) * y).alias("y"))
+    return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * RADIUS) * x).alias("x"), (_northing(north) + F.lit(SCALE * RADIUS) * y).alias("y"))
 
 
-def from_utm(x: Column, y: Column, zone: int, north: bool = True) -> Column:
+def from_utm(x: Column, y: Column, zone: int | Column, north: bool | Column = True) -> Column:
     """Struct lon, lat in degrees of a place in a zone."""
-    xi, eta = (y - F.lit(0.0 if north else FALSE_NORTH)) / F.lit(SCALE * RADIUS), (x - F.lit(FALSE_EAST)) / F.lit(SCALE * RADIUS)
+    xi, eta = (y - _northing(north)) / F.lit(SCALE * RADIUS), (x - F.lit(FALSE_EAST)) / F.lit(SCALE * RADIUS)
     xi0, eta0 = xi, eta
     for j, b in enumerate(BETA, 1):
         xi0 = xi0 - F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
@@ -74,4 +78,4 @@ def from_utm(x: Column, y: Column, zone: int, north: bool = True) -> Column:
     lat = chi
     for j, d in enumerate(DELTA, 1):
         lat = lat + F.lit(d) * F.sin(chi * (2 * j))
-    return F.struct(F.degrees(F.lit(_meridian(zone)) + F.atan2(F.sinh(eta0), F.cos(xi0))).alias("lon"), F.degrees(lat).alias("lat"))
+    return F.struct(F.degrees(_meridian(zone) + F.atan2(F.sinh(eta0), F.cos(xi0))).alias("lon"), F.degrees(lat).alias("lat"))

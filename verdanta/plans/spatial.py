@@ -10,6 +10,8 @@ from ..functions import mapping as mp
 from ..operators import blocks as bl
 from ..operators import boxes as bx
 from ..operators import crowns as cr
+from ..operators import grids as gr
+from ..operators import segments as sg
 from ..operators import stats as st
 from ..operators import tiles as ti
 from ..operators import zones as zo
@@ -250,6 +252,29 @@ register(
     SELECT n_nationkey, coalesce(n, 0)::BIGINT AS n, round(covered, 6) AS covered, round(mean, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max FROM nation LEFT JOIN r ON k = n_nationkey""",
 )
 
+
+
+def by_field(tile: np.ndarray) -> list[np.ndarray]:
+    """A stand-in for a segmenter: a mask for each number in the second band, as far as the tile shows it."""
+    return [tile[1] == k for k in np.unique(tile[1]) if k > 0]
+
+
+def segment_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of 20 x 9 pixels that a segmenter sees in parts, tile by tile, filtered by size and vegetation."""
+    picture = grid(spark, sf_dir).withColumn("field", F.expr("cast((row div 20) * 100 + col div 9 + 1 AS double)"))
+    masks = sg.joined_masks(sg.segment_tiles(picture, by_field, ["nir", "field"], SIZE, OVERLAP), SIZE, OVERLAP)
+    kept = sg.vegetated_masks(masks, picture.select("row", "col", (F.col("nir") > 0.45).alias("vegetation")), 30, 200)
+    places = masks.groupBy("label").agg(F.min("row").alias("row"), F.min("c0").alias("col"))
+    return rounded(kept.join(places, "label").drop("label"), "overlap")
+
+
+register(
+    "segment_masks",
+    segment_masks,
+    f"""WITH {GRID} SELECT count(*)::BIGINT AS pixels, round(count(*) FILTER (WHERE nir > 0.45) / (count(*) + 1e-6::DOUBLE), 6) AS overlap, min("row") AS "row", min(col) AS col
+    FROM grid GROUP BY "row" // 20, col // 9 HAVING count(*) BETWEEN 30 AND 200 AND count(*) FILTER (WHERE nir > 0.45) / (count(*) + 1e-6::DOUBLE) >= 0.6::DOUBLE""",
+)
+
 # 8 x 8 grids: one per embedding
 GRIDS = "g AS (SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, embedding[i]::DOUBLE AS v FROM embeddings, unnest(range(1, 65)) t(i))"
 
@@ -421,6 +446,70 @@ register(
     lambda spark, d: ti.to_wgs84(small_grids(spark, d), ["vec_id"], 8, 8, MAP, ZONE, True, 6, 6, DEGREES).withColumn("v", F.round("v", 4)),
     sampled_sql(_utm_sql(), "bilinear").replace(", 6) END AS v", ", 4) END AS v"),
 )
+
+
+def map_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scene of its own place and size per nation, in zones north and south."""
+    k = F.col("n_nationkey")
+    number = lambda x: F.lit(x) if isinstance(x, float) else x.cast("double")
+    columns = {"height": k * 7 + 100, "width": 300 - k, "a": number(30.0), "b": number(0.0), "c": number(k * 10000 + 400000), "d": number(0.0), "e": number(-30.0), "f": number(k * 150000 + 3000000), "zone": k + 20, "north": k % 2 == 0}
+    return im.table(spark, sf_dir, "nation").select("n_nationkey", *[c.alias(n) for n, c in columns.items()])
+
+
+def _degrees_sql() -> str:
+    """lon and lat of x, y in a zone (0 to 60, north or not), as SQL over p(..., x, y, zone, north)."""
+    k = mp.SCALE * mp.RADIUS
+    xi0, eta0, lat = "xi", "eta", "chi"
+    for j, b in enumerate(mp.BETA, 1):
+        xi0 += f" - {b!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+        eta0 += f" - {b!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+    for j, d in enumerate(mp.DELTA, 1):
+        lat += f" + {d!r}::DOUBLE * sin({2 * j} * chi)"
+    return f"""q AS (SELECT *, (y - CASE WHEN north THEN 0 ELSE 10000000 END) / {k!r}::DOUBLE AS xi, (x - 500000) / {k!r}::DOUBLE AS eta FROM p), q0 AS (SELECT *, {xi0} AS xi0, {eta0} AS eta0 FROM q),
+    q1 AS (SELECT *, asin(sin(xi0) / cosh(eta0)) AS chi FROM q0), geo AS (SELECT *, degrees(radians(6 * zone - 183) + atan2(sinh(eta0), cos(xi0))) AS lon, degrees({lat}) AS lat FROM q1)"""
+
+
+register(
+    "default_grids",
+    lambda spark, d: gr.default_grids(map_scenes(spark, d)).select("n_nationkey", "new_height", "new_width", F.round("west", 7).alias("west"), F.round("top", 7).alias("top"), F.round("pixel", 9).alias("pixel")),
+    f"""WITH s AS (SELECT n_nationkey AS k, n_nationkey * 7 + 100 AS h, 300 - n_nationkey AS w, n_nationkey * 10000 + 400000 AS c, n_nationkey * 150000 + 3000000 AS f, n_nationkey + 20 AS zone, n_nationkey % 2 = 0 AS north FROM nation),
+    e AS (SELECT *, unnest(range(21)) / 20::DOUBLE AS t FROM s), o AS (SELECT *, 0 AS pr, w * t AS pc FROM e UNION ALL SELECT *, h, w * t FROM e UNION ALL SELECT *, h * t, 0 FROM e UNION ALL SELECT *, h * t, w FROM e),
+    p AS (SELECT *, c + 30::DOUBLE * pc AS x, f - 30::DOUBLE * pr AS y FROM o), {_degrees_sql()},
+    g AS (SELECT k, h, w, min(lon) AS west, max(lon) AS east, min(lat) AS low, max(lat) AS top, max(lon) FILTER (pr = 0 AND pc = 0) AS lon0, max(lat) FILTER (pr = 0 AND pc = 0) AS lat0, max(lon) FILTER (pr = h AND pc = w) AS lon1, max(lat) FILTER (pr = h AND pc = w) AS lat1 FROM geo GROUP BY 1, 2, 3),
+    r AS (SELECT *, sqrt((lon1 - lon0) ** 2 + (lat1 - lat0) ** 2) / sqrt(h * h + w * w) AS pixel FROM g)
+    SELECT k AS n_nationkey, floor((top - low) / pixel + 0.5::DOUBLE)::BIGINT AS new_height, floor((east - west) / pixel + 0.5::DOUBLE)::BIGINT AS new_width, round(west, 7) AS west, round(top, 7) AS top, round(pixel, 9) AS pixel FROM r""",
+)
+
+#: the target of scenes on both sides of the meridian where zones 43 and 44 meet, and where each zone's scenes lie
+MEETING = (0.0001, 0.0, 77.9985, 0.0, -0.0001, 41.5018)
+SIDES = {43: 750200.0, 44: 249400.0}
+
+
+def composite_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scenes = im.scenes(spark, sf_dir).select("scene_id", (F.col("scene_id") % 2 + 43).cast("int").alias("zone"))
+    west = F.when(F.col("zone") == 43, SIDES[43]).otherwise(SIDES[44])
+    scenes = scenes.select("scene_id", "zone", F.lit(True).alias("north"), *[F.lit(x).alias(n) for n, x in (("a", 10.0), ("b", 0.0), ("d", 0.0), ("e", -10.0), ("f", 4598800.0))], west.alias("c"))
+    return rounded(gr.composite_of_grids(im.pixels(spark, sf_dir).select("scene_id", "row", "col", "nir", "swir1"), scenes, ["nir", "swir1"], 24, 30, MEETING), "nir", "swir1")
+
+
+def _meeting_sql() -> str:
+    e = 2 * mp.N**0.5 / (1 + mp.N)
+    x, y = "eta", "xi"
+    for j, a in enumerate(mp.ALPHA, 1):
+        x += f" + {a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)"
+        y += f" + {a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)"
+    k = mp.SCALE * mp.RADIUS
+    return f"""d AS (SELECT i // 30 AS tr, i % 30 AS tc, z AS zone, west, radians({MEETING[2]}::DOUBLE + {MEETING[0]}::DOUBLE * (i % 30 + 0.5::DOUBLE) - (6 * z - 183)) AS away, sin(radians({MEETING[5]}::DOUBLE + {MEETING[4]}::DOUBLE * (i // 30 + 0.5::DOUBLE))) AS s
+        FROM (SELECT unnest(range(720)) AS i), (VALUES (43, {SIDES[43]}::DOUBLE), (44, {SIDES[44]}::DOUBLE)) v(z, west)),
+    tt AS (SELECT *, sinh(atanh(s) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * s)) AS tau FROM d), xe AS (SELECT *, atan2(tau, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + tau * tau)) AS eta FROM tt),
+    m AS (SELECT tr, tc, zone, floor((4598800 - {k!r}::DOUBLE * ({y})) / 10)::BIGINT AS r, floor((500000 + {k!r}::DOUBLE * ({x}) - west) / 10)::BIGINT AS c FROM xe)"""
+
+
+register(
+    "composite_grids",
+    composite_grids,
+    f'WITH {vg.PIXELS}, {_meeting_sql()} SELECT tr AS "row", tc AS col, round(median(nir), 6) AS nir, round(median(swir1), 6) AS swir1 FROM m JOIN pixels p ON p."row" = m.r AND p.col = m.c AND p.scene_id % 2 + 43 = m.zone GROUP BY 1, 2',
+)
 register(
     "regional_reduce",
     lambda spark, d: im.pixels(spark, d).where(F.col("col").between(10, 30)).agg(F.round(F.avg(ix.ndvi(F.col("nir"), F.col("red"))), 6).alias("mean_ndvi"), F.count(F.lit(1)).alias("n")),
