@@ -59,19 +59,32 @@ register(
     a AS (SELECT s.v, s.q, lo.q AS lq, lo.v AS lv FROM s ASOF LEFT JOIN r lo ON s.q >= lo.q), b AS (SELECT a.*, hi.q AS hq, hi.v AS hv FROM a ASOF LEFT JOIN r hi ON a.q <= hi.q)
     SELECT round(v, 6) AS v, round(CASE WHEN lv IS NULL THEN hv WHEN hv IS NULL THEN lv WHEN hq = lq THEN lv ELSE lv + (q - lq) / (hq - lq) * (hv - lv) END, 6) AS matched FROM b""",
 )
+#: the registry as SQL: sensor, satellite, resolution, revisit days, swath, place in the list; and each sensor's bands
+_SENSORS_SQL = "sensors(sensor, satellite, resolution_m, revisit_days, swath_km, nr) AS (VALUES " + ", ".join(f"('{x[0]}', '{x[1]}', {x[2]}::DOUBLE, {x[5]}, {x[6]}, {k})" for k, x in enumerate(im.SENSORS)) + ")"
+_BANDS_SQL = "bands(sensor, code, name, low, high, for_ndvi) AS (VALUES " + ", ".join(f"('{x[0]}', '{code}', '{band[0]}', {band[1]}::DOUBLE, {band[2]}::DOUBLE, {str(bool(x[4]) and code in x[4]).lower()})" for x in im.SENSORS for code, band in x[3].items()) + ")"
+
+
+def sensor_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes, with one of the registry's sensors each."""
+    names = F.array(*[F.lit(x[0]) for x in im.SENSORS])
+    return im.scenes(spark, sf_dir).withColumn("sensor", F.get(names, (F.col("scene_id") % len(im.SENSORS)).cast("int")))
+
+
 register(
     "sensor_recommend",
-    lambda spark, d: im.recommend_sensors(spark, 10.0).select("sensor", "resolution_m"),
-    "SELECT sensor, resolution_m FROM (VALUES ('LISS-III', 23.5::DOUBLE, true), ('LISS-IV-MX', 5.8::DOUBLE, true), ('LISS-IV-PAN', 5.8::DOUBLE, false), ('AWiFS', 56::DOUBLE, true), ('CARTOSAT-3-PAN', 0.25::DOUBLE, false), ('CARTOSAT-3-MX', 1::DOUBLE, true)) t(sensor, resolution_m, nir) WHERE nir AND resolution_m <= 5 * 10",
+    lambda spark, d: im.recommended(im.table(spark, d, "part").select("p_partkey", "p_size"), "p_size").select("p_partkey", "sensor", "resolution_m"),
+    f"WITH {_SENSORS_SQL}, {_BANDS_SQL} SELECT p_partkey, sensor, resolution_m FROM part JOIN sensors ON resolution_m <= 5 * p_size WHERE sensor IN (SELECT sensor FROM bands WHERE name = 'NIR')",
 )
 register(
     "sensor_bands",
-    lambda spark, d: im.sensors(spark).select("sensor", F.explode("bands").alias("code", "band"), "ndvi_bands").select("sensor", "code", "band.name", "band.low", "band.high", F.coalesce((F.col("code") == F.col("ndvi_bands.nir")) | (F.col("code") == F.col("ndvi_bands.red")), F.lit(False)).alias("for_ndvi")),
-    """WITH b AS (SELECT * FROM (VALUES ('B2', 'Green', 0.52::DOUBLE, 0.59::DOUBLE), ('B3', 'Red', 0.62, 0.68), ('B4', 'NIR', 0.77, 0.86), ('B5', 'SWIR', 1.55, 1.70)) t(code, name, low, high))
-    SELECT sensor, code, name, low, high, code IN ('B4', 'B3') AS for_ndvi FROM b CROSS JOIN (VALUES ('LISS-III'), ('AWiFS'), ('LISS-IV-MX')) s(sensor) WHERE NOT (sensor = 'LISS-IV-MX' AND code = 'B5')
-    UNION ALL SELECT * FROM (VALUES ('LISS-IV-PAN', 'PAN', 'Panchromatic', 0.50::DOUBLE, 0.75::DOUBLE, false), ('CARTOSAT-3-PAN', 'PAN', 'Panchromatic', 0.45, 0.90, false), ('CARTOSAT-3-MX', 'B1', 'Blue', 0.45, 0.52, false), ('CARTOSAT-3-MX', 'B2', 'Green', 0.52, 0.60, false), ('CARTOSAT-3-MX', 'B3', 'Red', 0.63, 0.69, true), ('CARTOSAT-3-MX', 'B4', 'NIR', 0.77, 0.89, true))""",
+    lambda spark, d: im.with_sensor(sensor_scenes(spark, d)).select("sensor", F.explode("bands").alias("code", "band"), "ndvi_bands").select("sensor", "code", "band.name", "band.low", "band.high", F.coalesce((F.col("code") == F.col("ndvi_bands.nir")) | (F.col("code") == F.col("ndvi_bands.red")), F.lit(False)).alias("for_ndvi")).groupBy("sensor", "code", "name", "low", "high", "for_ndvi").agg(F.count(F.lit(1)).alias("scenes")),
+    f"WITH {_SENSORS_SQL}, {_BANDS_SQL} SELECT sensor, code, name, low, high, for_ndvi, count(*)::BIGINT AS scenes FROM orders JOIN sensors ON nr = o_orderkey % {len(im.SENSORS)} JOIN bands USING (sensor) GROUP BY ALL",
+)
+register(
+    "sensor_info",
+    lambda spark, d: im.with_sensor(sensor_scenes(spark, d)).groupBy("sensor", "satellite", "resolution_m", F.size("bands").alias("n_bands"), "revisit_days", "swath_km").agg(F.count(F.lit(1)).alias("scenes"), F.min("acquired").alias("first")),
+    f"WITH {_SENSORS_SQL}, {_BANDS_SQL} SELECT sensor, satellite, resolution_m, (SELECT count(*) FROM bands b WHERE b.sensor = s.sensor)::INTEGER AS n_bands, revisit_days, swath_km, count(*)::BIGINT AS scenes, min(o_orderdate) AS first FROM orders JOIN sensors s ON nr = o_orderkey % {len(im.SENSORS)} GROUP BY ALL",
 )
-register("sensor_info", lambda spark, d: im.sensor_info(spark, "AWiFS").select("sensor", "satellite", "resolution_m", F.size("bands").alias("n_bands"), "revisit_days", "swath_km"), "SELECT 'AWiFS' AS sensor, 'Resourcesat-2/2A' AS satellite, 56::DOUBLE AS resolution_m, 4 AS n_bands, 5 AS revisit_days, 740 AS swath_km")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,23 +118,44 @@ register(
     "SELECT n_nationkey, n_nationkey + 0.5::DOUBLE AS lat, n_nationkey * 2 + 0.5::DOUBLE AS lon FROM nation",
 )
 
-CROWNS = [(20.0, 20.0, 0.6, 3.0), (50.0, 70.0, 0.8, 4.5), (90.0, 30.0, 0.5, 2.0), (110.0, 110.0, 0.7, 5.0)]
-register(
-    "synthetic_scene",
-    lambda spark, d: rounded(im.crown_scene(spark, 150, 150, spark.createDataFrame(CROWNS, "r double, c double, peak double, sigma double")), "ndvi"),
-    f"""WITH g AS (SELECT i // 150 AS "row", i % 150 AS col FROM (SELECT unnest(range(22500)) AS i)), k(r, c, peak, sigma) AS (VALUES {', '.join(str(tuple(f'{x}' for x in c)).replace("'", '').replace(',', '::DOUBLE,').replace(')', '::DOUBLE)') for c in CROWNS)})
-    SELECT "row", col, round(least(0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))) FILTER (WHERE abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma)), 0::DOUBLE), 1::DOUBLE), 6) AS ndvi FROM g CROSS JOIN k GROUP BY 1, 2""",
-)
 
-PATCHES = [(80, 82, 30, 33, 0.04, 0.13), (7, 7, 27, 27, 0.35, 0.8), (100, 100, 20, 40, 0.1, 0.1)]
+
+def crowns_of_suppliers(spark: SparkSession, sf_dir: str) -> tuple[int, DataFrame]:
+    """Rows of a picture, and a crown per supplier in it."""
+    k = F.col("s_suppkey")
+    suppliers = im.table(spark, sf_dir, "supplier")
+    height = 2 * ((suppliers.agg(F.max(k).alias("n")).first()["n"] or 0) + 1)
+    return height, suppliers.select((k * 2).cast("double").alias("r"), (k * 37 % 100).cast("double").alias("c"), (k % 5 / 10 + 0.3).alias("peak"), (k % 4 / 2 + 1.5).alias("sigma"))
+
+
+def patches_of_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("n_nationkey").cast("long")
+    return im.table(spark, sf_dir, "nation").select((k % 5 * 4).alias("r"), (k * 7 % 90).alias("c"), F.lit(3).cast("long").alias("height"), F.lit(4).cast("long").alias("width"), F.lit(0.1).alias("low"), (k / 50 + 0.1).alias("high"))
+
+
+_CROWNED = """k AS (SELECT s_suppkey * 2 AS r, s_suppkey * 37 % 100 AS c, s_suppkey % 5 / 10::DOUBLE + 0.3::DOUBLE AS peak, s_suppkey % 4 / 2::DOUBLE + 1.5::DOUBLE AS sigma FROM supplier),
+    g AS (SELECT i // 100 AS "row", i % 100 AS col FROM (SELECT unnest(range((SELECT 200 * (max(s_suppkey) + 1) FROM supplier))) AS i)),
+    s AS (SELECT "row", col, 0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))), 0::DOUBLE) AS x FROM g LEFT JOIN k ON abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma) GROUP BY 1, 2)"""
+
+
+def synthetic_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height, crowns_ = crowns_of_suppliers(spark, sf_dir)
+    return rounded(im.crown_scene(spark, height, 100, crowns_), "ndvi")
+
+
+def synthetic_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    height, crowns_ = crowns_of_suppliers(spark, sf_dir)
+    noise = ((F.col("row") * 7 + F.col("col") * 13) % 11 - 5) / 400.0
+    return rounded(im.crown_scene(spark, height, 100, crowns_, patches=patches_of_nations(spark, sf_dir), noise=noise), "ndvi")
+
+
+register("synthetic_scene", synthetic_scene, f'WITH {_CROWNED} SELECT "row", col, round(least(x, 1::DOUBLE), 6) AS ndvi FROM s')
 register(
     "synthetic_change",
-    lambda spark, d: rounded(im.crown_scene(spark, 150, 150, spark.createDataFrame(CROWNS, "r double, c double, peak double, sigma double"), patches=spark.createDataFrame(PATCHES, "r long, c long, height long, width long, low double, high double"), noise=((F.col("row") * 7 + F.col("col") * 13) % 11 - 5) / 400.0), "ndvi"),
-    f"""WITH g AS (SELECT i // 150 AS "row", i % 150 AS col FROM (SELECT unnest(range(22500)) AS i)), k(r, c, peak, sigma) AS (VALUES {', '.join('(' + ', '.join(f'{x}::DOUBLE' for x in c) + ')' for c in CROWNS)}),
-    p(r, c, h, w, low, high) AS (VALUES {', '.join('(' + ', '.join(f'{x}::DOUBLE' if isinstance(x, float) else str(x) for x in c) + ')' for c in PATCHES)}),
-    v AS (SELECT "row", col, 0.09::DOUBLE + coalesce(sum(peak * exp(-(("row" - r) * ("row" - r) + (col - c) * (col - c)) / (2::DOUBLE * sigma * sigma))) FILTER (WHERE abs("row" - r) <= ceil(6 * sigma) AND abs(col - c) <= ceil(6 * sigma)), 0::DOUBLE) + (("row" * 7 + col * 13) % 11 - 5) / 400::DOUBLE AS x FROM g CROSS JOIN k GROUP BY 1, 2),
-    o AS (SELECT "row", col, max(low + (high - low) * ("row" - r) / (h - 1)) AS put FROM g JOIN p ON "row" BETWEEN r AND r + h - 1 AND col BETWEEN c AND c + w - 1 GROUP BY 1, 2)
-    SELECT "row", col, round(coalesce(put, least(greatest(x, 0::DOUBLE), 1::DOUBLE)), 6) AS ndvi FROM v LEFT JOIN o USING ("row", col)""",
+    synthetic_change,
+    f"""WITH {_CROWNED}, p AS (SELECT n_nationkey % 5 * 4 AS r, n_nationkey * 7 % 90 AS c, 0.1::DOUBLE AS low, n_nationkey / 50::DOUBLE + 0.1::DOUBLE AS high FROM nation),
+    o AS (SELECT "row", col, max(low + (high - low) * ("row" - r) / 2) AS put FROM g JOIN p ON "row" BETWEEN r AND r + 2 AND col BETWEEN c AND c + 3 GROUP BY 1, 2)
+    SELECT "row", col, round(coalesce(put, least(greatest(x + (("row" * 7 + col * 13) % 11 - 5) / 400::DOUBLE, 0::DOUBLE), 1::DOUBLE)), 6) AS ndvi FROM s LEFT JOIN o USING ("row", col)""",
 )
 
 # tiles over the grid of the pixel table's composites

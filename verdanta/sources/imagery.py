@@ -73,17 +73,17 @@ _FOUR = {"B2": ("Green", 0.52, 0.59), "B3": ("Red", 0.62, 0.68), "B4": ("NIR", 0
 _THREE = {"B2": ("Green", 0.52, 0.59), "B3": ("Red", 0.62, 0.68), "B4": ("NIR", 0.77, 0.86)}
 _FINE = {"B1": ("Blue", 0.45, 0.52), "B2": ("Green", 0.52, 0.60), "B3": ("Red", 0.63, 0.69), "B4": ("NIR", 0.77, 0.89)}
 SENSORS = [
-    ("LISS-III", "Resourcesat-2/2A", 23.5, _FOUR, ("B4", "B3"), 24, 141, None),
-    ("LISS-IV-MX", "Resourcesat-2/2A", 5.8, _THREE, ("B4", "B3"), 5, 70, "single crowns in open stands"),
-    ("LISS-IV-PAN", "Resourcesat-2/2A", 5.8, {"PAN": ("Panchromatic", 0.50, 0.75)}, None, 5, 23, None),
-    ("AWiFS", "Resourcesat-2/2A", 56.0, _FOUR, ("B4", "B3"), 5, 740, "districts and states"),
-    ("CARTOSAT-3-PAN", "Cartosat-3", 0.25, {"PAN": ("Panchromatic", 0.45, 0.90)}, None, 4, 16, "the finest; counting of trees"),
-    ("CARTOSAT-3-MX", "Cartosat-3", 1.0, _FINE, ("B4", "B3"), 4, 16, None),
+    ("LISS-III", "Resourcesat-2/2A", 23.5, _FOUR, ("B4", "B3"), 24, 141),
+    ("LISS-IV-MX", "Resourcesat-2/2A", 5.8, _THREE, ("B4", "B3"), 5, 70),
+    ("LISS-IV-PAN", "Resourcesat-2/2A", 5.8, {"PAN": ("Panchromatic", 0.50, 0.75)}, None, 5, 23),
+    ("AWiFS", "Resourcesat-2/2A", 56.0, _FOUR, ("B4", "B3"), 5, 740),
+    ("CARTOSAT-3-PAN", "Cartosat-3", 0.25, {"PAN": ("Panchromatic", 0.45, 0.90)}, None, 4, 16),
+    ("CARTOSAT-3-MX", "Cartosat-3", 1.0, _FINE, ("B4", "B3"), 4, 16),
 ]
 
 
 def sensors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SENSORS, "sensor string, satellite string, resolution_m double, bands map<string,struct<name:string,low:double,high:double>>, ndvi_bands struct<nir:string,red:string>, revisit_days int, swath_km int, note string")
+    return spark.createDataFrame(SENSORS, "sensor string, satellite string, resolution_m double, bands map<string,struct<name:string,low:double,high:double>>, ndvi_bands struct<nir:string,red:string>, revisit_days int, swath_km int")
 
 
 def sensor_info(spark: SparkSession, name: str) -> DataFrame:
@@ -92,6 +92,19 @@ def sensor_info(spark: SparkSession, name: str) -> DataFrame:
     return sensors(spark).where(F.col("sensor") == name)
 
 
+def with_sensor(scenes: DataFrame) -> DataFrame:
+    """``scenes`` (sensor, ...) with what the registry says of their sensor; scenes of others go. The registry's few rows are broadcast."""
+    return scenes.join(F.broadcast(sensors(scenes.sparkSession)), "sensor")
+
+
+def recommended(wishes: DataFrame, resolution: str, requires_nir: bool = True) -> DataFrame:
+    """``wishes`` once for each sensor at most five times as coarse as the wished ``resolution``, with a NIR band if asked for: sensor and resolution_m."""
+    fit = sensors(wishes.sparkSession)
+    fit = fit.where(F.exists(F.map_values("bands"), lambda b: b["name"] == "NIR")) if requires_nir else fit
+    known = fit.select("sensor", "resolution_m")
+    return wishes.join(F.broadcast(known), F.col("resolution_m") <= F.lit(5.0) * F.col(resolution))
+
+
 def recommend_sensors(spark: SparkSession, resolution: float, requires_nir: bool = True) -> DataFrame:
     """Sensors at most five times as coarse, with a NIR band if asked for, the finest first."""
     fit = sensors(spark).where(F.col("resolution_m") <= F.lit(5.0 * resolution))
