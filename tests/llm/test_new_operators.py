@@ -221,8 +221,9 @@ def test_rules_keep_clean_documents(spark):
 def plain_audit(docs, labels):
     marks = {}
     for d, q, t in labels:
-        a, b = marks.get(d, (0, 0))
-        marks[d] = (a or int(q == 1), b or int(t == 1))
+        if d is not None:
+            a, b = marks.get(d, (0, 0))
+            marks[d] = (a or int(q == 1), b or int(t == 1))
     least = {}
     for d, text, _ in docs:
         if d is not None:

@@ -682,4 +682,4 @@ def test_pipeline_of_an_empty_table(spark):
 
 
 def test_no_sql_oracle_is_missing_a_query():
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.QUERIES}
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.QUERIES}

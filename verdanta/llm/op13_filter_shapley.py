@@ -25,7 +25,7 @@ meet in no task. The mask counts are at most 32 rows a part, and the 600 result
 
 Cases: a null text is empty, and equal to an empty text; a null part is the empty string; rows of one doc_id (repeated
 rows too) count each and are never copies of each other; a null doc_id is nobody's original, and a copy if its text
-has any doc_id; a document without label is neither good nor toxic, and one with several labels is good (toxic) if
+has any doc_id, and has no label; a document without label is neither good nor toxic, and one with several labels is good (toxic) if
 any says so; extra columns are ignored. An empty table gives no rows.
 """
 
