@@ -337,8 +337,34 @@ def crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cr.watershed(small_grids(spark, sf_dir), ["vec_id"], 8, 8, pixel_size=1.0, min_area=2.0, threshold=0.0)
 
 
-# flooding by priority isn't expressible in SQL; the tests hold it against a plain loop
-register("crowns_watershed", crowns)
+def _crowns_sql(height: str, width: int, sigma: float, threshold: float, distance: int, least: int) -> str:
+    """Crowns of ``g`` (vec_id, r, c, v) as ``crowns``, by what flooding means rather than by its order.
+
+    Pixels are numbered by (value, row, column). A pixel is as hard to reach as the last number on the easiest way
+    from a seed, which is what the first recursion relaxes. If that is another pixel, it has that pixel's label; else
+    it has its easiest neighbour's. The second recursion follows these pointers from the seeds.
+    """
+    kernel = ", ".join(f"({o}, {w!r}::DOUBLE)" for o, w in ti.gaussian_kernel(sigma))
+    mirrored = lambda x, n: f"least((({x}) % (2 * {n}) + 2 * {n}) % (2 * {n}), 2 * {n} - 1 - (({x}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+    return f"""kernel(o, w) AS (VALUES {kernel}),
+    s1 AS (SELECT t.vec_id, t.r, t.c, sum(s.v * w ORDER BY o) AS v FROM g t CROSS JOIN kernel JOIN g s ON s.vec_id = t.vec_id AND s.c = t.c AND s.r = {mirrored("t.r + o", height)} GROUP BY 1, 2, 3),
+    s2 AS (SELECT t.vec_id, t.r, t.c, sum(s.v * w ORDER BY o) AS v FROM s1 t CROSS JOIN kernel JOIN s1 s ON s.vec_id = t.vec_id AND s.r = t.r AND s.c = {mirrored("t.c + o", width)} GROUP BY 1, 2, 3),
+    open AS (SELECT vec_id, r, c, row_number() OVER (PARTITION BY vec_id ORDER BY s2.v DESC, r, c) AS p FROM s2 JOIN g USING (vec_id, r, c) WHERE g.v > {threshold}::DOUBLE),
+    seed AS (SELECT vec_id, p, row_number() OVER (PARTITION BY vec_id ORDER BY p) AS label FROM open a WHERE r BETWEEN {distance} AND {height} - 1 - {distance} AND c BETWEEN {distance} AND {width} - 1 - {distance}
+        AND NOT EXISTS (SELECT 1 FROM open b WHERE b.vec_id = a.vec_id AND b.r BETWEEN a.r - {distance} AND a.r + {distance} AND b.c BETWEEN a.c - {distance} AND a.c + {distance} AND b.p < a.p)),
+    step AS (SELECT a.vec_id, a.p AS a, b.p AS b FROM open a CROSS JOIN (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) d(dr, dc) JOIN open b ON b.vec_id = a.vec_id AND b.r = a.r + dr AND b.c = a.c + dc),
+    reach(vec_id, p, k) USING KEY (vec_id, p) AS (SELECT vec_id, p, p FROM seed UNION
+        SELECT s.vec_id, s.b, min(greatest(t.k, s.b)) FROM reach t JOIN step s ON s.vec_id = t.vec_id AND s.a = t.p LEFT JOIN recurring.reach o ON o.vec_id = s.vec_id AND o.p = s.b
+        WHERE o.k IS NULL OR greatest(t.k, s.b) < o.k GROUP BY 1, 2),
+    easiest AS (SELECT s.vec_id, s.a AS p, arg_min(s.b, (t.k, s.b)) AS n FROM step s JOIN reach t ON t.vec_id = s.vec_id AND t.p = s.b GROUP BY 1, 2),
+    pointer AS (SELECT vec_id, p, CASE WHEN k <> p THEN k ELSE n END AS n FROM reach JOIN easiest USING (vec_id, p) WHERE (vec_id, p) NOT IN (SELECT (vec_id, p) FROM seed)),
+    found AS (SELECT * FROM seed UNION ALL SELECT pointer.vec_id, pointer.p, label FROM found JOIN pointer ON pointer.vec_id = found.vec_id AND pointer.n = found.p),
+    large AS (SELECT vec_id, p, label FROM found QUALIFY count(*) OVER (PARTITION BY vec_id, label) >= {least}),
+    crowns AS (SELECT g.vec_id, g.r, g.c, coalesce(label, 0)::BIGINT AS label FROM g LEFT JOIN open USING (vec_id, r, c) LEFT JOIN large USING (vec_id, p))"""
+
+
+CROWNS = f"WITH RECURSIVE {GRIDS}, {_crowns_sql('8', 8, 1.5, 0.0, 3, 2)}"
+register("crowns_watershed", crowns, f"{CROWNS} SELECT * FROM crowns")
 
 
 def crowns_over_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,8 +374,18 @@ def crowns_over_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cr.watershed(picture, ["scene"], (size["h"] or 0) + 1, 50, pixel_size=1.0, min_area=4.0, sigma=1.0, threshold=0.2, tile=32)
 
 
-register("crowns_over_tiles", crowns_over_tiles)
-register("crown_outlines", lambda spark, d: cr.outlines(crowns(spark, d), ["vec_id"], MAP))
+register(
+    "crowns_over_tiles",
+    crowns_over_tiles,
+    f"""WITH RECURSIVE {GRID.removeprefix("WITH ")}, g AS (SELECT 1 AS vec_id, "row" AS r, col AS c, nir AS v FROM grid), size AS (SELECT max(r) + 1 AS h FROM g),
+    {_crowns_sql("(SELECT h FROM size)", 50, 1.0, 0.2, 3, 4)} SELECT vec_id AS scene, r, c, label FROM crowns""",
+)
+register(
+    "crown_outlines",
+    lambda spark, d: cr.outlines(crowns(spark, d), ["vec_id"], MAP),
+    f"""{CROWNS}, box AS (SELECT vec_id, label, 10::DOUBLE * min(c) + 500000 AS minx, -10::DOUBLE * (max(r) + 1) + 4600000 AS miny, 10::DOUBLE * (max(c) + 1) + 500000 AS maxx, -10::DOUBLE * min(r) + 4600000 AS maxy, count(*) * 100::DOUBLE AS area_m2 FROM crowns WHERE label > 0 GROUP BY 1, 2)
+    SELECT *, printf('POLYGON ((%.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f, %.1f %.1f))', minx, miny, maxx, miny, maxx, maxy, minx, maxy, minx, miny) AS wkt FROM box""",
+)
 SEGMENTS = f"{GRIDS}, s AS (SELECT vec_id, r, c, v, (r // 3) * 3 + c // 3 + 1 AS label FROM g)"
 
 
