@@ -228,8 +228,18 @@ def large_boxes(tile: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"xmin": np.maximum(c - 4.0, 0), "ymin": np.maximum(r - 4.0, 0), "xmax": np.minimum(c + 5.0, edge), "ymax": np.minimum(r + 5.0, edge), "score": tile[0][r, c], "label": "Tree"})
 
 
-# SQL has no detector; the tests hold it against suppression one by one
-register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"))
+def _large_boxes_sql() -> str:
+    """The boxes of all tiles, clipped to what each tile shows, then the best again and again without those that it overlaps."""
+    side = lambda k: f"greatest(least(o.{k}1, b[1].{k}1) - greatest(o.{k}0, b[1].{k}0), 0)"
+    area = lambda x: f"({x}.x1 - {x}.x0) * ({x}.y1 - {x}.y0)"
+    shared = f"{side('x')} * {side('y')}"
+    return f"""WITH {TILED}, b AS (SELECT DISTINCT tile_c * 12 + greatest(c - 4::DOUBLE, 0) AS xmin, tile_r * 12 + greatest(r - 4::DOUBLE, 0) AS ymin, tile_c * 12 + least(c + 5::DOUBLE, 16) AS xmax, tile_r * 12 + least(r + 5::DOUBLE, 16) AS ymax, nir AS score FROM tiled WHERE nir > 0.6::DOUBLE),
+    l AS (SELECT list([{{'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax, 's': score}}] ORDER BY score DESC, xmin, ymin, xmax, ymax) AS boxes FROM b),
+    k AS (SELECT unnest(list_reduce(boxes, lambda kept, b: CASE WHEN len(list_filter(kept, lambda o: {shared} / ({area('o')} + {area('b[1]')} - {shared}) > 0.15::DOUBLE)) > 0 THEN kept ELSE kept || b END)) AS o FROM l)
+    SELECT o.x0 AS xmin, o.y0 AS ymin, o.x1 AS xmax, o.y1 AS ymax, round(o.s, 6) AS score, 'Tree' AS label FROM k"""
+
+
+register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"), _large_boxes_sql())
 
 
 
