@@ -452,6 +452,32 @@ def test_near_duplicates_in_families(spark, monkeypatch, documents_limit, shingl
         assert 0 < emitted[0] < len(rows)
 
 
+def test_near_duplicates_in_a_large_family(spark, monkeypatch):
+    """2000 texts at 0.6 to 0.74, ten of which have a near copy: rows go with documents, not with their pairs."""
+    rng, n = np.random.default_rng(16), 2000
+    core = [f"c{i}" for i in range(400)]
+    texts = [[*core, *(f"d{i}w{k}" for k in range(int(rng.integers(80, 130))))] for i in range(n)]
+    copies = {n + k: int(i) for k, i in enumerate(rng.choice(n, 10, replace=False))}
+    texts += [[*texts[i][:-1], "other"] for i in copies.values()]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    # the first 396 shingles are all that two of the family share
+    private = sorted(len(t) - 400 for t in texts[:n])
+    alike = [100 * 396 / (396 + a + b) for a, b in (private[:2], private[-2:])]
+    assert alike[0] < 75 and alike[1] > 60
+    told = {}
+    for name in ("_involved", "_linked"):
+
+        def counted(*args, name=name, plain=getattr(minhash, name)):
+            out = plain(*args).persist()
+            told[name] = out.count()
+            return out
+
+        monkeypatch.setattr(minhash, name, counted)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: copies.get(i, i) for i in range(len(rows))}
+    assert n < told["_involved"] <= len(minhash.MASKS) * len(rows) and told["_linked"] <= len(copies)
+
+
 def checked_packing(rows, ids_of):
     by_seq = {}
     for r in rows:
