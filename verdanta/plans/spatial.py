@@ -1,4 +1,4 @@
-"""Queries over statistics, catalogs, tiles, neighbourhoods and crowns, each with its SQL where SQL can say it."""
+"""Queries over statistics, catalogs, tiles, neighbourhoods and crowns, each with its SQL."""
 
 import numpy as np
 import pandas as pd
