@@ -570,3 +570,19 @@ def test_array_change_vectors_agree_with_columns(spark):
     want = change.change_vectors(wide, [f"a{i}" for i in range(9)], [f"b{i}" for i in range(9)]).collect()
     assert [r["magnitude"] for r in got] == [0, 1, 2, 3, 1, 0] == [r["magnitude"] for r in want]
     assert [(r["threshold"], r["changed"]) for r in got] == [(r["threshold"], r["changed"]) for r in want]
+
+
+def test_crown_scene_broadcasts_nothing(spark, tmp_path):
+    """What few crowns are exploded into looks small to Spark and may be as large as the picture."""
+    spark.createDataFrame([(1.0, 1.0, 0.5, 1.5)], "r double, c double, peak double, sigma double").write.parquet(f"{tmp_path}/crowns")
+    crowns = spark.read.parquet(f"{tmp_path}/crowns")
+    patches = spark.createDataFrame([(0, 0, 3, 4, 0.1, 0.5), (1, 2, 3, 4, 0.3, 0.9)], "r long, c long, height long, width long, low double, high double")
+    for own in (None, patches):
+        scene = imagery.crown_scene(spark, 6, 7, crowns, patches=own)
+        assert "Broadcast" not in scene._jdf.queryExecution().executedPlan().toString()
+        got = {(r["row"], r["col"]): r["ndvi"] for r in scene.collect()}
+        for r in range(6):
+            for c in range(7):
+                put = [low + (high - low) * (r - y) / 2 for y, x, low, high in ((0, 0, 0.1, 0.5), (1, 2, 0.3, 0.9)) if own is not None and y <= r < y + 3 and x <= c < x + 4]
+                assert abs(got.pop((r, c)) - max(put, default=0.09 + 0.5 * np.exp(-((r - 1) ** 2 + (c - 1) ** 2) / 4.5))) < 1e-12
+        assert not got

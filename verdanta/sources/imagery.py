@@ -209,18 +209,24 @@ def crown_scene(spark: SparkSession, height: int, width: int, crowns: DataFrame,
     and col is added before values are cut to 0 and 1. Then ``patches`` (r, c, height, width, low, high), as of loss
     and regrowth, put a slope from low to high over their rows; of patches that overlap, the higher one counts.
     """
-    grid = spark.range(height * width).select((F.col("id") / width).cast("long").alias("row"), (F.col("id") % width).alias("col"))
+    # tasks of at most a million pixels, however large the grid
+    tasks = max(spark.sparkContext.defaultParallelism, (height * width >> 20) + 1)
+    grid = spark.range(0, height * width, 1, tasks).select((F.col("id") / width).cast("long").alias("row"), (F.col("id") % width).alias("col"))
     reach = F.ceil(F.lit(6.0) * F.col("sigma")).cast("long")
     seq = lambda first, last, most: F.sequence(F.greatest(first, F.lit(0).cast("long")), F.least(last, F.lit(most - 1).cast("long")))
     around = lambda x, most: seq(F.col(x).cast("long") - reach, F.col(x).cast("long") + reach, most)
-    near = crowns.withColumn("row", F.explode(around("r", height))).withColumn("col", F.explode(around("c", width)))
+    # the few rows are dealt out before each becomes many, neighbours together
+    near = crowns.repartitionByRange(tasks, "r").withColumn("row", F.explode(around("r", height))).withColumn("col", F.explode(around("c", width)))
     d2 = (F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
-    lit = near.groupBy("row", "col").agg(F.sum(F.col("peak") * F.exp(-d2 / (F.lit(2.0) * F.col("sigma") * F.col("sigma")))).alias("crown"))
+    part = F.col("peak") * F.exp(-d2 / (F.lit(2.0) * F.col("sigma") * F.col("sigma")))
+    none = F.lit(None).cast("double")
+    # one aggregation instead of joins: what is exploded looks small to Spark, which would broadcast it by way of the driver
+    parts = grid.select("row", "col", F.lit(0.0).alias("crown"), none.alias("put")).unionByName(near.select("row", "col", part.alias("crown"), none.alias("put")))
+    if patches is not None:
+        inside = patches.withColumn("row", F.explode(seq(F.col("r"), F.col("r") + F.col("height") - 1, height))).withColumn("col", F.explode(seq(F.col("c"), F.col("c") + F.col("width") - 1, width)))
+        put = F.col("low") + (F.col("high") - F.col("low")) * (F.col("row") - F.col("r")) / F.greatest(F.col("height") - 1, F.lit(1))
+        parts = parts.unionByName(inside.select("row", "col", none.alias("crown"), put.alias("put")))
+    cut = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
     value = F.lit(base) + F.coalesce("crown", F.lit(0.0)) + (F.lit(0.0) if noise is None else noise)
-    out = grid.join(lit, ["row", "col"], "left").select("row", "col", F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)).alias("ndvi"))
-    if patches is None:
-        return out
-    inside = patches.withColumn("row", F.explode(seq(F.col("r"), F.col("r") + F.col("height") - 1, height))).withColumn("col", F.explode(seq(F.col("c"), F.col("c") + F.col("width") - 1, width)))
-    put = F.col("low") + (F.col("high") - F.col("low")) * (F.col("row") - F.col("r")) / F.greatest(F.col("height") - 1, F.lit(1))
-    over = inside.groupBy("row", "col").agg(F.max(put).alias("put"))
-    return out.join(over, ["row", "col"], "left").select("row", "col", F.when(F.col("put").isNull(), F.col("ndvi")).otherwise(F.least(F.greatest("put", F.lit(0.0)), F.lit(1.0))).alias("ndvi"))
+    out = parts.groupBy("row", "col").agg(F.sum("crown").alias("crown"), F.max("put").alias("put"))
+    return out.select("row", "col", F.when(F.col("put").isNull(), cut(value)).otherwise(cut(F.col("put"))).alias("ndvi"))
