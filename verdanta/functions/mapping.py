@@ -1,5 +1,6 @@
 """Pixel places, map coordinates and the transverse Mercator zones of WGS 84, as Column expressions."""
 
+from collections.abc import Callable
 from math import pi, sqrt
 
 from pyspark.sql import Column
@@ -8,6 +9,11 @@ from pyspark.sql import functions as F
 Affine = tuple[float, float, float, float, float, float]
 
 
+def bound(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is worked out once, however often the function names it."""
+    return F.element_at(F.transform(F.array(value), function), 1)
+
+
 def map_x(row: Column, col: Column, t: Affine) -> Column:
     a, b, c, _, _, _ = t
     return F.lit(a) * col + F.lit(b) * row + F.lit(c)
@@ -56,26 +62,39 @@ def _northing(north: bool | Column) -> Column:
 def to_utm(lon: Column, lat: Column, zone: int | Column, north: bool | Column = True) -> Column:
     """Struct x, y in metres of a place in degrees."""
     e = 2 * sqrt(N) / (1 + N)
-    sin_lat = F.sin(F.radians(lat))
-    t = F.sinh(F.atanh(sin_lat) - F.lit(e) * F.atanh(F.lit(e) * sin_lat))
     away = F.radians(lon) - _meridian(zone)
-    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(F.lit(1.0) + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(ALPHA, 1):
-        x = x + F.lit(a) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-        y = y + F.lit(a) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-    return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * RADIUS) * x).alias("x"), (_northing(north) + F.lit(SCALE * RADIUS) * y).alias("y"))
+    tangent = lambda s: F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
+    sphere = lambda q: F.struct(F.atan2(q["t"], F.cos(q["away"])).alias("xi"), F.atanh(F.sin(q["away"]) / F.sqrt(F.lit(1.0) + q["t"] * q["t"])).alias("eta"))
+
+    def place(q: Column) -> Column:
+        x, y = q["eta"], q["xi"]
+        for j, a in enumerate(ALPHA, 1):
+            x = x + F.lit(a) * F.cos(q["xi"] * (2 * j)) * F.sinh(q["eta"] * (2 * j))
+            y = y + F.lit(a) * F.sin(q["xi"] * (2 * j)) * F.cosh(q["eta"] * (2 * j))
+        return F.struct((F.lit(FALSE_EAST) + F.lit(SCALE * RADIUS) * x).alias("x"), (_northing(north) + F.lit(SCALE * RADIUS) * y).alias("y"))
+
+    return bound(bound(F.struct(bound(F.sin(F.radians(lat)), tangent).alias("t"), away.alias("away")), sphere), place)
 
 
 def from_utm(x: Column, y: Column, zone: int | Column, north: bool | Column = True) -> Column:
     """Struct lon, lat in degrees of a place in a zone."""
-    xi, eta = (y - _northing(north)) / F.lit(SCALE * RADIUS), (x - F.lit(FALSE_EAST)) / F.lit(SCALE * RADIUS)
-    xi0, eta0 = xi, eta
-    for j, b in enumerate(BETA, 1):
-        xi0 = xi0 - F.lit(b) * F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j))
-        eta0 = eta0 - F.lit(b) * F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j))
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    lat = chi
-    for j, d in enumerate(DELTA, 1):
-        lat = lat + F.lit(d) * F.sin(chi * (2 * j))
-    return F.struct(F.degrees(_meridian(zone) + F.atan2(F.sinh(eta0), F.cos(xi0))).alias("lon"), F.degrees(lat).alias("lat"))
+
+    def sphere(q: Column) -> Column:
+        xi0, eta0 = q["xi"], q["eta"]
+        for j, b in enumerate(BETA, 1):
+            xi0 = xi0 - F.lit(b) * F.sin(q["xi"] * (2 * j)) * F.cosh(q["eta"] * (2 * j))
+            eta0 = eta0 - F.lit(b) * F.cos(q["xi"] * (2 * j)) * F.sinh(q["eta"] * (2 * j))
+        return F.struct(xi0.alias("xi0"), eta0.alias("eta0"))
+
+    def place(q: Column) -> Column:
+        def latitude(chi: Column) -> Column:
+            lat = chi
+            for j, d in enumerate(DELTA, 1):
+                lat = lat + F.lit(d) * F.sin(chi * (2 * j))
+            return lat
+
+        lon = F.degrees(_meridian(zone) + F.atan2(F.sinh(q["eta0"]), F.cos(q["xi0"])))
+        return F.struct(lon.alias("lon"), F.degrees(bound(F.asin(F.sin(q["xi0"]) / F.cosh(q["eta0"])), latitude)).alias("lat"))
+
+    start = F.struct(((y - _northing(north)) / F.lit(SCALE * RADIUS)).alias("xi"), ((x - F.lit(FALSE_EAST)) / F.lit(SCALE * RADIUS)).alias("eta"))
+    return bound(bound(start, sphere), place)
