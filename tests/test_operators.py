@@ -586,3 +586,12 @@ def test_crown_scene_broadcasts_nothing(spark, tmp_path):
                 put = [low + (high - low) * (r - y) / 2 for y, x, low, high in ((0, 0, 0.1, 0.5), (1, 2, 0.3, 0.9)) if own is not None and y <= r < y + 3 and x <= c < x + 4]
                 assert abs(got.pop((r, c)) - max(put, default=0.09 + 0.5 * np.exp(-((r - 1) ** 2 + (c - 1) ** 2) / 4.5))) < 1e-12
         assert not got
+
+
+def test_band_stack_is_one_aggregation(spark):
+    """A pixel without any of the bands stays; no aggregation by pixel and band stands before the one by pixel."""
+    bands = spark.createDataFrame([(1, "nir", 0.5), (1, "red", None), (1, "red", 0.25), (2, "blue", 0.1)], "pix long, band string, v double")
+    stack = imagery.band_stack(bands, ["red", "nir"], ["pix"])
+    assert stack.columns == ["pix", "red", "nir"]
+    assert sorted(map(tuple, stack.collect())) == [(1, 0.25, 0.5), (2, None, None)]
+    assert stack._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1

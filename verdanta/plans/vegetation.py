@@ -197,7 +197,7 @@ register(
 )
 register(
     "band_stack",
-    lambda spark, d: im.band_stack(im.pixels(spark, d).select("pix", F.explode(F.create_map(*[x for b in im.BANDS for x in (F.lit(b), F.col(b))])).alias("band", "v")).groupBy("pix", "band").agg(F.round(F.avg("v"), 6).alias("v")), ["green", "nir", "red"], ["pix"]),
+    lambda spark, d: im.band_stack(im.pixels(spark, d).groupBy("pix").agg(*[F.round(F.avg(b), 6).alias(b) for b in im.BANDS]).select("pix", F.explode(F.create_map(*[x for b in im.BANDS for x in (F.lit(b), F.col(b))])).alias("band", "v")), ["green", "nir", "red"], ["pix"]),
     f"WITH {PIXELS} SELECT pix, round(avg(green), 6) AS green, round(avg(nir), 6) AS nir, round(avg(red), 6) AS red FROM pixels GROUP BY pix",
 )
 

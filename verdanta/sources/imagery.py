@@ -167,7 +167,8 @@ def save_first(primary: DataFrame, secondary: DataFrame, on: list[str], order: l
 
 def band_stack(bands: DataFrame, names: list[str], by: list[str]) -> DataFrame:
     """One row per pixel from one row per pixel and band (by, band, v); a band that a pixel hasn't is NULL."""
-    return bands.groupBy(*by).pivot("band", names).agg(F.first("v", ignorenulls=True))
+    # one aggregation; pivot() holds two more by pixel and band in the same task
+    return bands.groupBy(*by).agg(*[F.first(F.when(F.col("band") == n, F.col("v")), ignorenulls=True).alias(n) for n in names])
 
 
 #: the layers of forest change that are used: fixed values
