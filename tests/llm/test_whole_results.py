@@ -126,3 +126,29 @@ def test_pipeline_from_end_to_end(spark, tmp_path):
     staged = stages["bestfit_packing"](spark, third, str(tmp_path)).collect()
     piece = lambda rs: sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rs)
     assert piece(last) == piece(staged) and len({r["sequence_id"] for r in last}) == len({r["sequence_id"] for r in staged})
+
+
+def test_shingle_sets_of_a_batch_leave_a_task_slice_by_slice(spark, monkeypatch):
+    from verdanta.llm import op06_minhash_hamming as minhash
+    from verdanta.llm import texts
+    from verdanta.llm.shingles import row_sets
+
+    rows = [(i, None if i % 7 == 0 else " ".join(f"w{i % 5}x{k}" for k in range(i))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    class Kept:
+        """Stands for a DataFrame and keeps what mapInArrow is given."""
+
+        def __getattr__(self, name):
+            return (lambda run, _: run) if name == "mapInArrow" else lambda *a: self
+
+
+    monkeypatch.setattr(texts.slices, "__defaults__", (200,))
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows], pa.string())], names=["doc", "text"])
+    out = list(minhash._shingled(Kept(), None)(iter([batch])))
+    assert len(out) > 5 and max(b.column(1).nbytes for b in out) < batch.nbytes
+    got = {d: f for b in out for d, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    assert got == {i: s.tobytes() for (i, _), s in zip(rows, row_sets(batch.column(1)), strict=True)}
+    monkeypatch.undo()
+    whole = {r["doc"]: bytes(r["found"]) for r in minhash._shingled(docs, docs.select(docs["doc_id"].alias("doc"))).collect()}
+    assert whole == got

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shingles import row_sets, shingle_sets
+from .shingles import shingle_sets
 from .storage import Scratch, stored
 from .words import mix
 
@@ -122,8 +122,14 @@ def _shingled(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [x.tobytes() for x in row_sets(batch.column(1), SHINGLE)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["doc", "found"])
+            at = 0
+            # a batch of results for each slice, so that a task never holds the sets of a whole batch of texts
+            for found, offsets in shingle_sets(batch.column(1), SHINGLE):
+                n = len(offsets) - 1
+                ends = pa.py_buffer((offsets * found.itemsize).astype(np.int32))
+                sets = pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(found)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), sets], names=["doc", "found"])
+                at += n
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
     return texts.mapInArrow(run, "doc long, found binary")
