@@ -3,6 +3,7 @@
 import heapq
 import json
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -595,3 +596,15 @@ def test_band_stack_is_one_aggregation(spark):
     assert stack.columns == ["pix", "red", "nir"]
     assert sorted(map(tuple, stack.collect())) == [(1, 0.25, 0.5), (2, None, None)]
     assert stack._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_smoothing_and_resampling_go_with_the_length_of_a_line(spark):
+    """A line was worked out again for each of its places, so time grew with the square of its length."""
+    n = 16000
+    line = spark.range(n).select(F.lit(1).alias("g"), F.col("id").alias("r"), F.lit(0).cast("long").alias("c"), F.col("id").cast("double").alias("v"))
+    began = time.time()
+    smooth = {r["r"]: r["v"] for r in tiles.smoothed(line, ["g"], n, 1, 1.0).collect()}
+    assert len(smooth) == n and all(abs(smooth[r] - r) < 1e-6 for r in range(10, n - 10, 97))
+    coarse = {r["r"]: r["v"] for r in tiles.resampled(line, ["g"], n, 1, n // 2, 1, "average").collect()}
+    assert len(coarse) == n // 2 and all(abs(coarse[r] - 2 * r - 0.5) < 1e-6 for r in range(0, n // 2, 97))
+    assert time.time() - began < 25

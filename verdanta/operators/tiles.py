@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mapping import Affine, inverse, map_x, map_y, to_utm
+from ..functions.mapping import Affine, bound, inverse, map_x, map_y, to_utm
 from .boxes import suppressed
 
 
@@ -112,7 +112,8 @@ def smoothed(df: DataFrame, by: list[str], height: int, width: int, sigma: float
         line = [*by, "c" if axis == "r" else "r"]
         rest = [c for c in x.columns if c not in line]
         out = lines(x, line, axis, n)
-        mirrored = F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(F.col("full"), reflected(i, n))["v"])
+        # bound, as Spark would otherwise work out the whole line again for each of its places
+        mirrored = bound(F.col("full"), lambda full: F.transform(F.sequence(F.lit(-radius), F.lit(n - 1 + radius)), lambda i: F.get(full, reflected(i, n))["v"]))
         out = out.withColumn("wide", mirrored)
         slide = lambda i: reduce(lambda a, b: a + b, [F.get("wide", i + o + radius) * F.lit(w) for o, w in kernel])
         cells = F.transform("line", lambda t: F.struct(*[slide(t[axis].cast("int")).alias("v") if c == "v" else t[c].alias(c) for c in rest]))
@@ -199,9 +200,9 @@ def along(x: DataFrame, by: list[str], axis: str, n: int, m: int, step: float, s
 
     place = lambda i: (i + F.lit(0.5)) * F.lit(step) + F.lit(shift)
 
-    def sampled_at(i: Column) -> Column:
+    def sampled_at(i: Column, full: Column) -> Column:
         at = place(i)
-        value = lambda k: F.get("full", F.least(F.greatest(k, F.lit(0)), last))["v"]
+        value = lambda k: F.get(full, F.least(F.greatest(k, F.lit(0)), last))["v"]
         if method == "nearest":
             return value(F.floor(at + F.lit(0.5)).cast("int"))
         if method == "average":
@@ -222,7 +223,8 @@ def along(x: DataFrame, by: list[str], axis: str, n: int, m: int, step: float, s
         return F.aggregate(F.sequence(first.cast("int"), F.greatest(first, end).cast("int")), zero, add, lambda t: t["v"] / t["w"])
 
     inside = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: place(i).between(-0.5, n - 0.5))
-    cells = F.transform(inside, lambda i: F.struct(i.cast("long").alias(axis), sampled_at(i).alias("v")))
+    # bound, as Spark would otherwise work out the whole line again for each of its places
+    cells = bound(F.col("full"), lambda full: F.transform(inside, lambda i: F.struct(i.cast("long").alias(axis), sampled_at(i, full).alias("v"))))
     return lines(x, line, axis, n).select(*line, F.inline(cells))
 
 
