@@ -349,6 +349,27 @@ def test_suppression_one_by_one(spark, most, cell):
     assert boxes.suppressed(df.where("g > 1"), ["g"]).count() == 0
 
 
+@pytest.mark.parametrize(("block", "pairs"), [(32, 1 << 20), (3, 40)])
+def test_crowded_boxes_are_moved_by_rows_not_by_pairs(spark, monkeypatch, block, pairs):
+    """A crowd in which nearly all pairs overlap, a chain over many tiles, and names of their own for the rows."""
+    monkeypatch.setattr(boxes, "BLOCK", block)
+    monkeypatch.setattr(boxes, "PAIRS", pairs)
+    rng = np.random.default_rng(13)
+    crowd = [(x, y, x + 12.0, y + 12.0, float(s)) for x, y, s in zip(*(rng.integers(0, 24, (2, 900)) / 2).tolist(), rng.integers(0, 50, 900).tolist(), strict=True)]
+    chain = [(100.0 + 3 * k, 0.0, 104.0 + 3 * k, 4.0, -float(k)) for k in range(40)]
+    rows = [(*b, f"box {k}") for k, b in enumerate(crowd + chain)]
+    df = spark.createDataFrame(rows, "xmin double, ymin double, xmax double, ymax double, score double, name string")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(f"crowd {block}", "")
+    got = boxes.suppressed(df, None, 0.1, 2.0).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(tuple(r)[:5] for r in got) == plain_suppression([r[:5] for r in rows], 0.1) and len({r["name"] for r in got}) == len(got)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = [store.lastStageAttempt(s) for j in jobs.getJobIdsForGroup(f"crowd {block}") for s in jobs.getJobInfo(j).stageIds]
+    moved = sum(s.shuffleWriteRecords() + s.outputRecords() for s in stages)
+    assert 0 < moved < 40 * len(rows)
+
+
 def test_detected_boxes_larger_than_the_overlap_count_once(spark):
     """Neighbouring tiles see parts of one object; the picture as one tile says how many there are."""
     rng = np.random.default_rng(9)

@@ -1,63 +1,102 @@
-"""Suppression of overlapping boxes over a whole picture, as joins of neighbours and rounds over who outranks whom."""
+"""Suppression of overlapping boxes over a whole picture: tiles settle what they see alone, rounds what several tiles see."""
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import Scratch, stored
-from .stats import beside
+from ..sources.shared import stored
 
 CORNERS = ("xmin", "ymin", "xmax", "ymax")
+# what a tile says of a box: a box that stays removes it; one that may stay would; nothing left in the tile outranks it; it stays
+GONE, OPEN, CLEAR, KEPT = range(4)
+# cells along a tile's side: few boxes of a cell's size lie in two tiles
+TILE = 8
+# boxes that are compared with all others of a tile in one step, and pairs of such a step at most
+BLOCK, PAIRS = 32, 1 << 20
 
 
-def overlap_share(a: str, b: str) -> Column:
-    """Intersection over union of two struct columns of corners; boxes without area overlap nothing."""
-    of = lambda s, c: F.col(f"{s}.{c}")
-    side = lambda lo, hi: F.greatest(F.least(of(a, hi), of(b, hi)) - F.greatest(of(a, lo), of(b, lo)), F.lit(0.0))
-    area = lambda s: (of(s, "xmax") - of(s, "xmin")) * (of(s, "ymax") - of(s, "ymin"))
-    shared = side("xmin", "xmax") * side("ymin", "ymax")
-    return F.when(shared > 0, shared / (area(a) + area(b) - shared)).otherwise(F.lit(0.0))
+def overlap_shares(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Intersection over union of each of some boxes with others, all columns of corners and area; boxes without area overlap nothing."""
+    some = some[:, :, None]
+    width, height = (np.maximum(np.minimum(some[hi], others[hi]) - np.maximum(some[lo], others[lo]), 0.0) for lo, hi in ((0, 2), (1, 3)))
+    shared = width * height
+    return np.divide(shared, some[4] + others[4] - shared, out=np.zeros_like(shared), where=shared > 0)
 
 
-def dominated(boxes: DataFrame, by: list[str], most: float, cell: float) -> DataFrame:
-    """(above, below): ids of boxes (by, id, score, corners) of which the one that ranks first overlaps the other by more than ``most``.
+def tile_votes(corners: np.ndarray, taken: np.ndarray, alone: np.ndarray, most: float) -> np.ndarray:
+    """What a tile says of its boxes, best first; ``taken`` ones stay by what all tiles said, ``alone`` ones no other tile sees."""
+    votes = np.full(len(taken), CLEAR)
+    left, at = np.arange(len(taken)), np.vstack([corners, (corners[2] - corners[0]) * (corners[3] - corners[1])])
+    while left.size:
+        head = left[: max(min(BLOCK, PAIRS // left.size), 1)]
+        over = overlap_shares(at[:, : head.size], at) > most
+        gone, waits = np.zeros(left.size, bool), votes[left] == OPEN
+        for k, best in enumerate(head):
+            if gone[k]:
+                continue
+            if taken[best] or (alone[best] and not waits[k]):
+                votes[best] = KEPT
+                gone[k + 1 :] |= over[k, k + 1 :]
+            else:
+                waits[k + 1 :] |= over[k, k + 1 :]
+        votes[left[gone]] = GONE
+        votes[left[waits & ~gone & (votes[left] != KEPT)]] = OPEN
+        stay = ~gone
+        stay[: head.size] = False
+        left, at = left[stay], at[:, stay]
+    return votes
 
-    Boxes are put into the cells they cover; a pair counts in the cell where its intersection begins, so only once.
-    """
-    place = lambda c: F.floor(F.col(c) / F.lit(cell)).cast("long")
-    cells = boxes.withColumn("cx", F.explode(F.sequence(place("xmin"), place("xmax")))).withColumn("cy", F.explode(F.sequence(place("ymin"), place("ymax"))))
-    # the sort key ascends with the rank
-    box = F.struct((-F.col("score")).alias("low"), *CORNERS, "id")
-    a, b = cells.select(*by, "cx", "cy", box.alias("a")), cells.select(*by, "cx", "cy", box.alias("b"))
-    pairs = beside(a, b, [*by, "cx", "cy"]).where(F.col("a") < F.col("b"))
-    first = lambda c, k: F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / F.lit(cell)) == F.col(k)
-    return pairs.where(first("xmin", "cx") & first("ymin", "cy") & (overlap_share("a", "b") > most)).select(F.col("a.id").alias("above"), F.col("b.id").alias("below"))
+
+def voted(rows: DataFrame, by: list[str], most: float, side: float) -> DataFrame:
+    """``rows`` with what each of their tiles says (``standing``): boxes that stay once, others once per tile unless that tile alone removes them."""
+    names = [c for c in rows.columns if c != "standing"]
+    tile = [*by, "tile_x", "tile_y"]
+    place = lambda c: F.floor(F.col(c).cast("double") / F.lit(side)).cast("long")
+    dealt = rows.withColumn("tile_x", F.explode(F.sequence(place("xmin"), place("xmax")))).withColumn("tile_y", F.explode(F.sequence(place("ymin"), place("ymax"))))
+    # repeated rows meet in their tiles, so that this exchange is the only one
+    met = dealt.repartition(*tile).dropDuplicates()
+    rank = Window.partitionBy(*tile).orderBy(F.col("score").cast("double").desc(), *[F.col(c).cast("double") for c in CORNERS], *[c for c in names if c not in (*by, *CORNERS)])
+    met = met.withColumn("rank", F.row_number().over(rank))
+    met = met.withColumn("alone", (place("xmin") == place("xmax")) & (place("ymin") == place("ymax"))).withColumn("first", (place("xmin") == F.col("tile_x")) & (place("ymin") == F.col("tile_y")))
+
+    def settle(table: pa.Table) -> pa.Table:
+        ranked = np.argsort(table["rank"].to_numpy())
+        corners = np.stack([pc.cast(table[c], pa.float64()).to_numpy() for c in CORNERS])
+        taken, alone, first = table["standing"].to_numpy() == KEPT, table["alone"].to_numpy(), table["first"].to_numpy()
+        votes = np.empty(len(ranked), np.int32)
+        votes[ranked] = tile_votes(corners[:, ranked], taken[ranked], alone[ranked], most)
+        said = np.where(votes == KEPT, first, ~alone | (votes != GONE))
+        return table.select(names).append_column("standing", pa.array(votes)).filter(pa.array(said))
+
+    return met.groupBy(*tile).applyInArrow(settle, rows.select(*names, "standing").schema)
 
 
 def suppressed(boxes: DataFrame, by: list[str] | None = None, most: float = 0.15, cell: float = 128.0) -> DataFrame:
     """The boxes (xmin, ymin, xmax, ymax, score, ...) that remain if the best one is taken again and again and those go that it overlaps by more than ``most``.
 
     Overlap is intersection over union, within the groups ``by``. Of equal scores the box that is first by its corners
-    ranks first; repeated rows count once; a box with a null or an infinite or inverted corner, or a null score, is no box and goes. A
-    round takes every box that nothing left outranks; so there are as many rounds as a chain of boxes is long in which
-    each outranks and overlaps the next, wherever the picture's tiles were cut. ``cell`` is about the side of a large box: each
-    box is compared with those in its cells alone.
+    ranks first; repeated rows count once; a box with a null or an infinite or inverted corner, or a null score, is no box and goes.
+    ``cell`` is about the side of a large box. Tiles of 8 x 8 cells settle by themselves what no other tile sees or waits
+    for. Of the rest a round takes the boxes that nothing left outranks in any of their tiles, so there are as many rounds
+    as a chain of boxes, each of which outranks and overlaps the next, goes on among those that several tiles see. Pairs
+    are never written: a round moves the boxes that are still open, once per tile.
     """
-    by = by or []
-    scratch = Scratch()
+    names = boxes.columns
     sound = F.col("score").isNotNull() & ~F.isnan("score")
     for lo, hi in (("xmin", "xmax"), ("ymin", "ymax")):
         sound = sound & (F.col(lo) <= F.col(hi)) & (F.abs(lo) < float("inf")) & (F.abs(hi) < float("inf"))
-    # numbers that are written with the rows, so that no later reading changes them
-    rows = scratch.stored(boxes.where(F.coalesce(sound, F.lit(False))).dropDuplicates().withColumn("id", F.monotonically_increasing_id()))
-    edges = scratch.stored(dominated(rows.select(*by, "id", F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in CORNERS]), by, most, cell))
-    lost = []
-    while not edges.isEmpty():
-        tops = edges.select(F.col("above").alias("id")).distinct().join(edges.select(F.col("below").alias("id")).distinct(), "id", "left_anti")
-        gone = scratch.stored(edges.join(tops.withColumnRenamed("id", "above"), "above", "left_semi").select(F.col("below").alias("id")).distinct())
-        lost.append(gone)
-        # what a box that is gone would have removed is free again, unless others remove it
-        left = edges.join(gone.withColumnRenamed("id", "below"), "below", "left_anti").join(gone.withColumnRenamed("id", "above"), "above", "left_anti")
-        edges = scratch.stored(left)
-    for gone in lost:
-        rows = rows.join(gone, "id", "left_anti")
-    return stored(rows.drop("id"), then=scratch)
+    rows = boxes.where(F.coalesce(sound, F.lit(False))).withColumn("standing", F.lit(OPEN))
+    kept = []
+    while True:
+        # written, so that all that follows reads the same rows
+        votes = stored(voted(rows, by or [], most, TILE * cell))
+        kept.append(votes.where(F.col("standing") == KEPT).select(names))
+        shared = votes.where(F.col("standing") < KEPT)
+        if shared.isEmpty():
+            return reduce(DataFrame.union, kept)
+        # gone by one tile's word, taken by that of all
+        rows = shared.groupBy(*names).agg(F.min("standing").alias("standing")).where(F.col("standing") > GONE).withColumn("standing", F.when(F.col("standing") == CLEAR, KEPT).otherwise(OPEN))
