@@ -163,12 +163,19 @@ SIZE, OVERLAP = 16, 4
 GRID = f'{vg.PIXELS}, grid AS (SELECT "row", col, avg(nir) AS nir, avg(red) AS red FROM pixels GROUP BY 1, 2)'
 TILED = f"""{GRID}, tiled AS (SELECT tile_r, tile_c, "row", col, "row" - tile_r * 12 AS r, col - tile_c * 12 AS c, nir, red FROM grid,
     unnest(range(greatest(floor(("row" - 16) / 12::DOUBLE) + 1, 0)::BIGINT, "row" // 12 + 1)) a(tile_r), unnest(range(greatest(floor((col - 16) / 12::DOUBLE) + 1, 0)::BIGINT, col // 12 + 1)) b(tile_c))"""
+#: the grid of ``steady_grid``
+STEADY = f'{vg.PIXELS}, grid AS (SELECT "row", col, avg(round(nir * {st.PARTS!r}::DOUBLE)) / {st.PARTS!r}::DOUBLE AS nir FROM pixels GROUP BY 1, 2)'
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return im.pixels(spark, sf_dir).groupBy("row", "col").agg(F.avg("nir").alias("nir"), F.avg("red").alias("red"))
 
 
+def steady_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of nir alone, the same in every order of the rows, for queries whose rows hang on a threshold or a rank of it."""
+    return im.pixels(spark, sf_dir).groupBy("row", "col").agg(st.steady_mean("nir").alias("nir"))
+
+
 register(
     "tile_explode",
     lambda spark, d: ti.tiles(grid(spark, d), SIZE, OVERLAP).groupBy("tile_r", "tile_c").agg(F.count(F.lit(1)).alias("pixels"), F.min("r").alias("r0"), F.max("c").alias("c1"), F.round(F.avg("nir"), 6).alias("nir")),
@@ -431,14 +438,14 @@ register(
 def canopy_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canopy of the whole picture as one region, traced over tiles of 16 x 16 pixels, and its background as another."""
     label = F.when(F.col("nir") > 0.5, 1).otherwise(2).cast("long")
-    pixels_ = grid(spark, sf_dir).select(F.lit("mean").alias("picture"), F.col("row").alias("r"), F.col("col").alias("c"), label.alias("label"))
+    pixels_ = steady_grid(spark, sf_dir).select(F.lit("mean").alias("picture"), F.col("row").alias("r"), F.col("col").alias("c"), label.alias("label"))
     return cr.polygons(pixels_, ["picture"], MAP, SIZE).select("picture", "label", F.round("area_m2", 6).alias("area_m2"), F.round("perimeter_m", 6).alias("perimeter_m"))
 
 
 register(
     "canopy_polygons",
     canopy_polygons,
-    f"""WITH {GRID}, k AS (SELECT "row" AS r, col AS c, CASE WHEN nir > 0.5 THEN 1 ELSE 2 END AS label FROM grid), d(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
+    f"""WITH {STEADY}, k AS (SELECT "row" AS r, col AS c, CASE WHEN nir > 0.5 THEN 1 ELSE 2 END AS label FROM grid), d(dr, dc) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
     SELECT 'mean' AS picture, k.label::BIGINT AS label, count(*) * 25::DOUBLE AS area_m2, (count(*) - count(o.r)) * 10::DOUBLE AS perimeter_m FROM k CROSS JOIN d LEFT JOIN k o ON o.label = k.label AND o.r = k.r + dr AND o.c = k.c + dc GROUP BY 1, 2""",
 )
 register(
