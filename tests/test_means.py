@@ -74,3 +74,26 @@ def test_canopy_at_its_threshold(spark, tied):
     for folder in folders:
         query, sql = both(spark, "canopy_polygons", folder)
         assert query == want and sql == want
+
+
+def test_large_boxes_of_equal_means(spark, tied):
+    """Bright pixels are those above 0.6, not at it; of equal means the first box by its corners is the best."""
+    folders, means = tied
+    boxes = set()
+    for (r, c), m in means.items():
+        for top in range(0, ROWS, 12):
+            for left in range(0, 50, 12):
+                if m > Fraction(3, 5) and top <= r < top + 16 and left <= c < left + 16:
+                    boxes.add((-m, max(c - 4, left), max(r - 4, top), min(c + 5, left + 16), min(r + 5, top + 16)))
+    kept = []
+    for m, *a in sorted(boxes):
+        def overlap(b):
+            shared = max(min(a[2], b[2]) - max(a[0], b[0]), 0) * max(min(a[3], b[3]) - max(a[1], b[1]), 0)
+            return Fraction(shared, (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared)
+        if all(overlap(b) <= Fraction(15, 100) for _, *b in kept):
+            kept.append((m, *a))
+    want = sorted((("label", "Tree"), ("score", float(-m)), ("xmax", float(x1)), ("xmin", float(x0)), ("ymax", float(y1)), ("ymin", float(y0))) for m, x0, y0, x1, y1 in kept)
+    assert len(want) > 3
+    for folder in folders:
+        query, sql = both(spark, "detect_large_boxes", folder)
+        assert query == want and sql == want

@@ -163,8 +163,9 @@ SIZE, OVERLAP = 16, 4
 GRID = f'{vg.PIXELS}, grid AS (SELECT "row", col, avg(nir) AS nir, avg(red) AS red FROM pixels GROUP BY 1, 2)'
 TILED = f"""{GRID}, tiled AS (SELECT tile_r, tile_c, "row", col, "row" - tile_r * 12 AS r, col - tile_c * 12 AS c, nir, red FROM grid,
     unnest(range(greatest(floor(("row" - 16) / 12::DOUBLE) + 1, 0)::BIGINT, "row" // 12 + 1)) a(tile_r), unnest(range(greatest(floor((col - 16) / 12::DOUBLE) + 1, 0)::BIGINT, col // 12 + 1)) b(tile_c))"""
-#: the grid of ``steady_grid``
+#: the grid of ``steady_grid``, and its tiles
 STEADY = f'{vg.PIXELS}, grid AS (SELECT "row", col, avg(round(nir * {st.PARTS!r}::DOUBLE)) / {st.PARTS!r}::DOUBLE AS nir FROM pixels GROUP BY 1, 2)'
+STEADY_TILED = TILED.replace(GRID, STEADY).replace("nir, red FROM grid", "nir FROM grid")
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,13 +241,13 @@ def _large_boxes_sql() -> str:
     side = lambda k: f"greatest(least(o.{k}1, b[1].{k}1) - greatest(o.{k}0, b[1].{k}0), 0)"
     area = lambda x: f"({x}.x1 - {x}.x0) * ({x}.y1 - {x}.y0)"
     shared = f"{side('x')} * {side('y')}"
-    return f"""WITH {TILED}, b AS (SELECT DISTINCT tile_c * 12 + greatest(c - 4::DOUBLE, 0) AS xmin, tile_r * 12 + greatest(r - 4::DOUBLE, 0) AS ymin, tile_c * 12 + least(c + 5::DOUBLE, 16) AS xmax, tile_r * 12 + least(r + 5::DOUBLE, 16) AS ymax, nir AS score FROM tiled WHERE nir > 0.6::DOUBLE),
+    return f"""WITH {STEADY_TILED}, b AS (SELECT DISTINCT tile_c * 12 + greatest(c - 4::DOUBLE, 0) AS xmin, tile_r * 12 + greatest(r - 4::DOUBLE, 0) AS ymin, tile_c * 12 + least(c + 5::DOUBLE, 16) AS xmax, tile_r * 12 + least(r + 5::DOUBLE, 16) AS ymax, nir AS score FROM tiled WHERE nir > 0.6::DOUBLE),
     l AS (SELECT list([{{'x0': xmin, 'y0': ymin, 'x1': xmax, 'y1': ymax, 's': score}}] ORDER BY score DESC, xmin, ymin, xmax, ymax) AS boxes FROM b),
     k AS (SELECT unnest(list_reduce(boxes, lambda kept, b: CASE WHEN len(list_filter(kept, lambda o: {shared} / ({area('o')} + {area('b[1]')} - {shared}) > 0.15::DOUBLE)) > 0 THEN kept ELSE kept || b END)) AS o FROM l)
     SELECT o.x0 AS xmin, o.y0 AS ymin, o.x1 AS xmax, o.y1 AS ymax, round(o.s, 6) AS score, 'Tree' AS label FROM k"""
 
 
-register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"), _large_boxes_sql())
+register("detect_large_boxes", lambda spark, d: rounded(ti.detect_tiles(steady_grid(spark, d), large_boxes, ["nir"], SIZE, 0.25, 0.1), "score"), _large_boxes_sql())
 
 
 
