@@ -97,3 +97,17 @@ def test_large_boxes_of_equal_means(spark, tied):
     for folder in folders:
         query, sql = both(spark, "detect_large_boxes", folder)
         assert query == want and sql == want
+
+
+def test_masks_of_pixels_at_the_threshold(spark, tied):
+    """A mean of exactly 0.45 is no vegetation, though half of the pixels of some fields have it."""
+    folders, means = tied
+    fields = {}
+    for (r, c), m in means.items():
+        fields.setdefault((r // 20 * 20, c // 9 * 9), []).append(m > Fraction(45, 100))
+    shares = {p: sum(v) / (len(v) + 1e-6) for p, v in fields.items()}
+    want = sorted((("col", c), ("overlap", round(shares[r, c], 6)), ("pixels", len(v)), ("row", r)) for (r, c), v in fields.items() if shares[r, c] >= 0.6)
+    assert 0 < len(want) < len(fields)
+    for folder in folders:
+        query, sql = both(spark, "segment_masks", folder)
+        assert query == want and sql == want

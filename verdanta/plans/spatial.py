@@ -313,7 +313,7 @@ def by_field(tile: np.ndarray) -> list[np.ndarray]:
 
 def segment_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of 20 x 9 pixels that a segmenter sees in parts, tile by tile, filtered by size and vegetation."""
-    picture = grid(spark, sf_dir).withColumn("field", F.expr("cast((row div 20) * 100 + col div 9 + 1 AS double)"))
+    picture = steady_grid(spark, sf_dir).withColumn("field", F.expr("cast((row div 20) * 100 + col div 9 + 1 AS double)"))
     masks = sg.joined_masks(sg.segment_tiles(picture, by_field, ["nir", "field"], SIZE, OVERLAP), SIZE, OVERLAP)
     kept = sg.vegetated_masks(masks, picture.select("row", "col", (F.col("nir") > 0.45).alias("vegetation")), 30, 200)
     places = masks.groupBy("label").agg(F.min("row").alias("row"), F.min("c0").alias("col"))
@@ -323,7 +323,7 @@ def segment_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 register(
     "segment_masks",
     segment_masks,
-    f"""WITH {GRID} SELECT count(*)::BIGINT AS pixels, round(count(*) FILTER (WHERE nir > 0.45) / (count(*) + 1e-6::DOUBLE), 6) AS overlap, min("row") AS "row", min(col) AS col
+    f"""WITH {STEADY} SELECT count(*)::BIGINT AS pixels, round(count(*) FILTER (WHERE nir > 0.45) / (count(*) + 1e-6::DOUBLE), 6) AS overlap, min("row") AS "row", min(col) AS col
     FROM grid GROUP BY "row" // 20, col // 9 HAVING count(*) BETWEEN 30 AND 200 AND count(*) FILTER (WHERE nir > 0.45) / (count(*) + 1e-6::DOUBLE) >= 0.6::DOUBLE""",
 )
 
